@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 #: Characters of text that a worker takes apart at once.
 SLICE_CHARS = 1 << 20
+#: Characters of a text that a sample for estimates holds at most.
+SAMPLE_CHARS = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +54,15 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
+def sample_texts(docs: DataFrame, rows: int) -> list[str]:
+    """A few non-null texts for estimates that steer the work and never a result; each by its first SAMPLE_CHARS characters.
+
+    The rows come from the first partitions that have enough: no partition beyond them is read.
+    """
+    found = docs.where(F.col("text").isNotNull()).select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).limit(rows).collect()
+    return [r.text for r in found]
+
+
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32(doc_id as text) mod n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

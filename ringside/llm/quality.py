@@ -18,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.common import small_batches
+from ringside.llm.common import sample_texts, small_batches
 
 #: Rows on which cost and selectivity of the rules are estimated.
-SAMPLE_DOCS = 1000
+SAMPLE_DOCS = 500
 WINDOW = 8
 MIN_WORDS = 20
 #: Longer texts find their repeated windows by ranks in arrays, in little memory; both ways are exact.
@@ -118,23 +118,13 @@ RULES: dict[str, Callable[[Doc], bool]] = {
 
 def order_of_rules(docs: DataFrame) -> list[str]:
     """The rules, most rejections per second first, as a bounded sample of rows has them; ties by name."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [d for d in map(take_apart, batch.column("text").to_pylist()) if not d.base_failed]
-            rows = []
-            for name, rule in RULES.items():
-                began = time.perf_counter()
-                rejected = sum(not rule(d) for d in parts)
-                rows.append((name, len(parts), rejected, time.perf_counter() - began))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["rule", "n", "rejected", "seconds"])
-
-    found = (
-        docs.select("text").limit(SAMPLE_DOCS).mapInArrow(measure, "rule string, n long, rejected long, seconds double")
-        .groupBy("rule").agg(F.sum("n").alias("n"), F.sum("rejected").alias("rejected"), F.sum("seconds").alias("seconds")).collect()
-    )
-    gain = {r.rule: (r.rejected + 0.5) / (r.seconds + 1e-9) for r in found}
-    return sorted(RULES, key=lambda name: (-gain.get(name, 0.0), name))
+    parts = [d for d in map(take_apart, sample_texts(docs, SAMPLE_DOCS)) if not d.base_failed]
+    gain = {}
+    for name, rule in RULES.items():
+        began = time.perf_counter()
+        rejected = sum(not rule(d) for d in parts)
+        gain[name] = (rejected + 0.5) / (time.perf_counter() - began + 1e-9)
+    return sorted(RULES, key=lambda name: (-gain[name], name))
 
 
 def judge(docs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ringside.llm import credentials, langid, packing, quality, tokens
+from ringside.llm import credentials, langid, packing, quality, syncmers, tokens
 from ringside.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -34,6 +38,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_language, op7_packing, op8_secrets)
+    f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_language, op5_fingerprints, op7_packing, op8_secrets)
 }
 ORACLE_SQL: dict[str, str] = {}

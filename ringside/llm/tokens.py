@@ -11,16 +11,17 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringside.llm.common import small_batches
+from ringside.llm.common import sample_texts, small_batches
 
 #: Rows whose words are counted for the broadcast table, and the table's greatest size: they only affect speed.
-SAMPLE_DOCS, TABLE_WORDS, TABLE_WORD_CHARS = 2000, 1 << 15, 32
+SAMPLE_DOCS, TABLE_WORDS, TABLE_WORD_BYTES = 500, 1 << 15, 32
 #: Words that a worker remembers, and the longest that it does.
 CACHE_WORDS, CACHE_WORD_BYTES = 1 << 19, 64
 #: Window of the over_limit flag.
@@ -31,6 +32,8 @@ MARKS = ".,;:!?"
 PLAIN_BELOW = "\u0130"
 #: A mark that ends a word and follows an ASCII letter or digit is a pre-token of its own.
 MARK_AFTER = re.compile(rb"([.,;:!?])(?<=[a-z0-9].)(?=[ \t-\r]|$)")
+#: Words of the table: no capitals, ASCII signs alone.
+PLAIN_WORD = re.compile(rb"[\x21-\x40\x5b-\x7e]+")
 SPECIAL_MARK = b"<|"
 #: Byte-level vocabularies write a byte that is no visible Latin-1 character as the next sign from U+0100 on.
 BYTE_SIGNS = {b: 0x100 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
@@ -102,13 +105,8 @@ def pack(ids: list[int]) -> bytes:
 
 def frequent_words(docs: DataFrame, vocabulary: str) -> dict[bytes, bytes]:
     """Codes of the words most frequent in a bounded sample of rows; at most TABLE_WORDS short words."""
-    word = F.explode(F.split(F.lower("text"), "[ \\t-\\r]+")).alias("word")
-    rows = (
-        docs.select("text").where(F.col("text").isNotNull()).limit(SAMPLE_DOCS).select(word)
-        .where((F.length("word") > 0) & (F.length("word") <= TABLE_WORD_CHARS) & F.col("word").rlike("^[\\x21-\\x40\\x5b-\\x7e]+$"))
-        .groupBy("word").count().orderBy(F.desc("count"), "word").limit(TABLE_WORDS).collect()
-    )
-    words = [r.word for r in rows]
+    seen = Counter(w for t in sample_texts(docs, SAMPLE_DOCS) for w in t.lower().encode().split() if len(w) <= TABLE_WORD_BYTES and PLAIN_WORD.fullmatch(w))
+    words = [w.decode() for w, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE_WORDS]]
     codes = WordCodes(vocabulary, {})
     return {w.encode(): codes.encode(w) for w in words}
 
