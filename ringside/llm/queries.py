@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ringside.llm import credentials, langid, packing, quality, syncmers, tokens
+from ringside.llm import credentials, langid, mixing, packing, quality, syncmers, tokens
 from ringside.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -17,6 +17,16 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+#: Target weights of the mix: one large source held down, the rest even, a small share for any other.
+WEIGHTS = {"src0": 0.15, **{f"src{i}": 0.8 / 19 for i in range(1, 20)}, mixing.OTHER: 0.05}
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    found = mixing.schedule(docs, WEIGHTS)
+    return found.select("doc_id", "mix_source", "mix_block", "mix_release", "mix_slot", "mix_deadline", "mix_key")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -38,6 +48,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_token_counts, op4_language, op5_fingerprints, op7_packing, op8_secrets)
+    f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_token_counts, op4_language, op5_fingerprints, op7_packing, op8_secrets)
 }
 ORACLE_SQL: dict[str, str] = {}
