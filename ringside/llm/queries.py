@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ringside.llm import credentials, langid, mixing, packing, quality, superminhash, syncmers, tokens
+from ringside.llm import credentials, katz, langid, mixing, packing, quality, superminhash, syncmers, tokens
 from ringside.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -47,11 +47,15 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_token_counts, op4_language, op5_fingerprints, op7_packing, op8_secrets, op10_near_duplicates)
+    f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_token_counts, op4_language, op5_fingerprints, op7_packing, op8_secrets, op9_lm_scores, op10_near_duplicates)
 }
 ORACLE_SQL: dict[str, str] = {}
