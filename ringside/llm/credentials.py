@@ -233,3 +233,33 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_format long"
     )
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with every span of a secret replaced by a mark of its kind; n_chars, where there is one, follows the text.
+
+    All rows stay, with their columns. A null text stays null. Spans that overlap are replaced together, under the kind
+    of the first.
+    """
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(Formats.learn(labelled(docs)))
+    names = (*KINDS, FOUND)
+
+    def clean(raw: bytes) -> bytes:
+        out, at = [], 0
+        for start, kind, end in scan(raw, shared.value):
+            if start >= at:
+                out += [raw[at:start], b"[" + names[kind].encode() + b"]"]
+            at = max(at, end)
+        return b"".join([*out, raw[at:]])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([t and clean(t.encode()).decode() for t in batch.to_pylist()], pa.string())
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    text = F.arrow_udf(run, "string")(F.col("text"))
+    done = docs.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+    return done

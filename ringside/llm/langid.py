@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringside.llm.common import remainder, small_batches
@@ -109,7 +109,7 @@ def learn(texts: list[str], labels: list[str]) -> Model:
     return Model(langs, (at_marks.T @ (whiten @ coefficients)).astype(np.float32), column)
 
 
-def fit(docs: DataFrame, train: F.Column) -> Model:
+def fit(docs: DataFrame, train: Column) -> Model:
     """From at most SAMPLE_PER_LANG rows a language, of the first MAX_LANGS languages by name, which `train` holds for.
 
     The rows are those of the least hash of doc_id. Texts beyond TRAIN_CHARS teach by their first so many characters.
@@ -128,20 +128,18 @@ def fit(docs: DataFrame, train: F.Column) -> Model:
     return learn([r.text for r in rows], [r.lang for r in rows])
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score of every row of docs.
+def language_of(model: Model, text: str, spark: SparkSession) -> Column:
+    """struct(lang_pred, score) of a text column; the other columns of its rows never go to Python.
 
     lang_pred is `und`, with score 0, where the text is null or has no letter, or the model knows no language. score is
     the greatest one-versus-rest value brought from [-1, 1] to [0, 1]; ties go to the first language by name.
-    Repeated rows and null ids each give a row, further columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model, places, seen = shared.value, sign_table(), np.zeros(N_GRAMS, np.uint8)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            texts = batch.to_pylist()
             langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
             for start in range(0, len(texts), SCORED_AT_ONCE):
                 rows, where = np.zeros((SCORED_AT_ONCE, len(model.weights)), np.float32), []
@@ -155,16 +153,30 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     values = rows[: len(where)] @ model.weights
                     for i, best, value in zip(where, values.argmax(1), values.max(1), strict=True):
                         langs[i], scores[i] = model.langs[best], float(min(1.0, max(0.0, (value + 1) / 2)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "lang_pred string, score double")(F.col(text))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score: learnt from the rows whose crc32(doc_id as text) mod 3 isn't 1.
+def fitted(docs: DataFrame) -> Model:
+    """From the rows whose crc32(doc_id as text) mod 3 isn't 1."""
+    return fit(docs, remainder(F.col("doc_id"), 3) != 1)
 
-    A row without an id is neither learnt from nor held out.
+
+def identify(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred and score of every row of docs: learnt from the rows whose crc32(doc_id as text) mod 3
+    isn't 1. A row without an id is neither learnt from nor held out. Repeated rows each give a row, further columns
+    are ignored, an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
-    model = fit(docs, remainder(F.col("doc_id"), 3) != 1)
-    return predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    found = language_of(fitted(docs), "text", docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
+
+
+def in_known_language(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are in a language: those without a letter, or without a text, go. Columns stay as they are."""
+    small_batches(docs.sparkSession)
+    found = language_of(fitted(docs), "text", docs.sparkSession)
+    return docs.select(F.struct("*").alias("kept"), found["lang_pred"].alias("lang_pred")).where(F.col("lang_pred") != UNKNOWN).select("kept.*")

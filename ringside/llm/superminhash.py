@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.llm.common import WordHashes, discard, shelve, slices, small_batches
@@ -205,6 +205,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return own.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that are kept, one of each group; columns stay as they are.
+
+    Of rows that agree in doc_id and text one stays. Rows without a doc_id stay but for such repetitions.
+    """
+    rows = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    named = docs.join(rows, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    once = Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(0))
+    named = named.withColumn("_text_key", F.xxhash64("text")).withColumn("_place", F.row_number().over(once))
+    return named.where("_place = 1").select(*docs.columns)
+
+
 def _across_blocks(wide: DataFrame, members: DataFrame, parts: DataFrame) -> DataFrame:
     """Edges between documents of clusters of several blocks: those outside the cluster's largest component meet every block."""
     placed = wide.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("part", F.coalesce("root", "doc")).drop("root")
