@@ -12,14 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of a run, words of the runs inside, most anchors of a fingerprint, characters of a piece of a word.
-K, S, SIZE, PIECE = 5, 2, 128, 16
+K, S, SIZE, PIECE = 5, 2, 96, 16
 #: Neighbouring ids are found in groups of 2**BITS ids, then of 2**BITS groups and so on.
 BITS = 8
 
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the kept anchors of a text column, an array of long: empty for a text without words."""
+    """Adds the kept anchors of a text column, an array of int: empty for a text without words."""
     words, inner, runs, every, least = (f"{out}_{x}" for x in ("words", "inner", "runs", "every", "least"))
     n = F.size(words)
     pair = lambda a, b: F.xxhash64(a, b)
@@ -28,14 +28,14 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     def anchor(i: Column) -> Column:
         ends = F.least(at(i), at(i + K - S))
         middle = F.least(*(at(i + j) for j in range(1, K - S)))
-        return F.when(ends <= middle, F.xxhash64(*(at(i + j) for j in range(K - S + 1))))
+        return F.when(ends <= middle, F.hash(*(at(i + j) for j in range(K - S + 1))))
 
     df = df.withColumn(words, F.regexp_extract_all(text, F.lit(f"[^ \\t-\\r]{{1,{PIECE}}}"), F.lit(0)))
     df = df.withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
     df = df.withColumn(inner, F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), pair))
     df = df.withColumn(runs, F.when(n >= K, F.sequence(F.lit(0), n - K)))
     found = F.filter(F.transform(runs, anchor), lambda x: x.isNotNull())
-    few = F.when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    few = F.when(n > 0, F.array(F.hash(words))).otherwise(F.array().cast("array<int>"))
     df = df.withColumn(every, F.array_distinct(F.when(n >= K, found).otherwise(few)))
     df = df.withColumn(least, F.when(F.size(every) > SIZE, F.get(F.array_sort(every), F.lit(SIZE - 1))))
     kept = F.when(F.col(least).isNull(), F.col(every)).otherwise(F.filter(every, lambda x: x <= F.col(least)))
@@ -43,8 +43,8 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def written(anchors: str) -> Column:
-    """Fingerprint: 16 hex digits for each anchor, in text order."""
-    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """Fingerprint: 8 hex digits for each anchor, in text order."""
+    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF)), 8, "0")), "")
 
 
 def likeness(a: str, b: str) -> Column:
@@ -110,7 +110,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     lent = lambda c: F.first(F.when(F.col("own") == 0, F.col(c)), ignorenulls=True).over(turn)
     met = parts.withColumn("next_part", lent("part")).withColumn("next_anchors", lent("anchors")).where(F.col("own") == 1)
     met = met.withColumn("edited", F.concat("part", F.coalesce(F.left("next_part", third), F.lit(""))))
-    met = met.withColumn("next_anchors", F.coalesce("next_anchors", F.array().cast("array<bigint>")))
+    met = met.withColumn("next_anchors", F.coalesce("next_anchors", F.array().cast("array<int>")))
     met = with_anchors(met, "edited", "edited_anchors")
     return met.select(
         F.col("key").alias("doc_id"), "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
