@@ -186,17 +186,19 @@ def w25_event_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _stats_sql() -> str:
     out = []
     for span, (days, k) in performance.SPANS.items():
-        where = f"FILTER (back <= {k})" if k else f"FILTER (age <= {days})" if days else "FILTER (true)"
-        for m in ("knockdowns", "significant_strikes_landed", "control_seconds"):
-            extra = where.replace("FILTER (", f"FILTER ({m} IS NULL AND at_bout IS NOT NULL AND ")
-            out += [f"count({m}) {where} AS {span}_{m}_observed", f"count(*) {extra} AS {span}_{m}_missing", f"CAST(sum({m}) {where} AS BIGINT) AS {span}_{m}_sum", f"round(sum({m}) {where} / nullif(count({m}) {where}, 0), 6) AS {span}_{m}_mean"]
+        inside = f"b.back <= {k}" if k else f"b.age <= {days}" if days else "true"
+        for m in _THREE:
+            out += [
+                f"count(b.{m}) FILTER ({inside}) AS {span}_{m}_observed", f"count(*) FILTER ({inside} AND b.at_bout IS NOT NULL AND b.{m} IS NULL) AS {span}_{m}_missing",
+                f"CAST(sum(b.{m}) FILTER ({inside}) AS BIGINT) AS {span}_{m}_sum", f"round(sum(b.{m}) FILTER ({inside}) / nullif(count(b.{m}) FILTER ({inside}), 0), 6) AS {span}_{m}_mean",
+            ]
     return ", ".join(out)
 
 
 _THREE = ("knockdowns", "significant_strikes_landed", "control_seconds")
 
 
-@query(_PBACK + f" SELECT p.bout_id, p.fighter_id, {_stats_sql().replace('count(', 'count(b.').replace('count(b.*)', 'count(*)').replace('sum(', 'sum(b.').replace('(back', '(b.back').replace('(age', '(b.age').replace('at_bout IS NOT', 'b.at_bout IS NOT')} FROM perf p LEFT JOIN back b ON b.at_bout = p.bout_id AND b.fighter_id = p.fighter_id GROUP BY p.bout_id, p.fighter_id")
+@query(_PBACK + f" SELECT p.bout_id, p.fighter_id, {_stats_sql()} FROM perf p LEFT JOIN back b ON b.at_bout = p.bout_id AND b.fighter_id = p.fighter_id GROUP BY p.bout_id, p.fighter_id")
 def w11_a09_performance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = performance.window_stats(proxy.performance(spark, sf_dir), _THREE)
     return rounded(rows.select(BOUT, OWNER, *(f"{s}_{m}_{x}" for s in performance.SPANS for m in _THREE for x in ("observed", "missing", "sum", "mean"))))
@@ -311,3 +313,200 @@ FROM adj a LEFT JOIN ab b ON b.bout_id = a.bout_id AND b.fighter_id = a.fighter_
 )
 def w23_adjusted_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(adjusted.snapshots(_adjusted(spark, sf_dir), "significant_strikes_landed"), 5)
+
+
+_RATES = (
+    _LONG
+    + ", rates AS (SELECT bout_id, fighter_id, CAST(count(*) FILTER (outcome = 'win') OVER (" + _STRICT + ") AS DOUBLE) / nullif(count(*) FILTER (outcome IN ('win', 'loss')) OVER (" + _STRICT + "), 0) AS rate, count(*) OVER (" + _STRICT + ") AS n FROM o)"
+    + """, paired AS (SELECT b.bout_id, b.fight_date, b.fighter_a_id, b.fighter_b_id, b.winner_id, b.is_draw, b.is_no_contest, b.division, x.n AS a_prior_bouts, y.n AS b_prior_bouts, x.rate AS a_prior_win_rate, y.rate AS b_prior_win_rate,
+    CAST(x.n AS DOUBLE) - y.n AS diff_prior_bouts, x.rate - y.rate AS diff_prior_win_rate
+  FROM bouts b JOIN rates x ON x.bout_id = b.bout_id AND x.fighter_id = b.fighter_a_id JOIN rates y ON y.bout_id = b.bout_id AND y.fighter_id = b.fighter_b_id)"""
+)
+_FEATURES = ["prior_bouts", "prior_win_rate"]
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bouts = proxy.bouts(spark, sf_dir)
+    return pairwise.pairs(bouts, history.record(history.sides(bouts)).select(BOUT, OWNER, *_FEATURES), _FEATURES)
+
+
+_PAIR_COLUMNS = "a_prior_bouts, b_prior_bouts, round(a_prior_win_rate, 6) AS a_prior_win_rate, round(b_prior_win_rate, 6) AS b_prior_win_rate, diff_prior_bouts, round(diff_prior_win_rate, 6) AS diff_prior_win_rate"
+
+
+@query(_RATES + f" SELECT bout_id, {_PAIR_COLUMNS}, a_prior_win_rate IS NULL AS a_prior_win_rate_missing, diff_prior_win_rate IS NULL AS diff_prior_win_rate_missing FROM paired")
+def j10_u07_f35_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_paired(spark, sf_dir).select(BOUT, *pairwise.oriented(_FEATURES), "a_prior_win_rate_missing", "diff_prior_win_rate_missing"))
+
+
+@query(_RATES + f" SELECT bout_id, fight_date, {_PAIR_COLUMNS}, CAST(winner_id = fighter_a_id AS INTEGER) AS a_won FROM paired WHERE NOT is_draw AND NOT is_no_contest")
+def p11_model_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairwise.model_ready(_paired(spark, sf_dir), _FEATURES)
+    return rounded(rows.select(BOUT, DAY, *pairwise.oriented(_FEATURES), "a_won"))
+
+
+@query(
+    _RATES
+    + """ SELECT bout_id, b_prior_bouts AS a_prior_bouts, a_prior_bouts AS b_prior_bouts, round(b_prior_win_rate, 6) AS a_prior_win_rate, round(a_prior_win_rate, 6) AS b_prior_win_rate,
+  0.0 - diff_prior_bouts AS diff_prior_bouts, round(b_prior_win_rate - a_prior_win_rate, 6) AS diff_prior_win_rate, fighter_b_id AS fighter_a_id, fighter_a_id AS fighter_b_id, 1 - CAST(winner_id = fighter_a_id AS INTEGER) AS a_won
+FROM paired WHERE NOT is_draw AND NOT is_no_contest"""
+)
+def u08_swapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairwise.swapped(pairwise.model_ready(_paired(spark, sf_dir), _FEATURES))
+    return rounded(rows.select(BOUT, *pairwise.oriented(_FEATURES), "fighter_a_id", "fighter_b_id", "a_won"))
+
+
+@query(_RATES + " SELECT s.is_swap, count(*) AS n, CAST(sum(CASE WHEN s.is_swap THEN 1 - w ELSE w END) AS BIGINT) AS won FROM (SELECT CAST(winner_id = fighter_a_id AS INTEGER) AS w FROM paired WHERE NOT is_draw AND NOT is_no_contest) p, (VALUES (false), (true)) s(is_swap) GROUP BY s.is_swap")
+def u02_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairwise.augmented(pairwise.model_ready(_paired(spark, sf_dir), _FEATURES))
+    return rows.groupBy("is_swap").agg(F.count("*").alias("n"), F.sum("a_won").alias("won"))
+
+
+@query(_RATES + " SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {n}_mismatches" for n in pairwise.oriented(_FEATURES)))
+def p12_missing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairwise.missing_mismatches(_paired(spark, sf_dir), _FEATURES)
+
+
+_S1, _S2 = proxy.duck(proxy.SOURCE_ONE), proxy.duck(proxy.SOURCE_TWO)
+_KEY = "nullif(trim(regexp_replace(regexp_replace(lower({0}), '[''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')), '')"
+_SIDE = """CASE WHEN lower(trim(outcome)) IN ('red', 'red_win') THEN rk WHEN lower(trim(outcome)) IN ('blue', 'blue_win') THEN bk WHEN lower(trim(outcome)) IN ('draw', 'draws') THEN 'draw'
+  WHEN lower(trim(outcome)) IN ('nc', 'no contest', 'no_contest', 'overturned') THEN 'no_contest' ELSE 'uninterpreted:' || lower(trim(outcome)) END"""
+
+
+def _keyed_sql(source: str) -> str:
+    return f"""SELECT *, {_SIDE} AS winner, CAST(event_date AS VARCHAR) || '|' || least(rk, bk) || '|' || greatest(rk, bk) AS match_key,
+  count(*) OVER (PARTITION BY CAST(event_date AS VARCHAR) || '|' || least(rk, bk) || '|' || greatest(rk, bk)) AS same FROM (SELECT *, {_KEY.format('red_name')} AS rk, {_KEY.format('blue_name')} AS bk FROM ({source}) s0) s1"""
+
+
+_FORMS = {
+    "outcome": ("{0}.winner", "{0}.winner"),
+    "method": ("{0}.method", "replace(" + _KEY.format("{0}.method") + ", ' ', '_')"),
+    "rounds": ("{0}.rounds", "TRY_CAST(regexp_extract(trim({0}.rounds), '^([0-9]+)(\\s|$)', 1) AS INTEGER)"),
+    "division": ("{0}.division", "trim(regexp_replace(" + _KEY.format("{0}.division") + ", ' bout$', ''))"),
+    "clock": ("{0}.clock", "TRY_CAST(regexp_extract({0}.clock, '^([0-9]+):', 1) AS BIGINT) * 60 + TRY_CAST(regexp_extract({0}.clock, ':([0-9]+)$', 1) AS BIGINT)"),
+    "round_no": ("CAST({0}.round_no AS VARCHAR)", "{0}.round_no"),
+}
+
+
+def _status_sql(field: str) -> str:
+    raw, key = _FORMS[field]
+    l, r, lk, rk = raw.format("l"), raw.format("r"), key.format("l"), key.format("r")
+    return f"CASE WHEN {l} IS NULL AND {r} IS NULL THEN 'missing_both' WHEN {l} IS NULL THEN 'missing_left' WHEN {r} IS NULL THEN 'missing_right' WHEN {l} = {r} THEN 'equal' WHEN {lk} = {rk} THEN 'equivalent' ELSE 'differs' END"
+
+
+_RECON = (
+    f"WITH one AS ({_keyed_sql(_S1)}), two AS ({_keyed_sql(_S2)}), j AS (SELECT coalesce(l.match_key, r.match_key) AS match_key, l.record_id AS left_id, r.record_id AS right_id, l.winner AS l_winner, r.winner AS r_winner, "
+    "CASE WHEN l.same > 1 OR r.same > 1 THEN 'ambiguous' WHEN r.record_id IS NULL THEN 'only_left' WHEN l.record_id IS NULL THEN 'only_right' ELSE 'both' END AS matching, "
+    + ", ".join(f"{_status_sql(f)} AS {f}_s" for f in reconcile.FIELDS)
+    + " FROM one l FULL OUTER JOIN two r ON l.match_key = r.match_key), k AS (SELECT match_key, left_id, right_id, l_winner, r_winner, matching, "
+    + ", ".join(f"CASE WHEN matching = 'both' THEN {f}_s END AS {f}_status" for f in reconcile.FIELDS)
+    + ", "
+    + " + ".join(f"CAST({f}_s = 'differs' AS INTEGER)" for f in reconcile.FIELDS)
+    + " AS n_diff, concat_ws('+', "
+    + ", ".join(f"CASE WHEN {f}_s = 'differs' THEN '{f}' END" for f in reconcile.FIELDS)
+    + ") AS combination FROM j), c AS (SELECT *, CASE WHEN matching <> 'both' THEN matching WHEN outcome_status = 'differs' THEN 'outcome_conflict' WHEN n_diff > 1 THEN 'several_differ' WHEN n_diff = 1 THEN combination || '_differs' WHEN "
+    + " AND ".join(f"{f}_status IN ('equal', 'missing_both')" for f in reconcile.FIELDS)
+    + " THEN 'exact' ELSE 'equivalent' END AS class FROM k)"
+)
+_RECON_COLUMNS = "match_key, left_id, right_id, matching, " + ", ".join(f"{f}_status" for f in reconcile.FIELDS) + ", class"
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return proxy.source_one(spark, sf_dir), proxy.source_two(spark, sf_dir)
+
+
+@query(_RECON + f" SELECT {_RECON_COLUMNS} FROM c")
+def j01_j02_f24_f25_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.reconciliation(*_sources(spark, sf_dir))
+
+
+@query(
+    _RECON
+    + " SELECT 'class' AS kind, class AS name, count(*) AS n FROM c GROUP BY class UNION ALL SELECT 'combination', combination, count(*) FROM c WHERE matching = 'both' AND n_diff > 0 GROUP BY combination UNION ALL SELECT 'field', name, count(*) FROM ("
+    + " UNION ALL ".join(f"SELECT '{f}:' || {f}_status AS name FROM c WHERE matching = 'both'" for f in reconcile.FIELDS)
+    + ") f GROUP BY name"
+)
+def a08_reconciliation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.report(*_sources(spark, sf_dir))
+
+
+@query(_RECON + f" SELECT {_RECON_COLUMNS} FROM c WHERE class IN ('ambiguous', 'outcome_conflict', 'several_differ')")
+def x02_for_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.for_review(*_sources(spark, sf_dir))
+
+
+_WALK = (
+    _RECON
+    + ", walk AS (SELECT DISTINCT sha256(match_key) AS bout_key, 'one' AS source, left_id AS record_id, CASE WHEN right_id IS NULL THEN 'opens' ELSE 'attaches' END AS role FROM c WHERE left_id IS NOT NULL UNION SELECT DISTINCT sha256(match_key), 'two', right_id, 'opens' FROM c WHERE right_id IS NOT NULL)"
+)
+
+
+@query(_WALK + " SELECT bout_key, source, record_id, role FROM walk")
+def j03_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.crosswalk(*_sources(spark, sf_dir))
+
+
+@query(_WALK + " SELECT bout_key, string_agg(source, ',' ORDER BY source) AS sources, string_agg(record_id, ',' ORDER BY record_id) AS records FROM walk GROUP BY bout_key")
+def a01_semantic_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.semantic_groups(reconcile.crosswalk(*_sources(spark, sf_dir)))
+
+
+@query(
+    _WALK
+    + f""", d1 AS (SELECT w.bout_key, min(trim(regexp_replace({_KEY.format('s.division')}, ' bout$', ''))) AS d FROM walk w JOIN ({_S1}) s ON s.record_id = w.record_id WHERE w.source = 'one' GROUP BY 1),
+d2 AS (SELECT w.bout_key, min(trim(regexp_replace({_KEY.format('s.division')}, ' bout$', ''))) AS d FROM walk w JOIN ({_S2}) s ON s.record_id = w.record_id WHERE w.source = 'two' GROUP BY 1)
+SELECT coalesce(d1.bout_key, d2.bout_key) AS bout_key, coalesce(d1.d, d2.d) AS division FROM d1 FULL OUTER JOIN d2 ON d1.bout_key = d2.bout_key"""
+)
+def j13_division_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = _sources(spark, sf_dir)
+    return reconcile.division_of(reconcile.crosswalk(one, two), one, two)
+
+
+@query(_RECON + " SELECT left_id, right_id, CASE WHEN l_winner = r_winner THEN l_winner WHEN right(left_id, 1) = '7' THEN l_winner END AS winner, CASE WHEN l_winner = r_winner THEN 'agreed' WHEN right(left_id, 1) = '7' AND l_winner IS NOT NULL THEN 'decided' ELSE 'open' END AS basis FROM c WHERE matching = 'both'")
+def j04_g04_resolved_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = _sources(spark, sf_dir)
+    rows = reconcile.compared(one, two).where("matching = 'both'")
+    decisions = rows.where(F.col("l.record_id").endswith("7")).select(F.col("l.record_id").alias("left_id"), F.col("r.record_id").alias("right_id"), F.col("l.winner").alias("winner"))
+    return reconcile.resolved_outcomes(one, two, decisions)
+
+
+_ALIASES = f"WITH al AS (SELECT record_id, 'red' AS side, red_name AS raw FROM ({_S1}) a UNION ALL SELECT record_id, 'blue', blue_name FROM ({_S1}) b UNION ALL SELECT record_id, 'red', red_name FROM ({_S2}) c UNION ALL SELECT record_id, 'blue', blue_name FROM ({_S2}) d), nk AS (SELECT *, {_KEY.format('raw')} AS name_key FROM al)"
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = _sources(spark, sf_dir)
+    return identity.alias_rows(one).unionByName(identity.alias_rows(two))
+
+
+@query(_ALIASES + " SELECT record_id, side, raw, name_key FROM nk")
+def x23_f01_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aliases(spark, sf_dir)
+
+
+@query(
+    _ALIASES
+    + """, g AS (SELECT name_key, raw, count(*) AS n FROM nk GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY name_key ORDER BY n DESC, raw) AS k FROM g)
+SELECT name_key, max(raw) FILTER (k = 1) AS name, count(*) AS spellings, CAST(sum(n) AS BIGINT) AS records FROM r GROUP BY name_key"""
+)
+def x08_canonical_fighters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.canonical_fighters(_aliases(spark, sf_dir)).drop("fighter_id")
+
+
+@query()
+def f03_fighter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.canonical_fighters(_aliases(spark, sf_dir)).select("name_key", "fighter_id")
+
+
+@query(_ALIASES + ", g AS (SELECT name_key, raw, min(raw) OVER (PARTITION BY name_key) AS first_raw FROM (SELECT DISTINCT name_key, raw FROM nk) x) SELECT name_key, first_raw, raw, 'review_required' AS state, CAST(1 AS DOUBLE) AS score FROM g WHERE raw <> first_raw")
+def j17_x24_candidate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.candidate_pairs(_aliases(spark, sf_dir))
+
+
+@query(_ALIASES + ", g AS (SELECT name_key, raw, count(*) AS n FROM nk GROUP BY 1, 2) SELECT name_key, string_agg(raw, '; ' ORDER BY raw) AS spellings, CAST(sum(n) AS BIGINT) AS records FROM g GROUP BY name_key HAVING count(*) > 1")
+def a22_a21_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identity.review_queue(_aliases(spark, sf_dir))
+
+
+@query(_ALIASES + f", dv AS (SELECT record_id, division FROM ({_S1}) s UNION ALL SELECT record_id, division FROM ({_S2}) s) SELECT name_key, count(DISTINCT division) AS divisions FROM nk JOIN dv USING (record_id) GROUP BY name_key HAVING count(DISTINCT division) >= 2")
+def f02_homonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = _sources(spark, sf_dir)
+    return identity.homonyms(_aliases(spark, sf_dir), one.select("record_id", "division").unionByName(two.select("record_id", "division")))
