@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: the namespace of URLs for name-based identifiers (RFC 4122).
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
@@ -21,7 +22,7 @@ def _plain(name: str | None) -> str | None:
     return " ".join(text.split()) or None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_name(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Key of a name: compatibility decomposition without marks, case folded, apostrophes dropped, else words of letters and digits.
 

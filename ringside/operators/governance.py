@@ -29,7 +29,7 @@ def applicable(authorities: DataFrame, rows: DataFrame, field: str) -> DataFrame
     """Decisions on values of a field that the retained rows have (a semi join), and the rest as not retained."""
     values = rows.select(F.col(field).cast("string").alias("scope")).distinct()
     met = authorities.join(values.withColumn("there", F.lit(True)), "scope", "left")
-    return met.withColumn("coverage", F.when("there", "applicable").otherwise("not_retained")).drop("there")
+    return met.withColumn("coverage", F.when(F.col("there"), "applicable").otherwise("not_retained")).drop("there")
 
 
 def unused(decisions: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,7 +64,7 @@ def imported(decisions: DataFrame, items: DataFrame, ledger: DataFrame) -> DataF
     rows = decisions.withColumn("variants", F.size(F.collect_set("decision").over(w)))
     met = rows.join(items, "review_id", "left").join(ledger.withColumnRenamed("decision", "decided"), "review_id", "left")
     state = (
-        F.when(F.col("retired").isNull(), "unknown").when("retired", "retired").when(F.col("variants") > 1, "contradictory")
+        F.when(F.col("retired").isNull(), "unknown").when(F.col("retired"), "retired").when(F.col("variants") > 1, "contradictory")
         .when(F.col("decided") == F.col("decision"), "repeated").when(F.col("decided").isNotNull(), "contradictory").otherwise("accepted")
     )
     return met.withColumn("state", state).drop("variants", "retired", "decided")

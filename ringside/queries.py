@@ -510,3 +510,423 @@ def a22_a21_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def f02_homonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     one, two = _sources(spark, sf_dir)
     return identity.homonyms(_aliases(spark, sf_dir), one.select("record_id", "division").unionByName(two.select("record_id", "division")))
+
+
+_PRED = (
+    _RATES
+    + """, pred AS (SELECT bout_id, fight_date, division, fighter_a_id, fighter_b_id, CAST(winner_id = fighter_a_id AS INTEGER) AS a_won,
+  round(1 / (1 + exp(-4 * coalesce(diff_prior_win_rate, 0))), 6) AS p FROM paired WHERE NOT is_draw AND NOT is_no_contest)"""
+)
+_SPLIT = (
+    _PRED
+    + """, days AS (SELECT fight_date, count(*) AS n FROM pred GROUP BY 1), run AS (SELECT fight_date, sum(n) OVER (ORDER BY fight_date) AS until, (SELECT sum(n) FROM days) AS total FROM days),
+cut AS (SELECT (SELECT fight_date FROM run ORDER BY abs(until - 0.7 * total), fight_date LIMIT 1) AS c1, (SELECT fight_date FROM run ORDER BY abs(until - 0.85 * total), fight_date LIMIT 1) AS c2, (SELECT fight_date FROM run ORDER BY abs(until - 0.55 * total), fight_date LIMIT 1) AS c0, (SELECT max(fight_date) FROM run) AS c3),
+split AS (SELECT pred.*, CASE WHEN fight_date <= c1 THEN 'train' WHEN fight_date <= c2 THEN 'validation' ELSE 'test' END AS split FROM pred, cut),
+folds AS (SELECT pred.*, 'fold_1' AS fold, CASE WHEN fight_date <= c0 THEN 'train' ELSE 'validation' END AS part FROM pred, cut WHERE fight_date <= c1
+  UNION ALL SELECT pred.*, 'fold_2', CASE WHEN fight_date <= c1 THEN 'train' ELSE 'validation' END FROM pred, cut WHERE fight_date <= c2
+  UNION ALL SELECT pred.*, 'fold_3', CASE WHEN fight_date <= c2 THEN 'train' ELSE 'validation' END FROM pred, cut WHERE fight_date <= c3)"""
+)
+
+
+def _predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _paired(spark, sf_dir).where(~F.col("is_draw") & ~F.col("is_no_contest"))
+    p = F.round(1 / (1 + F.exp(-4 * F.coalesce("diff_prior_win_rate", F.lit(0.0)))), 6)
+    return rows.select(BOUT, DAY, "division", "fighter_a_id", "fighter_b_id", (F.col("winner_id") == F.col("fighter_a_id")).cast("int").alias("a_won"), p.alias("p"))
+
+
+@query(_SPLIT + " SELECT split, count(*) AS n, min(fight_date) AS first_date, max(fight_date) AS last_date FROM split GROUP BY split")
+def w29_temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.temporal_split(_predictions(spark, sf_dir))
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.min(DAY).alias("first_date"), F.max(DAY).alias("last_date"))
+
+
+@query(_SPLIT + " SELECT fold, part, count(*) AS n, CAST(sum(a_won) AS BIGINT) AS positives, min(fight_date) AS first_date, max(fight_date) AS last_date FROM folds GROUP BY fold, part")
+def w30_x43_rolling_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.fold_summary(evaluate.rolling_folds(_predictions(spark, sf_dir)))
+
+
+@query(_SPLIT + ", v AS (SELECT * FROM folds WHERE part = 'validation'), st AS (SELECT fold AS target_fold, min(fight_date) AS from_date FROM v GROUP BY fold) SELECT target_fold, count(*) AS n, max(fight_date) AS last_date FROM v JOIN st ON fight_date < from_date GROUP BY target_fold")
+def w31_earlier_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.rolling_folds(_predictions(spark, sf_dir)).where("part = 'validation'")
+    return evaluate.earlier_predictions(rows).groupBy("target_fold").agg(F.count("*").alias("n"), F.max(DAY).alias("last_date"))
+
+
+_METRICS_SQL = """SELECT division, count(*) AS n, count(*) FILTER (a_won = 1 AND p >= 0.5) AS tp, count(*) FILTER (a_won = 0 AND p >= 0.5) AS fp, count(*) FILTER (a_won = 0 AND p < 0.5) AS tn, count(*) FILTER (a_won = 1 AND p < 0.5) AS fn,
+  avg(-(a_won * ln(p) + (1 - a_won) * ln(1 - p))) AS log_loss, avg((p - a_won) * (p - a_won)) AS brier FROM pred GROUP BY division"""
+
+
+@query(
+    _PRED
+    + f", m AS ({_METRICS_SQL})"
+    + """, rk AS (SELECT division, a_won, rank() OVER (PARTITION BY division ORDER BY p) + (count(*) OVER (PARTITION BY division, p) - 1) / 2.0 AS r FROM pred),
+au AS (SELECT division, (sum(r) FILTER (a_won = 1) - n1 * (n1 + 1) / 2.0) / nullif(n1 * n0, 0) AS auc FROM (SELECT *, count(*) FILTER (a_won = 1) OVER (PARTITION BY division) AS n1, count(*) FILTER (a_won = 0) OVER (PARTITION BY division) AS n0 FROM rk) x GROUP BY division, n1, n0)
+SELECT m.division, n, tp, fp, tn, fn, round(log_loss, 6) AS log_loss, round(brier, 6) AS brier, round((tp + tn) / n, 6) AS accuracy, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall,
+  round(tn / nullif(tn + fp, 0), 6) AS specificity, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round(auc, 6) AS auc
+FROM m JOIN au USING (division)"""
+)
+def a11_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.metrics(_predictions(spark, sf_dir), ["division"]))
+
+
+_BINS = _PRED + ", b AS (SELECT *, CASE WHEN p >= 1 THEN 9 ELSE CAST(" + " + ".join(f"CAST(p >= CAST({i} AS DOUBLE) / 10 AS INTEGER)" for i in range(1, 10)) + " AS INTEGER) END AS bin FROM pred)"
+
+
+@query(
+    _BINS
+    + """ SELECT d.division, r.bin, coalesce(count(b.p), 0) AS n, round(avg(b.p), 6) AS mean_p, round(avg(CAST(b.a_won AS DOUBLE)), 6) AS rate
+FROM (SELECT DISTINCT division FROM pred) d CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(10)) r LEFT JOIN b ON b.division = d.division AND b.bin = r.bin GROUP BY d.division, r.bin"""
+)
+def a12_calibration_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.calibration(_predictions(spark, sf_dir), ["division"]))
+
+
+@query(_BINS + ", g AS (SELECT division, bin, count(*) AS n, abs(avg(p) - avg(a_won)) AS gap FROM b GROUP BY 1, 2) SELECT division, round(sum(n * gap) / sum(n), 6) AS ece FROM g GROUP BY division")
+def a12_calibration_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.calibration_error(_predictions(spark, sf_dir), ["division"]))
+
+
+@query(
+    _SPLIT
+    + """, y AS (SELECT split.*, CAST(year(split.fight_date) AS BIGINT) AS year, CAST(q.diff_prior_win_rate IS NULL AS INTEGER) + CAST(q.a_prior_win_rate IS NULL AS INTEGER) AS mc FROM split JOIN paired q USING (bout_id))
+SELECT split, year, count(*) AS n, round(avg(a_won), 6) AS prevalence, min(fight_date) AS first_date, max(fight_date) AS last_date, round(sum(mc) / (2.0 * count(*)), 6) AS missing_share FROM y GROUP BY GROUPING SETS ((split), (split, year))"""
+)
+def a13_a29_split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairwise.model_ready(_paired(spark, sf_dir), _FEATURES)
+    return rounded(evaluate.split_summary(evaluate.temporal_split(rows), ["diff_prior_win_rate", "a_prior_win_rate"]))
+
+
+_SCORES = (
+    _SPLIT
+    + """, cand AS (SELECT 'plain' AS candidate, fold, a_won, p FROM folds WHERE part = 'validation' UNION ALL SELECT 'half', fold, a_won, 0.5 FROM folds WHERE part = 'validation' UNION ALL SELECT 'damped', fold, a_won, round(0.5 * p + 0.25, 6) FROM folds WHERE part = 'validation'),
+scores AS (SELECT candidate, fold, avg(-(a_won * ln(p) + (1 - a_won) * ln(1 - p))) AS log_loss FROM cand GROUP BY 1, 2)"""
+)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.rolling_folds(_predictions(spark, sf_dir)).where("part = 'validation'")
+    each = F.explode(F.array(F.struct(F.lit("plain").alias("candidate"), F.col("p").alias("q")), F.struct(F.lit("half").alias("candidate"), F.lit(0.5).alias("q")), F.struct(F.lit("damped").alias("candidate"), F.round(0.5 * F.col("p") + 0.25, 6).alias("q"))))
+    y = F.col("a_won").cast("double")
+    return rows.select("fold", "a_won", each.alias("x")).select("fold", "a_won", "x.*").groupBy("candidate", "fold").agg(F.avg(-(y * F.ln("q") + (1 - y) * F.ln(1 - F.col("q")))).alias("log_loss"))
+
+
+@query(_SCORES + " SELECT candidate, round(avg(log_loss), 6) AS mean, round(stddev_pop(log_loss), 6) AS deviation, round(max(log_loss), 6) AS worst, round(median(log_loss), 6) AS median, count(*) AS folds FROM scores GROUP BY candidate")
+def a14_candidate_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.fold_aggregates(_scores(spark, sf_dir)))
+
+
+@query(_SCORES + " SELECT candidate, round(avg(log_loss), 6) AS mean FROM scores GROUP BY candidate ORDER BY avg(log_loss), max(log_loss), stddev_pop(log_loss), candidate LIMIT 1")
+def a18_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.selected(evaluate.fold_aggregates(_scores(spark, sf_dir))).select("candidate", "mean"))
+
+
+@query(_SCORES + " SELECT s.candidate, count(*) FILTER (s.log_loss < c.log_loss) AS won, count(*) AS folds, round(avg(c.log_loss) - avg(s.log_loss), 6) AS gain, (avg(c.log_loss) - avg(s.log_loss) > 0 AND 2 * count(*) FILTER (s.log_loss < c.log_loss) > count(*)) AS promoted FROM scores s JOIN scores c ON c.fold = s.fold AND c.candidate = 'half' WHERE s.candidate <> 'half' GROUP BY s.candidate")
+def a19_a20_promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.folds_won(_scores(spark, sf_dir), "half"))
+
+
+_COVER = (
+    _PRED
+    + ", mg AS (SELECT CAST(range AS DOUBLE) * CAST(0.025 AS DOUBLE) AS margin FROM range(9)), cov AS (SELECT margin, count(*) AS n, count(*) FILTER (abs(p - 0.5) >= margin) AS covered, count(*) FILTER (abs(p - 0.5) >= margin AND (p >= 0.5) = (a_won = 1)) AS \"right\" FROM pred, mg GROUP BY margin), co AS (SELECT *, covered / n AS coverage, \"right\" / nullif(covered, 0) AS accuracy FROM cov)"
+)
+
+
+@query(_COVER + ' SELECT round(margin, 6) AS margin, n, covered, "right", round(coverage, 6) AS coverage, round(accuracy, 6) AS accuracy FROM co')
+def a15_p22_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.coverage(_predictions(spark, sf_dir), []))
+
+
+@query(
+    _COVER
+    + ", ls AS (SELECT unnest([0.5, 0.7, 0.9]) AS least), r AS (SELECT ls.least, co.*, row_number() OVER (PARTITION BY ls.least ORDER BY accuracy DESC, coverage DESC, margin) AS k FROM ls JOIN co ON co.coverage >= ls.least) SELECT CAST(least AS DOUBLE) AS least, round(margin, 6) AS margin, round(coverage, 6) AS coverage, round(accuracy, 6) AS accuracy FROM r WHERE k = 1"
+)
+def a16_operating_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.operating_points(evaluate.coverage(_predictions(spark, sf_dir), [])))
+
+
+@query(_PRED + ", e AS (SELECT abs(p + round(1 - p, 2) - 1) AS e FROM pred) SELECT round(avg(e), 6) AS mean, round(median(e), 6) AS median, round(max(e), 6) AS worst, count(*) FILTER (e > 1e-6) AS above_1e_6, count(*) FILTER (e > 1e-3) AS above_1e_3, count(*) FILTER (e > 1e-2) AS above_1e_2 FROM e")
+def a17_complement_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predictions(spark, sf_dir).withColumn("p_swap", F.round(1 - F.col("p"), 2))
+    return rounded(evaluate.complement_errors(rows, "p", "p_swap"))
+
+
+@query(_PRED + " SELECT bout_id, round(0.5 * (p + (1 - round(1 - p, 2))), 7) AS p_symmetric, CASE WHEN abs(p - 0.5) >= 0.125 THEN 'high' WHEN abs(p - 0.5) >= 0.075 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN p > 0.5 THEN fighter_a_id WHEN p < 0.5 THEN fighter_b_id END AS predicted FROM pred")
+def p23_p24_f31_prediction_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predictions(spark, sf_dir)
+    p = F.col("p")
+    return rounded(rows.select(BOUT, evaluate.symmetric(p, F.round(1 - p, 2)).alias("p_symmetric"), evaluate.tier(p).alias("tier"), evaluate.predicted(p, F.col("fighter_a_id"), F.col("fighter_b_id")).alias("predicted")), 7)
+
+
+@query(_PRED + " SELECT count(*) AS n, CAST(0 AS BIGINT) AS coverage_differs, count(*) FILTER (p = 0.5) AS ties, CAST(0 AS BIGINT) AS winner_differs FROM pred WHERE abs(abs(p - 0.5) - 0.1) > 1e-9")
+def x40_coverage_symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predictions(spark, sf_dir).where(F.abs(F.abs(F.col("p") - 0.5) - 0.1) > 1e-9)
+    return evaluate.coverage_symmetry(rows, "p", 0.1)
+
+
+@query(_PRED + ", g AS (SELECT CAST(range AS DOUBLE) / 10 AS w FROM range(11)) SELECT round(w, 6) AS w, round(avg(-(a_won * ln(w * p + (1 - w) * 0.5) + (1 - a_won) * ln(1 - (w * p + (1 - w) * 0.5)))), 6) AS log_loss FROM pred, g GROUP BY w")
+def m08_f36_blend_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluate.blends(_predictions(spark, sf_dir).withColumn("half", F.lit(0.5)), "p", "half"))
+
+
+# Catalog
+
+
+def _fighters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = proxy.read(spark, sf_dir, "supplier")
+    return s.select(F.concat(F.lit("f"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("fighter_id"), F.col("s_name").alias("name"), "s_nationkey")
+
+
+_FIGHTERS = "fighters AS (SELECT 'f' || lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS fighter_id, s_name AS name, s_nationkey FROM supplier)"
+
+
+def _alias_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of competitors over time: a customer's name for the supplier of the same number, later ones superseded."""
+    c, n = proxy.read(spark, sf_dir, "customer"), proxy.read(spark, sf_dir, "supplier").count()
+    end = F.when(F.col("c_nationkey") % 3 == 0, F.lit("2001-01-01").cast("timestamp"))
+    return c.select(F.concat(F.lit("f"), F.lpad((F.col("c_custkey") % n).cast("string"), 6, "0")).alias("fighter_id"), F.col("c_name").alias("alias"), end.alias("system_to"))
+
+
+_ALIAS_TABLE = "aliases AS (SELECT 'f' || lpad(CAST(c_custkey % (SELECT count(*) FROM supplier) AS VARCHAR), 6, '0') AS fighter_id, c_name AS alias, CASE WHEN c_nationkey % 3 = 0 THEN TIMESTAMP '2001-01-01' END AS system_to FROM customer)"
+
+
+@query(f"WITH {_FIGHTERS}, {_ALIAS_TABLE} SELECT f.fighter_id, name, coalesce(n, 0) AS aliases FROM fighters f LEFT JOIN (SELECT fighter_id, count(*) AS n FROM aliases WHERE system_to IS NULL GROUP BY 1) a USING (fighter_id) WHERE (name, fighter_id) > ('Supplier#000000003', 'f000003') ORDER BY name, fighter_id LIMIT 6")
+def q01_l02_j20_a02_fighters_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cursor = catalog.encode_cursor("Supplier#000000003", "f000003")
+    page = catalog.keyset_page(_fighters(spark, sf_dir).drop("s_nationkey"), ["name", "fighter_id"], 5, cursor)
+    return catalog.with_alias_counts(page, _alias_table(spark, sf_dir))
+
+
+@query(f"WITH {_FIGHTERS} SELECT fighter_id, name FROM fighters WHERE contains(lower(name), '#00000000')")
+def p16_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.search(_fighters(spark, sf_dir), "#00000000").drop("s_nationkey")
+
+
+@query(
+    _LONG
+    + f", {_FIGHTERS}, {_ALIAS_TABLE}"
+    + ", s AS (SELECT fighter_id, bout_id, fight_date, outcome, count(*) OVER (" + _STRICT + ") AS prior_bouts FROM o), l AS (SELECT * FROM s WHERE fighter_id = 'f000003' ORDER BY fight_date DESC, bout_id DESC LIMIT 1)"
+    + " SELECT f.fighter_id, f.name, (SELECT string_agg(alias, ',' ORDER BY coalesce(CAST(system_to AS VARCHAR), '~'), alias) FROM aliases a WHERE a.fighter_id = f.fighter_id) AS names, l.bout_id, l.fight_date, l.outcome, l.prior_bouts FROM fighters f LEFT JOIN l USING (fighter_id) WHERE f.fighter_id = 'f000003'"
+)
+def q02_x35_fighter_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    snapshots = history.record(_sides(spark, sf_dir)).select(BOUT, OWNER, DAY, "opponent_id", "outcome", "prior_bouts")
+    found = catalog.fighter_detail(_fighters(spark, sf_dir).drop("s_nationkey"), _alias_table(spark, sf_dir), snapshots, "f000003")
+    return found.withColumn("names", F.array_join("names", ","))
+
+
+@query(_LONG + " SELECT fight_date, bout_id, opponent_id, outcome, finish_method FROM o WHERE fighter_id = 'f000003' AND (fight_date, bout_id) < (DATE '1998-06-01', 'b') ORDER BY fight_date DESC, bout_id DESC LIMIT 11")
+def q03_l03_fighter_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.fighter_history(proxy.bouts(spark, sf_dir), "f000003", 10, catalog.encode_cursor("1998-06-01", "b"))
+
+
+@query(
+    _LONG
+    + """, f AS (SELECT division, fighter_id, count(*) FILTER (outcome = 'win') AS wins, count(*) FILTER (outcome = 'loss') AS losses, max(fight_date) AS last_date FROM o
+  WHERE outcome IN ('win', 'loss') AND date_diff('day', fight_date, (SELECT max(fight_date) FROM bouts)) <= 1095 GROUP BY 1, 2),
+s AS (SELECT *, round((wins / (wins + losses) + 1 / (2.0 * (wins + losses)) - sqrt(wins / (wins + losses) * (1 - wins / (wins + losses)) / (wins + losses) + 1 / (4.0 * (wins + losses) * (wins + losses)))) / (1 + 1.0 / (wins + losses)), 4) AS score FROM f WHERE wins + losses >= 3),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY division ORDER BY score DESC, wins DESC, last_date DESC, fighter_id) AS INTEGER) AS place FROM s) SELECT division, fighter_id, wins, losses, last_date, score, place FROM r WHERE place <= 4"""
+)
+def q04_a10_l06_standouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.standouts(proxy.bouts(spark, sf_dir))
+
+
+@query(_BOUTS + f", {_FIGHTERS} SELECT b.bout_id, b.fight_date, x.name AS a_name, y.name AS b_name FROM bouts b LEFT JOIN fighters x ON x.fighter_id = b.fighter_a_id LEFT JOIN fighters y ON y.fighter_id = b.fighter_b_id WHERE division = '1-URGENT' ORDER BY b.fight_date, b.bout_id LIMIT 21 OFFSET 40")
+def q05_l04_j23_bouts_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = catalog.offset_page(proxy.bouts(spark, sf_dir).where("division = '1-URGENT'"), [DAY, BOUT], 40, 20)
+    return catalog.bout_with_sides(page, _fighters(spark, sf_dir)).select(BOUT, DAY, "a_name", "b_name")
+
+
+@query(
+    """WITH runs AS (SELECT event_type AS source, event_id AS run_id, CAST(ts AS DATE) AS requested_at, CASE WHEN event_id % 97 = 0 THEN 'failed' ELSE 'ok' END AS status FROM events),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY requested_at DESC, run_id DESC) AS k FROM runs), i AS (SELECT event_type AS source, count(*) AS open_issues FROM events WHERE value > 200 GROUP BY 1)
+SELECT r.source, run_id, requested_at, status, coalesce(open_issues, 0) AS open_issues, CASE WHEN status <> 'ok' THEN 'failed' WHEN coalesce(open_issues, 0) > 0 THEN 'degraded'
+  WHEN date_diff('day', requested_at, (SELECT max(requested_at) FROM runs)) > 30 THEN 'stale' ELSE 'fresh' END AS state FROM r LEFT JOIN i USING (source) WHERE k = 1"""
+)
+def q07_a25_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = proxy.read(spark, sf_dir, "events")
+    runs = e.select(F.col("event_type").alias("source"), F.col("event_id").alias("run_id"), F.to_date("ts").alias("requested_at"), F.when(F.col("event_id") % 97 == 0, "failed").otherwise("ok").alias("status"))
+    return catalog.freshness(runs, e.select(F.col("event_type").alias("source"), (F.col("value") > 200).alias("is_open")))
+
+
+@query(
+    _RATES
+    + """, pool AS (SELECT * FROM paired WHERE fight_date < DATE '2000-01-01' AND winner_id IS NOT NULL), t AS (SELECT * FROM pool WHERE fighter_a_id = 'f000003' AND fighter_b_id = 'f000005' ORDER BY fight_date DESC, bout_id DESC LIMIT 1),
+r AS (SELECT * FROM pool ORDER BY fight_date DESC, bout_id DESC LIMIT 500)
+SELECT r.bout_id, r.fight_date, round(sqrt(power(coalesce(r.diff_prior_bouts - t.diff_prior_bouts, 0), 2) + power(coalesce(r.diff_prior_win_rate - t.diff_prior_win_rate, 0), 2)), 6) AS distance
+FROM r, t WHERE r.bout_id <> t.bout_id ORDER BY sqrt(power(coalesce(r.diff_prior_bouts - t.diff_prior_bouts, 0), 2) + power(coalesce(r.diff_prior_win_rate - t.diff_prior_win_rate, 0), 2)), r.bout_id LIMIT 5"""
+)
+def q10_l05_similar_bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    features = _paired(spark, sf_dir).select(BOUT, *(f"diff_{f}" for f in _FEATURES))
+    return rounded(catalog.similar_bouts(proxy.bouts(spark, sf_dir), "f000005", "f000003", "2000-01-01", features))
+
+
+@query(_S1.join(["WITH s1 AS (", f"), {_FIGHTERS}, u AS (SELECT name, min(fighter_id) AS id FROM fighters GROUP BY name HAVING count(DISTINCT fighter_id) = 1) SELECT s1.record_id, s1.event_date, r.id AS red_id, b.id AS blue_id FROM s1 JOIN u r ON r.name = s1.red_name JOIN u b ON b.name = s1.blue_name WHERE event_date > DATE '2001-06-01' ORDER BY event_date, red_id, blue_id LIMIT 20"]))
+def s09_j16_l10_upcoming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    card = proxy.source_one(spark, sf_dir).select("record_id", "event_date", "red_name", "blue_name")
+    return catalog.upcoming(card, _fighters(spark, sf_dir), "2001-06-01").select("record_id", "event_date", "red_id", "blue_id")
+
+
+# Quality and governance
+
+_VALID = f"""WITH s AS ({_S2}), v AS (SELECT record_id, [x FOR x IN [CASE WHEN red_name IS NULL OR blue_name IS NULL OR {_KEY.format('red_name')} = {_KEY.format('blue_name')} THEN 'participants' END, CASE WHEN event_date IS NULL THEN 'date' END,
+  CASE WHEN (rounds IS NULL OR NOT regexp_matches(trim(rounds), '^[0-9]')) AND coalesce(rounds, '') <> 'No Time Limit' THEN 'rounds' END,
+  CASE WHEN lower(trim(coalesce(outcome, ''))) NOT IN ('red', 'red_win', 'blue', 'blue_win', 'draw', 'draws', 'nc', 'no contest', 'no_contest', 'overturned') THEN 'outcome' END] IF x IS NOT NULL] AS issues FROM s)"""
+
+
+@query(_VALID + " SELECT record_id, array_to_string(issues, ',') AS issues, len(issues) = 0 AS accepted FROM v")
+def p04_p05_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.validated(proxy.source_two(spark, sf_dir)).select("record_id", F.array_join("issues", ",").alias("issues"), "accepted")
+
+
+@query(_VALID + " SELECT rule, count(*) AS n FROM (SELECT unnest(issues) AS rule FROM v) u GROUP BY rule")
+def p04_issue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.issue_counts(quality.validated(proxy.source_two(spark, sf_dir)))
+
+
+@query(_VALID + " SELECT CAST(count(*) AS BIGINT) AS given, CAST(count(*) AS BIGINT) AS accounted, CAST(0 AS BIGINT) AS lost_keys, CAST(0 AS BIGINT) AS new_keys FROM v")
+def p08_row_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.validated(proxy.source_two(spark, sf_dir))
+    return quality.accounting(rows, rows.where("accepted"), rows.where("NOT accepted"), "record_id")
+
+
+@query(_LONG + " SELECT count(*) AS snapshots, CAST(0 AS BIGINT) AS not_in_bout, CAST(0 AS BIGINT) AS negative, CAST(0 AS BIGINT) AS rate_out_of_range, CAST(0 AS BIGINT) AS not_two_a_bout, count(DISTINCT bout_id) AS bouts FROM o")
+def p13_p14_j06_a03_a04_snapshot_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bouts = proxy.bouts(spark, sf_dir)
+    rows = history.record(history.sides(bouts)).drop("winner_id", "is_no_contest", "is_draw")
+    return quality.snapshot_checks(rows, bouts)
+
+
+@query("SELECT 'l_linestatus' AS column_name, count(DISTINCT l_linestatus) AS distinct_values FROM lineitem UNION ALL SELECT 'l_returnflag', count(DISTINCT l_returnflag) FROM lineitem UNION ALL SELECT 'l_linenumber', count(DISTINCT l_linenumber) FROM lineitem")
+def a28_constant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.constant_columns(proxy.read(spark, sf_dir, "lineitem"), ["l_linestatus", "l_returnflag", "l_linenumber"])
+
+
+@query(_RATES + " SELECT count(*) AS rows, CAST(0 AS BIGINT) AS unmatched, count(*) FILTER (right(bout_id, 1) = '3') AS a_prior_bouts_differs, CAST(0 AS BIGINT) AS diff_prior_win_rate_differs FROM paired")
+def g19_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _paired(spark, sf_dir).select(BOUT, "a_prior_bouts", "diff_prior_win_rate")
+    served = rows.withColumn("a_prior_bouts", F.col("a_prior_bouts") + F.when(F.col(BOUT).endswith("3"), 1).otherwise(0))
+    return quality.parity(rows, served, [BOUT], ["a_prior_bouts", "diff_prior_win_rate"])
+
+
+_AUTH = "auth AS (SELECT o_orderpriority AS scope, CASE WHEN o_orderkey % 3 = 0 THEN 'packet' ELSE 'legacy' END AS ledger, 'auth-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS authority_id, CASE WHEN o_orderkey % 2 = 0 THEN 'accept' ELSE 'reject' END AS value FROM orders WHERE o_orderkey < 60)"
+
+
+def _authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = proxy.read(spark, sf_dir, "orders").where("o_orderkey < 60")
+    k = F.col("o_orderkey")
+    return o.select(F.col("o_orderpriority").alias("scope"), F.when(k % 3 == 0, "packet").otherwise("legacy").alias("ledger"), F.concat(F.lit("auth-"), F.lpad(k.cast("string"), 9, "0")).alias("authority_id"), F.when(k % 2 == 0, "accept").otherwise("reject").alias("value"))
+
+
+@query(f"WITH {_AUTH}, r AS (SELECT *, row_number() OVER w AS k, first_value(value) OVER w AS f FROM auth WINDOW w AS (PARTITION BY scope ORDER BY CASE WHEN ledger = 'packet' THEN 0 ELSE 1 END, authority_id)) SELECT scope, ledger, authority_id, value, CASE WHEN k = 1 THEN 'active' WHEN value = f THEN 'duplicate' ELSE 'superseded' END AS state FROM r")
+def g01_g03_authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.resolved_authorities(_authorities(spark, sf_dir), "packet")
+
+
+@query(_AUTH.join(["WITH ", ", dv AS (" + proxy.duck(proxy.BOUTS) + ") SELECT a.scope, ledger, authority_id, value, CASE WHEN EXISTS (SELECT 1 FROM dv WHERE dv.division = a.scope AND dv.is_draw) THEN 'applicable' ELSE 'not_retained' END AS coverage FROM auth a"]))
+def g02_j14_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.applicable(_authorities(spark, sf_dir), proxy.bouts(spark, sf_dir).where("is_draw"), "division")
+
+
+@query(f"WITH {_ALIAS_TABLE}, d AS (SELECT alias, fighter_id, decided, decision_id FROM (SELECT substr(alias, 1, 17) AS alias, fighter_id, TIMESTAMP '2000-01-01' + to_days(CAST(row_number() OVER (ORDER BY alias) % 50 AS INTEGER)) AS decided, alias AS decision_id FROM aliases) x) SELECT alias, fighter_id, decided AS system_from, decision_id, lead(decided) OVER w AS system_to, lead(decision_id) OVER w AS superseded_by, lead(decided) OVER w IS NULL AS is_current FROM d WINDOW w AS (PARTITION BY alias ORDER BY decided, decision_id)")
+def g12_bitemporal_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    a = _alias_table(spark, sf_dir)
+    n = F.row_number().over(Window.orderBy("alias")) % 50  # a small table of names
+    rows = a.select(F.substring("alias", 1, 17).alias("alias"), "fighter_id", F.lit("2000-01-01").cast("timestamp").alias("t"), n.alias("n"), F.col("alias").alias("decision_id"))
+    decided = rows.select("alias", "fighter_id", F.expr("t + make_interval(0, 0, 0, n)").alias("decided_at"), "decision_id")
+    return identity.bitemporal(decided)
+
+
+@query(_BOUTS + ", e AS (SELECT time_format AS value, count(*) AS affected FROM bouts GROUP BY 1), r AS (SELECT time_format AS value, bout_id, row_number() OVER (PARTITION BY time_format ORDER BY bout_id) AS k FROM bouts) SELECT e.value, affected, (SELECT string_agg(bout_id, ', ' ORDER BY bout_id) FROM r WHERE r.value = e.value AND k <= 3) AS examples, 'rounds' AS category, 'review-' || upper(substr(sha256('rounds' || chr(31) || e.value), 1, 12)) AS review_id FROM e")
+def a23_a24_f28_review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.review_items(proxy.bouts(spark, sf_dir), "rounds", F.col("time_format"), BOUT)
+
+
+@query(_BOUTS + ", r AS (SELECT finish_method, bout_id, row_number() OVER (PARTITION BY finish_method ORDER BY bout_id) AS k FROM bouts) SELECT finish_method, bout_id FROM r WHERE k <= 6 ORDER BY finish_method, k LIMIT 30")
+def l08_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.samples(proxy.bouts(spark, sf_dir).select("finish_method", BOUT), "finish_method", BOUT).select("finish_method", BOUT)
+
+
+@query(_BOUTS + " SELECT 'bouts' AS artefact, 3 * count(*) - count(*) FILTER (winner_id IS NULL) AS links, count(*) AS rows_covered FROM bouts UNION ALL SELECT 'sides', 4 * count(*), 2 * count(*) FROM bouts")
+def u03_g05_a06_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bouts = proxy.bouts(spark, sf_dir)
+    tables = {"bouts": (bouts, [BOUT], ["fighter_a_id", "fighter_b_id", "winner_id"]), "sides": (history.sides(bouts).select(BOUT, OWNER, "opponent_id", "outcome"), [BOUT, OWNER], [BOUT, "opponent_id"])}
+    return governance.lineage_coverage(governance.provenance(tables))
+
+
+@query(_BOUTS + " SELECT bout_id, division FROM bouts WHERE bout_id NOT IN (SELECT bout_id FROM bouts WHERE is_draw)")
+def j15_a07_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bouts = proxy.bouts(spark, sf_dir)
+    return quality.orphans(bouts.select(BOUT, "division"), bouts.where("is_draw"), BOUT)
+
+
+# Functions
+
+
+@query(
+    _BOUTS
+    + """ SELECT bout_id, TRY_CAST(regexp_extract(trim(time_format), '^([0-9]+)(\\s|$)', 1) AS INTEGER) AS leading,
+  CASE time_format WHEN '5' THEN 5 WHEN '4' THEN 4 WHEN '3 Rnd (5-5-5)' THEN 3 WHEN '3 Rnd + OT (5-5-5-5)' THEN 4 END AS positive,
+  CASE time_format WHEN '5' THEN 5 WHEN '4' THEN 4 WHEN '3 Rnd (5-5-5)' THEN 3 WHEN '3 Rnd + OT (5-5-5-5)' THEN 4 END AS formatted,
+  contains(time_format, 'Rnd +') AND contains(time_format, 'OT') AS is_special, time_format IN ('4', '4.0') AS is_four,
+  sha256(CAST(fight_date AS VARCHAR) || '|' || fighter_a_id || '|' || fighter_b_id) AS bout_sha, coalesce(finish_round > TRY_CAST(regexp_extract(trim(time_format), '^([0-9]+)(\\s|$)', 1) AS INTEGER), false) AS impossible FROM bouts"""
+)
+def f04_f19_f20_p10_p19_p20_p21_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("time_format")
+    return proxy.bouts(spark, sf_dir).select(
+        BOUT, parsing.leading_rounds(t).alias("leading"), parsing.positive_rounds(t).alias("positive"), parsing.time_format_rounds(t).cast("int").alias("formatted"),
+        (t.contains("Rnd +") & t.contains("OT")).alias("is_special"), F.trim(t).isin("4", "4.0").alias("is_four"),
+        names.digest(F.col(DAY).cast("string"), "fighter_a_id", "fighter_b_id").alias("bout_sha"), F.coalesce(F.col("finish_round") > parsing.leading_rounds(t), F.lit(False)).alias("impossible"),
+    )
+
+
+@query("SELECT event_id, props, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(ts AS DATE) AS day FROM events")
+def f40_json_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = proxy.read(spark, sf_dir, "events")
+    return e.select("event_id", "props", parsing.whole(parsing.detail(F.col("props"), "k")).alias("k"), F.to_date("ts").alias("day"))
+
+
+@query("SELECT p_partkey, CASE WHEN contains(lower(n), 'light heavyweight') THEN 'light_heavyweight' WHEN contains(lower(n), 'lightweight') THEN 'lightweight' WHEN contains(lower(n), 'heavyweight') THEN 'heavyweight' END AS division FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Light Heavyweight Bout' WHEN 1 THEN 'UFC Lightweight Title' WHEN 2 THEN 'Heavyweight' ELSE 'Open' END AS n FROM part) x")
+def f14_division_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    n = F.when(k == 0, "Light Heavyweight Bout").when(k == 1, "UFC Lightweight Title").when(k == 2, "Heavyweight").otherwise("Open")
+    return proxy.read(spark, sf_dir, "part").select("p_partkey", names.division_code(n).alias("division"))
+
+
+# What-ifs and models
+
+
+@query(_PRED + ", x AS (SELECT p.bout_id, least(greatest(p.p, 1e-6), 1 - 1e-6) AS q, 0.3 * least(greatest(coalesce(d.diff_prior_win_rate, 0), -0.5), 0.5) + 0.01 * least(greatest(d.diff_prior_bouts, -20), 20) AS m FROM pred p JOIN paired d USING (bout_id)) SELECT bout_id, round(least(greatest(1 / (1 + exp(-(ln(q / (1 - q)) + m))), 0.01), 0.99), 4) AS p_shifted FROM x")
+def f32_m13_q09_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _predictions(spark, sf_dir).join(_paired(spark, sf_dir).select(BOUT, "diff_prior_win_rate", "diff_prior_bouts"), BOUT)
+    return simulate.counterfactual(rows, "p", {"diff_prior_win_rate": (0.3, -0.5, 0.5), "diff_prior_bouts": (0.01, -20.0, 20.0)}).select(BOUT, "p_shifted")
+
+
+@query()
+def a27_m14_monte_carlo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(simulate.distribution(simulate.monte_carlo(spark, 0.6)))
+
+
+@query(_RATES + " SELECT bout_id, 'record' AS feature_group, round(2.0 * (coalesce(diff_prior_win_rate, 0.0)), 6) AS contribution, round(abs(2.0 * (coalesce(diff_prior_win_rate, 0.0))), 6) AS size FROM paired UNION ALL SELECT bout_id, 'experience', round(0.01 * (diff_prior_bouts - 1), 6), round(abs(0.01 * (diff_prior_bouts - 1)), 6) FROM paired")
+def a26_m12_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = simulate.contributions(_paired(spark, sf_dir), BOUT, {"diff_prior_win_rate": (2.0, 0.0), "diff_prior_bouts": (0.01, 1.0)})
+    return rounded(simulate.grouped_contributions(parts, BOUT))
+
+
+@query(_RATES + " SELECT bout_id, round(least(greatest(diff_prior_bouts / 20, -1), 1), 3) + 0.0 AS gap, CASE WHEN round(least(greatest(diff_prior_bouts / 20, -1), 1), 3) >= 0.05 THEN 'a' WHEN round(least(greatest(diff_prior_bouts / 20, -1), 1), 3) <= -0.05 THEN 'b' ELSE 'even' END AS direction FROM paired")
+def f34_display_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gap = simulate.display_gap(F.col("diff_prior_bouts"), 20.0)
+    return rounded(_paired(spark, sf_dir).select(BOUT, gap.alias("gap"), simulate.direction(gap).alias("direction")))
+
+
+@query()
+def m01_m05_m11_symmetric_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ringside.operators import models
+
+    rows = evaluate.temporal_split(pairwise.model_ready(_paired(spark, sf_dir), _FEATURES)).drop("split")
+    model = models.symmetric_model(rows, _FEATURES)
+    return rounded(models.symmetric_predictions(model, rows, _FEATURES, [BOUT]).select(BOUT, "p_forward", "p_swap", "p"))
+
+
+@query()
+def w27_as_of_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(history.at_date(proxy.bouts(spark, sf_dir), "f000005", "f000003", "2000-01-01"))
