@@ -130,3 +130,33 @@ def resolved_outcomes(left: DataFrame, right: DataFrame, authorities: DataFrame)
     met = rows.join(authorities.withColumnRenamed("winner", "decided"), ["left_id", "right_id"], "left")
     agreed = F.col("l_winner") == F.col("r_winner")
     return met.select("left_id", "right_id", F.when(agreed, F.col("l_winner")).otherwise(F.col("decided")).alias("winner"), F.when(agreed, "agreed").when(F.col("decided").isNotNull(), "decided").otherwise("open").alias("basis"))
+
+
+def metadata_agreement(left: DataFrame, right: DataFrame) -> DataFrame:
+    """How matched records agree in division and method: in the text, in letters and digits alone, or not; null-safe."""
+    rows = matched(left, right).where("matching = 'both'")
+    folded = lambda c: F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]", "")
+    how = lambda f: F.when(F.col(f"l.{f}").eqNullSafe(F.col(f"r.{f}")), "exact").when(folded(F.col(f"l.{f}")) == folded(F.col(f"r.{f}")), "folded").otherwise("differs")
+    return rows.select(F.col("l.record_id").alias("left_id"), F.col("r.record_id").alias("right_id"), how("division").alias("division_agreement"), how("method").alias("method_agreement"))
+
+
+def outcome_tuples_agree(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Null-safe equality of all that says how a bout ended, as one tuple."""
+    rows = matched(left, right).where("matching = 'both'")
+    both = [F.struct(F.col(f"{s}.winner"), F.col(f"{s}.method"), F.col(f"{s}.clock"), F.col(f"{s}.round_no")) for s in "lr"]
+    return rows.select(F.col("l.record_id").alias("left_id"), F.col("r.record_id").alias("right_id"), both[0].eqNullSafe(both[1]).alias("agree"))
+
+
+def four_round_checks(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Left records of four rounds: confirmed where exactly one matched right record has a special format, else unresolved."""
+    four = keyed(left).where(F.trim("rounds").isin("4", "4.0")).select("record_id", "match_key")
+    special = keyed(right).where(F.col("rounds").contains("Rnd +") & F.col("rounds").contains("OT")).groupBy("match_key").agg(F.count("*").alias("n"), F.min("record_id").alias("evidence"))
+    met = four.join(special, "match_key", "left")
+    return met.select("record_id", F.when(F.col("n") == 1, "confirmed").otherwise("unresolved").alias("state"), F.when(F.col("n") == 1, F.col("evidence")).alias("evidence"))
+
+
+def mapped(rows: DataFrame, labels: DataFrame, field: str) -> DataFrame:
+    """A label's canonical value by its exact text, trimmed and in one case; unknown labels put the row aside. labels: label, value."""
+    table = labels.select(F.lower(F.trim("label")).alias("_label"), F.col("value").alias(f"{field}_value")).distinct()
+    met = rows.withColumn("_label", F.lower(F.trim(field))).join(table, "_label", "left").drop("_label")
+    return met.withColumn("accepted", F.col(f"{field}_value").isNotNull())

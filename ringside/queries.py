@@ -930,3 +930,131 @@ def m01_m05_m11_symmetric_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def w27_as_of_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.at_date(proxy.bouts(spark, sf_dir), "f000005", "f000003", "2000-01-01"))
+
+
+# Further joins, sets and records
+
+
+@query(
+    _WALK
+    + f""", nk AS (SELECT record_id, 'red' AS side, {_KEY.format('red_name')} AS name_key FROM ({_S1}) a UNION ALL SELECT record_id, 'blue', {_KEY.format('blue_name')} FROM ({_S1}) b)
+SELECT w.bout_key, nk.record_id, nk.side, nk.name_key, s.s_name AS name FROM nk JOIN walk w ON w.record_id = nk.record_id AND w.source = 'one' LEFT JOIN supplier s ON {_KEY.format('s.s_name')} = nk.name_key"""
+)
+def j05_alias_crosswalk_fighters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one, two = _sources(spark, sf_dir)
+    walk = reconcile.crosswalk(one, two).where("source = 'one'").drop("source", "role")
+    people = proxy.read(spark, sf_dir, "supplier").select(names.ascii_name(F.col("s_name")).alias("name_key"), F.col("s_name").alias("name"))
+    return identity.alias_rows(one).drop("raw").join(walk, "record_id").join(people, "name_key", "left")
+
+
+@query(_PERF + " SELECT p.bout_id, p.fighter_id, count(q.bout_id) AS prior_rows, count(q.knockdowns) AS prior_observed FROM perf p LEFT JOIN perf q ON q.fighter_id = p.fighter_id AND q.fight_date < p.fight_date GROUP BY p.bout_id, p.fighter_id")
+def j07_strict_prior_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ringside.functions.windows import prior
+
+    rows = proxy.performance(spark, sf_dir)
+    return rows.select(BOUT, OWNER, F.count("*").over(prior()).alias("prior_rows"), F.count("knockdowns").over(prior()).alias("prior_observed"))
+
+
+@query(_RATES + ", pace AS (SELECT bout_id, CAST(finish_round AS BIGINT) AS finish_round FROM bouts) SELECT p.bout_id, p.a_prior_bouts, x.finish_round FROM paired p LEFT JOIN pace x USING (bout_id)")
+def j12_feature_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pack = proxy.bouts(spark, sf_dir).select(BOUT, F.col("finish_round").cast("long").alias("finish_round"))
+    return pairwise.one_to_one(_paired(spark, sf_dir).select(BOUT, "a_prior_bouts"), pack, [BOUT])
+
+
+@query(f"WITH {_FIGHTERS}, {_ALIAS_TABLE}, rv AS (SELECT alias, min(fighter_id) AS fighter_id FROM aliases GROUP BY alias) SELECT o.o_orderkey, c.c_name AS alias, rv.fighter_id FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey LEFT JOIN rv ON rv.alias = c.c_name")
+def j18_reviewed_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, c = proxy.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), proxy.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("alias"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "alias")
+    return identity.looked_up(rows, _alias_table(spark, sf_dir), ["alias"])
+
+
+@query(_LONG + " SELECT bout_id, string_agg(fighter_id || ':' || outcome, ',' ORDER BY fighter_id) AS participants FROM o GROUP BY bout_id")
+def j21_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _sides(spark, sf_dir).groupBy(BOUT).agg(F.array_sort(F.collect_list(F.concat_ws(":", OWNER, "outcome"))).alias("x"))
+    return rows.select(BOUT, F.array_join("x", ",").alias("participants"))
+
+
+@query("WITH m AS (SELECT o_orderkey AS merge_id, o_custkey AS from_id, o_orderkey % 50 AS into_id FROM orders), s AS (SELECT l_orderkey AS merge_id FROM lineitem WHERE l_returnflag = 'R') SELECT merge_id, from_id, into_id FROM m WHERE from_id <> into_id AND merge_id NOT IN (SELECT merge_id FROM s)")
+def j22_g13_active_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o, line = proxy.read(spark, sf_dir, "orders"), proxy.read(spark, sf_dir, "lineitem")
+    merges = o.select(F.col("o_orderkey").alias("merge_id"), F.col("o_custkey").alias("from_id"), (F.col("o_orderkey") % 50).alias("into_id"))
+    return identity.active_merges(merges, line.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("merge_id")))
+
+
+@query(
+    f"WITH one AS ({_keyed_sql(_S1)}), two AS ({_keyed_sql(_S2)}), sp AS (SELECT match_key, count(*) AS n, min(record_id) AS e FROM two WHERE contains(rounds, 'Rnd +') AND contains(rounds, 'OT') GROUP BY 1)"
+    + " SELECT one.record_id, CASE WHEN n = 1 THEN 'confirmed' ELSE 'unresolved' END AS state, CASE WHEN n = 1 THEN e END AS evidence FROM one LEFT JOIN sp USING (match_key) WHERE trim(rounds) IN ('4', '4.0')"
+)
+def j24_x13_four_round_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.four_round_checks(*_sources(spark, sf_dir))
+
+
+@query(
+    f"WITH one AS ({_keyed_sql(_S1)}), two AS ({_keyed_sql(_S2)}) SELECT l.record_id AS left_id, r.record_id AS right_id, CASE WHEN l.division = r.division THEN 'exact' WHEN regexp_replace(lower(l.division), '[^a-z0-9]', '', 'g') = regexp_replace(lower(r.division), '[^a-z0-9]', '', 'g') THEN 'folded' ELSE 'differs' END AS division_agreement,"
+    + " CASE WHEN l.method = r.method THEN 'exact' WHEN regexp_replace(lower(l.method), '[^a-z0-9]', '', 'g') = regexp_replace(lower(r.method), '[^a-z0-9]', '', 'g') THEN 'folded' ELSE 'differs' END AS method_agreement FROM one l JOIN two r USING (match_key) WHERE l.same = 1 AND r.same = 1"
+)
+def x27_metadata_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.metadata_agreement(*_sources(spark, sf_dir))
+
+
+@query(f"WITH one AS ({_keyed_sql(_S1)}), two AS ({_keyed_sql(_S2)}) SELECT l.record_id AS left_id, r.record_id AS right_id, (l.winner IS NOT DISTINCT FROM r.winner AND l.method IS NOT DISTINCT FROM r.method AND l.clock IS NOT DISTINCT FROM r.clock AND l.round_no IS NOT DISTINCT FROM r.round_no) AS agree FROM one l JOIN two r USING (match_key) WHERE l.same = 1 AND r.same = 1")
+def x05_outcome_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.outcome_tuples_agree(*_sources(spark, sf_dir))
+
+
+@query(f"WITH s AS ({_S2}), k AS (SELECT *, row_number() OVER (PARTITION BY event_date, red_name ORDER BY record_id) AS place FROM s) SELECT record_id, event_date, red_name FROM k WHERE place = 1")
+def u05_duplicate_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, _ = reconcile.first_of_duplicates(proxy.source_two(spark, sf_dir), ["event_date", "red_name"], "record_id")
+    return kept.select("record_id", "event_date", "red_name")
+
+
+@query(f"WITH s AS ({_S2}) SELECT record_id, method, CASE lower(trim(method)) WHEN 'ko/tko' THEN 'knockout' WHEN 'submission' THEN 'submission' WHEN 'u-dec' THEN 'decision' END AS method_value, lower(trim(method)) IN ('ko/tko', 'submission', 'u-dec') AS accepted FROM s")
+def p25_x18_taxonomy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.createDataFrame([("KO/TKO", "knockout"), (" Submission", "submission"), ("U-DEC ", "decision")], "label string, value string")
+    return reconcile.mapped(proxy.source_two(spark, sf_dir), labels, "method").select("record_id", "method", "method_value", "accepted")
+
+
+@query("SELECT o_custkey AS k, max(o_orderkey) AS v, count(*) AS occurrences FROM orders WHERE o_orderkey < 400 GROUP BY o_custkey")
+def s18_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ringside.plans.publish import upserted
+
+    rows = proxy.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
+    part = lambda cond: rows.where(cond).groupBy("k").agg(F.max("v").alias("v"), F.count("*").alias("occurrences"))
+    return upserted(part("v < 200"), part("v >= 200 AND v < 400"), ["k"])
+
+
+@query(f"WITH {_AUTH}, d AS (SELECT authority_id AS review_id, value AS decision FROM auth), i AS (SELECT DISTINCT review_id, right(review_id, 1) = '5' AS retired FROM d WHERE right(review_id, 1) <> '9'), lg AS (SELECT review_id, 'accept' AS decided FROM d WHERE right(review_id, 1) IN ('2', '3')) SELECT d.review_id, d.decision, CASE WHEN i.retired IS NULL THEN 'unknown' WHEN i.retired THEN 'retired' WHEN lg.decided = d.decision THEN 'repeated' WHEN lg.decided IS NOT NULL THEN 'contradictory' ELSE 'accepted' END AS state FROM d LEFT JOIN i USING (review_id) LEFT JOIN lg USING (review_id)")
+def g09_g11_imported_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _authorities(spark, sf_dir).select(F.col("authority_id").alias("review_id"), F.col("value").alias("decision"))
+    last = F.right("review_id", F.lit(1))
+    items = d.where(last != "9").select("review_id", (last == "5").alias("retired")).distinct()
+    return governance.imported(d, items, d.where(last.isin("2", "3")).select("review_id", F.lit("accept").alias("decision")))
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 = 3")
+def g16_u04_append_only_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = proxy.read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return governance.append_only(old, old.where("o_orderkey % 10 <> 3"))
+
+
+@query(_BOUTS + " SELECT fight_date AS event_date, count(*) AS bouts, count(DISTINCT division) AS divisions FROM bouts GROUP BY fight_date ORDER BY fight_date DESC LIMIT 12")
+def q06_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = proxy.bouts(spark, sf_dir).groupBy(DAY).agg(F.count("*").alias("bouts"), F.count_distinct("division").alias("divisions"))
+    return rows.orderBy(F.desc(DAY)).limit(12).select(F.col(DAY).alias("event_date"), "bouts", "divisions")
+
+
+@query()
+def m07_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ringside.operators import models
+
+    rows = evaluate.temporal_split(_predictions(spark, sf_dir))
+    fitted = models.isotonic(rows.where("split = 'validation'"), "p")
+    return rounded(fitted.transform(rows.where("split = 'test'")).select(BOUT, "p", F.col("prediction").alias("p_calibrated")))
+
+
+@query()
+def s14_s15_generation_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bouts = proxy.bouts(spark, sf_dir)
+    tables = {"bouts": bouts, "performance": proxy.performance(spark, sf_dir)}
+    one = [governance.table_digest(df).select(F.lit(n).alias("table_name"), "n", "digest_sum") for n, df in tables.items()]
+    return one[0].unionByName(one[1])
