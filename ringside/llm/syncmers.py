@@ -60,11 +60,12 @@ def with_lower_neighbour(keys: DataFrame, low: int, high: int) -> DataFrame:
 
     Keys that agree in all but their last BITS bits form a group, in which a window finds the neighbour. For the least
     of a group it's the greatest key of the next lower group, found by the same means among the groups. So no window
-    ever holds more than 2**BITS rows, and nothing is assumed of how the keys lie.
+    ever holds more than 2 * 2**BITS rows, and nothing is assumed of how the keys lie.
     """
     group = Window.partitionBy("group").orderBy("key")
-    found = keys.withColumn("group", F.shiftright("key", BITS)).withColumn("below", F.lag("key").over(group))
-    if low >> BITS == high >> BITS:
+    last = (high >> BITS) - (low >> BITS) <= 1  # one group, or two that zero lies between, at any number of steps
+    found = keys.withColumn("group", F.lit(0).cast("long") if last else F.shiftright("key", BITS)).withColumn("below", F.lag("key").over(group))
+    if last:
         return found.drop("group")
     tops = keys.groupBy(F.shiftright("key", BITS).alias("group")).agg(F.max("key").alias("top"))
     groups = with_lower_neighbour(tops.select(F.col("group").alias("key")), low >> BITS, high >> BITS)
