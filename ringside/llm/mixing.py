@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringside.llm.common import shelve
+
 #: Characters of a block, slots of a period, salts that share out a source while its documents are numbered.
 BLOCK_CHARS, PERIOD, SALTS = 1 << 16, 840, 1024
 #: Name of what no weight is given for, null sources included.
@@ -88,7 +90,7 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOC
     # characters before each group of a source: one row for each source and salt at most
     groups = rows.groupBy("mix_source", "mix_salt").agg(F.sum("mix_chars").alias("mix_sum"))
     earlier = Window.partitionBy("mix_source").orderBy("mix_salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.select("mix_source", "mix_salt", "mix_sum", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0)).alias("mix_start")).persist()
+    starts = shelve(groups.select("mix_source", "mix_salt", "mix_sum", F.coalesce(F.sum("mix_sum").over(earlier), F.lit(0)).alias("mix_start")))
     totals = {r.mix_source: r.n for r in starts.groupBy("mix_source").agg(F.sum("mix_sum").alias("n")).collect()}
     runs = phases({s: -(-n // block_chars) for s, n in totals.items()}, weights, period)
 
