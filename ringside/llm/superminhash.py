@@ -174,7 +174,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     banded = rows.alias("r").join(classes.alias("c"), ours, "left_semi").select(F.col("doc_id").alias("doc"), F.explode("bands").alias("band"))
     shared = shelve(banded.groupBy("band").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1"))
     met = shelve(banded.join(shared, "band").select("doc", "least", "n"))
-    clusters = connected_components(met.where("doc != least").select(F.col("doc").alias("a"), F.col("least").alias("b")))
+    # a document meets the least of its buckets' least ones, and these meet each other: hardly more edges than documents
+    known = met.withColumn("top", F.min("least").over(Window.partitionBy("doc")))
+    edges = known.select(F.col("doc").alias("a"), F.col("top").alias("b")).union(known.select("least", "top")).where("a != b").distinct()
+    clusters = connected_components(edges)
     clusters = clusters.select(F.col("node").alias("doc"), F.col("root").alias("cluster"))
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = shelve(clusters.join(shelve(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks")))
