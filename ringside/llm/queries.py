@@ -7,14 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ringside.llm import chunkdedup, credentials, katz, langid, mixing, packing, quality, superminhash, syncmers, tokens
+from ringside.llm import chunkdedup, credentials, katz, langid, mixing, oracles, packing, quality, superminhash, syncmers, tokens
 from ringside.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    # which rule of the cascade rejects a row depends on their measured order, so it's no part of the result
+    return quality.judge(table(spark, sf_dir, "documents")).drop("failed_rule")
 
 
 #: Target weights of the mix: one large source held down, the rest even, a small share for any other.
@@ -62,4 +63,4 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_token_counts, op4_language, op5_fingerprints, op6_repeated_passages, op7_packing, op8_secrets, op9_lm_scores, op10_near_duplicates)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.QUALITY, "op10_near_duplicates": oracles.NEAR_DUPLICATES}
