@@ -123,7 +123,8 @@ def fit(docs: DataFrame, train: Column) -> Model:
         for r in known.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("place", F.row_number().over(first))
         .where(F.col("place") <= SAMPLE_PER_LANG).select("doc_id").distinct().collect()
     ]
-    rows = known.where(F.col("doc_id").isin(ids)).select("doc_id", "lang", F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
+    # one row for an id and a language, however often it's repeated
+    rows = known.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")).collect()
     rows.sort(key=lambda r: (r.lang, r.doc_id, r.text))
     return learn([r.text for r in rows], [r.lang for r in rows])
 
