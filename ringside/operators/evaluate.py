@@ -50,25 +50,24 @@ def earlier_predictions(out_of_fold: DataFrame) -> DataFrame:
 def metrics(rows: DataFrame, by: list[str], label: str = "a_won", p: str = "p") -> DataFrame:
     """Counts and scores of a probability at 0.5: accuracy, balanced accuracy, precision, recall, F1, log loss, Brier, AUC.
 
-    AUC is the rank sum with mid-ranks, exact; null if one class is missing. Ranks come from counts by distinct
-    probability, so that equal ones meet before any ordering.
+    AUC is the rank sum with mid-ranks, exact; null if one class is missing. All comes from the counts of both labels by
+    distinct probability: rows are read once, and equal probabilities meet before any ordering.
     """
-    y, q = F.col(label).cast("double"), F.least(F.greatest(F.col(p), F.lit(1e-15)), F.lit(1 - 1e-15))
-    hit = F.col(p) >= 0.5
-    cell = lambda truth, guess: F.count_if((F.col(label) == truth) & (hit if guess else ~hit))
-    basic = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), cell(1, True).alias("tp"), cell(0, True).alias("fp"), cell(0, False).alias("tn"), cell(1, False).alias("fn"),
-        F.avg(-(y * F.ln(q) + (1 - y) * F.ln(1 - q))).alias("log_loss"), F.avg(F.pow(F.col(p) - y, F.lit(2.0))).alias("brier"),
+    counts = rows.groupBy(*by, F.col(p).alias("value")).agg(F.count_if(F.col(label) == 1).alias("ones"), F.count_if(F.col(label) == 0).alias("zeros"))
+    below = F.coalesce(F.sum("zeros").over(Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    v, q = F.col("value"), F.least(F.greatest(F.col("value"), F.lit(1e-15)), F.lit(1 - 1e-15))
+    ones, zeros, hit = F.col("ones"), F.col("zeros"), F.col("value") >= 0.5
+    cell = lambda n, guess: F.sum(F.when(hit if guess else ~hit, n).otherwise(0))
+    n = F.sum(ones + zeros)
+    basic = counts.withColumn("won", ones * (below + zeros / 2)).groupBy(*by).agg(
+        n.alias("n"), cell(ones, True).alias("tp"), cell(zeros, True).alias("fp"), cell(zeros, False).alias("tn"), cell(ones, False).alias("fn"),
+        (F.sum(-(ones * F.ln(q) + zeros * F.ln(1 - q))) / n).alias("log_loss"), (F.sum(ones * F.pow(v - 1, F.lit(2.0)) + zeros * F.pow(v, F.lit(2.0))) / n).alias("brier"),
+        F.sum("won").alias("won"), F.sum(ones).alias("ones"), F.sum(zeros).alias("zeros"),
     )
     part = lambda a, b: F.try_divide(a.cast("double"), F.nullif(b.cast("double"), F.lit(0.0)))
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
-    basic = basic.withColumns({"accuracy": (tp + tn) / F.col("n"), "precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "specificity": part(tn, tn + fp)})
-    basic = basic.withColumns({"balanced_accuracy": (F.col("recall") + F.col("specificity")) / 2, "f1": part(2 * tp, 2 * tp + fp + fn)})
-    counts = rows.groupBy(*by, F.col(p).alias("value")).agg(F.count_if(F.col(label) == 1).alias("ones"), F.count_if(F.col(label) == 0).alias("zeros"))
-    below = F.coalesce(F.sum("zeros").over(Window.partitionBy(*by).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    won = counts.withColumn("won", F.col("ones") * (below + F.col("zeros") / 2)).groupBy(*by).agg(F.sum("won").alias("won"), F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-    auc = won.select(*by, part(F.col("won"), F.col("ones") * F.col("zeros")).alias("auc"))
-    return basic.join(auc, by)
+    basic = basic.withColumns({"accuracy": (tp + tn) / F.col("n"), "precision": part(tp, tp + fp), "recall": part(tp, tp + fn), "specificity": part(tn, tn + fp), "auc": part(F.col("won"), ones * zeros)})
+    return basic.withColumns({"balanced_accuracy": (F.col("recall") + F.col("specificity")) / 2, "f1": part(2 * tp, 2 * tp + fp + fn)}).drop("won", "ones", "zeros")
 
 
 def calibration(rows: DataFrame, by: list[str], bins: int = 10, label: str = "a_won", p: str = "p") -> DataFrame:

@@ -19,9 +19,14 @@ def signed_difference(a: Column, b: Column) -> Column:
 
 
 def pairs(bouts: DataFrame, snapshots: DataFrame, features: list[str], missing: bool = True) -> DataFrame:
-    """bout x snapshot of A x snapshot of B: a_, b_, diff_ of each feature and, if asked for, whether each is missing."""
-    side = lambda s: snapshots.select(F.col(BOUT), F.col(OWNER).alias(f"fighter_{s}_id"), *(F.col(f).alias(f"{s}_{f}") for f in features))
-    joined = bouts.join(side("a"), [BOUT, "fighter_a_id"]).join(side("b"), [BOUT, "fighter_b_id"])
+    """bout x snapshot of A x snapshot of B: a_, b_, diff_ of each feature and, if asked for, whether each is missing.
+
+    One join and one aggregate on the bout, which share a partitioning: snapshots are made once, not once a side.
+    """
+    of = lambda side, f: F.max(F.when(F.col(OWNER) == F.col(f"fighter_{side}_id"), F.col(f))).alias(f"{side}_{f}")
+    met = bouts.join(snapshots.select(BOUT, OWNER, *features), BOUT)
+    both = F.array_contains(F.collect_set(OWNER), F.first("fighter_a_id")) & F.array_contains(F.collect_set(OWNER), F.first("fighter_b_id"))
+    joined = met.groupBy(*bouts.columns).agg(*(of(side, f) for f in features for side in "ab"), both.alias("_both")).where("_both").drop("_both")
     joined = joined.withColumns({f"diff_{f}": signed_difference(F.col(f"a_{f}"), F.col(f"b_{f}")) for f in features})
     if missing:
         joined = joined.withColumns({f"{n}_missing": F.col(n).isNull() for n in oriented(features)})

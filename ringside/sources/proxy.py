@@ -1,13 +1,13 @@
 """Contest tables derived from the order tables at hand.
 
 Every order whose first two lines name different suppliers is a bout between these suppliers on the order's date. The
-statements below run unchanged in Spark and in DuckDB (tables are named in braces), so that queries and their oracle
-start from the same rows.
+statements below (tables are named in braces) run in DuckDB for the oracle; their columns are the same text in Spark, over one scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -20,8 +20,7 @@ WHERE rn <= 2
 """
 
 #: One row a bout, competitors in ascending order of their ids.
-BOUTS = f"""
-SELECT concat('b', lpad(CAST(o.o_orderkey AS STRING), 9, '0')) AS bout_id, CAST(o.o_orderdate AS DATE) AS fight_date,
+_BOUT_COLUMNS = """concat('b', lpad(CAST(o.o_orderkey AS STRING), 9, '0')) AS bout_id, CAST(o.o_orderdate AS DATE) AS fight_date,
   concat('f', lpad(CAST(least(x.l_suppkey, y.l_suppkey) AS STRING), 6, '0')) AS fighter_a_id,
   concat('f', lpad(CAST(greatest(x.l_suppkey, y.l_suppkey) AS STRING), 6, '0')) AS fighter_b_id,
   CASE WHEN x.l_returnflag = 'N' AND y.l_returnflag = 'N' AND x.l_linestatus = 'F' AND y.l_linestatus = 'F' THEN NULL
@@ -37,7 +36,9 @@ SELECT concat('b', lpad(CAST(o.o_orderkey AS STRING), 9, '0')) AS bout_id, CAST(
   CASE WHEN x.l_partkey % 19 = 0 THEN NULL WHEN x.l_partkey % 17 = 0 THEN 'n/a'
        ELSE concat(CAST((x.l_partkey % 300 - x.l_partkey % 60) / 60 AS INT), ':', lpad(CAST(x.l_partkey % 60 AS STRING), 2, '0')) END AS finish_time,
   CASE WHEN o.o_orderkey % 5 = 0 THEN '5' WHEN o.o_orderkey % 5 = 1 THEN '3 Rnd (5-5-5)' WHEN o.o_orderkey % 5 = 2 THEN '4' WHEN o.o_orderkey % 5 = 3 THEN 'No Time Limit' ELSE '3 Rnd + OT (5-5-5-5)' END AS time_format,
-  o.o_orderpriority AS division, o.o_custkey AS venue_key
+  o.o_orderpriority AS division, o.o_custkey AS venue_key"""
+BOUTS = f"""
+SELECT {_BOUT_COLUMNS}
 FROM ({_SIDES}) x
 JOIN ({_SIDES}) y ON x.l_orderkey = y.l_orderkey AND x.rn = 1 AND y.rn = 2
 JOIN {{orders}} o ON o.o_orderkey = x.l_orderkey
@@ -50,8 +51,7 @@ METRICS = (
 )
 
 #: What one competitor did in a bout, ten counts that may be missing.
-PERFORMANCE = f"""
-SELECT concat('b', lpad(CAST(o.o_orderkey AS STRING), 9, '0')) AS bout_id, CAST(o.o_orderdate AS DATE) AS fight_date,
+_PERFORMANCE_COLUMNS = """concat('b', lpad(CAST(o.o_orderkey AS STRING), 9, '0')) AS bout_id, CAST(o.o_orderdate AS DATE) AS fight_date,
   concat('f', lpad(CAST(x.l_suppkey AS STRING), 6, '0')) AS fighter_id, concat('f', lpad(CAST(y.l_suppkey AS STRING), 6, '0')) AS opponent_id,
   CASE WHEN x.l_returnflag = 'R' THEN NULL ELSE CAST(x.l_linenumber % 3 AS BIGINT) END AS knockdowns,
   CASE WHEN x.l_returnflag = 'R' THEN NULL ELSE CAST(greatest(x.l_quantity - x.l_linenumber, 0) AS BIGINT) END AS significant_strikes_landed,
@@ -61,7 +61,9 @@ SELECT concat('b', lpad(CAST(o.o_orderkey AS STRING), 9, '0')) AS bout_id, CAST(
   CAST(x.l_partkey % 4 AS BIGINT) AS takedowns_landed, CAST(x.l_partkey % 4 + x.l_linenumber % 2 AS BIGINT) AS takedowns_attempted,
   CAST(x.l_partkey % 2 AS BIGINT) AS submission_attempts,
   CASE WHEN x.l_linenumber > 5 THEN NULL ELSE CAST(x.l_partkey % 3 AS BIGINT) END AS reversals,
-  CASE WHEN x.l_returnflag = 'A' THEN NULL ELSE CAST(x.l_partkey % 500 AS BIGINT) END AS control_seconds
+  CASE WHEN x.l_returnflag = 'A' THEN NULL ELSE CAST(x.l_partkey % 500 AS BIGINT) END AS control_seconds"""
+PERFORMANCE = f"""
+SELECT {_PERFORMANCE_COLUMNS}
 FROM ({_SIDES}) x
 JOIN ({_SIDES}) y ON x.l_orderkey = y.l_orderkey AND x.rn <> y.rn
 JOIN {{orders}} o ON o.o_orderkey = x.l_orderkey
@@ -111,12 +113,24 @@ def _derived(spark: SparkSession, sf_dir: str, statement: str, *tables: str, **f
     return spark.sql(statement, **{t: read(spark, sf_dir, t) for t in tables}, **frames)
 
 
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's first two lines as structs x and y and the order as o: one scan and one shuffle of the lines."""
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "l_linenumber")
+    numbered = lines.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey"))).where("rn <= 2")
+    line = F.struct("rn", *(c for c in lines.columns if c != "l_orderkey"))
+    both = numbered.groupBy("l_orderkey").agg(F.min(line).alias("x"), F.max(line).alias("y")).where("x.rn <> y.rn AND x.l_suppkey <> y.l_suppkey")
+    orders = read(spark, sf_dir, "orders")
+    return both.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.struct("*").alias("o")), "l_orderkey")
+
+
 def bouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, BOUTS, "lineitem", "orders")
+    return spark.sql(f"SELECT {_BOUT_COLUMNS} FROM {{pairs}}", pairs=_pairs(spark, sf_dir))
 
 
 def performance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _derived(spark, sf_dir, PERFORMANCE, "lineitem", "orders")
+    turned = F.explode(F.array(F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))))
+    rows = _pairs(spark, sf_dir).select("o", turned.alias("s")).select("o", "s.x", "s.y")
+    return spark.sql(f"SELECT {_PERFORMANCE_COLUMNS} FROM {{pairs}}", pairs=rows)
 
 
 def source_one(spark: SparkSession, sf_dir: str) -> DataFrame:
