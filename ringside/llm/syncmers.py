@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words of a run, words of the runs inside, most anchors of a fingerprint, characters of a piece of a word.
-K, S, SIZE, PIECE = 5, 2, 96, 16
+K, S, SIZE, PIECE = 5, 2, 64, 16
 #: Neighbouring ids are found in groups of 2**BITS ids, then of 2**BITS groups and so on.
 BITS = 8
 
