@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringside.session import ship
+
 #: Rows of an Arrow batch that goes to a Python worker: bounds its memory where texts are long.
 BATCH_ROWS = 500
 #: Characters of text that a worker takes apart at once.
@@ -23,6 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
+    """Batches of few rows, for workers that can import this package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -17,4 +21,20 @@ def build_session(name: str = "ringside", master: str | None = None, **conf: str
     }
     for key, value in (settings | conf).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers, wherever it lies on the driver; once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ringside_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="ringside-")) / "ringside.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(package.rglob("*.py")):
+            z.write(path, path.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._ringside_shipped = True
