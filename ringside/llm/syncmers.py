@@ -11,10 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ringside.llm.common import shelve
+
 #: Words of a run, words of the runs inside, most anchors of a fingerprint, characters of a piece of a word.
 K, S, SIZE, PIECE = 5, 2, 128, 16
-#: Neighbouring ids are found in groups of 2**BITS ids, then of 2**BITS groups and so on.
-BITS = 8
+#: Neighbouring keys are found in groups of 2**BITS keys, then of 2**BITS groups and so on; texts lie in groups of 2**GROUP_BITS ids.
+BITS, GROUP_BITS = 8, 5
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -83,37 +85,51 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     anchor, all its words. Rows that share a doc_id share the next document, and are the next one by the least of their
     texts. A row without a doc_id has no next document: its edited text only loses its last third, near_next is 0, or 1
     if the row's own text has no words. A single document follows itself. Further columns are ignored.
+
+    Texts are dealt once, by groups of 2**GROUP_BITS ids; anchors are made after that. What a document borrows comes
+    from the row before it in its group; for the least id of a group, the last row of the next lower group sends it.
+    Ids that lie far apart make groups of one row, so every text's beginning is sent: a second, smaller shuffle.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
-    rows = docs.groupBy(F.col("doc_id").alias("key")).agg(F.max("n_chars").alias("longest")).where(F.col("key").isNotNull())
-    ends = rows.agg(F.min("key"), F.max("key")).first()
-    if ends[0] is None:
-        ends = (0, 0)
-    # to whom a document lends its beginning (the one before it), and how much of it
-    below = with_lower_neighbour(rows.select("key"), *ends)
-    lends = (
-        below.join(rows, "key")
-        .select(F.coalesce("below", F.lit(ends[1])).alias("lender"), F.col("key").alias("to"), F.floor(F.col("longest") / 3).cast("int").alias("lent"))
-    )
-    first = Window.partitionBy("doc_id").orderBy("text")
-    own = with_anchors(docs.withColumn("place", F.row_number().over(first)), "text", "anchors")
-    own = own.join(lends, own["doc_id"] == lends["lender"], "left")
-    third = F.floor(F.col("n_chars") / 3).cast("int")
-    none = F.lit(None)
-    parts = own.select(
-        F.explode(F.filter(F.array(
-            F.struct(F.col("doc_id").alias("key"), F.lit(1).alias("own"), "n_chars", F.left("text", F.col("n_chars").cast("int") - third).alias("part"), "anchors"),
-            F.when((F.col("place") == 1) & F.col("to").isNotNull(), F.struct(F.col("to").alias("key"), F.lit(0).alias("own"), none.cast("long").alias("n_chars"), F.left("text", F.col("lent")).alias("part"), "anchors")),
-        ), lambda x: x.isNotNull())).alias("x")
-    ).select("x.*")
-    turn = Window.partitionBy("key").orderBy("own")
-    lent = lambda c: F.first(F.when(F.col("own") == 0, F.col(c)), ignorenulls=True).over(turn)
-    met = parts.withColumn("next_part", lent("part")).withColumn("next_anchors", lent("anchors")).where(F.col("own") == 1)
-    met = met.withColumn("edited", F.concat("part", F.coalesce(F.left("next_part", third), F.lit(""))))
-    met = met.withColumn("next_anchors", F.coalesce("next_anchors", F.array().cast("array<bigint>")))
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    alone = docs.where(F.col("id").isNull()).withColumns({"next_text": F.lit(None).cast("string"), "next_anchors": F.lit(None).cast("array<bigint>")})
+    # both uses of the dealt texts share one exchange: no filter for null groups comes under it, no alias is redundant
+    docs = docs.where(F.col("id").isNotNull()).withColumn("group", F.coalesce(F.shiftright("id", GROUP_BITS), F.lit(0).cast("long")))
+
+    # who sends the least id of a group what it borrows: one row for each group
+    longest_least = F.min(F.struct("id", -F.char_length("text")))
+    groups = shelve(docs.groupBy("group").agg(longest_least.alias("least")).select("group", (-F.col("least")["col2"]).alias("longest")))
+    ends = groups.agg(F.min("group"), F.max("group")).first()
+    low, high = (0, 0) if ends[0] is None else ends
+    below = with_lower_neighbour(groups.select(F.col("group").alias("key")), low, high)
+    borrows = below.join(groups.select(F.col("group").alias("key"), "longest"), "key").select(
+        F.coalesce("below", F.lit(high)).alias("group"), F.col("key").alias("to"), F.floor(F.col("longest") / 3).cast("int").alias("lent")
+    )
+
+    dealt = docs.repartition("group")
+    same, line = Window.partitionBy("group", "id").orderBy("text"), Window.partitionBy("group").orderBy("id", "text")
+    first = F.row_number().over(same) == 1
+    top = dealt.withColumn("first", first).withColumn("top", F.max("id").over(Window.partitionBy("group"))).where(F.col("first") & (F.col("id") == F.col("top")))
+    sent = with_anchors(top.select("group", "text"), "text", "sent_anchors").join(borrows, "group")
+    sent = sent.select(F.col("to").alias("group"), F.left("text", F.col("lent")).alias("sent_text"), "sent_anchors")
+
+    own = with_anchors(dealt, "text", "anchors").withColumn("first", first)
+    before = F.last(F.when(F.col("first"), F.struct("text", "anchors")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("before", before).withColumn("before", F.first("before").over(same))
+    own = own.join(sent, "group", "left").select(
+        "id", "text", F.coalesce("before.text", "sent_text").alias("next_text"), "anchors", F.coalesce("before.anchors", "sent_anchors").alias("next_anchors")
+    )
+    return _compared(own).unionByName(_compared(with_anchors(alone, "text", "anchors")))
+
+
+def _compared(met: DataFrame) -> DataFrame:
+    """The result's columns from id, text, anchors, next_text and next_anchors (null: there is no next document)."""
+    n = F.char_length("text")
+    third = F.floor(n / 3).cast("int")
+    edited = F.concat(F.left("text", n - third), F.coalesce(F.left("next_text", third), F.lit("")))
+    met = met.select(F.col("id").alias("doc_id"), n.cast("long").alias("n_chars"), edited.alias("edited"), "anchors", F.coalesce("next_anchors", F.array().cast("array<bigint>")).alias("next_anchors"))
     met = with_anchors(met, "edited", "edited_anchors")
     return met.select(
-        F.col("key").alias("doc_id"), "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        "doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
         written("anchors").alias("fingerprint"), written("edited_anchors").alias("edited_fingerprint"),
         likeness("anchors", "edited_anchors").alias("near_edited"), likeness("anchors", "next_anchors").alias("near_next"),
     )
