@@ -157,6 +157,37 @@ def test_fingerprints_tell_texts_apart(sample):
     assert np.median([r.near_edited for r in found]) > 0.55 > 0.1 > np.median([r.near_next for r in found])
 
 
+def test_fingerprints_of_far_ids(docs_of):
+    """Ids on both sides of zero, in groups of one and of many, repeated ones too: all borrow from the right document."""
+    r = random.Random(6)
+    ids = [*range(-40, 40), 10**12, 10**12 + 1, -(10**15), 77, 77, 10**12]
+    rows = [(d, " ".join(r.choices(["ab", "cd", "ef", "gh", "ij", "kl"], k=r.randrange(0, 60)))) for d in ids]
+    first = {}
+    for d, t in rows:
+        first[d] = min(t, first.get(d, t))
+    order = sorted(first, reverse=True)
+    after = {d: order[(i + 1) % len(order)] for i, d in enumerate(order)}
+    found = syncmers.fingerprints(docs_of(*rows)).collect()
+    edited = [(d, hashlib.sha256((t[: len(t) - len(t) // 3] + first[after[d]][: len(t) // 3]).encode()).hexdigest()) for d, t in rows]
+    assert sorted((x.doc_id, x.edited_sha256) for x in found) == sorted(edited)
+    anchors = lambda f: {f[i : i + 16] for i in range(0, len(f), 16)}
+    of = {x.doc_id: anchors(x.fingerprint) for x in found if ids.count(x.doc_id) == 1}
+    dice = lambda a, b: 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+    for x in found:
+        assert x.near_edited == pytest.approx(dice(anchors(x.fingerprint), anchors(x.edited_fingerprint)))
+        if after[x.doc_id] in of:
+            assert x.near_next == pytest.approx(dice(anchors(x.fingerprint), of[after[x.doc_id]]))
+
+
+def test_fingerprints_hold_their_anchors(docs_of):
+    """All anchors of a text with fewer than SIZE of them, SIZE of a longer one's; a passage keeps its own wherever it stands."""
+    words = [f"word{i}" for i in range(2000)]
+    found = {x.doc_id: x.fingerprint for x in syncmers.fingerprints(docs_of((1, " ".join(words[:100])), (2, " ".join(words)), (3, "x y z " + " ".join(words[:100])))).collect()}
+    anchors = {d: [f[i : i + 16] for i in range(0, len(f), 16)] for d, f in found.items()}
+    assert syncmers.SIZE == 128 and len(anchors[2]) == 128 and 30 < len(anchors[1]) < 70
+    assert anchors[3][-len(anchors[1]) :] == anchors[1]
+
+
 def test_lower_neighbours(spark):
     keys = sorted({random.Random(1).randrange(-(1 << 40), 1 << 40) for _ in range(300)} | {0, 1, 255, 256, 257})
     found = syncmers.with_lower_neighbour(spark.createDataFrame([(k,) for k in keys], "key long"), keys[0], keys[-1]).collect()
