@@ -3,7 +3,8 @@
 A gear hash rolls over the bytes of a text: shifted by one bit for each byte and a random number for the byte's value
 added, its 16 bits depend on the last 16 bytes. Where it's small, a chunk ends; so chunks depend on nothing but the text
 nearby, and an insertion shifts none but its own. Chunks are told apart by a 64-bit digest. Runs of chunks that occur
-elsewhere too are passages, once they are long enough and a good part of them shares its first document.
+elsewhere too are passages, once they are long enough and a good part of them shares its first document. Within a run
+each stretch of chunks with one first document is told apart, for each document keeps what it's the first to have.
 """
 
 from __future__ import annotations
@@ -93,13 +94,13 @@ def chunked(docs: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, passage_chars: int = PASSAGE_CHARS, shared_chars: int = SHARED_CHARS) -> DataFrame:
-    """The passages of docs that stand in another document too, one row each.
+    """The passages of docs that stand in another document too, one row for each stretch with one first document.
 
-    doc_id, start and length (code points), n_chunks, first_doc_id (the least doc_id that has the chunks which make up
-    most of the passage), n_copies (the most places that one of its chunks has, those in one text included) and kept:
-    true where the passage is the one to keep, in its first document, and false where it may go. What is repeated in
-    one document alone is not reported. Adjacent repeated chunks are one passage. Null and
-    empty texts have none. Rows that repeat a doc_id count as places of their own, and so do rows without an id, which
+    doc_id, start and length (code points), n_chunks, first_doc_id (the least doc_id that has the stretch's chunks),
+    n_copies (the most places that one of its chunks has, those in one text included) and kept: true where the stretch
+    is the one to keep, in its first document, and false where it may go. What is repeated in one document alone is not
+    reported. Adjacent repeated chunks are one passage, which has to be long enough as a whole; so a stretch may be
+    short. Null and empty texts have none. Rows that repeat a doc_id count as places of their own, and so do rows without an id, which
     are first only where no row with an id has the chunk. Further columns are ignored; an empty table gives no row.
     """
     small_batches(docs.sparkSession)
@@ -109,13 +110,14 @@ def repeated_passages(docs: DataFrame, passage_chars: int = PASSAGE_CHARS, share
     met = every.join(repeats, "digest")
     along = Window.partitionBy("row").orderBy("start")
     met = met.withColumn("new", (F.col("start") != F.coalesce(F.lag(F.col("start") + F.col("length")).over(along), F.lit(-1))).cast("int"))
-    met = met.withColumn("run", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    by_first = met.groupBy("row", "doc_id", "run", "first_doc_id").agg(
-        F.min("start").alias("start"), F.sum("length").alias("length"), F.count("*").alias("n_chunks"), F.max("places").alias("places")
+    met = met.withColumn("turn", F.when(F.col("first_doc_id").eqNullSafe(F.lag("first_doc_id").over(along)), F.col("new")).otherwise(1))
+    so_far = along.rowsBetween(Window.unboundedPreceding, 0)
+    met = met.withColumn("run", F.sum("new").over(so_far)).withColumn("stretch", F.sum("turn").over(so_far))
+    found = met.groupBy("row", "doc_id", "run", "stretch", "first_doc_id").agg(
+        F.min("start").cast("long").alias("start"), F.sum("length").alias("length"), F.count("*").alias("n_chunks"), F.max("places").alias("n_copies")
     )
-    found = by_first.groupBy("row", "doc_id", "run").agg(
-        F.min("start").cast("long").alias("start"), F.sum("length").alias("length"), F.sum("n_chunks").alias("n_chunks"),
-        F.max_by("first_doc_id", F.struct("length", "first_doc_id")).alias("first_doc_id"), F.max("length").alias("shared"), F.max("places").alias("n_copies"),
-    )
-    found = found.where((F.col("length") >= passage_chars) & (F.col("shared") >= shared_chars))
+    found = found.withColumn("shared", F.sum("length").over(Window.partitionBy("row", "run", "first_doc_id")))
+    whole = Window.partitionBy("row", "run")
+    found = found.withColumn("whole", F.sum("length").over(whole)).withColumn("shared", F.max("shared").over(whole))
+    found = found.where((F.col("whole") >= passage_chars) & (F.col("shared") >= shared_chars))
     return found.select("doc_id", "start", "length", "n_chunks", "first_doc_id", "n_copies", F.coalesce(F.col("doc_id") == F.col("first_doc_id"), F.lit(False)).alias("kept"))
