@@ -5,13 +5,18 @@ source that has c of a period's n slots, block j (from 0) is released at slot fl
 ceil((j + 1) * n / c); the earliest deadline among the released ones goes first. So after any number of slots each
 source is less than one block away from its share.
 
-Weights are rounded to whole slots of a period, which makes periods alike: the schedule of one is computed once and
-repeated. When a source runs out, the next phase shares its slots among the others. There are at most two schedules a
-source, so all of them are a table whose size is bounded by the weights given and PERIOD, however large the corpus.
+Weights that are multiples of one measure, at most PERIOD of them in all, have a period in which each source gets its
+exact share: its schedule is computed once and repeated, and there are at most two schedules a source, however large the
+corpus. Other weights are rounded to whole slots of each period, and what a period rounds off is carried to the next: a
+source is less than one block away from its share at a period's end, less than two inside it, and there is a schedule
+for each period. When a source runs out, the next phase shares its slots among the others.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,14 +41,40 @@ def whole_slots(weights: dict[str, float], period: int) -> dict[str, int]:
     return slots
 
 
+def exact_slots(weights: dict[str, float], period: int) -> dict[str, int] | None:
+    """Slots of each source in the shortest period that has the weights exactly; None where it's longer than `period`."""
+    total = sum(map(Fraction, weights.values()))
+    wanted = {s: Fraction(w) / total for s, w in weights.items()}
+    shares = {s: x.limit_denominator(period) for s, x in wanted.items()}
+    length = math.lcm(*(x.denominator for x in shares.values()))
+    if length > period or any(not x or abs(x - wanted[s]) > x / 10**12 for s, x in shares.items()):
+        return None
+    return {s: int(x * length) for s, x in shares.items()}
+
+
+def carried_slots(weights: dict[str, float], period: int, given: dict[str, int]) -> dict[str, int]:
+    """Slots of the next period that bring each source, after those given, next to its share of all of them."""
+    total, slots = sum(weights.values()), sum(given.values()) + period
+    owed = {s: w / total * slots - given[s] for s, w in weights.items()}
+    found = {s: max(0, math.floor(x)) for s, x in owed.items()}
+    for s in sorted(owed, key=lambda s: (found[s] - owed[s], s))[: max(0, period - sum(found.values()))]:
+        found[s] += 1
+    return found
+
+
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
     """Runs of equal periods: repeats, slots of each source, first block of each source, first slot."""
-    left, done, slot, found = dict(blocks), dict.fromkeys(blocks, 0), 0, []
+    left, done, slot, found, given = dict(blocks), dict.fromkeys(blocks, 0), 0, [], {}
     while active := {s: weights[s] for s, n in left.items() if n}:
-        slots = whole_slots(active, period)
-        for repeats in (min(left[s] // n for s, n in slots.items()), 1):
+        slots = exact_slots(active, period)
+        exact = slots is not None
+        if not exact:
+            given = given if given.keys() == active.keys() else dict.fromkeys(active, 0)
+            slots = carried_slots(active, period, given)
+            given = {s: given[s] + n for s, n in slots.items()}
+        for repeats in (min(left[s] // n for s, n in slots.items()), 1) if exact else (1,):
             # whole periods first, then one in which the sources that run out give what they have
-            counts = {s: min(left[s], n) for s, n in slots.items() if left[s]}
+            counts = {s: min(left[s], n) for s, n in slots.items() if left[s] and n}
             if repeats and counts:
                 found.append({"repeats": repeats, "counts": counts, "first": {s: done[s] for s in counts}, "slot": slot})
                 for s, n in counts.items():
@@ -104,7 +135,7 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOC
     places = counts.select("run", F.posexplode(earliest_deadline(F.transform("given", lambda x: x["count"]))).alias("at", "turn"), "given")
     places = places.select("run", "at", F.get("given", F.col("turn"))["place"].alias("place"))
     nth = F.row_number().over(Window.partitionBy("run", "place").orderBy("at")) - 1
-    # bounded by 2 * sources * (period + sources) rows, whatever the corpus
+    # bounded by 2 * sources * (period + sources) rows, whatever the corpus, where the weights have an exact period
     slots = parts.join(places.withColumn("nth", nth), ["run", "place"])
 
     within = Window.partitionBy("mix_source", "mix_salt").orderBy("mix_key").rowsBetween(Window.unboundedPreceding, -1)
@@ -112,7 +143,7 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOC
     numbered = rows.withColumn("mix_before", before).join(F.broadcast(starts.drop("mix_sum")), ["mix_source", "mix_salt"])
     block = F.floor((F.col("mix_start") + F.col("mix_before")) / block_chars)
     numbered = numbered.withColumn("mix_block", block).drop("mix_salt", "mix_before", "mix_start", "mix_chars")
-    # runs of a source, at most two for each source there is: which one has the block
+    # runs of a source, at most two for each source there is where periods are exact: which one has the block
     bounds = parts.groupBy("mix_source").agg(F.collect_list(F.struct("run", "slot", "length", "first", "count", (F.col("first") + F.col("repeats") * F.col("count")).alias("end"))).alias("mix_runs"))
     having = F.get(F.filter("mix_runs", lambda r: (r["first"] <= F.col("mix_block")) & (F.col("mix_block") < r["end"])), F.lit(0))
     placed = numbered.join(F.broadcast(bounds), "mix_source").withColumn("mix_run", having).drop("mix_runs")
