@@ -2,8 +2,9 @@
 
 A text is a sequence of words (longer ones cut into pieces). Of each run of K words all runs of S words inside are
 hashed; the run is an anchor if the least hash stands at its first or last place. Whether a run is an anchor depends on
-nothing outside it, so texts that share a passage share its anchors wherever it stands. The fingerprint holds, in text
-order, the anchors of the SIZE least hashes: all of them for most documents, a fair sample for long ones.
+nothing outside it, so texts that share a passage share its anchors wherever it stands. Likeness is taken over all
+anchors of both texts. The fingerprint as written holds, in text order, the anchors of the SIZE least hashes: all of
+them for most documents, a sample for long ones.
 """
 
 from __future__ import annotations
@@ -13,15 +14,15 @@ from pyspark.sql import functions as F
 
 from ringside.llm.common import shelve
 
-#: Words of a run, words of the runs inside, most anchors of a fingerprint, characters of a piece of a word.
+#: Words of a run, words of the runs inside, most anchors of a written fingerprint, characters of a piece of a word.
 K, S, SIZE, PIECE = 5, 2, 128, 16
 #: Neighbouring keys are found in groups of 2**BITS keys, then of 2**BITS groups and so on; texts lie in groups of 2**GROUP_BITS ids.
 BITS, GROUP_BITS = 8, 5
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Adds the kept anchors of a text column, an array of long: empty for a text without words."""
-    words, inner, runs, every, least = (f"{out}_{x}" for x in ("words", "inner", "runs", "every", "least"))
+    """Adds all anchors of a text column, an array of long: empty for a text without words."""
+    words, inner, runs = (f"{out}_{x}" for x in ("words", "inner", "runs"))
     n = F.size(words)
     pair = lambda a, b: F.xxhash64(a, b)
     at = lambda i: F.get(inner, i)
@@ -37,23 +38,19 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     df = df.withColumn(runs, F.when(n >= K, F.sequence(F.lit(0), n - K)))
     found = F.filter(F.transform(runs, anchor), lambda x: x.isNotNull())
     few = F.when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(every, F.array_distinct(F.when(n >= K, found).otherwise(few)))
-    df = df.withColumn(least, F.when(F.size(every) > SIZE, F.get(F.array_sort(every), F.lit(SIZE - 1))))
-    kept = F.when(F.col(least).isNull(), F.col(every)).otherwise(F.filter(every, lambda x: x <= F.col(least)))
-    return df.withColumn(out, kept).drop(words, inner, runs, every, least)
+    return df.withColumn(out, F.array_distinct(F.when(n >= K, found).otherwise(few))).drop(words, inner, runs)
 
 
 def written(anchors: str) -> Column:
-    """Fingerprint: 16 hex digits for each anchor, in text order."""
-    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """Fingerprint: 16 hex digits for each of the SIZE least anchors, in text order."""
+    kept = F.when(F.size(anchors) > SIZE, F.array_intersect(anchors, F.slice(F.array_sort(anchors), 1, SIZE))).otherwise(F.col(anchors))
+    return F.array_join(F.transform(kept, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def likeness(a: str, b: str) -> Column:
-    """Share of anchors in common (Dice), estimated over the SIZE least of both where either is a sample; 1 for two empty ones."""
-    both = F.array_sort(F.array_union(a, b))
-    seen = F.when(F.greatest(F.size(a), F.size(b)) >= SIZE, F.slice(both, 1, SIZE)).otherwise(both)
-    shared = F.size(F.array_intersect(F.array_intersect(a, b), seen)).cast("double")
-    return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(2 * shared / (F.size(seen) + shared))
+    """Share of all anchors in common (Dice); 1 for two empty ones."""
+    both = F.size(a) + F.size(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2 * F.size(F.array_intersect(a, b)).cast("double") / both)
 
 
 def with_lower_neighbour(keys: DataFrame, low: int, high: int) -> DataFrame:
