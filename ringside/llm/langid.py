@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from ringside.llm.common import remainder, small_batches
 
-#: Bounds of what the driver learns from: labelled rows, landmarks and characters of a training text per language, languages.
-SAMPLE_PER_LANG, LANDMARKS_PER_LANG, MAX_LANGS, TRAIN_CHARS = 200, 25, 64, 20_000
+#: Bounds of what the driver learns from: labelled rows and landmarks per language; rows that it weighs at once.
+SAMPLE_PER_LANG, LANDMARKS_PER_LANG, WEIGHED_AT_ONCE = 200, 25, 512
 RIDGE = 1e-2
 #: Signs that are told apart: 0 is what isn't a letter, other letters share places by their number.
 SIGNS = 64
@@ -76,10 +76,8 @@ class Model:
     column: np.ndarray  # row of weights of each n-gram, or -1
 
 
-def learn(texts: list[str], labels: list[str]) -> Model:
-    """Labels in any order; a text without a letter teaches nothing. Without any text: a model that knows no language."""
-    places, seen = sign_table(), np.zeros(N_GRAMS, np.uint8)
-    pairs = [(p, y) for t, y in zip(texts, labels, strict=True) if (s := signs_of(t, places)) is not None and (p := present(s, seen))]
+def learn(pairs: list[tuple[tuple[np.ndarray, ...], str]]) -> Model:
+    """From n-grams and labels, in any order. Without any: a model that knows no language."""
     langs = sorted({y for _, y in pairs})
     if not langs:
         return Model([], np.zeros((0, 0), np.float32), np.full(N_GRAMS, -1, np.int32))
@@ -103,30 +101,43 @@ def learn(texts: list[str], labels: list[str]) -> Model:
     values, vectors = np.linalg.eigh((at_marks @ at_marks.T).astype(np.float64))
     use = values > 1e-6 * values[-1]
     whiten = vectors[:, use] / np.sqrt(values[use])
-    x = (features([p for p, _ in pairs]) @ at_marks.T).astype(np.float64) @ whiten
-    y = np.array([[1.0 if label == lang else -1.0 for lang in langs] for _, label in pairs])
-    coefficients = np.linalg.solve(x.T @ x + RIDGE * len(pairs) * np.eye(x.shape[1]), x.T @ y)
+    square, product = RIDGE * len(pairs) * np.eye(whiten.shape[1]), np.zeros((whiten.shape[1], len(langs)))
+    for start in range(0, len(pairs), WEIGHED_AT_ONCE):
+        some = pairs[start : start + WEIGHED_AT_ONCE]
+        x = (features([p for p, _ in some]) @ at_marks.T).astype(np.float64) @ whiten
+        y = np.array([[1.0 if label == lang else -1.0 for lang in langs] for _, label in some])
+        square += x.T @ x
+        product += x.T @ y
+    coefficients = np.linalg.solve(square, product)
     return Model(langs, (at_marks.T @ (whiten @ coefficients)).astype(np.float32), column)
 
 
 def fit(docs: DataFrame, train: Column) -> Model:
-    """From at most SAMPLE_PER_LANG rows a language, of the first MAX_LANGS languages by name, which `train` holds for.
+    """From at most SAMPLE_PER_LANG rows of every language, which `train` holds for: those of the least hash of doc_id.
 
-    The rows are those of the least hash of doc_id. Texts beyond TRAIN_CHARS teach by their first so many characters.
+    n-grams are drawn from whole texts, where these lie; a text without a letter teaches nothing.
     """
     known = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull())
     key = F.xxhash64(F.col("doc_id").cast("long"))
     first = Window.partitionBy("lang").orderBy(key, "doc_id")
-    langs = [r.lang for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGS).collect()]
-    ids = [
-        r.doc_id
-        for r in known.where(F.col("lang").isin(langs)).select("doc_id", "lang").withColumn("place", F.row_number().over(first))
-        .where(F.col("place") <= SAMPLE_PER_LANG).select("doc_id").distinct().collect()
-    ]
+    chosen = known.select("doc_id", "lang").withColumn("place", F.row_number().over(first)).where(F.col("place") <= SAMPLE_PER_LANG)
     # one row for an id and a language, however often it's repeated
-    rows = known.where(F.col("doc_id").isin(ids)).groupBy("doc_id", "lang").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")).collect()
-    rows.sort(key=lambda r: (r.lang, r.doc_id, r.text))
-    return learn([r.text for r in rows], [r.lang for r in rows])
+    rows = known.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, seen = sign_table(), np.zeros(N_GRAMS, np.uint8)
+        for batch in batches:
+            signs = [signs_of(t, places) for t in batch.column("text").to_pylist()]
+            grams = [None if s is None else np.concatenate(present(s, seen)).astype(np.int32) for s in signs]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(grams, pa.list_(pa.int32()))], ["lang", "doc_id", "grams"])
+
+    found = rows.select("lang", F.col("doc_id").cast("long"), "text").mapInArrow(run, "lang string, doc_id long, grams array<int>").where("grams IS NOT NULL").toArrow()
+    labels, ids, grams = found.column("lang").to_pylist(), found.column("doc_id").to_pylist(), found.column("grams")
+    pairs = []
+    for i in sorted(range(len(labels)), key=lambda i: (labels[i], ids[i])):
+        own = grams[i].values.to_numpy()
+        pairs.append((tuple(np.split(own, own.searchsorted(BASE[1:]))), labels[i]))
+    return learn(pairs)
 
 
 def language_of(model: Model, text: str, spark: SparkSession) -> Column:
