@@ -141,10 +141,11 @@ def fit(docs: DataFrame, train: Column) -> Model:
 
 
 def language_of(model: Model, text: str, spark: SparkSession) -> Column:
-    """struct(lang_pred, score) of a text column; the other columns of its rows never go to Python.
+    """struct(lang_pred, score, lettered) of a text column; the other columns of its rows never go to Python.
 
     lang_pred is `und`, with score 0, where the text is null or has no letter, or the model knows no language. score is
-    the greatest one-versus-rest value brought from [-1, 1] to [0, 1]; ties go to the first language by name.
+    the greatest one-versus-rest value brought from [-1, 1] to [0, 1]; ties go to the first language by name. lettered:
+    the text has a letter, whatever the model knows.
     """
     shared = spark.sparkContext.broadcast(model)
 
@@ -152,7 +153,7 @@ def language_of(model: Model, text: str, spark: SparkSession) -> Column:
         model, places, seen = shared.value, sign_table(), np.zeros(N_GRAMS, np.uint8)
         for batch in batches:
             texts = batch.to_pylist()
-            langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+            langs, scores, lettered = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
             for start in range(0, len(texts), SCORED_AT_ONCE):
                 rows, where = np.zeros((SCORED_AT_ONCE, len(model.weights)), np.float32), []
                 for i in range(start, min(start + SCORED_AT_ONCE, len(texts))):
@@ -161,14 +162,16 @@ def language_of(model: Model, text: str, spark: SparkSession) -> Column:
                             if len(g):
                                 rows[len(where), (c := model.column[g])[c >= 0]] = len(g) ** -0.5
                         where.append(i)
+                        lettered[i] = True
                 if where and model.langs:
                     values = rows[: len(where)] @ model.weights
                     for i, best, value in zip(where, values.argmax(1), values.max(1), strict=True):
                         langs[i], scores[i] = model.langs[best], float(min(1.0, max(0.0, (value + 1) / 2)))
-            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(lettered, pa.bool_())]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "lettered"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "lang_pred string, score double")(F.col(text))
+    return F.arrow_udf(run, "lang_pred string, score double, lettered boolean")(F.col(text))
 
 
 def fitted(docs: DataFrame) -> Model:
@@ -184,11 +187,15 @@ def identify(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     held_out = F.coalesce(remainder(F.col("doc_id"), 3) == 1, F.lit(False))
     found = language_of(fitted(docs), "text", docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.*")
+    return docs.select(F.col("doc_id").cast("long"), held_out.alias("held_out"), found.alias("found")).select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are in a language: those without a letter, or without a text, go. Columns stay as they are."""
+    """The rows of docs that are in a language: those without a letter, or without a text, go. Columns stay as they are.
+
+    No other document goes, for no score tells the rest apart: a text unlike all that was learnt scores about 0.5, and so
+    do some labelled ones. Where no language was learnt every text with a letter stays.
+    """
     small_batches(docs.sparkSession)
     found = language_of(fitted(docs), "text", docs.sparkSession)
-    return docs.select(F.struct("*").alias("kept"), found["lang_pred"].alias("lang_pred")).where(F.col("lang_pred") != UNKNOWN).select("kept.*")
+    return docs.select(F.struct("*").alias("kept"), found["lettered"].alias("lettered")).where("lettered").select("kept.*")
