@@ -1,13 +1,22 @@
 """Katz back-off scoring.
 
-The model is a bigram model that backs off to smoothed word frequencies. Bigrams are counted between frequent words (at
-least one in CONTEXT_SHARE training tokens, so at most so many words), the start of a text and its end. Counts up to K
-are discounted by Good and Turing; what this frees, and what rarer words take, goes to the back-off of the context, with
-a weight that makes the probabilities of all words sum to one exactly.
-
-Word and bigram counts are tables in the shared folder. Entries frequent enough to be few by arithmetic (at least one
-in TABLE_SHARE tokens: at most so many) are also a broadcast table. A text is scored in one pass from that; only its
-other words and pairs are dealt out, once, to the counts that they ask for.
+The model is a bigram model over all words, the start of a text and its end, that backs off to smoothed word
+frequencies. Counts up to K are discounted by Good and Turing; what this frees goes to the back-off of the context, with a weight
+that makes the probabilities of all words sum to one exactly. A context whose counts are all greater than K frees
+nothing and is taken to have been met once more.
+
+Words are frequent (at least one in TABLE_SHARE training tokens, so at most so many) or rare. A frequent word has a
+number, a rare one a hash. Every count is a sum over occurrences that Spark deals by a key that no hot word or pair has:
+
+* a rare word's occurrences lie together with the tokens before and after them; so the word's count, the counts of what
+  follows it and those of the frequent words before it are windows over one exchange;
+* a pair of frequent words lies with its like, but for hot pairs, at least one in TABLE_SHARE tokens, whose counts each
+  task adds up before it hands them on.
+
+Windows give additive sums by text and by context, tables in the shared folder; word counts are one too. Frequent words,
+hot pairs and frequent contexts are arrays in every worker, bounded by TABLE_SHARE. A last pass over the texts adds what
+these say to the sums. Back-off weights of rare contexts are worked out, from all that follows them in training, for
+those that a held-out text asks for.
 """
 
 from __future__ import annotations
@@ -20,13 +29,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.llm.common import remainder, shelve, slices, small_batches
 
-#: Most words that may be a context, most words or bigrams of a broadcast table, greatest discounted count.
-CONTEXT_SHARE, TABLE_SHARE, K = 1 << 16, 1 << 20, 5
+#: Most words, contexts or pairs of an array in a worker; bits of a frequent word's number; greatest discounted count.
+TABLE_SHARE, NUMBER_BITS, K = 1 << 20, 20, 5
 #: Added to each count of the word frequencies, and to their sum for each distinct word and one unknown.
 ADDED = 0.1
 #: Tokens whose counts a worker adds up before it hands them on.
@@ -35,6 +44,12 @@ CACHE_WORDS = 1 << 19
 #: No word holds a space: the end of a text.
 END = b" "
 RARE = 1 << 63
+#: Stands for the token after the end of a text.
+NONE = np.iinfo(np.int64).min
+#: What a row of sums is about: a text; a frequent context; pairs never seen, of a text and a frequent or rare context;
+#: a rare word that a text backs off to; what follows a rare context that is asked for; a hot pair.
+TEXT, CONTEXT, UNSEEN, UNSEEN_RARE, RARE_WORD, FOLLOWING, HOT = range(7)
+CLASSES = [f"k{r}" for r in range(1, K + 2)]
 
 
 def word_hash(word: bytes) -> int:
@@ -86,35 +101,59 @@ def tokens(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
     return words, counts
 
 
-def pairs_of(numbers: np.ndarray, counts: np.ndarray, n_contexts: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every token its context's number (n_contexts: the start) or -1, and the key of the pair or -1."""
-    small = np.where(numbers < np.uint64(n_contexts), numbers, np.uint64(RARE)).astype(np.int64)
-    context = np.empty_like(small)
-    context[1:] = small[:-1]
-    context[np.concatenate([[0], np.cumsum(counts)[:-1]])] = n_contexts
-    context[context < 0] = -1
-    return context, np.where((context >= 0) & (small >= 0), (context << 20) | np.maximum(small, 0), -1)
+def numbered(texts: list[str | None], numbers: WordNumbers, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts the numbers of all tokens, those of their contexts (start: before a text), and tokens of each text."""
+    own, counts = tokens(texts)
+    word = np.fromiter(map(numbers.__getitem__, own), np.uint64, len(own))
+    context = np.empty_like(word)
+    context[1:] = word[:-1]
+    context[np.cumsum(counts) - counts] = start
+    return word, context, counts
 
 
-def summed(held: list[np.ndarray]) -> pa.RecordBatch:
+def pair_keys(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which tokens and their contexts are both frequent, and the pairs' keys."""
+    both = (word < RARE) & (context < RARE)
+    return both, ((context[both] << np.uint64(NUMBER_BITS)) | word[both]).astype(np.int64)
+
+
+def merged(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct rows of some columns and the sum of n over each."""
+    if not len(n):
+        return columns, n
+    order = np.lexsort(columns)
+    columns = [c[order] for c in columns]
+    new = np.ones(len(n), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in columns], np.add.reduceat(n[order], starts)
+
+
+def summed(held: list[np.ndarray], least: float) -> pa.RecordBatch:
     values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
-    return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64), pa.int64()), pa.array(counts, pa.int64())], ["key", "n"])
+    often = counts >= least
+    return pa.RecordBatch.from_arrays([pa.array(values[often].astype(np.int64), pa.int64()), pa.array(counts[often], pa.int64())], ["key", "n"])
+
 
+def counted(docs: DataFrame, keys_of, share: int | None = None) -> DataFrame:
+    """(key, n) over all docs: keys_of makes a function from texts to keys and a number of tokens, once in each task.
 
-def counted(docs: DataFrame, keys_of) -> DataFrame:
-    """(key, n) over all docs: keys_of makes a function from texts to an array of keys, once in each task."""
+    With a share, a count that is less than one in so many of the tokens it was taken over isn't handed on: all such
+    counts of a key are less than one in so many of all tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, n = keys_of(), [], 0
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in slices(texts):
-                held.append(keys(texts[a:b]))
-                n += len(held[-1])
+                found, met = keys(texts[a:b])
+                held.append(found)
+                n += met
                 if n > HELD_TOKENS:
-                    yield summed(held)
+                    yield summed(held, n / share if share else 1)
                     held, n = [], 0
-        yield summed(held)
+        yield summed(held, n / share if share else 1)
 
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -131,128 +170,249 @@ def discounts(of_counts: dict[int, int]) -> list[float]:
     return [d if 0 < d < 1 else p for d, p in zip(found, plain, strict=True)]
 
 
+def entry(when: Column, kind: int, id_: Column, other=None, r=None, m=None, x=0.0, y=0.0, n=0) -> Column:
+    """A row of sums, or null: m occurrences of pairs with the count r, and further sums x, y, n."""
+    as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
+    classes = [F.coalesce(F.when(r == k, m), F.lit(0)).cast("long").alias(c) if r is not None else F.lit(0).cast("long").alias(c) for k, c in enumerate(CLASSES, 1)]
+    return F.when(
+        when,
+        F.struct(
+            F.lit(kind).alias("kind"), id_.cast("long").alias("id"), as_column(other).cast("long").alias("other"), *classes,
+            as_column(x).cast("double").alias("x"), as_column(y).cast("double").alias("y"), as_column(n).cast("long").alias("n"),
+        ),
+    )
+
+
+def sums_of(df: DataFrame, entries: list[Column]) -> DataFrame:
+    """kind, id, other and the sums over all entries that aren't null, written to the shared folder."""
+    rows = df.select(F.inline(F.array(*entries))).where(F.col("kind").isNotNull())
+    return shelve(rows.groupBy("kind", "id", "other").agg(*(F.sum(c).alias(c) for c in (*CLASSES, "x", "y", "n"))))
+
+
+def log_of_large(r: Column, m: Column) -> Column:
+    """m times the logarithm of a count that has no class of its own."""
+    return F.when(r > K + 1, m * F.log10(r)).otherwise(0.0)
+
+
+def frequent_pairs(texts: DataFrame, numbers_of, hot, words: DataFrame, start: int) -> DataFrame:
+    """Sums over pairs of frequent words: all but the hot ones, whose counts alone are summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, hot_keys, row = numbers_of(), hot.value, TaskContext.get().partitionId() << 40
+        hot_counts = np.zeros(len(hot_keys), np.int64)
+        for batch in batches:
+            own, train = batch.column("text").to_pylist(), batch.column("train").to_numpy(zero_copy_only=False)
+            for a, b in slices(own):
+                word, context, counts = numbered(own[a:b], numbers, start)
+                both, keys = pair_keys(word, context)
+                doc = np.repeat(np.arange(row, row + b - a), counts)[both]
+                learnt = np.repeat(train[a:b], counts)[both]
+                at, here = found_in(hot_keys, keys)
+                np.add.at(hot_counts, at[here & learnt], 1)
+                (k, d), n = merged([keys[~here], doc[~here]], np.where(learnt[~here], 1, -1))
+                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32())], ["key", "row", "n"])
+                row += b - a
+        some = np.flatnonzero(hot_counts)
+        yield pa.RecordBatch.from_arrays([pa.array(hot_keys[some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(hot_counts[some], pa.int32())], ["key", "row", "n"])
+
+    met = texts.mapInArrow(run, "key long, row long, n int")
+    met = met.withColumn("r", F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("n"))).over(Window.partitionBy("key")), F.lit(0)))
+    met = met.withColumn("word", F.col("key").bitwiseAND((1 << NUMBER_BITS) - 1)).join(F.broadcast(words), "word")
+    row, r, n, context = F.col("row"), F.col("r"), F.col("n"), F.shiftright("key", NUMBER_BITS)
+    m, own, train = F.abs("n"), row.isNotNull(), F.col("n") > 0
+    return sums_of(met, [
+        entry(own & (r > 0), TEXT, row, (~train).cast("int"), r, m, x=log_of_large(r, m)),
+        entry(own & train, CONTEXT, context, None, r, m, y=m / F.greatest(r, F.lit(1)) * F.pow(F.lit(10.0), F.col("log_p"))),
+        entry(own & (r == 0), UNSEEN, row, context, y=m * F.col("log_p"), n=m),
+        entry(~own, HOT, F.col("key"), n=n),
+    ])
+
+
+def rare_words(texts: DataFrame, numbers_of, words: DataFrame, start: int, whole: float) -> DataFrame:
+    """Sums over the occurrences of rare words, the tokens after them, and before them where these are frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, row = numbers_of(), TaskContext.get().partitionId() << 40
+        low = np.uint64(RARE - 1)
+        for batch in batches:
+            own, train = batch.column("text").to_pylist(), batch.column("train").to_numpy(zero_copy_only=False)
+            for a, b in slices(own):
+                word, context, counts = numbered(own[a:b], numbers, start)
+                after = np.full(len(word), NONE)
+                # a rare word after the context: -1 less its hash
+                after[:-1] = np.where(word[1:] < RARE, word[1:].astype(np.int64), -1 - (word[1:] & low).astype(np.int64))
+                after[np.cumsum(counts) - 1] = NONE
+                at = np.flatnonzero(word >= RARE)
+                before = np.where(context[at] < RARE, context[at], 0).astype(np.int64)
+                before[context[at] >= RARE] = -1
+                doc, learnt = np.repeat(np.arange(row, row + b - a), counts)[at], np.repeat(train[a:b], counts)[at]
+                (k, d, p, f), n = merged([(word[at] & low).astype(np.int64), doc, before, after[at]], np.where(learnt, 1, -1))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(f, pa.int64(), mask=f == NONE), pa.array(n, pa.int32())],
+                    ["key", "row", "before", "after", "n"],
+                )
+                row += b - a
+
+    n = F.col("n")
+    learnt = F.when(n > 0, n)
+    count = lambda *by: F.coalesce(F.sum(learnt).over(Window.partitionBy(*by)), F.lit(0))
+    met = texts.mapInArrow(run, "key long, row long, before int, after long, n int")
+    met = met.withColumn("r", count("key", "after")).withColumn("c", count("key"))
+    anywhere = lambda holds: F.coalesce(F.max(holds).over(Window.partitionBy("key")), F.lit(False))
+    follows = F.col("after").isNotNull()
+    unseen = follows & (n < 0) & (F.col("r") == 0)
+    met = met.withColumn("frees", anywhere(follows & (n > 0) & (F.col("r") <= K))).withColumn("asked", anywhere(unseen) & (F.col("c") > 0))
+    met = met.withColumn("q", count("key", "before"))
+    met = met.join(F.broadcast(words.select(F.col("word").alias("after"), F.col("log_p").alias("log_after"))), "after", "left")
+    key, row, before, r, c, q, m = (*map(F.col, ("key", "row", "before", "r", "c", "q")), F.abs("n"))
+    held, log_after = (n < 0).cast("int"), F.col("log_after")
+    rare_after = F.when(F.col("after") < 0, -1 - F.col("after"))
+    log_p, part = F.log10((c + ADDED) / whole), m / F.greatest(r, F.lit(1))
+    # what the pair of this word and the next gives: seen; not seen; or a context without any count
+    given = F.when(r > 0, log_of_large(r, m) - m * F.log10(F.when(F.col("frees"), c).otherwise(c + 1))).otherwise(m * F.coalesce(log_after, F.lit(0.0)))
+    return sums_of(met, [
+        entry(F.lit(True), TEXT, row, held, r=F.when(follows & (r > 0), r), m=m, x=F.when(follows, given).otherwise(0.0), y=m * log_p, n=F.when(c > 0, m).otherwise(0)),
+        entry((before >= 0) & (q > 0), TEXT, row, held, q, m, x=log_of_large(q, m)),
+        entry((before >= 0) & (n > 0), CONTEXT, before, None, q, m, y=m / F.greatest(q, F.lit(1)) * (c + ADDED) / whole),
+        entry((before >= 0) & (q == 0), UNSEEN, row, before, y=m * log_p, n=m),
+        entry(unseen & (c > 0), UNSEEN_RARE, row, key, n=m),
+        entry(unseen & (F.col("after") < 0), RARE_WORD, row, rare_after, n=m),
+        entry(F.col("asked") & follows & (n > 0), FOLLOWING, key, rare_after, r, m, x=part * F.coalesce(F.pow(F.lit(10.0), log_after), F.lit(0.0)), y=F.when(F.col("after") < 0, part).otherwise(0.0), n=m),
+    ])
+
+
+def found_in(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where in sorted keys those asked for are, and which are there."""
+    if not len(keys):
+        return np.zeros(len(asked), np.int64), np.zeros(len(asked), bool)
+    at = np.minimum(keys.searchsorted(asked), len(keys) - 1)
+    return at, keys[at] == asked
+
+
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """Scores of every row of docs under a model learnt from the rows that `train` holds for.
 
     doc_id, n_tokens, n_known, train_tokens, base_score, score; logarithms to the base 10. A null or empty text is its
     end alone. Rows that repeat an id are learnt from and scored each for itself; further columns are ignored. Without
-    training rows every token has the probability 1 of the one unknown word.
+    training rows every token has the probability 1 of the one unknown word. docs is read several times and has to give
+    the same rows in the same partitions each time, as a table does.
     """
-    small_batches(docs.sparkSession)
-    share = docs.sparkSession.sparkContext.broadcast
-
-    learnt = docs.where(train)
+    spark = docs.sparkSession
+    small_batches(spark)
+    share = spark.sparkContext.broadcast
+    texts = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("train"))
+    learnt = texts.where("train")
 
     def word_keys():
         hashes = remembered(WordHashes63, "")
-        return lambda texts: np.fromiter(map(hashes.__getitem__, tokens(texts)[0]), np.int64)
+
+        def keys(some: list[str | None]) -> tuple[np.ndarray, int]:
+            own = tokens(some)[0]
+            return np.fromiter(map(hashes.__getitem__, own), np.int64, len(own)), len(own)
+
+        return keys
 
     words = shelve(counted(learnt, word_keys))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     whole = total + ADDED * (distinct + 1)
     often = words.where(F.col("n") >= max(1, total / TABLE_SHARE)).orderBy(F.desc("n"), "key").toArrow()
-    often_hashes = often.column("key").to_numpy().astype(np.uint64)
-    often_counts = often.column("n").to_numpy()
-    n_contexts = int(np.count_nonzero(often_counts >= max(1, total / CONTEXT_SHARE)))
-    frequent, model_name = share(often_hashes), uuid.uuid4().hex
-
-    def pair_keys():
-        numbers = remembered(WordNumbers, model_name, frequent.value)
-
-        def keys(texts: list[str | None]) -> np.ndarray:
-            own, counts = tokens(texts)
-            found = pairs_of(np.fromiter(map(numbers.__getitem__, own), np.uint64, len(own)), counts, n_contexts)[1]
-            return found[found >= 0]
+    frequent, model_name = share(often.column("key").to_numpy().astype(np.uint64)), uuid.uuid4().hex
+    often_counts, start = often.column("n").to_numpy(), len(often)
+    log_p = np.log10((often_counts + ADDED) / whole)
+    by_word = spark.createDataFrame(pa.table({"word": np.arange(start, dtype=np.int64), "log_p": log_p}))
 
-        return keys
+    def numbers_of() -> WordNumbers:
+        return remembered(WordNumbers, model_name, frequent.value)
 
-    pairs = shelve(counted(learnt, pair_keys))
-    rows = {r.n: r["count"] for r in pairs.where(F.col("n") <= K + 1).groupBy("n").count().collect()}
-    weights = discounts(rows)
-    discounted = F.coalesce(F.get(F.array(*map(F.lit, weights)), F.col("n").cast("int") - 1), F.lit(1.0)) * F.col("n")
-
-    # one row for each context, at most CONTEXT_SHARE + 1: mass of its pairs, and of the same words without context
-    one = docs.sparkSession.createDataFrame(
-        pa.table({"word": np.arange(n_contexts, dtype=np.int64), "p": (often_counts[:n_contexts] + ADDED) / whole})
-    )
-    context, word = F.shiftright("key", 20), F.col("key").bitwiseAND((1 << 20) - 1)
-    held = pairs.select(context.alias("context"), word.alias("word"), discounted.alias("mass"))
-    sums = held.join(F.broadcast(one), "word").groupBy("context").agg(F.sum("mass").alias("mass"), F.sum("p").alias("p")).toArrow()
-    log_backoff, log_whole = np.zeros(n_contexts + 1), np.zeros(n_contexts + 1)
-    starts = words.where(F.col("key") == word_hash(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    seen = np.concatenate([often_counts[:n_contexts], [starts]]).astype(float)
-    at = sums.column("context").to_numpy()
-    mass, p = sums.column("mass").to_numpy(), sums.column("p").to_numpy()
-    of = np.where(seen[at] - mass > 1e-9 * seen[at], seen[at], seen[at] + 1)  # something is left for what was never seen
-    log_whole[at] = np.log10(of)
-    log_backoff[at] = np.log10((of - mass) / of / (1 - p))
+    def both_frequent():
+        numbers = numbers_of()
 
-    log_p = np.log10((often_counts + ADDED) / whole)
-    unknown = math.log10(ADDED / whole)
-    few = pairs.where(F.col("n") >= max(1, total / TABLE_SHARE)).orderBy("key").toArrow()
-    few_keys, few_n = few.column("key").to_numpy(), few.column("n").to_numpy()
+        def keys(some: list[str | None]) -> tuple[np.ndarray, int]:
+            word, context, _ = numbered(some, numbers, start)
+            return pair_keys(word, context)[1], len(word)
 
-    def gain(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """What a seen pair adds to the score of its back-off."""
-        c, w = keys >> 20, keys & ((1 << 20) - 1)
-        d = np.where(n <= K, np.array([*weights, 1.0])[np.minimum(n, K + 1) - 1], 1.0)
-        return np.log10(d * n) - log_whole[c] - log_backoff[c] - log_p[w]
+        return keys
 
-    model = share((log_p, log_backoff, few_keys, gain(few_keys, few_n)))
+    # the sums of what is handed on are at most the true counts: no pair that isn't hot has twice the least count
+    hot_pairs = counted(learnt, both_frequent, TABLE_SHARE).where(F.col("n") >= max(1, total / TABLE_SHARE)).select("key").orderBy("key")
+    hot_keys = hot_pairs.toArrow().column("key").to_numpy()
+    hot = share(hot_keys)
+
+    sums = frequent_pairs(texts, numbers_of, hot, by_word, start).unionByName(rare_words(texts, numbers_of, by_word, start, whole))
+    of_kind = lambda kind: sums.where(F.col("kind") == kind)
+    found = of_kind(HOT).select("id", "n").toArrow()
+    hot_counts = np.zeros(len(hot_keys), np.int64)
+    hot_counts[hot_keys.searchsorted(found.column("id").to_numpy())] = found.column("n").to_numpy()
+
+    # how many pairs have each count; m occurrences of pairs with the count r are m / r pairs
+    met = of_kind(TEXT).where("other = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES)).first()
+    weights = discounts({r: met[c] // r + int((hot_counts == r).sum()) for r, c in enumerate(CLASSES, 1)})
+    log_reduced = [math.log10(d * r) for r, d in enumerate([*weights, 1.0], 1)]
+
+    # frequent contexts and the start, at most TABLE_SHARE + 1 rows
+    stats = of_kind(CONTEXT).groupBy("id").agg(*(F.sum(c).alias(c) for c in (*CLASSES[:K], "y"))).toArrow()
+    at = stats.column("id").to_numpy()
+    of_class, p = np.zeros((K, start + 1)), np.zeros(start + 1)
+    for k in range(K):
+        of_class[k, at] = stats.column(CLASSES[k]).to_numpy()
+        np.add.at(of_class[k], hot_keys[hot_counts == k + 1] >> NUMBER_BITS, k + 1)
+    p[at] = stats.column("y").to_numpy()
+    np.add.at(p, hot_keys >> NUMBER_BITS, 10.0 ** log_p[hot_keys & ((1 << NUMBER_BITS) - 1)])
+    ends = words.where(F.col("key") == word_hash(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    seen = np.concatenate([often_counts, [ends]]).astype(float)
+    freed = np.tensordot(1 - np.array(weights), of_class, 1)
+    of = np.where(freed > 0, seen, seen + 1)
+    left = np.where(freed > 0, freed, 1.0)
+    known = p > 0
+    log_of = np.where(known, np.log10(of), 0.0)
+    log_backoff = np.where(known, np.log10(left / of / (1 - np.where(known, p, 0.0))), 0.0)
+    model = share((log_p, log_of, np.log10(np.maximum(hot_counts, 1)) + np.where(hot_counts <= K, np.log10([1.0, *weights, 1.0])[np.minimum(hot_counts, K + 1)], 0.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log_p, log_backoff, few_keys, few_gain = model.value
-        numbers = remembered(WordNumbers, model_name, frequent.value)
+        (log_p, log_of, log_hot), hot_keys, numbers = model.value, hot.value, numbers_of()
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
-            for a, b in slices(texts):
-                own, counts = tokens(texts[a:b])
-                found = np.fromiter(map(numbers.__getitem__, own), np.uint64, len(own))
-                context, key = pairs_of(found, counts, n_contexts)
-                starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-                doc = np.repeat(np.arange(row, row + b - a), counts)
-                rare = found >= np.uint64(RARE)
-                base = np.where(rare, unknown, log_p[np.where(rare, np.uint64(0), found).astype(np.int64)] if len(log_p) else unknown)
-                score = base + np.where(context >= 0, log_backoff[context], 0.0)
-                at = np.minimum(few_keys.searchsorted(key), max(0, len(few_keys) - 1))
-                here = (few_keys[at] == key) & (key >= 0) if len(few_keys) else np.zeros(len(key), bool)
-                score[here] += few_gain[at[here]]
-                ask = (key >= 0) & ~here
-                n, m = int(rare.sum()), int(ask.sum())
-                zeros = np.zeros(n + m)
+            own, ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            for a, b in slices(own):
+                word, context, counts = numbered(own[a:b], numbers, start)
+                starts, known = np.cumsum(counts) - counts, word < RARE
+                base, value = np.zeros(len(word)), np.zeros(len(word))
+                base[known] = log_p[word[known].astype(np.int64)]
+                value[context < RARE] = -log_of[context[context < RARE].astype(np.int64)]
+                both, keys = pair_keys(word, context)
+                at, here = found_in(hot_keys, keys)
+                value[np.flatnonzero(both)[here]] += log_hot[at[here]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([np.arange(row, row + b - a), doc[rare], doc[ask]])),
-                        pa.array(np.concatenate([np.zeros(b - a, np.int32), np.full(n, 1, np.int32), np.full(m, 2, np.int32)])),
-                        pa.concat_arrays([pa.array(ids[a:b], pa.int64()), pa.array((found[rare] & np.uint64(RARE - 1)).astype(np.int64)), pa.array(key[ask])]),
-                        pa.array(np.concatenate([counts, zeros.astype(np.int64)])),
-                        pa.array(np.concatenate([np.add.reduceat(~rare, starts, dtype=np.int64), zeros.astype(np.int64)])),
-                        pa.array(np.concatenate([np.add.reduceat(base, starts), zeros])),
-                        pa.array(np.concatenate([np.add.reduceat(score, starts), zeros])),
+                        pa.array(np.arange(row, row + b - a)), ids.slice(a, b - a), pa.array(counts), pa.array(np.add.reduceat(known, starts, dtype=np.int64)),
+                        pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(value, starts)),
                     ],
-                    ["row", "kind", "key", "n_tokens", "n_known", "base_score", "score"],
+                    ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
                 row += b - a
 
-    asked = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "row long, kind int, key long, n_tokens long, n_known long, base_score double, score double")
-    # rows of texts go along under keys of their own: the row numbers
-    asked = asked.withColumn("doc_id", F.when(F.col("kind") == 0, F.col("key"))).withColumn("key", F.when(F.col("kind") == 0, F.col("row")).otherwise(F.col("key")))
-    word_gain = F.log10((F.col("n") + ADDED) / ADDED)
-    by_context = docs.sparkSession.createDataFrame(pa.table({"context": np.arange(n_contexts + 1, dtype=np.int64), "less": log_whole + log_backoff}))
-    by_word = docs.sparkSession.createDataFrame(pa.table({"word": np.arange(n_contexts, dtype=np.int64), "log_p": log_p[:n_contexts]}))
-    pair_gain = (
-        pairs.withColumn("mass", discounted).withColumn("context", context).withColumn("word", word)
-        .join(F.broadcast(by_context), "context").join(F.broadcast(by_word), "word")
-        .select("key", F.lit(2).alias("kind"), F.lit(0).alias("known"), F.lit(0.0).alias("base_gain"), (F.log10("mass") - F.col("less") - F.col("log_p")).alias("gain"))
-    )
-    gains = words.select("key", F.lit(1).alias("kind"), F.lit(1).alias("known"), word_gain.alias("base_gain"), word_gain.alias("gain")).unionByName(pair_gain)
-    met = asked.join(gains, ["kind", "key"], "left")
-    plus = lambda c, g: F.sum(F.col(c) + F.coalesce(F.col(g), F.lit(0))).alias(c)
-    return (
-        met.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), plus("n_known", "known"), plus("base_score", "base_gain"), plus("score", "gain"))
-        .select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-    )
+    local = texts.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
+    classed = sum((F.col(c) * x for c, x in zip(CLASSES, log_reduced, strict=True)), F.lit(0.0))
+    by_text = of_kind(TEXT).select(F.col("id").alias("row"), F.col("n").alias("n_known"), F.col("y").alias("base_score"), (F.col("x") + classed).alias("score"))
+
+    contexts = spark.createDataFrame(pa.table({"other": np.arange(start + 1, dtype=np.int64), "more": log_of + log_backoff}))
+    unseen = of_kind(UNSEEN).join(F.broadcast(contexts), "other").select(F.col("id").alias("row"), (F.col("n") * F.col("more") + F.col("y")).alias("score"))
+
+    # rare words that are asked for, by a text or as a part of what follows a context
+    p_word = (F.coalesce(F.col("count"), F.lit(0)) + ADDED) / whole
+    asked = sums.where(F.col("kind").isin(RARE_WORD, FOLLOWING)).join(words.select(F.col("key").alias("other"), F.col("n").alias("count")), "other", "left").withColumn("p", p_word)
+    backed = asked.where(F.col("kind") == RARE_WORD).select(F.col("id").alias("row"), (F.col("n") * F.log10("p")).alias("score"))
+    follow = asked.where(F.col("kind") == FOLLOWING).groupBy("id").agg(*(F.sum(c).alias(c) for c in (*CLASSES[:K], "n")), F.sum(F.col("x") + F.col("y") * F.col("p")).alias("p"))
+    spare = sum((F.col(c) * (1 - d) for c, d in zip(CLASSES, weights, strict=False)), F.lit(0.0))
+    left, of = F.when(spare > 0, spare).otherwise(1.0), F.when(spare > 0, F.col("n")).otherwise(F.col("n") + 1)
+    backoff = follow.select(F.col("id").alias("other"), F.log10(left / of / (1 - F.col("p"))).alias("more"))
+    unseen_rare = of_kind(UNSEEN_RARE).join(backoff, "other").select(F.col("id").alias("row"), (F.col("n") * F.col("more")).alias("score"))
+
+    every = local
+    for part in (by_text, unseen, backed, unseen_rare):
+        every = every.unionByName(part, allowMissingColumns=True)
+    plus = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
+    return every.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *plus).select("doc_id", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:

@@ -86,8 +86,7 @@ def plain_scores(rows):
     train = [w for d, w in texts if d is not None and zlib.crc32(str(d).encode()) % 10 != 0]
     c = collections.Counter(x for w in train for x in w)
     total, whole = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
-    often = {w for w in c if c[w] >= max(1, total / katz.CONTEXT_SHARE)}
-    pairs = collections.Counter((a, b) for w in train for a, b in zip(["start", *w], w, strict=False) if (a == "start" or a in often) and b in often)
+    pairs = collections.Counter((a, b) for w in train for a, b in zip(["start", *w], w, strict=False))
     d = katz.discounts(collections.Counter(pairs.values()))
     p = lambda w: (c[w] + 0.1) / whole
     mass, seen = collections.defaultdict(float), collections.defaultdict(float)
@@ -108,7 +107,10 @@ def plain_scores(rows):
     return out, prob, c, mass, p
 
 
-def test_language_model(docs):
+@pytest.mark.parametrize("share", [katz.TABLE_SHARE, 1000, 20])
+def test_language_model(docs, share, monkeypatch):
+    """Whatever lies in the workers' tables, of words and pairs, and whatever is dealt."""
+    monkeypatch.setattr(katz, "TABLE_SHARE", share)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     expected, prob, c, mass, p = plain_scores(rows)
     found = katz.score_documents(docs).collect()
@@ -116,7 +118,8 @@ def test_language_model(docs):
     got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found), key=key)
     for a, b in zip(got, sorted(expected, key=key), strict=True):
         assert a[:4] == b[:4] and a[4:] == pytest.approx(b[4:], rel=1e-9)
-    for context in sorted(mass, key=repr)[:20]:  # all words and the unknown one sum to one
+    rare = [w for w in mass if w != "start" and c[w] == 1]
+    for context in sorted(mass, key=repr)[:20] + sorted(rare)[:20]:  # all words and the unknown one sum to one
         left = prob(context, b"never seen")
         assert sum(prob(context, w) for w in c) + left == pytest.approx(1)
 
