@@ -27,12 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringside.llm.common import remainder, shelve, slices, small_batches
+from ringside.llm.common import remainder, shelve, small_batches
+from ringside.llm.wordhash import Places, column_slices, word_hashes
 
 #: Most words, contexts or pairs of an array in a worker; bits of a frequent word's number; greatest discounted count.
 TABLE_SHARE, NUMBER_BITS, K = 1 << 20, 20, 5
@@ -40,10 +40,9 @@ TABLE_SHARE, NUMBER_BITS, K = 1 << 20, 20, 5
 ADDED = 0.1
 #: Tokens whose counts a worker adds up before it hands them on.
 HELD_TOKENS = 1 << 22
-CACHE_WORDS = 1 << 19
-#: No word holds a space: the end of a text.
-END = b" "
 RARE = 1 << 63
+#: The hash of the token that ends a text.
+END = RARE - 2
 #: Stands for the token after the end of a text.
 NONE = np.iinfo(np.int64).min
 #: What a row of sums is about: a text; a frequent context; pairs never seen, of a text and a frequent or rare context;
@@ -52,63 +51,34 @@ TEXT, CONTEXT, UNSEEN, UNSEEN_RARE, RARE_WORD, FOLLOWING, HOT = range(7)
 CLASSES = [f"k{r}" for r in range(1, K + 2)]
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(word) & (RARE - 1)
+#: The workers' tables of frequent words, kept from task to task: the last one, by a name for it.
+_places: dict[str, Places] = {}
 
 
-class WordHashes63(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = word_hash(word)
-        return value
+def places_of(name: str, hashes: np.ndarray) -> Places:
+    if name not in _places:
+        _places.clear()
+        _places[name] = Places(hashes)
+    return _places[name]
 
 
-class WordNumbers(dict):
-    """word -> its place in the table of frequent words, or its hash with the highest bit set."""
+def walked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Slices of batches with a text column; row numbers, hashes of all tokens and tokens of each text."""
+    row = TaskContext.get().partitionId() << 40
+    for batch in batches:
+        for a, texts in column_slices(batch.column("text")):
+            yield batch.slice(a, len(texts)), np.arange(row + a, row + a + len(texts)), *word_hashes(texts, END)
+        row += len(batch)
 
-    def __init__(self, hashes: np.ndarray):
-        super().__init__()
-        self.places = {h: i for i, h in enumerate(hashes.tolist())}
 
-    def __missing__(self, word: bytes) -> int:
-        h = word_hash(word)
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        value = self[word] = self.places.get(h, h | RARE)
-        return value
-
-
-#: What a worker has remembered of words, kept from task to task: the last table of each kind, by a name for it.
-_remembered: dict[type, tuple[str, dict]] = {}
-
-
-def remembered(kind: type, name: str, *args) -> dict:
-    if _remembered.get(kind, (None,))[0] != name:
-        _remembered[kind] = name, kind(*args)
-    return _remembered[kind][1]
-
-
-def tokens(texts: list[str | None]) -> tuple[list[bytes], np.ndarray]:
-    """All tokens of some texts, one after the other, and how many each has; every text ends with END."""
-    words: list[bytes] = []
-    counts = np.empty(len(texts), np.int64)
-    for i, text in enumerate(texts):
-        own = (text or "").encode().lower().split()
-        words += own
-        words.append(END)
-        counts[i] = len(own) + 1
-    return words, counts
-
-
-def numbered(texts: list[str | None], numbers: WordNumbers, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of some texts the numbers of all tokens, those of their contexts (start: before a text), and tokens of each text."""
-    own, counts = tokens(texts)
-    word = np.fromiter(map(numbers.__getitem__, own), np.uint64, len(own))
+def numbered(hashes: np.ndarray, counts: np.ndarray, places: Places, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of tokens and of their contexts (start: before a text)."""
+    place = places.find(hashes)
+    word = np.where(place >= 0, place.astype(np.uint64), hashes | np.uint64(RARE))
     context = np.empty_like(word)
     context[1:] = word[:-1]
     context[np.cumsum(counts) - counts] = start
-    return word, context, counts
+    return word, context
 
 
 def pair_keys(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,18 +87,6 @@ def pair_keys(word: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.nda
     return both, ((context[both] << np.uint64(NUMBER_BITS)) | word[both]).astype(np.int64)
 
 
-def merged(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct rows of some columns and the sum of n over each."""
-    if not len(n):
-        return columns, n
-    order = np.lexsort(columns)
-    columns = [c[order] for c in columns]
-    new = np.ones(len(n), bool)
-    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    starts = np.flatnonzero(new)
-    return [c[starts] for c in columns], np.add.reduceat(n[order], starts)
-
-
 def summed(held: list[np.ndarray], least: float) -> pa.RecordBatch:
     values, counts = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64),) * 2
     often = counts >= least
@@ -136,7 +94,7 @@ def summed(held: list[np.ndarray], least: float) -> pa.RecordBatch:
 
 
 def counted(docs: DataFrame, keys_of, share: int | None = None) -> DataFrame:
-    """(key, n) over all docs: keys_of makes a function from texts to keys and a number of tokens, once in each task.
+    """(key, n) over all docs: keys_of makes a function from hashes of tokens, and tokens of each text, to keys, once in each task.
 
     With a share, a count that is less than one in so many of the tokens it was taken over isn't handed on: all such
     counts of a key are less than one in so many of all tokens.
@@ -144,15 +102,12 @@ def counted(docs: DataFrame, keys_of, share: int | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, held, n = keys_of(), [], 0
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for a, b in slices(texts):
-                found, met = keys(texts[a:b])
-                held.append(found)
-                n += met
-                if n > HELD_TOKENS:
-                    yield summed(held, n / share if share else 1)
-                    held, n = [], 0
+        for _, _, hashes, counts in walked(batches):
+            held.append(keys(hashes, counts))
+            n += len(hashes)
+            if n > HELD_TOKENS:
+                yield summed(held, n / share if share else 1)
+                held, n = [], 0
         yield summed(held, n / share if share else 1)
 
     return docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
@@ -170,10 +125,13 @@ def discounts(of_counts: dict[int, int]) -> list[float]:
     return [d if 0 < d < 1 else p for d, p in zip(found, plain, strict=True)]
 
 
-def entry(when: Column, kind: int, id_: Column, other=None, r=None, m=None, x=0.0, y=0.0, n=0) -> Column:
-    """A row of sums, or null: m occurrences of pairs with the count r, and further sums x, y, n."""
+def entry(when: Column, kind: int, id_: Column, other=None, m=None, counts=(), x=0.0, y=0.0, n=0) -> Column:
+    """A row of sums, or null: m occurrences of a pair with each of some counts, and further sums x, y, n."""
     as_column = lambda v: v if isinstance(v, Column) else F.lit(v)
-    classes = [F.coalesce(F.when(r == k, m), F.lit(0)).cast("long").alias(c) if r is not None else F.lit(0).cast("long").alias(c) for k, c in enumerate(CLASSES, 1)]
+    classes = []
+    for k, name in enumerate(CLASSES, 1):
+        own = [F.when(r == k, m).otherwise(0) for r in counts]
+        classes.append((sum(own[1:], own[0]) if own else F.lit(0)).cast("long").alias(name))
     return F.when(
         when,
         F.struct(
@@ -183,9 +141,9 @@ def entry(when: Column, kind: int, id_: Column, other=None, r=None, m=None, x=0.
     )
 
 
-def sums_of(df: DataFrame, entries: list[Column]) -> DataFrame:
-    """kind, id, other and the sums over all entries that aren't null, written to the shared folder."""
-    rows = df.select(F.inline(F.array(*entries))).where(F.col("kind").isNotNull())
+def sums_of(df: DataFrame, usual: list[Column], seldom: list[Column], when_seldom: Column) -> DataFrame:
+    """kind, id, other and the sums over the entries of all rows that aren't null, written to the shared folder."""
+    rows = df.select(F.inline(F.when(when_seldom, F.array(*seldom)).otherwise(F.array(*usual)))).where(F.col("kind").isNotNull())
     return shelve(rows.groupBy("kind", "id", "other").agg(*(F.sum(c).alias(c) for c in (*CLASSES, "x", "y", "n"))))
 
 
@@ -194,24 +152,20 @@ def log_of_large(r: Column, m: Column) -> Column:
     return F.when(r > K + 1, m * F.log10(r)).otherwise(0.0)
 
 
-def frequent_pairs(texts: DataFrame, numbers_of, hot, words: DataFrame, start: int) -> DataFrame:
+def frequent_pairs(texts: DataFrame, places, hot, words: DataFrame, start: int) -> DataFrame:
     """Sums over pairs of frequent words: all but the hot ones, whose counts alone are summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, hot_keys, row = numbers_of(), hot.value, TaskContext.get().partitionId() << 40
+        hot_keys = hot.value
         hot_counts = np.zeros(len(hot_keys), np.int64)
-        for batch in batches:
-            own, train = batch.column("text").to_pylist(), batch.column("train").to_numpy(zero_copy_only=False)
-            for a, b in slices(own):
-                word, context, counts = numbered(own[a:b], numbers, start)
-                both, keys = pair_keys(word, context)
-                doc = np.repeat(np.arange(row, row + b - a), counts)[both]
-                learnt = np.repeat(train[a:b], counts)[both]
-                at, here = found_in(hot_keys, keys)
-                np.add.at(hot_counts, at[here & learnt], 1)
-                (k, d), n = merged([keys[~here], doc[~here]], np.where(learnt[~here], 1, -1))
-                yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(n, pa.int32())], ["key", "row", "n"])
-                row += b - a
+        for batch, rows, hashes, counts in walked(batches):
+            both, keys = pair_keys(*numbered(hashes, counts, places(), start))
+            doc = np.repeat(rows, counts)[both]
+            learnt = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), counts)[both]
+            at, here = found_in(hot_keys, keys)
+            np.add.at(hot_counts, at[here & learnt], 1)
+            columns = [pa.array(keys[~here]), pa.array(doc[~here]), pa.array(np.where(learnt[~here], 1, -1).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "row", "n"])
         some = np.flatnonzero(hot_counts)
         yield pa.RecordBatch.from_arrays([pa.array(hot_keys[some], pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(hot_counts[some], pa.int32())], ["key", "row", "n"])
 
@@ -220,38 +174,33 @@ def frequent_pairs(texts: DataFrame, numbers_of, hot, words: DataFrame, start: i
     met = met.withColumn("word", F.col("key").bitwiseAND((1 << NUMBER_BITS) - 1)).join(F.broadcast(words), "word")
     row, r, n, context = F.col("row"), F.col("r"), F.col("n"), F.shiftright("key", NUMBER_BITS)
     m, own, train = F.abs("n"), row.isNotNull(), F.col("n") > 0
-    return sums_of(met, [
-        entry(own & (r > 0), TEXT, row, (~train).cast("int"), r, m, x=log_of_large(r, m)),
-        entry(own & train, CONTEXT, context, None, r, m, y=m / F.greatest(r, F.lit(1)) * F.pow(F.lit(10.0), F.col("log_p"))),
-        entry(own & (r == 0), UNSEEN, row, context, y=m * F.col("log_p"), n=m),
-        entry(~own, HOT, F.col("key"), n=n),
-    ])
+    of_text = entry(own & (r > 0), TEXT, row, (~train).cast("int"), m, [r], x=log_of_large(r, m))
+    of_context = entry(own & train, CONTEXT, context, None, m, [r], y=m * F.col("p") / F.greatest(r, F.lit(1)))
+    unseen = entry(own & (r == 0), UNSEEN, row, context, y=m * F.col("log_p"), n=m)
+    return sums_of(met, [of_text, of_context], [of_text, unseen, entry(~own, HOT, F.col("key"), n=n)], ~own | ~train)
 
 
-def rare_words(texts: DataFrame, numbers_of, words: DataFrame, start: int, whole: float) -> DataFrame:
+def rare_words(texts: DataFrame, places, words: DataFrame, start: int, whole: float) -> DataFrame:
     """Sums over the occurrences of rare words, the tokens after them, and before them where these are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, row = numbers_of(), TaskContext.get().partitionId() << 40
         low = np.uint64(RARE - 1)
-        for batch in batches:
-            own, train = batch.column("text").to_pylist(), batch.column("train").to_numpy(zero_copy_only=False)
-            for a, b in slices(own):
-                word, context, counts = numbered(own[a:b], numbers, start)
-                after = np.full(len(word), NONE)
-                # a rare word after the context: -1 less its hash
-                after[:-1] = np.where(word[1:] < RARE, word[1:].astype(np.int64), -1 - (word[1:] & low).astype(np.int64))
-                after[np.cumsum(counts) - 1] = NONE
-                at = np.flatnonzero(word >= RARE)
-                before = np.where(context[at] < RARE, context[at], 0).astype(np.int64)
-                before[context[at] >= RARE] = -1
-                doc, learnt = np.repeat(np.arange(row, row + b - a), counts)[at], np.repeat(train[a:b], counts)[at]
-                (k, d, p, f), n = merged([(word[at] & low).astype(np.int64), doc, before, after[at]], np.where(learnt, 1, -1))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k, pa.int64()), pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(f, pa.int64(), mask=f == NONE), pa.array(n, pa.int32())],
-                    ["key", "row", "before", "after", "n"],
-                )
-                row += b - a
+        for batch, rows, hashes, counts in walked(batches):
+            word, context = numbered(hashes, counts, places(), start)
+            after = np.full(len(word), NONE)
+            # a rare word after the context: -1 less its hash
+            after[:-1] = np.where(word[1:] < RARE, word[1:].astype(np.int64), -1 - (word[1:] & low).astype(np.int64))
+            after[np.cumsum(counts) - 1] = NONE
+            at = np.flatnonzero(word >= RARE)
+            before = np.where(context[at] < RARE, context[at].astype(np.int64), -1)
+            learnt = np.repeat(batch.column("train").to_numpy(zero_copy_only=False), counts)[at]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array((word[at] & low).astype(np.int64)), pa.array(np.repeat(rows, counts)[at]), pa.array(before.astype(np.int32)),
+                    pa.array(after[at], mask=after[at] == NONE), pa.array(np.where(learnt, 1, -1).astype(np.int32)),
+                ],
+                ["key", "row", "before", "after", "n"],
+            )
 
     n = F.col("n")
     learnt = F.when(n > 0, n)
@@ -263,22 +212,24 @@ def rare_words(texts: DataFrame, numbers_of, words: DataFrame, start: int, whole
     unseen = follows & (n < 0) & (F.col("r") == 0)
     met = met.withColumn("frees", anywhere(follows & (n > 0) & (F.col("r") <= K))).withColumn("asked", anywhere(unseen) & (F.col("c") > 0))
     met = met.withColumn("q", count("key", "before"))
-    met = met.join(F.broadcast(words.select(F.col("word").alias("after"), F.col("log_p").alias("log_after"))), "after", "left")
+    met = met.join(F.broadcast(words.select(F.col("word").alias("after"), F.col("p").alias("p_after"), F.col("log_p").alias("log_after"))), "after", "left")
     key, row, before, r, c, q, m = (*map(F.col, ("key", "row", "before", "r", "c", "q")), F.abs("n"))
     held, log_after = (n < 0).cast("int"), F.col("log_after")
     rare_after = F.when(F.col("after") < 0, -1 - F.col("after"))
     log_p, part = F.log10((c + ADDED) / whole), m / F.greatest(r, F.lit(1))
     # what the pair of this word and the next gives: seen; not seen; or a context without any count
     given = F.when(r > 0, log_of_large(r, m) - m * F.log10(F.when(F.col("frees"), c).otherwise(c + 1))).otherwise(m * F.coalesce(log_after, F.lit(0.0)))
-    return sums_of(met, [
-        entry(F.lit(True), TEXT, row, held, r=F.when(follows & (r > 0), r), m=m, x=F.when(follows, given).otherwise(0.0), y=m * log_p, n=F.when(c > 0, m).otherwise(0)),
-        entry((before >= 0) & (q > 0), TEXT, row, held, q, m, x=log_of_large(q, m)),
-        entry((before >= 0) & (n > 0), CONTEXT, before, None, q, m, y=m / F.greatest(q, F.lit(1)) * (c + ADDED) / whole),
+    given = F.when(follows, given).otherwise(0.0) + F.when(before >= 0, log_of_large(q, m)).otherwise(0.0)
+    pairs = [F.when(follows, r).otherwise(0), F.when(before >= 0, q).otherwise(0)]
+    of_text = entry(F.lit(True), TEXT, row, held, m, pairs, x=given, y=m * log_p, n=F.when(c > 0, m).otherwise(0))
+    of_context = entry((before >= 0) & (n > 0), CONTEXT, before, None, m, [q], y=m / F.greatest(q, F.lit(1)) * (c + ADDED) / whole)
+    return sums_of(met, [of_text, of_context], [
+        of_text, of_context,
         entry((before >= 0) & (q == 0), UNSEEN, row, before, y=m * log_p, n=m),
         entry(unseen & (c > 0), UNSEEN_RARE, row, key, n=m),
         entry(unseen & (F.col("after") < 0), RARE_WORD, row, rare_after, n=m),
-        entry(F.col("asked") & follows & (n > 0), FOLLOWING, key, rare_after, r, m, x=part * F.coalesce(F.pow(F.lit(10.0), log_after), F.lit(0.0)), y=F.when(F.col("after") < 0, part).otherwise(0.0), n=m),
-    ])
+        entry(F.col("asked") & follows & (n > 0), FOLLOWING, key, rare_after, m, [r], x=part * F.coalesce("p_after", F.lit(0.0)), y=F.when(F.col("after") < 0, part).otherwise(0.0), n=m),
+    ], (n < 0) | F.col("asked"))
 
 
 def found_in(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,42 +254,27 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(train, F.lit(False)).alias("train"))
     learnt = texts.where("train")
 
-    def word_keys():
-        hashes = remembered(WordHashes63, "")
-
-        def keys(some: list[str | None]) -> tuple[np.ndarray, int]:
-            own = tokens(some)[0]
-            return np.fromiter(map(hashes.__getitem__, own), np.int64, len(own)), len(own)
-
-        return keys
-
-    words = shelve(counted(learnt, word_keys))
+    words = shelve(counted(learnt, lambda: lambda hashes, counts: hashes.astype(np.int64)))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     whole = total + ADDED * (distinct + 1)
     often = words.where(F.col("n") >= max(1, total / TABLE_SHARE)).orderBy(F.desc("n"), "key").toArrow()
     frequent, model_name = share(often.column("key").to_numpy().astype(np.uint64)), uuid.uuid4().hex
     often_counts, start = often.column("n").to_numpy(), len(often)
     log_p = np.log10((often_counts + ADDED) / whole)
-    by_word = spark.createDataFrame(pa.table({"word": np.arange(start, dtype=np.int64), "log_p": log_p}))
+    by_word = spark.createDataFrame(pa.table({"word": np.arange(start, dtype=np.int64), "p": (often_counts + ADDED) / whole, "log_p": log_p}))
 
-    def numbers_of() -> WordNumbers:
-        return remembered(WordNumbers, model_name, frequent.value)
+    def places() -> Places:
+        return places_of(model_name, frequent.value)
 
     def both_frequent():
-        numbers = numbers_of()
-
-        def keys(some: list[str | None]) -> tuple[np.ndarray, int]:
-            word, context, _ = numbered(some, numbers, start)
-            return pair_keys(word, context)[1], len(word)
-
-        return keys
+        return lambda hashes, counts: pair_keys(*numbered(hashes, counts, places(), start))[1]
 
     # the sums of what is handed on are at most the true counts: no pair that isn't hot has twice the least count
     hot_pairs = counted(learnt, both_frequent, TABLE_SHARE).where(F.col("n") >= max(1, total / TABLE_SHARE)).select("key").orderBy("key")
     hot_keys = hot_pairs.toArrow().column("key").to_numpy()
     hot = share(hot_keys)
 
-    sums = frequent_pairs(texts, numbers_of, hot, by_word, start).unionByName(rare_words(texts, numbers_of, by_word, start, whole))
+    sums = frequent_pairs(texts, places, hot, by_word, start).unionByName(rare_words(texts, places, by_word, start, whole))
     of_kind = lambda kind: sums.where(F.col("kind") == kind)
     found = of_kind(HOT).select("id", "n").toArrow()
     hot_counts = np.zeros(len(hot_keys), np.int64)
@@ -358,7 +294,7 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
         np.add.at(of_class[k], hot_keys[hot_counts == k + 1] >> NUMBER_BITS, k + 1)
     p[at] = stats.column("y").to_numpy()
     np.add.at(p, hot_keys >> NUMBER_BITS, 10.0 ** log_p[hot_keys & ((1 << NUMBER_BITS) - 1)])
-    ends = words.where(F.col("key") == word_hash(END)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    ends = words.where(F.col("key") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     seen = np.concatenate([often_counts, [ends]]).astype(float)
     freed = np.tensordot(1 - np.array(weights), of_class, 1)
     of = np.where(freed > 0, seen, seen + 1)
@@ -369,27 +305,23 @@ def score(docs: DataFrame, train: Column) -> DataFrame:
     model = share((log_p, log_of, np.log10(np.maximum(hot_counts, 1)) + np.where(hot_counts <= K, np.log10([1.0, *weights, 1.0])[np.minimum(hot_counts, K + 1)], 0.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (log_p, log_of, log_hot), hot_keys, numbers = model.value, hot.value, numbers_of()
-        row = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            own, ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            for a, b in slices(own):
-                word, context, counts = numbered(own[a:b], numbers, start)
-                starts, known = np.cumsum(counts) - counts, word < RARE
-                base, value = np.zeros(len(word)), np.zeros(len(word))
-                base[known] = log_p[word[known].astype(np.int64)]
-                value[context < RARE] = -log_of[context[context < RARE].astype(np.int64)]
-                both, keys = pair_keys(word, context)
-                at, here = found_in(hot_keys, keys)
-                value[np.flatnonzero(both)[here]] += log_hot[at[here]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.arange(row, row + b - a)), ids.slice(a, b - a), pa.array(counts), pa.array(np.add.reduceat(known, starts, dtype=np.int64)),
-                        pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(value, starts)),
-                    ],
-                    ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"],
-                )
-                row += b - a
+        (log_p, log_of, log_hot), hot_keys = model.value, hot.value
+        for batch, rows, hashes, counts in walked(batches):
+            word, context = numbered(hashes, counts, places(), start)
+            starts, known = np.cumsum(counts) - counts, word < RARE
+            base, value = np.zeros(len(word)), np.zeros(len(word))
+            base[known] = log_p[word[known].astype(np.int64)]
+            value[context < RARE] = -log_of[context[context < RARE].astype(np.int64)]
+            both, keys = pair_keys(word, context)
+            at, here = found_in(hot_keys, keys)
+            value[np.flatnonzero(both)[here]] += log_hot[at[here]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rows), batch.column("doc_id"), pa.array(counts), pa.array(np.add.reduceat(known, starts, dtype=np.int64)),
+                    pa.array(np.add.reduceat(base, starts)), pa.array(np.add.reduceat(value, starts)),
+                ],
+                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"],
+            )
 
     local = texts.mapInArrow(run, "row long, doc_id long, n_tokens long, n_known long, base_score double, score double")
     classed = sum((F.col(c) * x for c, x in zip(CLASSES, log_reduced, strict=True)), F.lit(0.0))
