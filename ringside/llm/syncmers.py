@@ -2,9 +2,8 @@
 
 A text is a sequence of words (longer ones cut into pieces). Of each run of K words all runs of S words inside are
 hashed; the run is an anchor if the least hash stands at its first or last place. Whether a run is an anchor depends on
-nothing outside it, so texts that share a passage share its anchors wherever it stands. Likeness is taken over all
-anchors of both texts. The fingerprint as written holds, in text order, the anchors of the SIZE least hashes: all of
-them for most documents, a sample for long ones.
+nothing outside it, so texts that share a passage share its anchors wherever it stands. A fingerprint holds all distinct
+anchors of its text, in text order, and likeness is taken over all of them.
 """
 
 from __future__ import annotations
@@ -14,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ringside.llm.common import shelve
 
-#: Words of a run, words of the runs inside, most anchors of a written fingerprint, characters of a piece of a word.
-K, S, SIZE, PIECE = 5, 2, 128, 16
+#: Words of a run, words of the runs inside, characters of a piece of a word.
+K, S, PIECE = 5, 2, 16
 #: Neighbouring keys are found in groups of 2**BITS keys, then of 2**BITS groups and so on; texts lie in groups of 2**GROUP_BITS ids.
 BITS, GROUP_BITS = 8, 5
 
@@ -42,9 +41,8 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def written(anchors: str) -> Column:
-    """Fingerprint: 16 hex digits for each of the SIZE least anchors, in text order."""
-    kept = F.when(F.size(anchors) > SIZE, F.array_intersect(anchors, F.slice(F.array_sort(anchors), 1, SIZE))).otherwise(F.col(anchors))
-    return F.array_join(F.transform(kept, lambda x: F.lpad(F.hex(x), 16, "0")), "")
+    """Fingerprint: 16 hex digits for each anchor, in text order."""
+    return F.array_join(F.transform(anchors, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
 def likeness(a: str, b: str) -> Column:

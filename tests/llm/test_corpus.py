@@ -4,10 +4,12 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from ringside.llm import chunkdedup, katz, mixing, superminhash, syncmers
@@ -182,13 +184,42 @@ def test_fingerprints_of_far_ids(docs_of):
             assert x.near_next == pytest.approx(dice(anchors(x.fingerprint), of[after[x.doc_id]]))
 
 
+def plain_fingerprint(text):
+    """All closed syncmers of a text by a plain search, as Spark's hashes name them."""
+    def h(*values):
+        seed = 42
+        for v in values:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little"), seed)
+        return seed
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [h(piece) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "") for piece in (w[i : i + syncmers.PIECE] for i in range(0, len(w), syncmers.PIECE))]
+    inner = [h(a, b) for a, b in zip(words, words[1:], strict=False)]
+    found = []
+    for i in range(len(words) - syncmers.K + 1):
+        own = [signed(x) for x in inner[i : i + syncmers.K - syncmers.S + 1]]
+        if min(own) in (own[0], own[-1]):
+            found.append(h(*inner[i : i + syncmers.K - syncmers.S + 1]))
+    if 0 < len(words) < syncmers.K:
+        found = [h(*words)]
+    return "".join(f"{x:016X}" for x in dict.fromkeys(found))
+
+
+def test_fingerprints_are_all_closed_syncmers(docs):
+    texts = collections.defaultdict(set)
+    for r in docs.collect():
+        texts[r.doc_id].add(plain_fingerprint(r.text))
+    for x in syncmers.fingerprints(docs).collect():
+        assert x.fingerprint in texts[x.doc_id]
+
+
 def test_fingerprints_hold_their_anchors(docs_of):
-    """All anchors of a text with fewer than SIZE of them, SIZE of a longer one's; a passage keeps its own wherever it stands."""
+    """All anchors of a text, however long; a passage keeps its own wherever it stands."""
     words = [f"word{i}" for i in range(2000)]
     found = {x.doc_id: x.fingerprint for x in syncmers.fingerprints(docs_of((1, " ".join(words[:100])), (2, " ".join(words)), (3, "x y z " + " ".join(words[:100])))).collect()}
     anchors = {d: [f[i : i + 16] for i in range(0, len(f), 16)] for d, f in found.items()}
-    assert syncmers.SIZE == 128 and len(anchors[2]) == 128 and 30 < len(anchors[1]) < 70
-    assert anchors[3][-len(anchors[1]) :] == anchors[1]
+    assert 800 < len(anchors[2]) < 1200 and 30 < len(anchors[1]) < 70
+    assert anchors[3][-len(anchors[1]) :] == anchors[1] == anchors[2][: len(anchors[1])]
 
 
 def test_lower_neighbours(spark):
