@@ -87,11 +87,16 @@ def finishes(long: DataFrame) -> DataFrame:
 
 
 def evidence(long: DataFrame) -> DataFrame:
-    """Digest of what a snapshot rests on. A running digest: each bout's adds to that of all bouts before it, so no list grows."""
-    own = F.conv(F.substring(F.sha2(F.concat_ws("|", BOUT, DAY, "outcome"), 256), 1, 12), 16, 10).cast("long")
-    total = long.withColumn("own", own).withColumn("evidence_sum", F.coalesce(F.sum(F.col("own") % 1_000_000_007).over(prior()), F.lit(0)))
-    digest = F.sha2(F.concat_ws("|", OWNER, F.coalesce(n_prior(), F.lit(0)).cast("string"), F.col("evidence_sum").cast("string")), 256)
-    return total.withColumn("evidence_sha256", digest).drop("own", "evidence_sum")
+    """Digest of what a snapshot rests on: its owner, the number of earlier bouts, and all of them.
+
+    Bouts bear their dates, so the set of them says their order too: it's told by the exclusive or of 240 bits of each
+    bout's digest, which a window carries on; no list of earlier bouts is ever gathered.
+    """
+    own = F.sha2(F.concat_ws("|", BOUT, F.col(DAY).cast("string"), "outcome"), 256)
+    parts = {f"part_{i}": F.conv(F.substring("own", 1 + 15 * i, 15), 16, 10).cast("long") for i in range(4)}
+    long = long.withColumn("own", own).withColumns(parts)
+    long = long.withColumns({n: F.coalesce(F.bit_xor(n).over(prior()), F.lit(0).cast("long")) for n in parts} | {"past": n_prior()})
+    return long.withColumn("evidence_sha256", F.sha2(F.concat_ws("|", OWNER, *(F.col(c).cast("string") for c in ("past", *parts))), 256)).drop("own", "past", *parts)
 
 
 def prefight_history(bouts: DataFrame) -> DataFrame:

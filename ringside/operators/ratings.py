@@ -24,33 +24,37 @@ def expected(own: Column, other: Column) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), (other - own) / SCALE))
 
 
-def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Bouts in order of date -> a row for each competitor and bout with the ratings before and after its date."""
+def _fold(frames: Iterator[pd.DataFrame], *group: str) -> Iterator[pd.DataFrame]:
+    """Bouts in order of group and date -> a row for each competitor and bout: own ratings before and after its date, and
+    the opponent's before. Each group begins anew; only ratings and one date's bouts are held."""
+    columns = [BOUT, OWNER, "rating_before", "rating_after", "opponent_rating", *group]
     rating: dict[str, float] = {}
     held: list[tuple] = []
 
     def close(day: list[tuple]) -> list[tuple]:
         change: dict[str, float] = {}
-        for _, _, a, b, points, rated in day:
+        for _, _, a, b, points, rated, *_ in day:
             if rated:
                 gain = STEP * (points - 1 / (1 + 10 ** ((rating.get(b, START) - rating.get(a, START)) / SCALE)))
                 change[a], change[b] = change.get(a, 0.0) + gain, change.get(b, 0.0) - gain
         before = {f: rating.get(f, START) for row in day for f in row[2:4]}
         rating.update({f: rating.get(f, START) + x for f, x in change.items()})
-        return [(bout, f, before[f], rating.get(f, START)) for bout, _, a, b, _, _ in day for f in (a, b)]
+        return [(bout, f, before[f], rating.get(f, START), before[o], *group) for bout, _, a, b, _, _, *group in day for f, o in ((a, b), (b, a))]
 
     for frame in frames:
         out = []
-        for row in frame.itertuples(index=False):
-            if held and row[1] != held[0][1]:
+        for row in frame.itertuples(index=False, name=None):
+            if held and (row[1] != held[0][1] or row[6:] != held[0][6:]):
                 out += close(held)
+                if row[6:] != held[0][6:]:
+                    rating.clear()
                 held = []
-            held.append(tuple(row))
-        yield pd.DataFrame(out, columns=[BOUT, OWNER, "rating_before", "rating_after"])
-    yield pd.DataFrame(close(held), columns=[BOUT, OWNER, "rating_before", "rating_after"])
+            held.append(row)
+        yield pd.DataFrame(out, columns=columns)
+    yield pd.DataFrame(close(held), columns=columns)
 
 
-_SCHEMA = f"{BOUT} string, {OWNER} string, rating_before double, rating_after double"
+_SCHEMA = f"{BOUT} string, {OWNER} string, rating_before double, rating_after double, opponent_rating double"
 
 
 def _games(bouts: DataFrame, *keep: str) -> DataFrame:
@@ -64,22 +68,18 @@ def overall(bouts: DataFrame) -> DataFrame:
 
 
 def by_division(bouts: DataFrame, division: str = "division") -> DataFrame:
-    """The same within each division, in parallel; bouts of an unknown division have none."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[division].iloc[0]
-        ordered = pdf.drop(columns=division).sort_values([DAY, BOUT])
-        return pd.concat(list(_fold(iter([ordered])))).assign(**{division: name})
+    """The same within each division, in parallel; bouts of an unknown division have none.
 
+    A division's bouts stream through a task in order of date, so no task holds more than ratings and one date's bouts.
+    """
     known = _games(bouts, division).where(F.col(division).isNotNull())
-    return known.groupBy(division).applyInPandas(fold, f"{_SCHEMA}, {division} string")
+    ordered = known.repartition(division).sortWithinPartitions(division, DAY, BOUT)
+    return ordered.mapInPandas(lambda frames: _fold(frames, division), f"{_SCHEMA}, {division} string")
 
 
 def strength(bouts: DataFrame, rated: DataFrame) -> DataFrame:
     """From the ratings: counts, the peak, the change over three rated bouts, and the ratings of the opponents met."""
-    long = sides(bouts).join(rated, [BOUT, OWNER])
-    other = rated.select(BOUT, F.col(OWNER).alias("opponent_id"), F.col("rating_before").alias("opponent_rating"))
-    long = long.join(other, [BOUT, "opponent_id"]).where("outcome <> 'no_contest'")
+    long = sides(bouts).join(rated, [BOUT, OWNER]).where("outcome <> 'no_contest'")
     beaten = F.when(F.col("outcome") == "win", F.col("opponent_rating"))
     long = with_columns(
         long,

@@ -121,7 +121,23 @@ def w07_finishes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select(BOUT, OWNER, *(f"prior_{k}_wins" for k in ("ko_tko", "submission", "decision", "other")), "finish_win_rate"))
 
 
-@query()
+_XORS = ", ".join(f"coalesce(bit_xor(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT) OVER w, 0) AS x{i}" for i in range(4))
+_EVIDENCE = (
+    _LONG
+    + f""", hs AS (SELECT bout_id, fighter_id, fight_date, sha256(concat_ws('|', bout_id, CAST(fight_date AS VARCHAR), outcome)) AS h FROM o),
+xs AS (SELECT bout_id, fighter_id, count(*) OVER w AS n, {_XORS} FROM hs WINDOW w AS ({_STRICT}))
+SELECT bout_id, fighter_id, sha256(concat_ws('|', fighter_id, n, x0, x1, x2, x3)) AS evidence_sha256 FROM xs"""
+)
+
+
+def _history_sql(bouts: str = _BOUTS, where: str = "TRUE") -> str:
+    """The whole snapshot from the parts above, over a given form of the table of bouts."""
+    parts = [ORACLE_SQL[n] for n in ("w01_w02_w03_w08_record", "w04_activity", "w05_recent_five", "w06_streaks", "w07_finishes")] + [_EVIDENCE]
+    joined = " JOIN ".join(f"({p.replace(_BOUTS, bouts, 1)}) p{i}" + (" USING (bout_id, fighter_id)" if i else "") for i, p in enumerate(parts))
+    return f"SELECT * FROM {joined} WHERE {where}"
+
+
+@query(_history_sql())
 def w09_w10_prefight_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.prefight_history(proxy.bouts(spark, sf_dir)))
 
@@ -491,7 +507,11 @@ def x08_canonical_fighters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.canonical_fighters(_aliases(spark, sf_dir)).drop("fighter_id")
 
 
-@query()
+@query(
+    _ALIASES
+    + """, h AS (SELECT DISTINCT name_key, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('fighter:' || name_key)) AS h FROM nk)
+SELECT name_key, concat_ws('-', substr(h, 1, 8), substr(h, 9, 4), '5' || substr(h, 14, 3), printf('%02x', (('0x' || substr(h, 17, 2))::INTEGER & 63) | 128) || substr(h, 19, 2), substr(h, 21, 12)) AS fighter_id FROM h"""
+)
 def f03_fighter_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.canonical_fighters(_aliases(spark, sf_dir)).select("name_key", "fighter_id")
 
@@ -806,11 +826,11 @@ def g19_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.parity(rows, served, [BOUT], ["a_prior_bouts", "diff_prior_win_rate"])
 
 
-_AUTH = "auth AS (SELECT o_orderpriority AS scope, CASE WHEN o_orderkey % 3 = 0 THEN 'packet' ELSE 'legacy' END AS ledger, 'auth-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS authority_id, CASE WHEN o_orderkey % 2 = 0 THEN 'accept' ELSE 'reject' END AS value FROM orders WHERE o_orderkey < 60)"
+_AUTH = "auth AS (SELECT o_orderpriority AS scope, CASE WHEN o_orderkey % 3 = 0 THEN 'packet' ELSE 'legacy' END AS ledger, 'auth-' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') AS authority_id, CASE WHEN o_orderkey % 2 = 0 THEN 'accept' ELSE 'reject' END AS value FROM orders)"
 
 
 def _authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = proxy.read(spark, sf_dir, "orders").where("o_orderkey < 60")
+    o = proxy.read(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
     return o.select(F.col("o_orderpriority").alias("scope"), F.when(k % 3 == 0, "packet").otherwise("legacy").alias("ledger"), F.concat(F.lit("auth-"), F.lpad(k.cast("string"), 9, "0")).alias("authority_id"), F.when(k % 2 == 0, "accept").otherwise("reject").alias("value"))
 
@@ -825,12 +845,10 @@ def g02_j14_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return governance.applicable(_authorities(spark, sf_dir), proxy.bouts(spark, sf_dir).where("is_draw"), "division")
 
 
-@query(f"WITH {_ALIAS_TABLE}, d AS (SELECT alias, fighter_id, decided, decision_id FROM (SELECT substr(alias, 1, 17) AS alias, fighter_id, TIMESTAMP '2000-01-01' + to_days(CAST(row_number() OVER (ORDER BY alias) % 50 AS INTEGER)) AS decided, alias AS decision_id FROM aliases) x) SELECT alias, fighter_id, decided AS system_from, decision_id, lead(decided) OVER w AS system_to, lead(decision_id) OVER w AS superseded_by, lead(decided) OVER w IS NULL AS is_current FROM d WINDOW w AS (PARTITION BY alias ORDER BY decided, decision_id)")
+@query(f"WITH {_ALIAS_TABLE}, d AS (SELECT alias, fighter_id, decided, decision_id FROM (SELECT substr(alias, 1, 17) AS alias, fighter_id, TIMESTAMP '2000-01-01' + to_days(CAST((7 * ascii(substr(md5(alias), 1, 1)) + ascii(substr(md5(alias), 2, 1))) % 50 AS INTEGER)) AS decided, alias AS decision_id FROM aliases) x) SELECT alias, fighter_id, decided AS system_from, decision_id, lead(decided) OVER w AS system_to, lead(decision_id) OVER w AS superseded_by, lead(decided) OVER w IS NULL AS is_current FROM d WINDOW w AS (PARTITION BY alias ORDER BY decided, decision_id)")
 def g12_bitemporal_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     a = _alias_table(spark, sf_dir)
-    n = F.row_number().over(Window.orderBy("alias")) % 50  # a small table of names
+    n = (7 * F.ascii(F.substring(F.md5("alias"), 1, 1)) + F.ascii(F.substring(F.md5("alias"), 2, 1))) % 50
     rows = a.select(F.substring("alias", 1, 17).alias("alias"), "fighter_id", F.lit("2000-01-01").cast("timestamp").alias("t"), n.alias("n"), F.col("alias").alias("decision_id"))
     decided = rows.select("alias", "fighter_id", F.expr("t + make_interval(0, 0, 0, n)").alias("decided_at"), "decision_id")
     return identity.bitemporal(decided)
@@ -927,7 +945,13 @@ def m01_m05_m11_symmetric_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(models.symmetric_predictions(model, rows, _FEATURES, [BOUT]).select(BOUT, "p_forward", "p_swap", "p"))
 
 
-@query()
+_AS_OF = f"""WITH every AS ({proxy.duck(proxy.BOUTS)}), bouts AS (
+  SELECT bout_id, fight_date, fighter_a_id, fighter_b_id, winner_id, is_no_contest, is_draw, finish_method, division FROM every
+  WHERE (fighter_a_id IN ('f000003', 'f000005') OR fighter_b_id IN ('f000003', 'f000005')) AND fight_date < DATE '2000-01-01'
+  UNION ALL SELECT '~target', DATE '2000-01-01', 'f000003', 'f000005', NULL, TRUE, FALSE, '', NULL)"""
+
+
+@query(_history_sql(_AS_OF, "bout_id = '~target'"))
 def w27_as_of_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.at_date(proxy.bouts(spark, sf_dir), "f000005", "f000003", "2000-01-01"))
 
@@ -1014,13 +1038,13 @@ def p25_x18_taxonomy_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.mapped(proxy.source_two(spark, sf_dir), labels, "method").select("record_id", "method", "method_value", "accepted")
 
 
-@query("SELECT o_custkey AS k, max(o_orderkey) AS v, count(*) AS occurrences FROM orders WHERE o_orderkey < 400 GROUP BY o_custkey")
+@query("SELECT o_custkey AS k, max(o_orderkey) AS v, count(*) AS occurrences FROM orders GROUP BY o_custkey")
 def s18_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ringside.plans.publish import upserted
 
     rows = proxy.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"))
     part = lambda cond: rows.where(cond).groupBy("k").agg(F.max("v").alias("v"), F.count("*").alias("occurrences"))
-    return upserted(part("v < 200"), part("v >= 200 AND v < 400"), ["k"])
+    return upserted(part("v < 1000"), part("v >= 1000"), ["k"])
 
 
 @query(f"WITH {_AUTH}, d AS (SELECT authority_id AS review_id, value AS decision FROM auth), i AS (SELECT DISTINCT review_id, right(review_id, 1) = '5' AS retired FROM d WHERE right(review_id, 1) <> '9'), lg AS (SELECT review_id, 'accept' AS decided FROM d WHERE right(review_id, 1) IN ('2', '3')) SELECT d.review_id, d.decision, CASE WHEN i.retired IS NULL THEN 'unknown' WHEN i.retired THEN 'retired' WHEN lg.decided = d.decision THEN 'repeated' WHEN lg.decided IS NOT NULL THEN 'contradictory' ELSE 'accepted' END AS state FROM d LEFT JOIN i USING (review_id) LEFT JOIN lg USING (review_id)")
@@ -1052,7 +1076,16 @@ def m07_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(fitted.transform(rows.where("split = 'test'")).select(BOUT, "p", F.col("prediction").alias("p_calibrated")))
 
 
-@query()
+def _digest_sql(name: str, columns: list[str], sql: str) -> str:
+    text = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '~')" for c in sorted(columns))
+    return f"SELECT '{name}' AS table_name, count(*) AS n, CAST(sum(('0x' || substr(sha256(concat_ws('|', {text})), 1, 15))::BIGINT) AS VARCHAR) AS digest_sum FROM ({sql}) {name}"
+
+
+@query(
+    " UNION ALL ".join((
+        _digest_sql("bouts", proxy.BOUT_NAMES, proxy.duck(proxy.BOUTS)), _digest_sql("performance", proxy.PERFORMANCE_NAMES, proxy.duck(proxy.PERFORMANCE))
+    ))
+)
 def s14_s15_generation_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     bouts = proxy.bouts(spark, sf_dir)
     tables = {"bouts": bouts, "performance": proxy.performance(spark, sf_dir)}

@@ -50,6 +50,9 @@ METRICS = (
     "takedowns_landed", "takedowns_attempted", "submission_attempts", "reversals", "control_seconds",
 )
 
+BOUT_NAMES = ("bout_id", "fight_date", "fighter_a_id", "fighter_b_id", "winner_id", "is_no_contest", "is_draw", "finish_method", "finish_round", "finish_time", "time_format", "division", "venue_key")
+PERFORMANCE_NAMES = ("bout_id", "fight_date", "fighter_id", "opponent_id", *METRICS)
+
 #: What one competitor did in a bout, ten counts that may be missing.
 _PERFORMANCE_COLUMNS = """concat('b', lpad(CAST(o.o_orderkey AS STRING), 9, '0')) AS bout_id, CAST(o.o_orderdate AS DATE) AS fight_date,
   concat('f', lpad(CAST(x.l_suppkey AS STRING), 6, '0')) AS fighter_id, concat('f', lpad(CAST(y.l_suppkey AS STRING), 6, '0')) AS opponent_id,
