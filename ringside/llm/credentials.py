@@ -2,8 +2,13 @@
 
 Each kind's labelled credentials (a bounded sample of what the patterns match) go into a prefix tree over character
 classes. States whose outgoing frequencies don't differ by more than a Hoeffding bound are merged, the tree becomes a
-probabilistic automaton. Every other token with a letter and a digit is scored by each automaton, and becomes a span
-of kind `format` where it's as likely, character for character, as nearly all of the labelled ones.
+probabilistic automaton. A bounded sample of the other tokens gives a plain model of letters that follow each other.
+Every token of SHORTEST characters or more outside the patterns' spans is a candidate. Its score for a kind is the
+likelihood of its format under the automaton, its length included, over that under the plain model, in bits; so short
+tokens need more evidence for each character. It becomes a span of kind `format` where it scores a good deal more than
+ordinary tokens of a second sample do, those apart that score like the labelled credentials. Credentials that no pattern
+finds are ordinary tokens to both samples; where they are more than a few in a thousand of the distinct tokens, the plain
+model learns them and fewer are found.
 """
 
 from __future__ import annotations
@@ -11,10 +16,13 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,18 +30,25 @@ from ringside.llm.common import small_batches
 
 KINDS = ("assign", "access", "hex")
 FOUND = "format"
+#: Stands for tokens that are no credentials among what is learnt from.
+ORDINARY_KIND = "other"
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]{32,}")
-DIGIT = re.compile(rb"[0-9]")
-TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]+")
-TOKEN_BYTES = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
-#: Labelled credentials learnt from, by kind, and the longest that is.
-LABELLED, LABELLED_CHARS = 512, 128
-#: Least labelled ones for an automaton; the share of them that may score below its threshold; shortest token scored.
-LEAST_LABELLED, BELOW, SHORTEST = 20, 0.005, 16
+#: Shortest candidate, as in the patterns.
+SHORTEST = 8
+TOKEN = re.compile(rb"[A-Za-z0-9+/_=-]{%d,}" % SHORTEST)
+#: The characters of credentials; candidates end at a full stop.
+SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
+#: Bounds of what is learnt from: credentials of each kind, ordinary tokens, and the longest of either that teaches (longer ones are scored).
+LABELLED, ORDINARY, TAUGHT_CHARS = 512, 8192, 256
+#: Least labelled ones for an automaton; the share of them whose scores may be any; the share of ordinary tokens that may
+#: score like them; where between the other ordinary tokens and credentials the threshold lies, and its least bits.
+LEAST_LABELLED, BELOW, STRAY, BETWEEN, LEAST_BITS = 5, 0.01, 0.05, 0.5, 20.0
 #: Confidence of the merge test, and the probability of what an automaton has never seen.
 ALPHA, UNSEEN = 0.05, 1e-5
+#: Parts in which the least hashes are looked for; scored tokens that a worker remembers, and the longest of these.
+PARTS, CACHE_TOKENS, CACHE_CHARS = 16, 1 << 18, 64
 #: Characters that a class stands for: what an automaton says of a class is shared among them.
 CLASS_SIZES = {"d": 10, "h": 6, "l": 20, "U": 26}
 
@@ -116,36 +131,94 @@ class Automaton:
                 kept.append(new)
             border = [(k, c) for k in kept for c in sorted(self.states[k].to) if self.states[k].to[c] not in kept]
 
-    def score(self, value: str) -> float:
-        """Mean log2 likelihood of a character, the end included, over that of an even choice among 65 characters."""
+        # what a string that has left the automaton is held against: all characters learnt from, wherever they stood
+        met = Counter()
+        for i in kept:
+            met.update(self.states[i].counts)
+        ends = sum(self.states[i].final for i in kept)
+        self.overall = {c: n / (met.total() + ends) for c, n in met.items()}
+        self.ends_at = ends / (met.total() + ends)
+
+    def bits(self, value: str) -> float:
+        """log2 likelihood of a string and its end. Where no transition goes on, it's unseen once and then held against all that was learnt."""
         at: State | None = self.states[0]
         total = 0.0
         for c in classes(value):
-            p = at.counts.get(c, 0) / at.total if at else 0.0
-            total += math.log2(max(p, UNSEEN) / CLASS_SIZES.get(c, 1))
-            at = self.states[at.to[c]] if at and c in at.to else None
-        total += math.log2(max(at.final / at.total if at else 0.0, UNSEEN))
-        return total / (len(value) + 1) + math.log2(65)
+            if at and c not in at.to:
+                at, total = None, total + math.log2(UNSEEN)
+            p = at.counts[c] / at.total if at else self.overall.get(c, UNSEEN)
+            total += math.log2(p / CLASS_SIZES.get(c, 1))
+            at = self.states[at.to[c]] if at else None
+        return total + math.log2(max(at.final / at.total if at else self.ends_at, UNSEEN))
+
+
+class Letters:
+    """How likely signs follow each other, and end, in ordinary tokens.
+
+    Every sign counts half before any is met; how often it's met anywhere counts as much as SPREAD signs that follow.
+    """
+
+    SPREAD = 256.0
+
+    def __init__(self, tokens: list[str]):
+        signs = ["", *SIGNS]
+        counts = {a: Counter() for a in signs}
+        for t in tokens:
+            for a, b in zip(["", *t], [*t, ""], strict=True):
+                counts[a][b] += 1
+        anywhere = Counter(dict.fromkeys(signs, 0.5))
+        for row in counts.values():
+            anywhere.update(row)
+        usual = {b: self.SPREAD * n / anywhere.total() for b, n in anywhere.items()}
+        self.bits_of = {a: {b: math.log2((row[b] + usual[b]) / (row.total() + self.SPREAD)) for b in signs} for a, row in counts.items()}
+
+    def bits(self, value: str) -> float:
+        of = self.bits_of
+        return sum(of[a][b] for a, b in zip(["", *value], [*value, ""], strict=True))
 
 
 @dataclass
 class Formats:
-    """An automaton, its least score and its lengths, by kind."""
+    """An automaton and its least score, by kind, and the model of ordinary tokens."""
 
-    by_kind: dict[str, tuple[Automaton, float, int, int]]
+    by_kind: dict[str, tuple[Automaton, float]]
+    letters: Letters
+    known: dict[bytes, bool] = field(default_factory=dict)
 
     @classmethod
     def learn(cls, labelled: dict[str, list[str]]) -> Formats:
-        found = {}
+        """From credentials by kind, and ordinary tokens under ORDINARY_KIND: every second one teaches, the others set the thresholds."""
+        ordinary = labelled.get(ORDINARY_KIND, [])
+        letters, found = Letters(ordinary[::2]), {}
         for kind, values in labelled.items():
-            if len(values) >= LEAST_LABELLED:
-                automaton = Automaton([classes(v) for v in values])
-                scores = sorted(map(automaton.score, values))
-                found[kind] = automaton, scores[int(BELOW * len(scores))], min(map(len, values)), max(map(len, values))
-        return cls(found)
+            values = [v for v in values if set(v) <= set(SIGNS)]
+            if kind == ORDINARY_KIND or len(values) < LEAST_LABELLED:
+                continue
+            automaton = Automaton([classes(v) for v in values])
+            score = lambda v, a=automaton: a.bits(v) - letters.bits(v)
+            low = sorted(map(score, values))[int(BELOW * len(values))]
+            others = sorted(map(score, ordinary[1::2]))
+            below = bisect_left(others, low)
+            # a few other tokens like the labelled ones are credentials themselves; with many the format tells nothing
+            if len(others) - below <= STRAY * len(others):
+                high = others[below - 1] if below else min(low, 0.0)
+                found[kind] = automaton, max(LEAST_BITS, high + BETWEEN * (low - high))
+        return cls(found, letters)
 
     def likely(self, value: str) -> bool:
-        return any(low <= len(value) <= high and a.score(value) >= least for a, least, low, high in self.by_kind.values())
+        plain = self.letters.bits(value)
+        return any(a.bits(value) - plain >= least for a, least in self.by_kind.values())
+
+    def secret(self, token: bytes) -> bool:
+        """likely(), remembered for short tokens."""
+        found = self.known.get(token)
+        if found is None:
+            found = self.likely(token.decode())
+            if len(token) <= CACHE_CHARS:
+                if len(self.known) >= CACHE_TOKENS:
+                    self.known.clear()
+                self.known[token] = found
+        return found
 
 
 def base_spans(raw: bytes) -> list[tuple[int, int, int, bytes]]:
@@ -160,16 +233,15 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int, bytes]]:
     return sorted(found)
 
 
-def other_tokens(raw: bytes) -> Iterator[tuple[int, int]]:
-    """Tokens with a digit and a letter."""
-    at = 0
-    while m := DIGIT.search(raw, at):
-        start = m.start()
-        while start > at and raw[start - 1] in TOKEN_BYTES:
-            start -= 1
-        at = TOKEN.match(raw, start).end()
-        if at - start >= SHORTEST and re.search(rb"[A-Za-z]", raw[start:at]):
-            yield start, at
+def other_tokens(raw: bytes, base: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int]]:
+    """Candidates that overlap no base span."""
+    at, reach = 0, -1
+    for m in TOKEN.finditer(raw):
+        start, end = m.span()
+        while at < len(base) and base[at][0] < end:
+            reach, at = max(reach, base[at][2]), at + 1
+        if reach <= start:
+            yield start, end
 
 
 def scan(raw: bytes, formats: Formats) -> list[tuple[int, int, int]]:
@@ -177,26 +249,58 @@ def scan(raw: bytes, formats: Formats) -> list[tuple[int, int, int]]:
     base = base_spans(raw)
     found = [(s, k, e) for s, k, e, _ in base]
     if formats.by_kind:
-        for start, end in other_tokens(raw):
-            if not any(s < end and start < e for s, _, e, _ in base) and formats.likely(raw[start:end].decode()):
-                found.append((start, len(KINDS), end))
+        found += [(s, len(KINDS), e) for s, e in other_tokens(raw, base) if formats.secret(raw[s:e])]
     return sorted(found)
 
 
+class Least(dict):
+    """The `most` strings of least hash among those added, each once: hash -> string."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most = most
+
+    def add(self, value: bytes) -> None:
+        self[xxhash.xxh3_64_intdigest(value)] = value
+        if len(self) >= 2 * self.most:
+            self.cut()
+
+    def cut(self) -> None:
+        for h in sorted(self)[self.most :]:
+            del self[h]
+
+
 def labelled(docs: DataFrame) -> dict[str, list[str]]:
-    """Distinct credentials that the patterns find in any document, the LABELLED ones of least hash for each kind."""
+    """Distinct credentials that the patterns find in any document, the LABELLED ones of least hash for each kind, and
+    ORDINARY other tokens likewise. Each task hands on no more than these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = {k: Least(LABELLED) for k in KINDS} | {ORDINARY_KIND: Least(ORDINARY)}
         for batch in batches:
-            rows = {(KINDS[k], v.decode()) for t in batch.column("text").to_pylist() if t for _, k, _, v in base_spans(t.encode()) if len(v) <= LABELLED_CHARS}
-            columns = list(zip(*sorted(rows), strict=True)) or [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["kind", "value"])
-
-    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    rows = docs.select("text").mapInArrow(run, "kind string, value string").distinct().withColumn("place", place).where(F.col("place") <= LABELLED).collect()
+            for text in batch.column("text").to_pylist():
+                raw = (text or "").encode()
+                base = base_spans(raw)
+                for _, k, _, v in base:
+                    if len(v) <= TAUGHT_CHARS:
+                        kept[KINDS[k]].add(v)
+                for v in {raw[s:e] for s, e in other_tokens(raw, base) if e - s <= TAUGHT_CHARS}:
+                    kept[ORDINARY_KIND].add(v)
+        for least in kept.values():
+            least.cut()
+        rows = [(k, v.decode(), h >> 1) for k, least in kept.items() for h, v in least.items()]
+        columns = list(zip(*rows, strict=True)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["kind", "value", "hash"])
+
+    rows = docs.select("text").mapInArrow(run, "kind string, value string, hash long").distinct()
+    most = F.when(F.col("kind") == ORDINARY_KIND, ORDINARY).otherwise(LABELLED)
+    # the least of all are among the least of each part
+    part = Window.partitionBy("kind", F.col("hash") % PARTS).orderBy("hash", "value")
+    near = rows.withColumn("place", F.row_number().over(part)).where(F.col("place") <= F.lit(ORDINARY)).where(F.col("place") <= most)
     found: dict[str, list[str]] = {}
-    for r in sorted(rows):
-        found.setdefault(r.kind, []).append(r.value)
+    for r in sorted(near.collect(), key=lambda r: (r.kind, r.hash, r.value)):
+        own = found.setdefault(r.kind, [])
+        if len(own) < (ORDINARY if r.kind == ORDINARY_KIND else LABELLED):
+            own.append(r.value)
     return found
 
 
