@@ -31,8 +31,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, public_tokenizers.path(VOCABULARY))
+    """Pieces of documents in sequences of 2048 tokens, whose ids rise in the order of the mix."""
+    return packing.pack_documents(mixing.in_written_order(docs), public_tokenizers.path(VOCABULARY))
 
 
 STAGES = [
@@ -43,7 +43,7 @@ STAGES = [
     ("pack", pack),
 ]
 
-#: Trained models, signatures and a tokenizer decide; tests hold each stage against a plain version instead.
+#: Trained models, signatures and a tokenizer decide; tests/llm/test_pipeline.py holds each stage against a plain version instead.
 ORACLE_SQL = None
 
 

@@ -164,6 +164,22 @@ def _quoted(text: str) -> str:
 
 
 def mixed_stream(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
-    """The rows and columns of docs in the order of the mixed stream, in partitions that follow one another."""
+    """The rows and columns of docs in the order of the mixed stream, in partitions that follow one another.
+
+    Nulls, repeated rows and empty tables are as in schedule(), and so is the order of equal rows. Once written, the
+    order is read back by in_written_order().
+    """
     found = schedule(docs, weights, block_chars, period)
     return found.repartitionByRange("mix_slot", "mix_key").sortWithinPartitions("mix_slot", "mix_key").select(*docs.columns)
+
+
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """The rows of a written table in partitions that follow the order in which they were written.
+
+    Spark names files after partitions, so their names and the rows' numbers in them tell the order, which reading
+    doesn't keep: it deals files out by size. The rows of a table that isn't read from files are in order as they are.
+    """
+    if not docs.inputFiles():
+        return docs
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_mix_file"), F.col("_metadata.row_index").alias("_mix_row"))
+    return placed.repartitionByRange("_mix_file", "_mix_row").sortWithinPartitions("_mix_file", "_mix_row").drop("_mix_file", "_mix_row")

@@ -2,9 +2,10 @@
 
 A document longer than a window fills whole windows of its own first; its rest is placed online: of all fill levels at
 which a partially filled window is open (and the empty window), take the one for which the sum over levels of the
-squared number of open windows becomes least. The counts stand in one array over the levels. Where too many windows
-are open, and at the end, the emptiest windows are cut up to fill the fullest, which leaves at most one partial window
-a partition.
+squared number of open windows becomes least. The counts stand in one array over the levels. At the end the emptiest
+windows are cut up to fill the fullest, which leaves at most one partial window a partition. The rule keeps few windows
+open (under 300 for 50,000 documents of the check table); should more than OPEN_WINDOWS be, the fullest one is filled in
+the same way, and the rule goes on with the others.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from ringside.llm.tokens import frequent_words, pack, word_codes
 WINDOW = 2048
 #: The id that ends a document.
 END_ID = 1
-#: Open windows whose ids a worker holds at most, before it closes them by cutting.
-OPEN_WINDOWS = 1024
+#: Open windows whose ids a worker holds at most, 8 KB each.
+OPEN_WINDOWS = 1 << 14
 COLUMNS = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 NEVER = np.iinfo(np.int64).max
 SCHEMA = pa.schema([(c, pa.int64()) for c in COLUMNS])
@@ -90,26 +91,35 @@ class SumOfSquares:
             self.open[level + n].append(held)
             counts[level + n] += 1
             if counts.sum() > self.most_open:
-                self.close()
-
-    def close(self) -> None:
-        """Fill the fullest open windows with pieces cut from the emptiest; at most one stays partial and is finished too."""
-        held = [pieces for level in range(self.window) for pieces in self.open[level]]
-        self.counts[:], self.open = 0, [[] for _ in range(self.window + 1)]
-        low, spare = 0, []
-        while low < len(held) or spare:
-            target = held.pop() if low < len(held) else []
-            room = self.window - sum(map(len, target))
-            while room and (spare or low < len(held)):
-                if not spare:
-                    spare, low = held[low][::-1], low + 1
+                self.fill_fullest()
+
+    def take(self, level: int) -> list[Piece]:
+        self.counts[level] -= 1
+        return self.open[level].pop()
+
+    def fill_fullest(self) -> None:
+        """Fill the fullest open window with pieces cut from the emptiest ones, and finish it."""
+        target = self.take(int(np.flatnonzero(self.counts)[-1]))
+        room = self.window - sum(map(len, target))
+        while room and self.counts.any():
+            spare = self.take(int(np.flatnonzero(self.counts)[0]))
+            while spare and room:
                 piece = spare.pop()
                 if len(piece) > room:
                     piece, rest = piece.cut(room)
                     spare.append(rest)
                 target.append(piece)
                 room -= len(piece)
-            self.finish(target)
+            if spare:
+                level = sum(map(len, spare))
+                self.open[level].append(spare)
+                self.counts[level] += 1
+        self.finish(target)
+
+    def close(self) -> None:
+        """Finish all open windows; at most one stays partial."""
+        while self.counts.any():
+            self.fill_fullest()
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 import zlib
 
@@ -89,15 +90,42 @@ def test_packing_is_a_round_trip(docs):
             assert p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(tokens.pack(ids[p.start : p.start + p.length]))
 
 
-def test_sum_of_squares_closes_windows():
-    s = packing.SumOfSquares(16, 0, most_open=3)
+@pytest.mark.parametrize("most_open", [3, 1000])
+def test_sum_of_squares_closes_windows(most_open):
+    s = packing.SumOfSquares(16, 0, most_open=most_open)
     for i, n in enumerate([9, 9, 9, 9, 9, 5, 7, 2, 16, 33, 1]):
         s.add(i, bytes(4 * n))
+        assert s.counts.sum() <= most_open
     s.close()
-    fills = collections.Counter()
-    for row in s.rows:
-        fills[row[5]] += row[2]
-    assert sum(fills.values()) == 109 and sum(n < 16 for n in fills.values()) <= 2
+    fills, pieces = collections.Counter(), collections.defaultdict(list)
+    for doc, start, length, *_, sequence, offset in s.rows:
+        assert offset == fills[sequence]
+        fills[sequence] += length
+        pieces[doc].append((start, length))
+    assert sum(fills.values()) == 109 and sum(n < 16 for n in fills.values()) <= 1
+    for own in pieces.values():
+        own.sort()
+        assert all(start == sum(n for _, n in own[:i]) for i, (start, _) in enumerate(own))
+
+
+def test_each_piece_goes_where_the_sum_of_squares_becomes_least():
+    r = random.Random(11)
+    s, open_ = packing.SumOfSquares(32, 0), collections.Counter()
+    for i in range(600):
+        n = r.choice([3, 3, 5, 8, 13, 17, 29, r.randrange(1, 32)])
+        best = None
+        for level in (0, *sorted(k for k, c in open_.items() if c)):
+            if level + n > 32:
+                continue
+            after = open_.copy()
+            after[level] -= level > 0
+            after[level + n] += level + n < 32
+            total = sum(c * c for c in after.values())
+            if best is None or total < best[0]:
+                best = total, after
+        open_ = best[1]
+        s.add(i, bytes(4 * n))
+        assert s.counts.tolist() == [open_[k] for k in range(33)]
 
 
 def spans(text):
