@@ -18,7 +18,8 @@ from ringside.llm.tokens import pack
 @pytest.fixture(scope="module")
 def stages(spark, sample, data):
     """Inputs and outputs of all stages."""
-    docs, found = sample, {}
+    own = [(10**6 + i, f"a note of some words with token = {i:x}abcdef0123456789 and more of them, {i}", "en", "src1", 70) for i in range(3)]
+    docs, found = sample.unionByName(spark.createDataFrame(own, sample.schema)), {}
     for name, stage in pipeline.STAGES:
         out = shelve(stage(spark, docs, data))
         found[name] = docs, out
