@@ -22,47 +22,41 @@ from ringside.llm.common import remainder, small_batches
 #: Bounds of what the driver learns from: labelled rows and landmarks per language; rows that it weighs at once.
 SAMPLE_PER_LANG, LANDMARKS_PER_LANG, WEIGHED_AT_ONCE = 200, 25, 512
 RIDGE = 1e-2
-#: Signs that are told apart: 0 is what isn't a letter, other letters share places by their number.
-SIGNS = 64
 UNKNOWN = "und"
 SCORED_AT_ONCE = 64
+#: Bits of the places of 1-, 2- and 3-grams: a hash of their characters, so that few n-grams of any script share one.
+BITS = (16, 20, 20)
+#: Where the places of each n begin in one range of numbers.
+BASE = (0, 1 << BITS[0], (1 << BITS[0]) + (1 << BITS[1]))
+N_GRAMS = BASE[2] + (1 << BITS[2])
+#: Odd factors of a multiplicative hash, one for each character of an n-gram.
+FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
-def sign_table() -> np.ndarray:
-    """Place of every character below U+10000."""
-    places = np.zeros(1 << 16, np.uint8)
-    for i in range(1 << 16):
-        c = chr(i)
-        if c.isalpha():
-            places[i] = 1 + ((i | 32) - 97 if c.isascii() else 26 + i % (SIGNS - 27))
-    return places
+def letter_table() -> np.ndarray:
+    """Which characters below U+10000 are letters."""
+    return np.array([chr(i).isalpha() for i in range(1 << 16)])
 
 
-def signs_of(text: str, places: np.ndarray) -> np.ndarray | None:
-    """The text as places of its lower-case characters; None without a letter."""
+def signs_of(text: str, letters: np.ndarray) -> np.ndarray | None:
+    """The text as numbers of its lower-case letters, 0 for what is none; None without a letter."""
     codes = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32)
-    signs = places[np.minimum(codes, 0xFFFF)]
+    letter = letters[np.minimum(codes, 0xFFFF)]
     far = codes > 0xFFFF
     if far.any():
-        signs[far] = [chr(c).isalpha() and 1 + 26 + c % (SIGNS - 27) for c in codes[far]]
-    return signs if signs.any() else None
-
-
-#: Places of 1-, 2- and 3-grams in one range of numbers.
-BASE = (0, SIGNS, SIGNS + SIGNS**2)
-N_GRAMS = SIGNS + SIGNS**2 + SIGNS**3
+        letter[far] = [chr(c).isalpha() for c in codes[far]]
+    return np.where(letter, codes, 0) if letter.any() else None
 
 
 def present(signs: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The distinct n-grams for each n; seen: a zeroed array of N_GRAMS flags, zero again afterwards."""
-    s = signs.astype(np.int32)
+    """The places of the distinct n-grams for each n; seen: a zeroed array of N_GRAMS flags, zero again afterwards."""
     out = []
-    grams = s
-    for n in range(3):
-        if n:
-            grams = grams[:-1] * SIGNS + s[n:] if len(s) > n else grams[:0]
-        flags = seen[BASE[n] : BASE[n] + SIGNS ** (n + 1)]
-        flags[grams] = 1
+    mixed = np.zeros(len(signs), np.uint32)
+    for n, factor in enumerate(FACTORS):
+        mixed = (mixed[:-1] if n else mixed) + signs[n:].astype(np.uint32) * np.uint32(factor) if len(signs) > n else mixed[:0]
+        flags = seen[BASE[n] : BASE[n] + (1 << BITS[n])]
+        places = mixed >> np.uint32(32 - BITS[n])
+        flags[places] = 1
         found = np.flatnonzero(flags)
         flags[found] = 0
         out.append(found + BASE[n])
@@ -125,9 +119,9 @@ def fit(docs: DataFrame, train: Column) -> Model:
     rows = known.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, seen = sign_table(), np.zeros(N_GRAMS, np.uint8)
+        letters, seen = letter_table(), np.zeros(N_GRAMS, np.uint8)
         for batch in batches:
-            signs = [signs_of(t, places) for t in batch.column("text").to_pylist()]
+            signs = [signs_of(t, letters) for t in batch.column("text").to_pylist()]
             grams = [None if s is None else np.concatenate(present(s, seen)).astype(np.int32) for s in signs]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(grams, pa.list_(pa.int32()))], ["lang", "doc_id", "grams"])
 
@@ -150,14 +144,14 @@ def language_of(model: Model, text: str, spark: SparkSession) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, places, seen = shared.value, sign_table(), np.zeros(N_GRAMS, np.uint8)
+        model, letters, seen = shared.value, letter_table(), np.zeros(N_GRAMS, np.uint8)
         for batch in batches:
             texts = batch.to_pylist()
             langs, scores, lettered = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
             for start in range(0, len(texts), SCORED_AT_ONCE):
                 rows, where = np.zeros((SCORED_AT_ONCE, len(model.weights)), np.float32), []
                 for i in range(start, min(start + SCORED_AT_ONCE, len(texts))):
-                    if texts[i] and (signs := signs_of(texts[i], places)) is not None:
+                    if texts[i] and (signs := signs_of(texts[i], letters)) is not None:
                         for g in present(signs, seen):
                             if len(g):
                                 rows[len(where), (c := model.column[g])[c >= 0]] = len(g) ** -0.5
