@@ -206,11 +206,12 @@ def rare_words(texts: DataFrame, places, words: DataFrame, start: int, whole: fl
     learnt = F.when(n > 0, n)
     count = lambda *by: F.coalesce(F.sum(learnt).over(Window.partitionBy(*by)), F.lit(0))
     met = texts.mapInArrow(run, "key long, row long, before int, after long, n int")
-    met = met.withColumn("r", count("key", "after")).withColumn("c", count("key"))
-    anywhere = lambda holds: F.coalesce(F.max(holds).over(Window.partitionBy("key")), F.lit(False))
+    met = met.withColumn("r", count("key", "after"))
     follows = F.col("after").isNotNull()
     unseen = follows & (n < 0) & (F.col("r") == 0)
-    met = met.withColumn("frees", anywhere(follows & (n > 0) & (F.col("r") <= K))).withColumn("asked", anywhere(unseen) & (F.col("c") > 0))
+    anywhere = lambda holds: F.coalesce(F.max(holds).over(Window.partitionBy("key")), F.lit(False))
+    met = met.withColumns({"c": count("key"), "frees": anywhere(follows & (n > 0) & (F.col("r") <= K)), "missed": anywhere(unseen)})
+    met = met.withColumn("asked", F.col("missed") & (F.col("c") > 0))
     met = met.withColumn("q", count("key", "before"))
     met = met.join(F.broadcast(words.select(F.col("word").alias("after"), F.col("p").alias("p_after"), F.col("log_p").alias("log_after"))), "after", "left")
     key, row, before, r, c, q, m = (*map(F.col, ("key", "row", "before", "r", "c", "q")), F.abs("n"))
