@@ -1,7 +1,7 @@
 """Token counts by a two-tier lookup on the map side; no pre-token is ever shuffled.
 
-A text is cut at ASCII white space. The tokenizers handled here never build a token across white space, so a text has
-the tokens of its words in a row. Tier one is a broadcast table of the lengths of frequent words, encoded once on the
+A text is cut at ASCII white space. Word-wise tokenizers never build a token across white space, so a text has the tokens
+of its words in a row; with any other, which a few probes tell, every text goes to the library whole. Tier one is a broadcast table of the lengths of frequent words, encoded once on the
 driver; tier two is a bounded cache in each Python worker, whose misses go to the tokenizer library.
 A text that holds the marker of a special token goes to the library whole.
 """
@@ -39,6 +39,8 @@ SPECIAL_MARK = b"<|"
 BYTE_SIGNS = {b: 0x100 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 #: Words for which the short way must agree with the library, or else it isn't taken.
 PROBES = ("the", "Tokens", "\u00e9t\u00e9", "stra\u00dfenbahn", "\u00c0\u00e8\u00ed\u00f1", "internationalisation")
+#: Texts whose ids by words must be the library's, or else a vocabulary builds tokens across words and all texts go to the library whole.
+PROBE_TEXTS = ("Two words, and  more.\n\tNext line!", " lead the x1 2nd ALL CAPS; trail ", "\u00e9t\u00e9 \u00c0\u00e8, caf\u00e9?")
 
 
 class WordCodes(dict):
@@ -54,6 +56,8 @@ class WordCodes(dict):
         self.library.no_padding()
         self.table = table
         self.whole_words = all(self.encode_word(w) == self.encode(w) for w in PROBES)
+        self.by_words = True
+        self.by_words = all(self.document(t) == self.encode(t) for t in PROBE_TEXTS)
 
     def encode(self, text: str) -> bytes:
         return pack(self.library.encode(text, add_special_tokens=False).ids)
@@ -84,7 +88,7 @@ class WordCodes(dict):
     def document(self, text: str) -> bytes:
         """The ids of a whole text."""
         raw = text.encode()
-        if SPECIAL_MARK in raw:
+        if not self.by_words or SPECIAL_MARK in raw:
             return self.encode(text)
         return b"".join(map(self.__getitem__, MARK_AFTER.sub(rb" \1", raw.lower()).split()))
 

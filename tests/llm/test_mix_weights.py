@@ -1,6 +1,8 @@
 """The mix against the weights as given, over many periods."""
 
 import collections
+import math
+from fractions import Fraction
 
 from ringside.llm import mixing
 
@@ -21,3 +23,26 @@ def test_mix_keeps_to_unrounded_weights(docs_of):
     for weights, most in (({"a": 0.8 / 19, "b": 0.8 / 19, "c": 0.8 / 19}, 1), ({"a": 0.5**0.5, "b": 0.7, "c": 0.65}, 2)):
         worst, slots = off_target(mixing.schedule(docs_of(*rows), weights, block_chars=50, period=40).collect(), weights, "abc")
         assert slots > 1500 and worst < most  # some 40 periods
+
+
+def plain_order(weights, slots):
+    """Earliest deadline first over exact weights, one slot after the other."""
+    total = sum(map(Fraction, weights.values()))
+    share = {s: (Fraction(w) / total).limit_denominator(1000) for s, w in weights.items()}
+    done, out = dict.fromkeys(sorted(weights), 0), []
+    for slot in range(slots):
+        ready = [s for s in done if math.floor(done[s] / share[s]) <= slot]
+        best = min(ready, key=lambda s: (math.ceil((done[s] + 1) / share[s]), s))
+        done[best] += 1
+        out.append(best)
+    return out
+
+
+def test_mix_is_earliest_deadline_first(docs_of):
+    rows = [(i, "x" * 40, "en", "abbcc"[i % 5]) for i in range(3000)]
+    for weights in ({"a": 0.2, "b": 0.5, "c": 0.3}, {"a": 1 / 7, "b": 3 / 7, "c": 3 / 7}):
+        own = weights | {mixing.OTHER: sum(weights.values()) / 3}
+        found = mixing.schedule(docs_of(*rows), own, block_chars=50).collect()
+        blocks = sorted({(x.mix_slot, x.mix_source) for x in found})
+        left = min(max(t for t, s in blocks if s == name) for name in "abc")
+        assert left > 500 and [s for _, s in blocks[: left - 20]] == plain_order(weights, left - 20)

@@ -66,6 +66,15 @@ def test_token_counts(docs):
     assert by_row(tokens.count_tokens(docs, VOCABULARY), "doc_id", "n_bytes", "n_tokens", "over_limit") == sorted(expected, key=repr)
 
 
+def test_other_vocabularies_count_as_the_library_does(sample, edges):
+    """A byte-level vocabulary holds spaces in its tokens: no way by words."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(vocabulary)
+    for docs in (sample.limit(60), edges):
+        expected = [(r.doc_id, len(library.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect()]
+        assert by_row(tokens.count_tokens(docs, vocabulary), "doc_id", "n_tokens") == sorted(expected, key=repr)
+
+
 def test_packing_is_a_round_trip(docs):
     library, pieces = Tokenizer.from_file(VOCABULARY), packing.pack_documents(docs, VOCABULARY).collect()
     streams = collections.Counter()
