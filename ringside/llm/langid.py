@@ -48,18 +48,16 @@ def signs_of(text: str, letters: np.ndarray) -> np.ndarray | None:
     return np.where(letter, codes, 0) if letter.any() else None
 
 
-def present(signs: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The places of the distinct n-grams for each n; seen: a zeroed array of N_GRAMS flags, zero again afterwards."""
+def present(signs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The places of the distinct n-grams for each n, in order."""
     out = []
     mixed = np.zeros(len(signs), np.uint32)
     for n, factor in enumerate(FACTORS):
         mixed = (mixed[:-1] if n else mixed) + signs[n:].astype(np.uint32) * np.uint32(factor) if len(signs) > n else mixed[:0]
-        flags = seen[BASE[n] : BASE[n] + (1 << BITS[n])]
-        places = mixed >> np.uint32(32 - BITS[n])
-        flags[places] = 1
-        found = np.flatnonzero(flags)
-        flags[found] = 0
-        out.append(found + BASE[n])
+        places = np.sort(mixed >> np.uint32(32 - BITS[n]))
+        new = np.ones(len(places), bool)
+        new[1:] = places[1:] != places[:-1]
+        out.append(places[new].astype(np.int64) + BASE[n])
     return tuple(out)
 
 
@@ -119,10 +117,10 @@ def fit(docs: DataFrame, train: Column) -> Model:
     rows = known.join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, seen = letter_table(), np.zeros(N_GRAMS, np.uint8)
+        letters = letter_table()
         for batch in batches:
             signs = [signs_of(t, letters) for t in batch.column("text").to_pylist()]
-            grams = [None if s is None else np.concatenate(present(s, seen)).astype(np.int32) for s in signs]
+            grams = [None if s is None else np.concatenate(present(s)).astype(np.int32) for s in signs]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(grams, pa.list_(pa.int32()))], ["lang", "doc_id", "grams"])
 
     found = rows.select("lang", F.col("doc_id").cast("long"), "text").mapInArrow(run, "lang string, doc_id long, grams array<int>").where("grams IS NOT NULL").toArrow()
@@ -144,7 +142,7 @@ def language_of(model: Model, text: str, spark: SparkSession) -> Column:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model, letters, seen = shared.value, letter_table(), np.zeros(N_GRAMS, np.uint8)
+        model, letters = shared.value, letter_table()
         for batch in batches:
             texts = batch.to_pylist()
             langs, scores, lettered = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
@@ -152,7 +150,7 @@ def language_of(model: Model, text: str, spark: SparkSession) -> Column:
                 rows, where = np.zeros((SCORED_AT_ONCE, len(model.weights)), np.float32), []
                 for i in range(start, min(start + SCORED_AT_ONCE, len(texts))):
                     if texts[i] and (signs := signs_of(texts[i], letters)) is not None:
-                        for g in present(signs, seen):
+                        for g in present(signs):
                             if len(g):
                                 rows[len(where), (c := model.column[g])[c >= 0]] = len(g) ** -0.5
                         where.append(i)

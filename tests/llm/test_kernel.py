@@ -22,9 +22,8 @@ def test_kernel_is_that_of_real_n_grams(sample):
     """Any script; the hash of n-grams changes next to nothing."""
     texts = [r.text for r in sample.where("length(text) > 50").limit(12).collect()]
     texts += ["съешь ещё этих мягких французских булок", "да выпей чаю, французских", "他们在图书馆里读书", "图书馆里的书很多", "ab", "a", "𐐨𐐩 word", "Ünïcödé straße"]
-    letters, seen = langid.letter_table(), np.zeros(langid.N_GRAMS, np.uint8)
-    found = [langid.present(langid.signs_of(t, letters), seen) for t in texts]
-    assert not seen.any()
+    letters = langid.letter_table()
+    found = [langid.present(langid.signs_of(t, letters)) for t in texts]
     for a, x in zip(texts, found, strict=True):
         for b, y in zip(texts, found, strict=True):
             own = sum(len(np.intersect1d(g, h)) / (len(g) * len(h)) ** 0.5 for g, h in zip(x, y, strict=True) if len(g) and len(h))
