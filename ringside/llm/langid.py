@@ -23,12 +23,16 @@ from ringside.llm.common import remainder, small_batches
 SAMPLE_PER_LANG, LANDMARKS_PER_LANG, WEIGHED_AT_ONCE = 200, 25, 512
 RIDGE = 1e-2
 UNKNOWN = "und"
+#: A text of which landmarks know a smaller share of its distinct letters is in no learnt language.
+LETTERS_KNOWN = 0.1
 SCORED_AT_ONCE = 64
 #: Bits of the places of 1-, 2- and 3-grams: a hash of their characters, so that few n-grams of any script share one.
 BITS = (16, 20, 20)
 #: Where the places of each n begin in one range of numbers.
 BASE = (0, 1 << BITS[0], (1 << BITS[0]) + (1 << BITS[1]))
 N_GRAMS = BASE[2] + (1 << BITS[2])
+#: The place of the 1-gram that stands for whatever is no letter.
+NO_LETTER = 0
 #: Odd factors of a multiplicative hash, one for each character of an n-gram.
 FACTORS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
@@ -133,11 +137,12 @@ def fit(docs: DataFrame, train: Column) -> Model:
 
 
 def language_of(model: Model, text: str, spark: SparkSession) -> Column:
-    """struct(lang_pred, score, lettered) of a text column; the other columns of its rows never go to Python.
+    """struct(lang_pred, score, letters_known) of a text column; the other columns of its rows never go to Python.
 
     lang_pred is `und`, with score 0, where the text is null or has no letter, or the model knows no language. score is
-    the greatest one-versus-rest value brought from [-1, 1] to [0, 1]; ties go to the first language by name. lettered:
-    the text has a letter, whatever the model knows.
+    the greatest one-versus-rest value brought from [-1, 1] to [0, 1]; ties go to the first language by name.
+    letters_known: the share of the text's distinct letters that landmarks hold, 1 where no language was learnt, and null
+    for a text without a letter.
     """
     shared = spark.sparkContext.broadcast(model)
 
@@ -145,25 +150,27 @@ def language_of(model: Model, text: str, spark: SparkSession) -> Column:
         model, letters = shared.value, letter_table()
         for batch in batches:
             texts = batch.to_pylist()
-            langs, scores, lettered = [UNKNOWN] * len(texts), [0.0] * len(texts), [False] * len(texts)
+            langs, scores, shares = [UNKNOWN] * len(texts), [0.0] * len(texts), [None] * len(texts)
             for start in range(0, len(texts), SCORED_AT_ONCE):
                 rows, where = np.zeros((SCORED_AT_ONCE, len(model.weights)), np.float32), []
                 for i in range(start, min(start + SCORED_AT_ONCE, len(texts))):
                     if texts[i] and (signs := signs_of(texts[i], letters)) is not None:
-                        for g in present(signs):
+                        grams = present(signs)
+                        for g in grams:
                             if len(g):
                                 rows[len(where), (c := model.column[g])[c >= 0]] = len(g) ** -0.5
                         where.append(i)
-                        lettered[i] = True
+                        letters_here = grams[0][grams[0] != NO_LETTER]
+                        shares[i] = float((model.column[letters_here] >= 0).mean()) if model.langs and len(letters_here) else 1.0
                 if where and model.langs:
                     values = rows[: len(where)] @ model.weights
                     for i, best, value in zip(where, values.argmax(1), values.max(1), strict=True):
                         langs[i], scores[i] = model.langs[best], float(min(1.0, max(0.0, (value + 1) / 2)))
-            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(lettered, pa.bool_())]
-            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "lettered"])
+            columns = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())]
+            yield pa.StructArray.from_arrays(columns, ["lang_pred", "score", "letters_known"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "lang_pred string, score double, lettered boolean")(F.col(text))
+    return F.arrow_udf(run, "lang_pred string, score double, letters_known double")(F.col(text))
 
 
 def fitted(docs: DataFrame) -> Model:
@@ -183,11 +190,12 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def in_known_language(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are in a language: those without a letter, or without a text, go. Columns stay as they are.
+    """The rows of docs that are in a learnt language; columns stay as they are.
 
-    No other document goes, for no score tells the rest apart: a text unlike all that was learnt scores about 0.5, and so
-    do some labelled ones. Where no language was learnt every text with a letter stays.
+    Texts without a letter, and null ones, go, and so do those of whose distinct letters the learnt landmarks know less
+    than LETTERS_KNOWN: they are in a script of no learnt language. The score rejects nothing, for a text unlike all that was
+    learnt scores about 0.5, and so do some labelled ones. Where no language was learnt every text with a letter stays.
     """
     small_batches(docs.sparkSession)
     found = language_of(fitted(docs), "text", docs.sparkSession)
-    return docs.select(F.struct("*").alias("kept"), found["lettered"].alias("lettered")).where("lettered").select("kept.*")
+    return docs.select(F.struct("*").alias("kept"), found["letters_known"].alias("known")).where(F.col("known") >= LETTERS_KNOWN).select("kept.*")
