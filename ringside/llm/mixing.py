@@ -104,6 +104,8 @@ def earliest_deadline(counts: Column) -> Column:
 def schedule(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """All rows and columns of docs, and mix_source, mix_block, mix_release, mix_slot, mix_deadline and mix_key.
 
+    Columns of docs whose names begin with mix_ make way for these.
+
     Ordered by (mix_slot, mix_key) the rows are the mixed stream. A row belongs to the block in which its first
     character falls, the documents of a source being in the order of a hash, mix_key; a document longer than a block
     uses up the blocks that it covers. Sources without a weight, and null ones, share the weight of OTHER (the mean of
@@ -111,6 +113,7 @@ def schedule(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOC
     change places; an empty table stays empty.
     """
     spark = docs.sparkSession
+    docs = docs.select(*(c for c in docs.columns if not c.lower().startswith("mix_")))
     weights = {OTHER: sum(weights.values()) / len(weights)} | weights
     names = sorted(weights)
     named = F.when(F.col("source").isin(names), F.col("source")).otherwise(OTHER)
@@ -166,11 +169,13 @@ def _quoted(text: str) -> str:
 def mixed_stream(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """The rows and columns of docs in the order of the mixed stream, in partitions that follow one another.
 
-    Nulls, repeated rows and empty tables are as in schedule(), and so is the order of equal rows. Once written, the
-    order is read back by in_written_order().
+    Nulls, repeated rows and empty tables are as in schedule(), and so is the order of equal rows; columns may have any
+    names. Once written, the order is read back by in_written_order().
     """
-    found = schedule(docs, weights, block_chars, period)
-    return found.repartitionByRange("mix_slot", "mix_key").sortWithinPartitions("mix_slot", "mix_key").select(*docs.columns)
+    own = {c: c if c in ("doc_id", "text", "source") else f"column_{i}" for i, c in enumerate(docs.columns)}
+    found = schedule(docs.toDF(*own.values()), weights, block_chars, period)
+    ordered = found.repartitionByRange("mix_slot", "mix_key").sortWithinPartitions("mix_slot", "mix_key")
+    return ordered.select(*(F.col(new).alias(old) for old, new in own.items()))
 
 
 def in_written_order(docs: DataFrame) -> DataFrame:
@@ -181,5 +186,5 @@ def in_written_order(docs: DataFrame) -> DataFrame:
     """
     if not docs.inputFiles():
         return docs
-    placed = docs.select("*", F.col("_metadata.file_path").alias("_mix_file"), F.col("_metadata.row_index").alias("_mix_row"))
-    return placed.repartitionByRange("_mix_file", "_mix_row").sortWithinPartitions("_mix_file", "_mix_row").drop("_mix_file", "_mix_row")
+    placed = docs.select(F.struct("*").alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    return placed.repartitionByRange("file", "place").sortWithinPartitions("file", "place").select("row.*")

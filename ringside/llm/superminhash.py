@@ -6,7 +6,7 @@ place keeps the least rank. Once all ranks are below j, no later step can change
 texts after two or three steps. Signatures are cut into bands; documents that agree in one are candidates.
 
 Exact copies are one class from the start, by a digest of the set. Candidate classes form clusters, whose documents are
-compared on their full sets inside blocks of BLOCK documents; larger clusters first meet a central document in every
+compared on their full sets inside blocks bounded in documents and in shingles; larger clusters first meet a central document in every
 block, and then, block by block, only those that are not in the cluster's largest component yet meet the rest. Pairs are
 never rows: a block gives the edges of a spanning forest.
 """
@@ -29,8 +29,10 @@ from ringside.llm.components import Forest, connected_components
 BANDS, ROWS, SHINGLE = 28, 5, 2
 #: A pair is linked if 100 * intersection >= LEAST * union.
 LEAST = 80
-#: Documents that are compared with each other in one task.
-BLOCK = 512
+#: Documents, and distinct shingles of all of them, that are compared with each other in one task, on average.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 22
+#: Shingles that are ranked at once: bounds the memory for a text of any length.
+RANKED_AT_ONCE = 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORD = (1 << 64) - 1
 
@@ -60,21 +62,25 @@ def signatures(sets: list[np.ndarray], places: int = BANDS * ROWS) -> np.ndarray
     """SuperMinHash of each set, a row of ranks (step * 2**24 + a random fraction); empty sets have the greatest ones."""
     ranks = np.full((len(sets), places), 0xFFFFFFFF, np.uint32)
     flat = ranks.reshape(-1)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    element = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-    order = np.tile(np.arange(places, dtype=np.uint16 if places > 256 else np.uint8), (len(element), 1))
-    for step in range(places):
-        if not len(element):
-            break
-        random = mix(element + np.uint64((step + 1) * int(_ODD) & _WORD))
-        other = step + (((random & np.uint64(0xFFFFFFFF)) * np.uint64(places - step)) >> np.uint64(32)).astype(np.int64)
-        line = np.arange(len(element))
-        place = order[line, other]
-        order[line, other] = order[:, step]
-        np.minimum.at(flat, owner * places + place, (np.uint64(step << 24) | (random >> np.uint64(40))).astype(np.uint32))
-        open_ = (ranks.max(axis=1) >= np.uint32((step + 1) << 24))[owner]
-        if not open_.all():
-            element, owner, order = element[open_], owner[open_], order[open_]
+    owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    elements = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    # the least ranks of some elements only get less with further ones: a text's elements may come in several turns
+    for start in range(0, len(elements), RANKED_AT_ONCE):
+        element, owner = elements[start : start + RANKED_AT_ONCE], owners[start : start + RANKED_AT_ONCE]
+        order = np.tile(np.arange(places, dtype=np.uint16 if places > 256 else np.uint8), (len(element), 1))
+        for step in range(places):
+            if not len(element):
+                break
+            random = mix(element + np.uint64((step + 1) * int(_ODD) & _WORD))
+            other = step + (((random & np.uint64(0xFFFFFFFF)) * np.uint64(places - step)) >> np.uint64(32)).astype(np.int64)
+            line = np.arange(len(element))
+            place = order[line, other]
+            order[line, other] = order[:, step]
+            np.minimum.at(flat, owner * places + place, (np.uint64(step << 24) | (random >> np.uint64(40))).astype(np.uint32))
+            first, last = owner[0], owner[-1] + 1
+            open_ = (ranks[first:last].max(axis=1) >= np.uint32((step + 1) << 24))[owner - first]
+            if not open_.all():
+                element, owner, order = element[open_], owner[open_], order[open_]
     return ranks
 
 
@@ -169,7 +175,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     rows = shelve(signed(docs))
-    classes = shelve(rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc")))
+    classes = shelve(rows.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles")))
     ours = [F.col("r.set_key") == F.col("c.set_key"), F.col("r.doc_id") == F.col("c.doc")]
     banded = rows.alias("r").join(classes.alias("c"), ours, "left_semi").select(F.col("doc_id").alias("doc"), F.explode("bands").alias("band"))
     shared = shelve(banded.groupBy("band").agg(F.min("doc").alias("least"), F.count("*").alias("n")).where("n > 1"))
@@ -179,7 +185,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = known.select(F.col("doc").alias("a"), F.col("top").alias("b")).union(known.select("least", "top")).where("a != b").distinct()
     clusters = connected_components(edges)
     clusters = clusters.select(F.col("node").alias("doc"), F.col("root").alias("cluster"))
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    held = clusters.join(classes.groupBy("doc").agg(F.sum("n_shingles").alias("held")), "doc")
+    sizes = held.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("held") / BLOCK_SHINGLES)).alias("blocks"))
     dealt = shelve(clusters.join(shelve(sizes), "cluster").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text")
     members = shelve(with_sets(dealt.join(texts, "doc")).where(F.length("set") > 0))
@@ -209,15 +216,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, one of each group; columns stay as they are.
+    """The rows of docs that are kept, one of each group; columns stay as they are, whatever their names.
 
-    Of rows that agree in doc_id and text one stays. Rows without a doc_id stay but for such repetitions.
+    Of rows that agree in doc_id and text one stays. Rows without a doc_id stay but for such repetitions. An empty table
+    stays empty.
     """
-    rows = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    named = docs.join(rows, F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
-    once = Window.partitionBy("doc_id", "_text_key").orderBy(F.lit(0))
-    named = named.withColumn("_text_key", F.xxhash64("text")).withColumn("_place", F.row_number().over(once))
-    return named.where("_place = 1").select(*docs.columns)
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_key"), F.struct("*").alias("row"))
+    named = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi").unionByName(rows.where(F.col("id").isNull()))
+    once = Window.partitionBy("id", "text_key").orderBy(F.lit(0))
+    return named.withColumn("place", F.row_number().over(once)).where("place = 1").select("row.*")
 
 
 def _across_blocks(wide: DataFrame, members: DataFrame, parts: DataFrame) -> DataFrame:
