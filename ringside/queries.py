@@ -203,7 +203,7 @@ def _stats_sql() -> str:
     out = []
     for span, (days, k) in performance.SPANS.items():
         inside = f"b.back <= {k}" if k else f"b.age <= {days}" if days else "true"
-        for m in _THREE:
+        for m in proxy.METRICS:
             out += [
                 f"count(b.{m}) FILTER ({inside}) AS {span}_{m}_observed", f"count(*) FILTER ({inside} AND b.at_bout IS NOT NULL AND b.{m} IS NULL) AS {span}_{m}_missing",
                 f"CAST(sum(b.{m}) FILTER ({inside}) AS BIGINT) AS {span}_{m}_sum", f"round(sum(b.{m}) FILTER ({inside}) / nullif(count(b.{m}) FILTER ({inside}), 0), 6) AS {span}_{m}_mean",
@@ -211,13 +211,10 @@ def _stats_sql() -> str:
     return ", ".join(out)
 
 
-_THREE = ("knockdowns", "significant_strikes_landed", "control_seconds")
-
-
 @query(_PBACK + f" SELECT p.bout_id, p.fighter_id, {_stats_sql()} FROM perf p LEFT JOIN back b ON b.at_bout = p.bout_id AND b.fighter_id = p.fighter_id GROUP BY p.bout_id, p.fighter_id")
 def w11_a09_performance_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = performance.window_stats(proxy.performance(spark, sf_dir), _THREE)
-    return rounded(rows.select(BOUT, OWNER, *(f"{s}_{m}_{x}" for s in performance.SPANS for m in _THREE for x in ("observed", "missing", "sum", "mean"))))
+    rows = performance.window_stats(proxy.performance(spark, sf_dir))
+    return rounded(rows.select(BOUT, OWNER, *(f"{s}_{m}_{x}" for s in performance.SPANS for m in proxy.METRICS for x in ("observed", "missing", "sum", "mean"))))
 
 
 @query(
@@ -232,21 +229,27 @@ def w12_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.select(BOUT, OWNER, *(f"career_{n}_accuracy" for n in performance.ACCURACY)))
 
 
+def _absorbed_sql(m: str) -> str:
+    name = f"absorbed_{m}"
+    return (
+        f"count(q.{m}) AS {name}_observed, count(*) FILTER (b.at_bout IS NOT NULL AND q.{m} IS NULL) AS {name}_missing, "
+        f"CAST(sum(q.{m}) AS BIGINT) AS {name}_sum, round(sum(q.{m}) / nullif(count(q.{m}), 0), 6) AS {name}_mean"
+    )
+
+
 @query(
     _PBACK
-    + """ SELECT p.bout_id, p.fighter_id, count(q.significant_strikes_landed) AS absorbed_significant_strikes_landed_observed,
-  count(*) FILTER (b.at_bout IS NOT NULL AND q.significant_strikes_landed IS NULL) AS absorbed_significant_strikes_landed_missing,
-  CAST(sum(q.significant_strikes_landed) AS BIGINT) AS absorbed_significant_strikes_landed_sum,
-  round(sum(q.significant_strikes_landed) / nullif(count(q.significant_strikes_landed), 0), 6) AS absorbed_significant_strikes_landed_mean,
-  round(1 - sum(q.significant_strikes_landed) / nullif(sum(q.significant_strikes_attempted), 0), 6) AS strike_defense,
-  round(1 - sum(q.takedowns_landed) / nullif(sum(q.takedowns_attempted), 0), 6) AS takedown_defense
-FROM perf p LEFT JOIN back b ON b.at_bout = p.bout_id AND b.fighter_id = p.fighter_id LEFT JOIN perf q ON q.bout_id = b.bout_id AND q.fighter_id = b.opponent_id
+    + " SELECT p.bout_id, p.fighter_id, "
+    + ", ".join(_absorbed_sql(m) for m in performance.ABSORBED)
+    + ", "
+    + ", ".join(f"round(1 - sum(q.{landed}) / nullif(sum(q.{tried}), 0), 6) AS {n}_defense" for n, (landed, tried) in performance.ACCURACY.items())
+    + """ FROM perf p LEFT JOIN back b ON b.at_bout = p.bout_id AND b.fighter_id = p.fighter_id LEFT JOIN perf q ON q.bout_id = b.bout_id AND q.fighter_id = b.opponent_id
 GROUP BY p.bout_id, p.fighter_id"""
 )
 def w13_w14_j08_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = performance.absorbed(proxy.performance(spark, sf_dir))
-    m = "absorbed_significant_strikes_landed"
-    return rounded(rows.select(BOUT, OWNER, f"{m}_observed", f"{m}_missing", f"{m}_sum", f"{m}_mean", "strike_defense", "takedown_defense"))
+    values = (f"absorbed_{m}_{x}" for m in performance.ABSORBED for x in ("observed", "missing", "sum", "mean"))
+    return rounded(rows.select(BOUT, OWNER, *values, *(f"{n}_defense" for n in performance.ACCURACY)))
 
 
 _DURATION = """dur AS (SELECT bout_id, CASE WHEN s < 60 AND finish_round > 0 AND m * 60 + s <= 300 AND (finish_round - 1) * 300 + m * 60 + s > 0 THEN CAST((finish_round - 1) * 300 + m * 60 + s AS BIGINT) END AS duration
@@ -307,22 +310,24 @@ def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _ADJ = (
     _PBACK
-    + """, usual AS (SELECT p.bout_id, p.fighter_id, avg(b.significant_strikes_landed) AS does, avg(q.significant_strikes_landed) AS allows
-  FROM perf p LEFT JOIN back b ON b.at_bout = p.bout_id AND b.fighter_id = p.fighter_id LEFT JOIN perf q ON q.bout_id = b.bout_id AND q.fighter_id = b.opponent_id GROUP BY p.bout_id, p.fighter_id),
-adj AS (SELECT p.bout_id, p.fighter_id, p.fight_date, (p.significant_strikes_landed - q.significant_strikes_landed) - (u.allows - u.does) AS v
-  FROM perf p JOIN perf q ON q.bout_id = p.bout_id AND q.fighter_id = p.opponent_id JOIN usual u ON u.bout_id = p.bout_id AND u.fighter_id = p.opponent_id)"""
+    + ", usual AS (SELECT p.bout_id, p.fighter_id, "
+    + ", ".join(f"avg(b.{m}) AS does_{m}, avg(q.{m}) AS allows_{m}" for m in adjusted.ADJUSTED)
+    + """ FROM perf p LEFT JOIN back b ON b.at_bout = p.bout_id AND b.fighter_id = p.fighter_id LEFT JOIN perf q ON q.bout_id = b.bout_id AND q.fighter_id = b.opponent_id GROUP BY p.bout_id, p.fighter_id),
+adj AS (SELECT p.bout_id, p.fighter_id, p.fight_date, """
+    + ", ".join(f"(p.{m} - q.{m}) - (u.allows_{m} - u.does_{m}) AS adjusted_{m}" for m in adjusted.ADJUSTED)
+    + " FROM perf p JOIN perf q ON q.bout_id = p.bout_id AND q.fighter_id = p.opponent_id JOIN usual u ON u.bout_id = p.bout_id AND u.fighter_id = p.opponent_id)"
 )
 
 
-@query(_ADJ + " SELECT bout_id, fighter_id, round(v, 6) AS adjusted_significant_strikes_landed FROM adj")
+@query(_ADJ + " SELECT bout_id, fighter_id, " + ", ".join(f"round(adjusted_{m}, 6) AS adjusted_{m}" for m in adjusted.ADJUSTED) + " FROM adj")
 def w22_j09_adjusted_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(_adjusted(spark, sf_dir).select(BOUT, OWNER, "adjusted_significant_strikes_landed"))
+    return rounded(_adjusted(spark, sf_dir).select(BOUT, OWNER, *(f"adjusted_{m}" for m in adjusted.ADJUSTED)))
 
 
 @query(
     _ADJ
     + """, ab AS (SELECT t.bout_id, t.fighter_id, p.v, row_number() OVER (PARTITION BY t.bout_id, t.fighter_id ORDER BY p.fight_date DESC, p.bout_id DESC) AS back
-  FROM adj t JOIN adj p ON p.fighter_id = t.fighter_id AND p.fight_date < t.fight_date WHERE p.v IS NOT NULL)
+  FROM adj t JOIN (SELECT *, adjusted_significant_strikes_landed AS v FROM adj) p ON p.fighter_id = t.fighter_id AND p.fight_date < t.fight_date WHERE p.v IS NOT NULL)
 SELECT a.bout_id, a.fighter_id, count(b.v) AS significant_strikes_landed_count, round(avg(b.v), 5) AS significant_strikes_landed_mean,
   round(avg(b.v) FILTER (b.back <= 3), 5) AS significant_strikes_landed_last_3, round(avg(b.v) FILTER (b.back <= 5), 5) AS significant_strikes_landed_last_5
 FROM adj a LEFT JOIN ab b ON b.bout_id = a.bout_id AND b.fighter_id = a.fighter_id GROUP BY a.bout_id, a.fighter_id"""
