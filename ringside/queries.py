@@ -382,9 +382,15 @@ def u02_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("is_swap").agg(F.count("*").alias("n"), F.sum("a_won").alias("won"))
 
 
-@query(_RATES + " SELECT " + ", ".join(f"CAST(0 AS BIGINT) AS {n}_mismatches" for n in pairwise.oriented(_FEATURES)))
+def _contradicted(i: int) -> str:
+    """Pairs whose flag of the i-th column is turned round, so that the check has something to find."""
+    return f"(a_prior_bouts + 2 * b_prior_bouts) % {5 + i} = {i % 3}"
+
+
+@query(_RATES + " SELECT " + ", ".join(f"count(*) FILTER ({_contradicted(i)}) AS {n}_mismatches" for i, n in enumerate(pairwise.oriented(_FEATURES))) + " FROM paired")
 def p12_missing_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairwise.missing_mismatches(_paired(spark, sf_dir), _FEATURES)
+    planted = {f"{n}_missing": F.col(f"{n}_missing") != F.expr(_contradicted(i)) for i, n in enumerate(pairwise.oriented(_FEATURES))}
+    return pairwise.missing_mismatches(_paired(spark, sf_dir).withColumns(planted), _FEATURES)
 
 
 _S1, _S2 = proxy.duck(proxy.SOURCE_ONE), proxy.duck(proxy.SOURCE_TWO)
