@@ -33,3 +33,30 @@ links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id
 reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
 SELECT n.doc_id, n.n_shingles, min(r.b) AS component_id, n.doc_id = min(r.b) AS kept FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n_shingles
 """
+
+#: crc32 of the UTF-8 bytes of {0}, as an expression over a table t with the column tab.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(range(CAST(length(hex(encode({0}))) // 2 AS BIGINT)), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))), "
+    "lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295)"
+)
+_WORDS = f"list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+
+IMPORTANCE = f"""
+WITH t AS ({_CRC_TABLE}),
+d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS ws FROM documents),
+dw AS (SELECT r, w, count(*) AS n FROM (SELECT r, unnest(ws) AS w FROM d) x GROUP BY r, w),
+bw AS (SELECT w, count(*) AS n FROM (SELECT unnest({_WORDS}) AS w FROM benchmark) x GROUP BY w),
+buckets AS (SELECT w, {_CRC.format("w")} % 10000 AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw) x, t),
+s AS (SELECT b, CAST(sum(n) AS DOUBLE) AS s FROM dw JOIN buckets USING (w) GROUP BY b),
+u AS (SELECT b, CAST(sum(n) AS DOUBLE) AS t FROM bw JOIN buckets USING (w) GROUP BY b),
+total AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS ss, coalesce((SELECT sum(t) FROM u), 0) AS tt),
+gain AS (SELECT s.b, CAST(floor(1000 * ln((coalesce(t, 0) + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN u ON u.b = s.b, total),
+sums AS (SELECT r, CAST(sum(n * gain) AS BIGINT) AS g, CAST(sum(n) AS BIGINT) AS n FROM dw JOIN buckets USING (w) JOIN gain USING (b) GROUP BY r),
+f AS (SELECT d.r, doc_id, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0) AS weight, CAST(('0x' || substr(sha256('2024:' || doc_id), 1, 8)) AS BIGINT) AS h FROM d LEFT JOIN sums USING (r)),
+e AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM f),
+ranks AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM e WHERE n_features >= 20)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+  CASE WHEN rank <= (10 * (SELECT count(*) FROM ranks)) // 100 THEN rank END AS rank
+FROM e LEFT JOIN ranks USING (r)
+"""

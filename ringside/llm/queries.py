@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ringside.llm import chunkdedup, credentials, katz, langid, mixing, oracles, packing, quality, superminhash, syncmers, tokens
+from ringside.llm import chunkdedup, credentials, importance, katz, langid, mixing, oracles, packing, quality, superminhash, syncmers, tokens
 from ringside.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -60,7 +60,11 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_token_counts, op4_language, op5_fingerprints, op6_repeated_passages, op7_packing, op8_secrets, op9_lm_scores, op10_near_duplicates)
+    f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_token_counts, op4_language, op5_fingerprints, op6_repeated_passages, op7_packing, op8_secrets, op9_lm_scores, op10_near_duplicates, op11_importance_draw)
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.QUALITY, "op10_near_duplicates": oracles.NEAR_DUPLICATES}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.QUALITY, "op10_near_duplicates": oracles.NEAR_DUPLICATES, "op11_importance_draw": oracles.IMPORTANCE}
