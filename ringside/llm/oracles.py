@@ -60,3 +60,20 @@ SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT)
   CASE WHEN rank <= (10 * (SELECT count(*) FROM ranks)) // 100 THEN rank END AS rank
 FROM e LEFT JOIN ranks USING (r)
 """
+
+TRIE = f"""
+WITH t AS ({_CRC_TABLE}),
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_CRC.format("CAST(conv_id AS VARCHAR)")} % 4 AS h FROM (SELECT DISTINCT conv_id FROM o) x, t),
+r AS (SELECT c.conv_id, 0 AS part, place, role, text FROM c JOIN o ON o.conv_id = c.base AND place <= h UNION ALL SELECT c.conv_id, 1, place, role, text FROM c JOIN o USING (conv_id) WHERE place > h),
+s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, place) AS depth, sha256(length(role) || ':' || role || text) AS k,
+  len(list_filter(string_split_regex(text, '{_SPACE}'), lambda x: x <> '')) AS words FROM r),
+l AS (SELECT c.conv_id, coalesce(list(k ORDER BY depth) FILTER (k IS NOT NULL), []) AS ks FROM c LEFT JOIN s USING (conv_id) GROUP BY c.conv_id),
+p AS (SELECT conv_id, d AS depth, array_to_string(ks[1:d], '') AS path, len(ks) = d AS ends FROM (SELECT conv_id, ks, unnest(range(0, len(ks) + 1)) AS d FROM l) x),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '') AS ends FROM p GROUP BY path, depth),
+v AS (SELECT n.*, q.conv_id AS parent_conv_id, CASE WHEN n.depth > 0 THEN (n_convs - 1) * s.words ELSE 0 END AS saving,
+    NOT EXISTS (SELECT 1 FROM n k WHERE k.depth = n.depth + 1 AND substr(k.path, 1, 64 * n.depth) = n.path) AS leaf, (SELECT count(*) FROM n k WHERE k.depth = n.depth + 1 AND substr(k.path, 1, 64 * n.depth) = n.path) AS n_children
+  FROM n LEFT JOIN (SELECT path, depth, conv_id FROM n) q ON q.depth = n.depth - 1 AND q.path = substr(n.path, 1, 64 * (n.depth - 1)) LEFT JOIN s ON s.conv_id = n.conv_id AND s.depth = n.depth),
+up AS (SELECT d AS depth, substr(path, 1, 64 * d) AS path, count(*) FILTER (leaf) AS n_leaves, sum(saving) AS saved FROM (SELECT path, leaf, saving, unnest(range(0, depth + 1)) AS d FROM v) x GROUP BY ALL)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM v JOIN up USING (depth, path)
+"""
