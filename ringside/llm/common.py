@@ -39,10 +39,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def shelve(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives the loss of any executor."""
+def shelve(df: DataFrame, *by: str) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage, survives the loss of any executor; `by`: in folders by these columns."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,10 +51,10 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         jvm = df.sparkSession.sparkContext._jvm
         conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        folder = shared_folder(df.sparkSession).rstrip("/").rpartition("/")[2]
-        for parent in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if f"/{folder}/" in parent:
-                path = jvm.org.apache.hadoop.fs.Path(parent)
+        folder = f"/{shared_folder(df.sparkSession).rstrip('/').rpartition('/')[2]}/"
+        for above, _, below in {f.rpartition(folder) for f in df.inputFiles()}:
+            if above:
+                path = jvm.org.apache.hadoop.fs.Path(f"{above}{folder}{below.partition('/')[0]}")
                 path.getFileSystem(conf).delete(path, True)
 
 

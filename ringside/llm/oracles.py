@@ -77,3 +77,17 @@ v AS (SELECT n.*, q.conv_id AS parent_conv_id, CASE WHEN n.depth > 0 THEN (n_con
 up AS (SELECT d AS depth, substr(path, 1, 64 * d) AS path, count(*) FILTER (leaf) AS n_leaves, sum(saving) AS saved FROM (SELECT path, leaf, saving, unnest(range(0, depth + 1)) AS d FROM v) x GROUP BY ALL)
 SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(ends) AS ends_sha256 FROM v JOIN up USING (depth, path)
 """
+
+SUBSTRINGS = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+p AS (SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT r, x, unnest(range(0, length(x) // 2 - 399)) AS i FROM d WHERE length(x) >= 800) y),
+hit AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY k) AS n FROM p) y WHERE n > 1),
+new AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 400 THEN 0 ELSE 1 END AS new FROM hit),
+num AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS span FROM new),
+spans AS (SELECT r, span, min(i) AS a, max(i) + 400 AS b FROM num GROUP BY r, span),
+gaps AS (SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS a, a AS b FROM spans UNION ALL SELECT r, max(b), NULL FROM spans GROUP BY r),
+rest AS (SELECT r, string_agg(substr(x, 2 * a + 1, 2 * (coalesce(b, length(x) // 2) - a)), '' ORDER BY a) AS x FROM gaps JOIN d USING (r) GROUP BY r),
+sums AS (SELECT r, sum(b - a) AS removed, count(*) AS n FROM spans GROUP BY r)
+SELECT doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(rest.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN sums USING (r) LEFT JOIN rest USING (r)
+"""

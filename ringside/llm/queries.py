@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from ringside.llm import chunkdedup, credentials, importance, katz, langid, mixing, oracles, packing, prefixtrie, quality, superminhash, syncmers, tokens
+from ringside.llm import chunkdedup, credentials, importance, katz, langid, mixing, oracles, packing, prefixtrie, quality, suffixlevels, superminhash, syncmers, tokens
 from ringside.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,11 +64,15 @@ def op11_importance_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixlevels.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_token_counts, op4_language, op5_fingerprints, op6_repeated_passages, op7_packing, op8_secrets, op9_lm_scores, op10_near_duplicates, op11_importance_draw, op13_conversation_trie)
+    f.__name__: f for f in (op1_quality_rules, op2_source_mix, op3_token_counts, op4_language, op5_fingerprints, op6_repeated_passages, op7_packing, op8_secrets, op9_lm_scores, op10_near_duplicates, op11_importance_draw, op12_repeated_substrings, op13_conversation_trie)
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.QUALITY, "op10_near_duplicates": oracles.NEAR_DUPLICATES, "op11_importance_draw": oracles.IMPORTANCE, "op13_conversation_trie": oracles.TRIE}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": oracles.QUALITY, "op10_near_duplicates": oracles.NEAR_DUPLICATES, "op11_importance_draw": oracles.IMPORTANCE, "op12_repeated_substrings": oracles.SUBSTRINGS, "op13_conversation_trie": oracles.TRIE}
