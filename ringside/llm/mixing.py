@@ -181,10 +181,12 @@ def mixed_stream(docs: DataFrame, weights: dict[str, float], block_chars: int =
 def in_written_order(docs: DataFrame) -> DataFrame:
     """The rows of a written table in partitions that follow the order in which they were written.
 
-    Spark names files after partitions, so their names and the rows' numbers in them tell the order, which reading
-    doesn't keep: it deals files out by size. The rows of a table that isn't read from files are in order as they are.
+    Spark numbers files by partitions, so the numbers in their names, five digits or more, and the rows' numbers in them
+    tell the order, which reading doesn't keep: it deals files out by size. The rows of a table that isn't read from files are in order as they are.
     """
     if not docs.inputFiles():
         return docs
-    placed = docs.select(F.struct("*").alias("row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
-    return placed.repartitionByRange("file", "place").sortWithinPartitions("file", "place").select("row.*")
+    number = F.try_to_number(F.nullif(F.regexp_extract("_metadata.file_path", r"part-(\d{1,18})[^/]*$", 1), F.lit("")), F.lit("9" * 18)).cast("long")
+    placed = docs.select(F.struct("*").alias("row"), number.alias("number"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    order = ("number", "file", "place")
+    return placed.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")

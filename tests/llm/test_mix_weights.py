@@ -46,3 +46,13 @@ def test_mix_is_earliest_deadline_first(docs_of):
         blocks = sorted({(x.mix_slot, x.mix_source) for x in found})
         left = min(max(t for t, s in blocks if s == name) for name in "abc")
         assert left > 500 and [s for _, s in blocks[: left - 20]] == plain_order(weights, left - 20)
+
+
+def test_written_order_beyond_five_digits(spark, tmp_path):
+    """Files are read in the order of their numbers, not of their names."""
+    for n, name in ((3, "part-100000-x.parquet"), (2, "part-99999-x.parquet"), (1, "part-00002-x.parquet")):
+        spark.range(10 * n, 10 * n + 10, 1, 1).write.parquet(str(tmp_path / f"t{n}"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        next((tmp_path / f"t{n}").glob("part-*.parquet")).rename(tmp_path / "all" / name)
+    rows = mixing.in_written_order(spark.read.parquet(str(tmp_path / "all"))).collect()
+    assert [r.id for r in rows] == list(range(10, 40))
