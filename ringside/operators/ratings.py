@@ -1,14 +1,15 @@
 """Elo ratings, and what windows make of them.
 
 A rating depends on all bouts before it, so no window can give it. Bouts of one date are rated together from the
-ratings at its start. Divisions are independent of each other and rated in parallel; for the overall rating the
-connected history of all competitors is one recurrence, folded date by date in one task that sees ids and outcomes alone
-and holds a rating for each competitor.
+ratings at its start. Time is cut into slices of whole dates. Within a slice competitors that no bout links cannot touch
+each other, so its connected components are rated in parallel, each by the dates of its own bouts; the table of ratings
+is carried from slice to slice. A slice has as many bouts as a quarter of the competitors, where components stay small,
+and LEAST_SLICE at least, which bounds what a task can get where a few competitors meet all the time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,65 +17,110 @@ from pyspark.sql import functions as F
 
 from ringside.functions.windows import BOUT, DAY, OWNER, last_prior, prior, with_columns
 from ringside.operators.history import sides
+from ringside.plans.shared import discard, shelve
 
 START, STEP, SCALE = 1500.0, 24.0, 400.0
+#: Bouts of a slice at least.
+LEAST_SLICE = 50_000
 
 
 def expected(own: Column, other: Column) -> Column:
     return 1 / (1 + F.pow(F.lit(10.0), (other - own) / SCALE))
 
 
-def _fold(frames: Iterator[pd.DataFrame], *group: str) -> Iterator[pd.DataFrame]:
-    """Bouts in order of group and date -> a row for each competitor and bout: own ratings before and after its date, and
-    the opponent's before. Each group begins anew; only ratings and one date's bouts are held."""
-    columns = [BOUT, OWNER, "rating_before", "rating_after", "opponent_rating", *group]
-    rating: dict[str, float] = {}
-    held: list[tuple] = []
+def slices_of_dates(bouts: DataFrame, most: int) -> DataFrame:
+    """(date, slice): whole dates in order, a new slice wherever the running number of bouts passes a multiple of `most`.
 
-    def close(day: list[tuple]) -> list[tuple]:
-        change: dict[str, float] = {}
-        for _, _, a, b, points, rated, *_ in day:
-            if rated:
-                gain = STEP * (points - 1 / (1 + 10 ** ((rating.get(b, START) - rating.get(a, START)) / SCALE)))
-                change[a], change[b] = change.get(a, 0.0) + gain, change.get(b, 0.0) - gain
-        before = {f: rating.get(f, START) for row in day for f in row[2:4]}
-        rating.update({f: rating.get(f, START) + x for f, x in change.items()})
-        return [(bout, f, before[f], rating.get(f, START), before[o], *group) for bout, _, a, b, _, _, *group in day for f, o in ((a, b), (b, a))]
+    There is a row for each date.
+    """
+    days = bouts.groupBy(DAY).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(DAY).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return days.select(DAY, F.floor(before / F.lit(most)).cast("long").alias("slice"))
 
-    for frame in frames:
-        out = []
-        for row in frame.itertuples(index=False, name=None):
-            if held and (row[1] != held[0][1] or row[6:] != held[0][6:]):
-                out += close(held)
-                if row[6:] != held[0][6:]:
-                    rating.clear()
-                held = []
-            held.append(row)
-        yield pd.DataFrame(out, columns=columns)
-    yield pd.DataFrame(close(held), columns=columns)
 
+def components(links: DataFrame) -> DataFrame:
+    """(slice, node, part) of links (slice, a, b): in each slice, the least node that a node is linked with, all slices at once.
 
-_SCHEMA = f"{BOUT} string, {OWNER} string, rating_before double, rating_after double, opponent_rating double"
+    A round takes the least label among a node's neighbours, then the label of that label; labels of all slices settle
+    in about the logarithm of the longest path.
+    """
+    pairs = shelve(links.select("slice", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("slice", F.col("p.a").alias("node"), F.col("p.b").alias("other")).distinct())
+    labels = shelve(pairs.groupBy("slice", "node").agg(F.least(F.first("node"), F.min("other")).alias("part")))
+    while True:
+        told = pairs.join(labels, ["slice", "node"]).groupBy("slice", F.col("other").alias("node")).agg(F.min("part").alias("told"))
+        near = labels.join(told, ["slice", "node"]).select("slice", "node", "part", F.least("part", "told").alias("best"))
+        of = labels.select("slice", F.col("node").alias("best"), F.col("part").alias("its"))
+        new = shelve(near.join(of, ["slice", "best"]).select("slice", "node", F.least("best", "its").alias("part"), (F.least("best", "its") < F.col("part")).alias("moved")))
+        discard(labels)
+        labels = new.drop("moved")
+        if new.where("moved").isEmpty():
+            discard(pairs)
+            return labels
+
+
+def _fold(games: pd.DataFrame, ratings: pd.DataFrame) -> pd.DataFrame:
+    """A component's bouts of a slice, and its members' ratings before -> two rows a bout."""
+    rating, out = dict(zip(ratings.player, ratings.rating, strict=True)), []
+    games = games.sort_values([DAY, BOUT])
+    for _, day in games.groupby(DAY, sort=False):
+        change: dict[str, float] = {}
+        for a, b, points, rated in zip(day.a, day.b, day.points, day.rated, strict=True):
+            if rated:
+                gain = STEP * (points - 1 / (1 + 10 ** ((rating[b] - rating[a]) / SCALE)))
+                change[a], change[b] = change.get(a, 0.0) + gain, change.get(b, 0.0) - gain
+        after = {p: rating[p] + change.get(p, 0.0) for p in {*day.a, *day.b}}
+        for bout, date, a, b in zip(day[BOUT], day[DAY], day.a, day.b, strict=True):
+            out += [(bout, date, p, rating[p], after[p], rating[o]) for p, o in ((a, b), (b, a))]
+        rating.update(after)
+    return pd.DataFrame(out, columns=[BOUT, DAY, "player", "rating_before", "rating_after", "opponent_rating"])
+
+
+def _rated(games: DataFrame, least_slice: int) -> DataFrame:
+    """games: bout, date, players a and b (any ids), points of a, rated -> two rows a bout with ratings before and after."""
+    games = shelve(games)
+    players = games.select(F.explode(F.array("a", "b")).alias("player")).agg(F.count_distinct("player")).first()[0]
+    sliced = shelve(games.join(F.broadcast(slices_of_dates(games, max(least_slice, players // 4))), DAY))
+    discard(games)
+    members = components(sliced.select("slice", "a", "b"))
+    parted = shelve(sliced.join(members.withColumnRenamed("node", "a"), ["slice", "a"]), "slice")
+    spark, done, ratings = games.sparkSession, [], None
+    schema = f"{BOUT} string, {DAY} date, player string, rating_before double, rating_after double, opponent_rating double"
+    for k in sorted(r.slice for r in sliced.select("slice").distinct().collect()):
+        own = members.where(F.col("slice") == k).select("part", F.col("node").alias("player"))
+        old = own.withColumn("rating", F.lit(START))
+        if ratings is not None:
+            old = own.join(ratings, "player", "left").withColumn("rating", F.coalesce("rating", F.lit(START)))
+        meets = parted.where(F.col("slice") == k).drop("slice")
+        done.append(shelve(meets.groupBy("part").cogroup(old.groupBy("part")).applyInPandas(_fold, schema)))
+        latest = done[-1].groupBy("player").agg(F.max_by("rating_after", DAY).alias("rating"))
+        new = shelve(latest if ratings is None else latest.unionByName(ratings.join(latest, "player", "left_anti")))
+        if ratings is not None:
+            discard(ratings)
+        ratings = new
+    empty = spark.createDataFrame([], schema)
+    return reduce(DataFrame.unionByName, done, empty)
 
 
 def _games(bouts: DataFrame, *keep: str) -> DataFrame:
     points = F.when(F.col("is_draw"), 0.5).when(F.col("winner_id") == F.col("fighter_a_id"), 1.0).otherwise(0.0)
-    return bouts.select(BOUT, DAY, "fighter_a_id", "fighter_b_id", points.alias("points"), (~F.col("is_no_contest")).alias("rated"), *keep)
+    return bouts.select(BOUT, DAY, F.col("fighter_a_id").alias("a"), F.col("fighter_b_id").alias("b"), points.alias("points"), (~F.col("is_no_contest")).alias("rated"), *keep)
 
 
-def overall(bouts: DataFrame) -> DataFrame:
-    """Ratings over all bouts, before and after the date of each; no contests rate nothing."""
-    return _games(bouts).repartition(1).sortWithinPartitions(DAY, BOUT).mapInPandas(_fold, _SCHEMA)
+_RATINGS = ("rating_before", "rating_after", "opponent_rating")
 
 
-def by_division(bouts: DataFrame, division: str = "division") -> DataFrame:
-    """The same within each division, in parallel; bouts of an unknown division have none.
+def overall(bouts: DataFrame, least_slice: int = LEAST_SLICE) -> DataFrame:
+    """Ratings over all bouts, before and after the date of each; no contests rate nothing."""
+    return _rated(_games(bouts), least_slice).select(BOUT, F.col("player").alias(OWNER), *_RATINGS)
 
-    A division's bouts stream through a task in order of date, so no task holds more than ratings and one date's bouts.
-    """
+
+def by_division(bouts: DataFrame, division: str = "division", least_slice: int = LEAST_SLICE) -> DataFrame:
+    """The same within each division: a competitor is another player in each; bouts of an unknown division have none."""
     known = _games(bouts, division).where(F.col(division).isNotNull())
-    ordered = known.repartition(division).sortWithinPartitions(division, DAY, BOUT)
-    return ordered.mapInPandas(lambda frames: _fold(frames, division), f"{_SCHEMA}, {division} string")
+    own = {x: F.concat(F.col(division), F.lit("\x1f"), F.col(x)) for x in ("a", "b")}
+    rated = _rated(known.withColumns(own).drop(division), least_slice)
+    who = F.split("player", "\x1f")
+    return rated.select(BOUT, F.element_at(who, -1).alias(OWNER), *_RATINGS, F.array_join(F.slice(who, 1, F.size(who) - 1), "\x1f").alias(division))
 
 
 def strength(bouts: DataFrame, rated: DataFrame) -> DataFrame:

@@ -277,12 +277,32 @@ def x06_landed_above_attempted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return performance.landed_above_attempted(proxy.performance(spark, sf_dir))
 
 
-@query()
+def _ratings_sql(division: str = "''", where: str = "TRUE") -> str:
+    """Ratings date by date: every player's rating after each date, from that after the date before."""
+    return (
+        _BOUTS.replace("WITH", "WITH RECURSIVE", 1)
+        + f""", g AS MATERIALIZED (SELECT bout_id, {division} AS division, fighter_a_id, fighter_b_id, concat({division}, '|', fighter_a_id) AS a, concat({division}, '|', fighter_b_id) AS b, NOT is_no_contest AS rated,
+    CASE WHEN is_draw THEN 0.5::DOUBLE WHEN winner_id = fighter_a_id THEN 1 ELSE 0 END AS points, dense_rank() OVER (PARTITION BY {division} ORDER BY fight_date) AS d FROM bouts WHERE {where}),
+r(d, player, rating) AS (SELECT 0::BIGINT, player, 1500::DOUBLE FROM (SELECT a AS player FROM g UNION SELECT b FROM g) x
+  UNION ALL SELECT r.d + 1, r.player, r.rating + coalesce(c.gain, 0) FROM r LEFT JOIN (SELECT player, sum(gain) AS gain FROM (
+      SELECT unnest([a, b]) AS player, unnest([x, -x]) AS gain FROM (
+        SELECT g.a, g.b, 24 * (points - 1 / (1 + power(10, (y.rating - z.rating) / 400))) AS x FROM g JOIN r z ON z.player = g.a AND z.d + 1 = g.d JOIN r y ON y.player = g.b AND y.d = z.d WHERE rated) q) p GROUP BY player) c ON c.player = r.player
+    WHERE r.d < (SELECT max(d) FROM g)),
+sided AS (SELECT bout_id, division, d, fighter_a_id AS fighter_id, a AS player, b AS other FROM g UNION ALL SELECT bout_id, division, d, fighter_b_id, b, a FROM g),
+rated AS (SELECT s.bout_id, s.fighter_id, s.division, x.rating AS rating_before, y.rating AS rating_after, z.rating AS opponent_rating FROM sided s
+  JOIN r x ON x.player = s.player AND x.d = s.d - 1 JOIN r y ON y.player = s.player AND y.d = s.d JOIN r z ON z.player = s.other AND z.d = s.d - 1)"""
+    )
+
+
+_RATED_COLUMNS = "bout_id, fighter_id, round(rating_before, 6) AS rating_before, round(rating_after, 6) AS rating_after, round(opponent_rating, 6) AS opponent_rating"
+
+
+@query(_ratings_sql() + f" SELECT {_RATED_COLUMNS} FROM rated")
 def w18_overall_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ratings.overall(proxy.bouts(spark, sf_dir)))
 
 
-@query()
+@query(_ratings_sql("division", "division IS NOT NULL") + f" SELECT {_RATED_COLUMNS}, division FROM rated")
 def w19_division_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ratings.by_division(proxy.bouts(spark, sf_dir)))
 
@@ -296,7 +316,18 @@ def w19_division_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.division_debuts(proxy.bouts(spark, sf_dir))
 
 
-@query()
+@query(
+    _ratings_sql()
+    + """, o AS (SELECT rated.*, b.fight_date, CASE WHEN fighter_id = fighter_a_id THEN fighter_b_id ELSE fighter_a_id END AS opponent_id, CASE WHEN is_draw THEN 'draw' WHEN winner_id = fighter_id THEN 'win' ELSE 'loss' END AS outcome
+  FROM rated JOIN bouts b USING (bout_id) WHERE NOT is_no_contest),
+back AS (SELECT t.bout_id, t.fighter_id, p.rating_after, p.opponent_rating, CASE WHEN p.outcome = 'win' THEN p.opponent_rating END AS beaten, row_number() OVER (PARTITION BY t.bout_id, t.fighter_id ORDER BY p.fight_date DESC, p.bout_id DESC) AS back
+  FROM o t JOIN o p ON p.fighter_id = t.fighter_id AND p.fight_date < t.fight_date)
+SELECT o.bout_id, o.fighter_id, fight_date, opponent_id, outcome, round(max(rating_before), 6) AS rating_before, round(max(o.rating_after), 6) AS rating_after, round(max(o.opponent_rating), 6) AS opponent_rating,
+  count(b.back) AS rated_bouts, round(greatest(1500, coalesce(max(b.rating_after), 1500)), 6) AS peak, round(max(rating_before) - max(b.rating_after) FILTER (back = 3), 6) AS change_last_3,
+  round(avg(b.opponent_rating), 6) AS opponents_mean, round(avg(b.opponent_rating) FILTER (back <= 3), 6) AS opponents_last_3, round(avg(b.opponent_rating) FILTER (back <= 5), 6) AS opponents_last_5,
+  round(avg(beaten), 6) AS beaten_mean, round(max(beaten), 6) AS beaten_best
+FROM o LEFT JOIN back b ON b.bout_id = o.bout_id AND b.fighter_id = o.fighter_id GROUP BY o.bout_id, o.fighter_id, fight_date, opponent_id, outcome"""
+)
 def w20_w21_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     bouts = proxy.bouts(spark, sf_dir)
     return rounded(ratings.strength(bouts, ratings.overall(bouts)))
