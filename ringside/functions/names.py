@@ -41,9 +41,20 @@ def ascii_name(name: Column) -> Column:
 def division_code(text: Column) -> Column:
     """Labels in the order in which they are looked for, each a part of the division's text."""
     labels = (
-        "women's strawweight", "women's flyweight", "women's bantamweight", "women's featherweight", "light heavyweight", "strawweight", "flyweight",
-        "bantamweight", "featherweight", "lightweight", "welterweight", "middleweight", "heavyweight",
-    )
+        "women's strawweight",
+        "women's flyweight",
+        "women's bantamweight",
+        "women's featherweight",
+        "light heavyweight",
+        "heavyweight",
+        "middleweight",
+        "welterweight",
+        "lightweight",
+        "featherweight",
+        "bantamweight",
+        "flyweight",
+        "catch weight",
+    )
     low, out = F.lower(text), None
     for label in labels:
         code = label.replace("'", "").replace(" ", "_")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringside.functions.windows import BOUT, OWNER, in_order, prior
+from ringside.functions.windows import BOUT, DAY, OWNER, prior
 from ringside.operators.performance import with_opponent
 
 ADJUSTED = ("knockdowns", "significant_strikes_landed", "total_strikes_landed", "takedowns_landed")
@@ -22,22 +24,25 @@ def observations(rows: DataFrame, snapshots: DataFrame, metrics: tuple[str, ...]
     return met.select(BOUT, "fight_date", OWNER, *(value(m).alias(f"adjusted_{m}") for m in metrics))
 
 
-def snapshots(observed: DataFrame, metric: str) -> DataFrame:
-    """Count and means over the career and the last 3 and 5 of the valid observations of one metric before each bout.
+def snapshots(observed: DataFrame, metrics: tuple[str, ...] = ADJUSTED) -> DataFrame:
+    """Count and means over the career and the last 3 and 5 of the valid observations of each metric before each bout.
 
-    A bout without a valid observation has a snapshot too, and takes no place in the last 3 or 5.
+    A bout without a valid observation has a snapshot too, and takes no place in the last 3 or 5. The last five valid
+    values before the first bout of a date are looked up one by one, past nulls; the date's other bouts take them over.
+    All metrics share one shuffle and one order.
     """
-    value = f"adjusted_{metric}"
-    rows = observed.withColumns({"n": F.count(value).over(prior()), "total": F.sum(value).over(prior())})
-    # running sums of the valid ones by their number: the last k are a difference of two of these
-    numbered = observed.where(F.col(value).isNotNull()).select(
-        OWNER, F.row_number().over(in_order()).cast("long").alias("number"), F.sum(value).over(in_order().rowsBetween(Window.unboundedPreceding, 0)).alias("until")
-    )
-    for k in (3, 5):
-        until = numbered.withColumnsRenamed({"number": f"from_{k}", "until": f"until_{k}"})
-        rows = rows.withColumn(f"from_{k}", F.col("n") - k).join(until, [OWNER, f"from_{k}"], "left")
-    last = lambda k: (F.col("total") - F.coalesce(f"until_{k}", F.lit(0.0))) / F.nullif(F.least("n", F.lit(k)), F.lit(0))
-    return rows.select(
-        BOUT, OWNER, F.col("n").alias(f"{metric}_count"), (F.col("total") / F.nullif("n", F.lit(0))).alias(f"{metric}_mean"),
-        last(3).alias(f"{metric}_last_3"), last(5).alias(f"{metric}_last_5"),
-    )
+    order = f"OVER (PARTITION BY {OWNER} ORDER BY {DAY}, {BOUT})"
+    back = {f"_{m}_{k}": F.expr(f"lag(adjusted_{m}, {k}) IGNORE NULLS {order}") for m in metrics for k in range(1, 6)}
+    sums = {n: c for m in metrics for n, c in ((f"{m}_count", F.count(f"adjusted_{m}").over(prior())), (f"_{m}_total", F.sum(f"adjusted_{m}").over(prior())))}
+    first = Window.partitionBy(OWNER, DAY).orderBy(BOUT)
+    rows = observed.withColumns(back | sums).withColumns({n: F.first(n).over(first) for n in back})
+
+    def last(m: str, k: int) -> Column:
+        values = [F.col(f"_{m}_{i}") for i in range(1, k + 1)]
+        n = reduce(Column.__add__, (v.isNotNull().cast("int") for v in values))
+        return reduce(Column.__add__, (F.coalesce(v, F.lit(0.0)) for v in values)) / F.nullif(n, F.lit(0))
+
+    out = [c for m in metrics for c in (
+        F.col(f"{m}_count"), (F.col(f"_{m}_total") / F.nullif(f"{m}_count", F.lit(0))).alias(f"{m}_mean"), last(m, 3).alias(f"{m}_last_3"), last(m, 5).alias(f"{m}_last_5"),
+    )]
+    return rows.select(BOUT, OWNER, *out)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.functions.windows import BOUT, DAY, OWNER, last_prior, prior, with_columns
+from ringside.operators.graph import components
 from ringside.operators.history import sides
 from ringside.plans.shared import discard, shelve
 
@@ -38,26 +39,6 @@ def slices_of_dates(bouts: DataFrame, most: int) -> DataFrame:
     return days.select(DAY, F.floor(before / F.lit(most)).cast("long").alias("slice"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(slice, node, part) of links (slice, a, b): in each slice, the least node that a node is linked with, all slices at once.
-
-    A round takes the least label among a node's neighbours, then the label of that label; labels of all slices settle
-    in about the logarithm of the longest path.
-    """
-    pairs = shelve(links.select("slice", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select("slice", F.col("p.a").alias("node"), F.col("p.b").alias("other")).distinct())
-    labels = shelve(pairs.groupBy("slice", "node").agg(F.least(F.first("node"), F.min("other")).alias("part")))
-    while True:
-        told = pairs.join(labels, ["slice", "node"]).groupBy("slice", F.col("other").alias("node")).agg(F.min("part").alias("told"))
-        near = labels.join(told, ["slice", "node"]).select("slice", "node", "part", F.least("part", "told").alias("best"))
-        of = labels.select("slice", F.col("node").alias("best"), F.col("part").alias("its"))
-        new = shelve(near.join(of, ["slice", "best"]).select("slice", "node", F.least("best", "its").alias("part"), (F.least("best", "its") < F.col("part")).alias("moved")))
-        discard(labels)
-        labels = new.drop("moved")
-        if new.where("moved").isEmpty():
-            discard(pairs)
-            return labels
-
-
 def _fold(games: pd.DataFrame, ratings: pd.DataFrame) -> pd.DataFrame:
     """A component's bouts of a slice, and its members' ratings before -> two rows a bout."""
     rating, out = dict(zip(ratings.player, ratings.rating, strict=True)), []

@@ -160,3 +160,38 @@ def mapped(rows: DataFrame, labels: DataFrame, field: str) -> DataFrame:
     table = labels.select(F.lower(F.trim("label")).alias("_label"), F.col("value").alias(f"{field}_value")).distinct()
     met = rows.withColumn("_label", F.lower(F.trim(field))).join(table, "_label", "left").drop("_label")
     return met.withColumn("accepted", F.col(f"{field}_value").isNotNull())
+
+
+def _folded(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]", "")
+
+
+def _corner(label: Column) -> Column:
+    """The winner's corner as written, or how the bout ended without one; null for any other label."""
+    low = F.lower(label)
+    return F.when(low.isin("red", "red_win"), "red").when(low.isin("blue", "blue_win"), "blue").when(low.isin("draw", "nc", "no_contest", "no contest"), low)
+
+
+def source_conflicts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """For each pair of records: which fields both sources fill and fill differently, and whether the older rule sees a conflict.
+
+    conflicts: winner (the person), method, finish_round, finish_time, scheduled_rounds as written, division without
+    case and signs. legacy_conflict compares corners, methods without case and signs, and scheduled rounds.
+    """
+    rows = matched(left, right).where("matching = 'both'")
+    value = {
+        "winner": lambda s: F.col(f"{s}.winner"), "method": lambda s: F.col(f"{s}.method"), "finish_round": lambda s: F.col(f"{s}.round_no").cast("string"), "finish_time": lambda s: F.col(f"{s}.clock"),
+        "scheduled_rounds": lambda s: leading_rounds(F.col(f"{s}.rounds")).cast("string"), "division": lambda s: _folded(F.col(f"{s}.division")),
+    }
+    both_differ = lambda a, b: F.coalesce((a != "") & (b != "") & (a != b), F.lit(False))
+    names = [F.when(both_differ(v("l"), v("r")), F.lit(n)) for n, v in value.items()]
+    corner = lambda s: _corner(F.col(f"{s}.outcome"))
+    known = lambda a, b: F.coalesce(a != b, F.lit(False))
+    legacy = known(corner("l"), corner("r")) | known(_folded(F.col("l.method")), _folded(F.col("r.method"))) | known(leading_rounds(F.col("l.rounds")), leading_rounds(F.col("r.rounds")))
+    return rows.select(F.col("l.record_id").alias("left_id"), F.col("r.record_id").alias("right_id"), F.array_join(F.array(*names), ",").alias("conflicts"), legacy.alias("legacy_conflict"))
+
+
+def conflict_counters(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs with each conflict, all pairs, and those in which the older rule and the list of conflicts disagree."""
+    rows = source_conflicts(left, right).withColumn("x", F.explode(F.concat(F.split("conflicts", ","), F.array(F.lit("pairs")), F.when(F.col("legacy_conflict"), F.array(F.lit("legacy"))).otherwise(F.array()), F.when(F.col("legacy_conflict") != (F.col("conflicts") != ""), F.array(F.lit("rules disagree"))).otherwise(F.array()))))
+    return rows.where("x <> ''").groupBy(F.col("x").alias("name")).agg(F.count("*").alias("n"))

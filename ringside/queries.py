@@ -355,16 +355,25 @@ def w22_j09_adjusted_observations(spark: SparkSession, sf_dir: str) -> DataFrame
     return rounded(_adjusted(spark, sf_dir).select(BOUT, OWNER, *(f"adjusted_{m}" for m in adjusted.ADJUSTED)))
 
 
-@query(
+def _snapshot_sql(m: str) -> str:
+    return f""", ab_{m} AS (SELECT t.bout_id, t.fighter_id, p.adjusted_{m} AS v, row_number() OVER (PARTITION BY t.bout_id, t.fighter_id ORDER BY p.fight_date DESC, p.bout_id DESC) AS back
+  FROM adj t JOIN adj p ON p.fighter_id = t.fighter_id AND p.fight_date < t.fight_date WHERE p.adjusted_{m} IS NOT NULL),
+s_{m} AS (SELECT bout_id, fighter_id, count(*) AS {m}_count, round(avg(v), 6) AS {m}_mean, round(avg(v) FILTER (back <= 3), 6) AS {m}_last_3, round(avg(v) FILTER (back <= 5), 6) AS {m}_last_5 FROM ab_{m} GROUP BY bout_id, fighter_id)"""
+
+
+_SNAPSHOTS = (
     _ADJ
-    + """, ab AS (SELECT t.bout_id, t.fighter_id, p.v, row_number() OVER (PARTITION BY t.bout_id, t.fighter_id ORDER BY p.fight_date DESC, p.bout_id DESC) AS back
-  FROM adj t JOIN (SELECT *, adjusted_significant_strikes_landed AS v FROM adj) p ON p.fighter_id = t.fighter_id AND p.fight_date < t.fight_date WHERE p.v IS NOT NULL)
-SELECT a.bout_id, a.fighter_id, count(b.v) AS significant_strikes_landed_count, round(avg(b.v), 5) AS significant_strikes_landed_mean,
-  round(avg(b.v) FILTER (b.back <= 3), 5) AS significant_strikes_landed_last_3, round(avg(b.v) FILTER (b.back <= 5), 5) AS significant_strikes_landed_last_5
-FROM adj a LEFT JOIN ab b ON b.bout_id = a.bout_id AND b.fighter_id = a.fighter_id GROUP BY a.bout_id, a.fighter_id"""
+    + "".join(map(_snapshot_sql, adjusted.ADJUSTED))
+    + " SELECT bout_id, fighter_id, "
+    + ", ".join(f"coalesce({m}_count, 0) AS {m}_count, {m}_mean, {m}_last_3, {m}_last_5" for m in adjusted.ADJUSTED)
+    + " FROM adj "
+    + " ".join(f"LEFT JOIN s_{m} USING (bout_id, fighter_id)" for m in adjusted.ADJUSTED)
 )
+
+
+@query(_SNAPSHOTS)
 def w23_adjusted_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(adjusted.snapshots(_adjusted(spark, sf_dir), "significant_strikes_landed"), 5)
+    return rounded(adjusted.snapshots(_adjusted(spark, sf_dir)))
 
 
 _RATES = (
@@ -945,11 +954,25 @@ def f40_json_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", "props", parsing.whole(parsing.detail(F.col("props"), "k")).alias("k"), F.to_date("ts").alias("day"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(lower(n), 'light heavyweight') THEN 'light_heavyweight' WHEN contains(lower(n), 'lightweight') THEN 'lightweight' WHEN contains(lower(n), 'heavyweight') THEN 'heavyweight' END AS division FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Light Heavyweight Bout' WHEN 1 THEN 'UFC Lightweight Title' WHEN 2 THEN 'Heavyweight' ELSE 'Open' END AS n FROM part) x")
+_LABELS = (
+    "Women's Strawweight Bout", "UFC Women's Flyweight Title Bout", "women's bantamweight", "Women's Featherweight", "Light Heavyweight Bout", "UFC Heavyweight Title", "Middleweight", "WELTERWEIGHT Bout",
+    "Interim Lightweight", "Featherweight", "Bantamweight", "Flyweight", "Catch Weight Bout", "Strawweight", "Openweight", "Catchweight",
+)
+_CODES = (
+    "womens_strawweight", "womens_flyweight", "womens_bantamweight", "womens_featherweight", "light_heavyweight", "heavyweight", "middleweight", "welterweight",
+    "lightweight", "featherweight", "bantamweight", "flyweight", "catch_weight", None, None, None,
+)
+
+
+def _sql_list(values: tuple[str | None, ...]) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+@query(f"SELECT p_partkey, {_sql_list(_LABELS)}[1 + p_partkey % {len(_LABELS)}] AS label, {_sql_list(_CODES)}[1 + p_partkey % {len(_LABELS)}] AS division FROM part")
 def f14_division_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    n = F.when(k == 0, "Light Heavyweight Bout").when(k == 1, "UFC Lightweight Title").when(k == 2, "Heavyweight").otherwise("Open")
-    return proxy.read(spark, sf_dir, "part").select("p_partkey", names.division_code(n).alias("division"))
+    """Every label and its code, and labels that have none."""
+    label = F.get(F.array(*map(F.lit, _LABELS)), (F.col("p_partkey") % len(_LABELS)).cast("int"))
+    return proxy.read(spark, sf_dir, "part").select("p_partkey", label.alias("label")).withColumn("division", names.division_code(F.col("label")))
 
 
 # What-ifs and models

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Names under which sources write the fields, looked for without case and underscores.
+#: Names under which sources write the fields, in the order in which they are looked for, without case and underscores.
 ALIASES = {
-    "event_date": ("date", "event_date", "fight_date"),
-    "red_name": ("red_fighter", "red_fighter_name", "r_fighter"),
-    "blue_name": ("blue_fighter", "blue_fighter_name", "b_fighter"),
-    "outcome": ("winner", "fight_outcome", "outcome"),
-    "rounds": ("no_of_rounds", "time_format", "rounds"),
-    "round_no": ("finish_round", "round"),
-    "method": ("method", "finish"),
-    "clock": ("time", "finish_round_time", "finish_time"),
-    "division": ("division", "weight_class", "bout_type"),
+    "event_date": ("date", "fight_date", "event_date"),
+    "red_name": ("red_fighter", "red_fighter_name", "r_fighter", "red", "red fighter"),
+    "blue_name": ("blue_fighter", "blue_fighter_name", "b_fighter", "blue", "blue fighter"),
+    "outcome": ("winner", "fight_outcome", "result", "outcome"),
+    "rounds": ("no_of_rounds", "scheduled_rounds", "rounds", "time_format"),
+    "round_no": ("finish_round", "round", "ending_round"),
+    "method": ("method", "finish", "result_method"),
+    "event_name": ("event", "event_name"),
+    "division": ("weight_class", "division", "bout_type"),
     "location": ("location", "event_location"),
+    "clock": ("time", "finish_round_time", "finish_time"),
 }
 
 
@@ -25,15 +28,53 @@ def _folded(name: str) -> str:
     return name.lower().replace("_", "").replace(" ", "").lstrip("﻿")
 
 
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (physical, of the record's first), number (of the record in its file) and text of every record.
+
+    Files are read by splits. A split counts its lines and quotes; sums over the splits before it tell at which line it
+    begins and whether inside quotes, and so which of its lines begin a record. Only records of several lines, and the
+    last lines of splits, are brought together; all others stay where they are read. Lines without a record, and those
+    with nothing in them outside quotes, are left out.
+    """
+    meta = {n: F.col(f"_metadata.{m}") for n, m in (("file", "file_path"), ("block", "file_block_start"))}
+    raw = spark.read.text(path).select("value", *(c.alias(n) for n, c in meta.items()), F.monotonically_increasing_id().alias("at"))
+    raw = raw.withColumn("quotes", F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))))
+    own = ["file", "block"]
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    here = Window.partitionBy(*own).orderBy("at")
+    so_far = here.rowsBetween(Window.unboundedPreceding, 0)
+    sums = raw.groupBy(*own).agg(F.count("*").alias("lines"), F.sum("quotes").alias("odd"))
+    sums = sums.select(*own, *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("lines", "odd")))
+    placed = raw.join(sums, own)
+    opened = F.col("odd") + F.coalesce(F.sum("quotes").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = placed.withColumns({"line": F.col("lines") + F.row_number().over(here), "begins": opened % 2 == 0})
+    starts = placed.groupBy(*own).agg(F.max(F.when(F.col("begins"), F.col("line"))).alias("last"), F.count_if("begins").alias("begun"))
+    starts = starts.select(*own, F.max("last").over(before).alias("last"), F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("begun"))
+    told = placed.join(starts, own).withColumns({
+        "first": F.coalesce(F.max(F.when(F.col("begins"), F.col("line"))).over(so_far), F.col("last")), "number": F.col("begun") + F.count_if("begins").over(so_far),
+        "alone": F.col("begins") & F.coalesce(F.lead("begins").over(here), F.lit(False)),
+    })
+    whole = told.where("alone").select("file", "line", "number", F.col("value").alias("text"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "value"))), lambda x: x["value"]), "\n")
+    parts = told.where("NOT alone").groupBy("file", F.col("first").alias("line")).agg(F.max("number").alias("number"), text.alias("text"))
+    return whole.unionByName(parts).where("trim(text) <> ''")
+
+
 def delimited(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text, trimmed, with a digest of the line's values as record_id; quotes and line breaks inside are kept.
+    """All columns as text, trimmed, a digest of the record's values as record_id, and line, where it begins in its file.
 
-    Lines of a splittable file have no number that a scan could give in parallel, so a record is named by its content:
-    equal lines are equal records, which first_of_duplicates() then collapses.
+    Quotes and line breaks inside them are kept; a file of any size is read in parallel. Every file has the same header.
+    Equal records have one id, which first_of_duplicates() then collapses.
     """
-    rows = spark.read.csv(path, sep=sep, header=True, inferSchema=False, multiLine=True, escape='"', encoding="UTF-8")
-    rows = rows.toDF(*(c.lstrip("﻿").strip() for c in rows.columns))
-    return rows.select(*(F.trim(F.col(f"`{c}`")).alias(c) for c in rows.columns)).withColumn("record_id", F.sha2(F.to_json(F.struct("*")), 256))
+    found = records(spark, path)
+    header = found.where("number = 1").select("text").distinct().collect()  # a row for each different header
+    if len(header) != 1:
+        raise ValueError("no header" if not header else "the files have different headers")
+    names = [c.strip() for c in next(csv.reader([header[0].text.lstrip("\ufeff")], delimiter=sep))]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
+    rows = found.where("number > 1").select("line", F.from_csv("text", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"sep": sep, "quote": '"', "escape": '"', "multiLine": "true"}).alias("r"))
+    rows = rows.select(*(F.trim(F.col(f"r.c{i}")).alias(n) for i, n in enumerate(names)), "line")
+    return rows.withColumn("record_id", F.sha2(F.to_json(F.struct(*(F.col(f"`{n}`") for n in names))), 256))
 
 
 def aliased(rows: DataFrame, required: tuple[str, ...] = ("event_date", "red_name", "blue_name", "outcome")) -> DataFrame:
@@ -44,7 +85,7 @@ def aliased(rows: DataFrame, required: tuple[str, ...] = ("event_date", "red_nam
     if missing:
         raise ValueError(f"no column for {', '.join(missing)}")
     fields = [(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(f) for f, c in found.items()]
-    return rows.select("record_id", *fields)
+    return rows.select("record_id", *(["line"] if "line" in rows.columns else []), *fields)
 
 
 def exact_header(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from ringside import queries
+from ringside import all_queries as queries
 
 KINDS = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER", "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP"}
 
