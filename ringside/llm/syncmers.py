@@ -1,6 +1,7 @@
 """Document fingerprints by closed syncmers, in DataFrame functions only.
 
-A text is a sequence of words (longer ones cut into pieces). Of each run of K words all runs of S words inside are
+A text is a sequence of words; one of more than LONG characters, as texts without spaces have, counts by its characters,
+so that nothing depends on where it begins. Of each run of K words all runs of S words inside are
 hashed; the run is an anchor if the least hash stands at its first or last place. Whether a run is an anchor depends on
 nothing outside it, so texts that share a passage share its anchors wherever it stands. A fingerprint holds all distinct
 anchors of its text, in text order, and likeness is taken over all of them.
@@ -13,8 +14,10 @@ from pyspark.sql import functions as F
 
 from ringside.llm.common import shelve
 
-#: Words of a run, words of the runs inside, characters of a piece of a word.
-K, S, PIECE = 5, 2, 16
+#: Words of a run, words of the runs inside, characters of the longest word that is taken whole.
+K, S, LONG = 5, 2, 16
+#: A word of LONG characters at most between white space, or else one character of a longer word.
+_WORD = f"(?<![^ \\t-\\r])[^ \\t-\\r]{{1,{LONG}}}(?![^ \\t-\\r])|[^ \\t-\\r]"
 #: Neighbouring keys are found in groups of 2**BITS keys, then of 2**BITS groups and so on; texts lie in groups of 2**GROUP_BITS ids.
 BITS, GROUP_BITS = 8, 5
 
@@ -31,7 +34,7 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
         middle = F.least(*(at(i + j) for j in range(1, K - S)))
         return F.when(ends <= middle, F.xxhash64(*(at(i + j) for j in range(K - S + 1))))
 
-    df = df.withColumn(words, F.regexp_extract_all(text, F.lit(f"[^ \\t-\\r]{{1,{PIECE}}}"), F.lit(0)))
+    df = df.withColumn(words, F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)))
     df = df.withColumn(words, F.transform(words, lambda w: F.xxhash64(w)))
     df = df.withColumn(inner, F.zip_with(F.slice(words, 1, F.greatest(n - 1, F.lit(0))), F.slice(words, 2, F.greatest(n - 1, F.lit(0))), pair))
     df = df.withColumn(runs, F.when(n >= K, F.sequence(F.lit(0), n - K)))

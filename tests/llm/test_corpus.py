@@ -193,7 +193,7 @@ def plain_fingerprint(text):
         return seed
 
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    words = [h(piece) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "") for piece in (w[i : i + syncmers.PIECE] for i in range(0, len(w), syncmers.PIECE))]
+    words = [h(piece) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "") for piece in ([w] if len(w) <= syncmers.LONG else w)]
     inner = [h(a, b) for a, b in zip(words, words[1:], strict=False)]
     found = []
     for i in range(len(words) - syncmers.K + 1):
@@ -222,6 +222,16 @@ def test_fingerprints_hold_their_anchors(docs_of):
     assert anchors[3][-len(anchors[1]) :] == anchors[1] == anchors[2][: len(anchors[1])]
 
 
+def test_unspaced_texts_keep_their_anchors(docs_of):
+    """In a text without spaces nothing depends on what stands before: one character in front costs one run at most."""
+    r = random.Random(8)
+    text = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(2000))
+    found = {x.doc_id: x.fingerprint for x in syncmers.fingerprints(docs_of((1, text), (2, "\u4e00" + text), (3, "ab " + text[:1000] + "\u4e01" + text[1000:]))).collect()}
+    assert found[1] == plain_fingerprint(text)
+    anchors = {d: {f[i : i + 16] for i in range(0, len(f), 16)} for d, f in found.items()}
+    assert len(anchors[1]) > 600 and anchors[1] <= anchors[2] and len(anchors[1] & anchors[3]) >= len(anchors[1]) - syncmers.K
+
+
 def test_lower_neighbours(spark):
     keys = sorted({random.Random(1).randrange(-(1 << 40), 1 << 40) for _ in range(300)} | {0, 1, 255, 256, 257})
     found = syncmers.with_lower_neighbour(spark.createDataFrame([(k,) for k in keys], "key long"), keys[0], keys[-1]).collect()
