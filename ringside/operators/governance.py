@@ -13,12 +13,15 @@ from ringside.functions.names import row_digest, short_id
 def resolved_authorities(authorities: DataFrame, primary: str) -> DataFrame:
     """Of decisions on one scope: the primary ledger's first, then by id; others are duplicates of it or superseded by it.
 
-    authorities: scope, ledger, authority_id, value.
+    authorities: scope, ledger, authority_id, value; an id stands once in a ledger.
     """
-    order = Window.partitionBy("scope").orderBy(F.when(F.col("ledger") == primary, 0).otherwise(1), "authority_id")
-    rows = authorities.withColumns({"place": F.row_number().over(order), "valid": F.first("value").over(order)})
-    state = F.when(F.col("place") == 1, "active").when(F.col("value") == F.col("valid"), "duplicate").otherwise("superseded")
-    return rows.withColumn("state", state).drop("place", "valid")
+    rank = F.struct(F.when(F.col("ledger") == primary, 0).otherwise(1), F.col("authority_id"))
+    # summed before it's dealt: a scope may hold any share of the rows
+    best = authorities.groupBy("scope").agg(F.min_by(F.struct("ledger", "authority_id", "value"), rank).alias("best"))
+    rows = authorities.join(best, "scope")
+    first = (F.col("authority_id") == F.col("best.authority_id")) & (F.col("ledger") == F.col("best.ledger"))
+    state = F.when(first, "active").when(F.col("value") == F.col("best.value"), "duplicate").otherwise("superseded")
+    return rows.withColumn("state", state).drop("best")
 
 
 def duplicate_ids(authorities: DataFrame) -> DataFrame:
@@ -38,8 +41,8 @@ def unused(decisions: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def review_items(rows: DataFrame, category: str, value: Column, evidence: str, examples: int = 3) -> DataFrame:
-    """One item for each value: rows concerned and the first few records as evidence. The examples come from a partial
-    aggregate of minima, so a frequent value gathers no list."""
+    """One item for each value: rows concerned and the first few records as evidence. Each task sends on no more of a
+    value's records than are shown, so a frequent value gathers no list."""
     kept = rows.withColumn("value", value).where(F.col("value").isNotNull())
     place = F.row_number().over(Window.partitionBy("value").orderBy(evidence))
     shown = kept.select("value", evidence).withColumn("place", place).where(F.col("place") <= examples)

@@ -78,13 +78,13 @@ def reconciliation(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def report(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of each class, and of each combination of differing fields."""
+    """Rows of each class, of each combination of differing fields, and of each status of a field: one pass, one sum."""
     rows = compared(left, right)
-    classes = rows.groupBy(F.col("class").alias("name")).agg(F.count("*").alias("n")).select(F.lit("class").alias("kind"), "name", "n")
-    combined = rows.where(F.size("differing") > 0).groupBy(F.array_join("differing", "+").alias("name")).agg(F.count("*").alias("n")).select(F.lit("combination").alias("kind"), "name", "n")
-    fields = rows.where("matching = 'both'").select(F.explode(F.array(*(F.concat(F.lit(f"{f}:"), F.col(f"{f}_status")) for f in FIELDS))).alias("name"))
-    fields = fields.groupBy("name").agg(F.count("*").alias("n")).select(F.lit("field").alias("kind"), "name", "n")
-    return classes.unionByName(combined).unionByName(fields)
+    told = lambda kind, name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+    names = [told("class", F.col("class")), F.when(F.size("differing") > 0, told("combination", F.array_join("differing", "+")))]
+    names += [F.when(F.col("matching") == "both", told("field", F.concat(F.lit(f"{f}:"), F.col(f"{f}_status")))) for f in FIELDS]
+    found = rows.select(F.explode(F.filter(F.array(*names), lambda x: x.isNotNull())).alias("x"))
+    return found.groupBy("x.kind", "x.name").agg(F.count("*").alias("n"))
 
 
 def for_review(left: DataFrame, right: DataFrame) -> DataFrame:

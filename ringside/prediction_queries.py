@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringside.functions.windows import BOUT, DAY, OWNER
-from ringside.operators import adjusted, history, pairwise, performance, ratings, requests
+from ringside.operators import adjusted, attribution, evaluate, history, pairwise, ratings, requests
 from ringside.operators.performance import SPANS
 from ringside.plans.shared import shared_folder, shelve
-from ringside.queries import _ADJ, _PAIR_COLUMNS, _RATES, _SNAPSHOTS, _adjusted, _ratings_sql, ORACLE_SQL, query, rounded
+from ringside.queries import _ADJ, _RATES, _SNAPSHOTS, _adjusted, _paired, _ratings_sql, ORACLE_SQL, query, rounded
 from ringside.sources import proxy
 
 _SEEN = ("significant_strikes_landed", "control_seconds")
@@ -151,3 +151,86 @@ def j11_f29_oriented_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     expected = ratings.expected(F.col("a_rating_before"), F.col("b_rating_before")).alias("elo_expected_a")
     values = [F.col(n).cast("double").alias(n) for n in pairwise.oriented(list(_STRENGTH))]
     return rounded(rows.select(BOUT, *values, expected))
+
+
+# Explanations and model cards
+
+_NAMES = pairwise.oriented(["prior_bouts", "prior_win_rate"])
+_FILL = {n: 0.5 if n.endswith("win_rate") and not n.startswith("diff") else 0.0 for n in _NAMES}
+#: A served booster: feature, threshold, share of training rows at most the threshold, tree for these, tree for the others.
+BOOSTER = (
+    ("diff_prior_win_rate", 0.0, 0.52, ("diff_prior_bouts", -10.0, 0.3, -0.35, ("a_prior_win_rate", 0.4, 0.35, -0.3, -0.12)), ("diff_prior_win_rate", 0.2, 0.7, 0.14, ("b_prior_bouts", 20.0, 0.4, 0.2, 0.41))),
+    ("a_prior_bouts", 15.0, 0.25, ("b_prior_win_rate", 0.5, 0.6, 0.08, -0.1), ("diff_prior_bouts", 5.0, 0.6, ("b_prior_bouts", 40.0, 0.45, -0.02, 0.03), 0.07)),
+    ("b_prior_win_rate", 0.55, 0.65, ("a_prior_win_rate", 0.6, 0.7, 0.02, 0.11), ("diff_prior_win_rate", -0.15, 0.4, -0.16, -0.05)),
+)
+_LEAVES = [leaf for t in BOOSTER for leaf in attribution.leaves(t)]
+_GROUPS = {n: "record" if n.endswith("win_rate") else "experience" for n in _NAMES}
+
+
+def _turned(name: str) -> str:
+    return f"(-{name})" if name.startswith("diff_") else f"{'b' if name[0] == 'a' else 'a'}_{name[2:]}"
+
+
+def _shapley_sql(name: str, swap: bool) -> str:
+    """A feature's value summed over leaves and over subsets of the leaf's other features."""
+    of = _turned if swap else str
+
+    def passes(a: attribution.Ask) -> str:
+        bounds = [f"{of(a.feature)} > {a.low}" for _ in "x" if a.low > float("-inf")] + [f"{of(a.feature)} <= {a.high}" for _ in "x" if a.high < float("inf")]
+        return f"CAST({' AND '.join(bounds)} AS INTEGER)::DOUBLE"
+
+    terms = []
+    for leaf in _LEAVES:
+        own, others = [a for a in leaf.asks if a.feature == name], [a for a in leaf.asks if a.feature != name]
+        for a in own:
+            subsets = (" * ".join([f"{w}::DOUBLE", *(passes(o) if j in s else f"{o.share}::DOUBLE" for j, o in enumerate(others))]) for s, w in attribution.subset_weights(len(others)))
+            terms.append(f"{leaf.value}::DOUBLE * ({passes(a)} - {a.share}::DOUBLE) * ({' + '.join(subsets)})")
+    return " + ".join(terms) or "0::DOUBLE"
+
+
+_BASE = f"{attribution.expected_margin(_LEAVES)!r}::DOUBLE"
+_sigmoid_sql = lambda x: f"(1 / (1 + exp(-({x}))))"
+_unit_sql = lambda m: f"CASE WHEN abs({m}) < 1e-12 THEN {_sigmoid_sql(_BASE)} * (1 - {_sigmoid_sql(_BASE)}) ELSE ({_sigmoid_sql(f'{_BASE} + {m}')} - {_sigmoid_sql(_BASE)}) / {m} END"
+_EXPLAINED = (
+    _RATES
+    + ", f AS (SELECT bout_id, " + ", ".join(f"coalesce(CAST({n} AS DOUBLE), {_FILL[n]}) AS {n}" for n in _NAMES) + " FROM paired WHERE NOT is_draw AND NOT is_no_contest)"
+    + ", s AS (SELECT bout_id, " + ", ".join(f"{_shapley_sql(n, w)} AS {'s' if w else 'f'}_{n}" for n in _NAMES for w in (False, True)) + " FROM f)"
+    + ", t AS (SELECT *, " + ", ".join(f"{' + '.join(f'{x}_{n}' for n in _NAMES)} AS total_{x}" for x in "fs") + " FROM s)"
+    + f", u AS (SELECT *, {_unit_sql('total_f')} AS unit_f, {_unit_sql('total_s')} AS unit_s FROM t)"
+    + ", e AS (" + " UNION ALL ".join(
+        f"SELECT bout_id, '{g}' AS feature_group, 0.5 * (unit_f * ({' + '.join(f'f_{n}' for n in _NAMES if _GROUPS[n] == g)}) - unit_s * ({' + '.join(f's_{n}' for n in _NAMES if _GROUPS[n] == g)})) AS effect, 0.5 * ({_sigmoid_sql(f'{_BASE} + total_f')} + 1 - {_sigmoid_sql(f'{_BASE} + total_s')}) AS p FROM u"
+        for g in ("record", "experience")) + ")"
+    + " SELECT bout_id, feature_group, round(100 * effect, 4) AS probability_points, CASE WHEN effect > 1e-9 THEN 'a' WHEN effect < -1e-9 THEN 'b' ELSE 'even' END AS favours, round(p, 6) AS p FROM e"
+)
+
+
+@query(_EXPLAINED)
+def q11_m12_f33_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each group of features adds to the probability of every decisive bout, by the trees of a booster."""
+    rows = _paired(spark, sf_dir).where("NOT is_draw AND NOT is_no_contest")
+    filled = rows.select(BOUT, *(F.coalesce(F.col(n).cast("double"), F.lit(_FILL[n])).alias(n) for n in _NAMES))
+    found = attribution.explained(filled, _LEAVES, _NAMES, _GROUPS).select(BOUT, F.explode("effects").alias("feature_group", "effect"), "p")
+    effect = F.col("effect")
+    favours = F.when(effect > 1e-9, "a").when(effect < -1e-9, "b").otherwise("even")
+    return found.select(BOUT, "feature_group", (F.round(100 * effect, 4) + F.lit(0.0)).alias("probability_points"), favours.alias("favours"), F.round("p", 6).alias("p"))
+
+
+_CARD = _EXPLAINED.rpartition(" SELECT bout_id, feature_group")[0] + """, y AS (SELECT b.bout_id, e.p, CAST(b.winner_id = b.fighter_a_id AS INTEGER) AS y, b.fight_date FROM (SELECT bout_id, max(p) AS p FROM e GROUP BY bout_id) e JOIN bouts b USING (bout_id)),
+bins AS (SELECT least(CAST(floor(round(p, 6) * 10) AS INTEGER), 9) AS bin, count(*) AS n, abs(avg(round(p, 6)) - avg(y)) AS gap FROM y GROUP BY 1)"""
+
+
+@query(
+    _CARD + f""" SELECT 'champion' AS model_id, {len(_NAMES)} AS feature_count, count(*) AS evaluated, max(fight_date) AS last_date, round(avg(CAST((round(p, 6) >= 0.5) = (y = 1) AS INTEGER)), 6) AS accuracy, round(avg((round(p, 6) - y) * (round(p, 6) - y)), 6) AS brier,
+  round(avg(-(y * ln(round(p, 6)) + (1 - y) * ln(1 - round(p, 6)))), 6) AS log_loss, round((SELECT sum(n * gap) / sum(n) FROM bins), 6) AS calibration_error FROM y"""
+)
+def q12_model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The served booster with its metrics over every decisive bout."""
+    bouts = proxy.bouts(spark, sf_dir)
+    rows = _paired(spark, sf_dir).where("NOT is_draw AND NOT is_no_contest")
+    filled = rows.select(BOUT, *(F.coalesce(F.col(n).cast("double"), F.lit(_FILL[n])).alias(n) for n in _NAMES))
+    scored = attribution.explained(filled, _LEAVES, _NAMES, _GROUPS).select(BOUT, F.round("p", 6).alias("p"))
+    known = scored.join(bouts.select(BOUT, DAY, (F.col("winner_id") == F.col("fighter_a_id")).cast("int").alias("a_won")), BOUT).withColumn("model_id", F.lit("champion"))
+    card = evaluate.metrics(known, ["model_id"]).select("model_id", F.col("n").alias("evaluated"), "accuracy", "brier", "log_loss")
+    ece = evaluate.calibration_error(known, ["model_id"]).withColumnRenamed("ece", "calibration_error")
+    last = known.groupBy("model_id").agg(F.max(DAY).alias("last_date"))
+    return rounded(card.join(ece, "model_id").join(last, "model_id").withColumn("feature_count", F.lit(len(_NAMES))))

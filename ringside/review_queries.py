@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringside.functions.windows import BOUT
-from ringside.operators import digests, identity, reconcile, taxonomy
+from ringside.operators import digests, history, identity, quality, reconcile, taxonomy
 from ringside.plans import publish
 from ringside.plans.shared import shared_folder
-from ringside.queries import _BOUTS, _LABELS, _S1, _S2, _keyed_sql, _sources, _sql_list, ORACLE_SQL, query
+from ringside.queries import _KEY, _LABELS, _LONG, _RATES, _S1, _S2, _VALID, _keyed_sql, _paired, _sources, _sql_list, ORACLE_SQL, query
 from ringside.sources import proxy
 
 # Review of source values
@@ -172,9 +172,9 @@ def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.evidence_as_of(seen, identity.bitemporal(decisions))
 
 
-@query(f"WITH {_VERSIONS}, {_ASOF} SELECT evidence_id, alias, seen_at, decision_id, fighter_id FROM dated")
+@query(f"WITH {_VERSIONS}, {_ASOF} SELECT evidence_id, alias, CAST(seen_at AS DATE) AS seen_at, decision_id, fighter_id FROM dated")
 def x34_evidence_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _evidence(spark, sf_dir)
+    return _evidence(spark, sf_dir).withColumn("seen_at", F.col("seen_at").cast("date"))
 
 
 _TUPLES = ("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
@@ -199,6 +199,72 @@ def g14_x34_reviewed_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identity.applied_links(asked, _evidence(spark, sf_dir), claimed, kept, list(_TUPLES))
 
 
+_SIX = ("source", "side", "raw", "name_key", "event_date", "division")
+_SEVERITY = {"participants": "high", "date": "high", "outcome": "high", "rounds": "medium"}
+_OCCURRENCES = f"""oc AS (SELECT 'one' AS source, 'red' AS side, red_name AS raw, {_KEY.format('red_name')} AS name_key, event_date, division, record_id FROM ({_S1}) a UNION ALL SELECT 'one', 'blue', blue_name, {_KEY.format('blue_name')}, event_date, division, record_id FROM ({_S1}) b)"""
+
+
+@query(f"WITH {_OCCURRENCES}, rv AS (SELECT DISTINCT {', '.join(_SIX)}, 'fighter:' || name_key AS fighter_id FROM oc WHERE right(record_id, 1) IN ('1', '4', '6')) SELECT record_id, side, raw, rv.fighter_id FROM oc LEFT JOIN rv USING ({', '.join(_SIX)})")
+def j18_six_part_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed identities of spellings by their exact source, side, spelling, key, date and division."""
+    one = proxy.source_one(spark, sf_dir)
+    rows = identity.alias_rows(one).join(one.select("record_id", "event_date", "division"), "record_id").withColumn("source", F.lit("one"))
+    reviewed = rows.where(F.right("record_id", F.lit(1)).isin("1", "4", "6")).select(*_SIX, F.concat(F.lit("fighter:"), "name_key").alias("fighter_id"))
+    return identity.looked_up(rows, reviewed, list(_SIX)).select("record_id", "side", "raw", "fighter_id")
+
+
+@query(
+    _VALID + ", i AS (SELECT record_id, unnest(issues) AS rule FROM v), sv AS (SELECT *, CASE rule WHEN 'rounds' THEN 'medium' ELSE 'high' END AS severity FROM i)"
+    + " SELECT rule, severity, record_id, count(*) OVER () AS total FROM sv ORDER BY severity, rule, record_id LIMIT 25"
+)
+def q13_quality_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the issues of source records, the severest first, and how many there are."""
+    found = quality.validated(proxy.source_two(spark, sf_dir)).select("record_id", F.explode("issues").alias("rule"))
+    severity = F.coalesce(*(F.when(F.col("rule") == r, F.lit(s)) for r, s in _SEVERITY.items()))
+    total = found.agg(F.count("*").alias("total"))
+    page = found.withColumn("severity", severity).orderBy("severity", "rule", "record_id").limit(25)
+    return page.crossJoin(F.broadcast(total)).select("rule", "severity", "record_id", "total")  # one row
+
+
+# Checks on tables with planted faults
+
+
+@query(f"WITH s AS ({_S2}), o AS (SELECT record_id FROM s WHERE hash_id % 10 > 0 UNION ALL SELECT record_id FROM s WHERE hash_id % 7 = 0 UNION ALL SELECT 'made-' || record_id FROM s WHERE hash_id % 11 = 0)".replace("FROM s WHERE", "FROM (SELECT record_id, CAST(right(record_id, 4) AS BIGINT) AS hash_id FROM s) h WHERE")
+    + ", g AS (SELECT record_id, sum(g) AS g, sum(o) AS o FROM (SELECT record_id, 1 AS g, 0 AS o FROM s UNION ALL SELECT record_id, 0, 1 FROM o) u GROUP BY record_id) SELECT CAST(sum(g) AS BIGINT) AS given, CAST(sum(o) AS BIGINT) AS accounted, count(*) FILTER (g > o) AS lost_keys, count(*) FILTER (g < o) AS new_keys FROM g")
+def p08_planted_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some records lost, some given twice, some made up."""
+    rows = proxy.source_two(spark, sf_dir).select("record_id").withColumn("k", F.right("record_id", F.lit(4)).cast("long"))
+    made = rows.where("k % 11 = 0").select(F.concat(F.lit("made-"), "record_id").alias("record_id"), "k")
+    return quality.accounting(rows, rows.where("k % 10 > 0"), rows.where("k % 7 = 0").unionByName(made), "record_id")
+
+
+_PLANTED = """k AS (SELECT *, CAST(right(bout_id, 4) AS BIGINT) AS k FROM o), w AS (SELECT bout_id, fighter_id, CASE WHEN k % 17 = 3 THEN fighter_id ELSE opponent_id END AS opponent_id, k,
+  CASE WHEN k % 19 = 5 THEN -1 ELSE 0 END AS prior_wins, CASE WHEN k % 23 = 7 THEN 1.5 WHEN k % 29 = 1 THEN NULL ELSE 0.5 END AS prior_rate FROM k WHERE NOT (k % 31 = 2 AND fighter_id < opponent_id))"""
+
+
+@query(_LONG + f", {_PLANTED} SELECT count(*) AS snapshots, count(*) FILTER (opponent_id = fighter_id) AS not_in_bout, count(*) FILTER (prior_wins < 0) AS negative, count(*) FILTER (prior_rate > 1) AS rate_out_of_range, count(*) FILTER (k % 31 = 2) AS not_two_a_bout, count(DISTINCT bout_id) AS bouts FROM w")
+def p13_p14_j06_a03_a04_planted_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots with an opponent who isn't in the bout, negative counts, rates beyond one, and a side missing."""
+    bouts, k = proxy.bouts(spark, sf_dir), F.right(BOUT, F.lit(4)).cast("long")
+    rows = history.sides(bouts).where(~((k % 31 == 2) & (F.col("fighter_id") < F.col("opponent_id")))).select(
+        BOUT, "fighter_id", F.when(k % 17 == 3, F.col("fighter_id")).otherwise(F.col("opponent_id")).alias("opponent_id"), F.when(k % 19 == 5, -1).otherwise(0).alias("prior_wins"),
+        F.lit(0).alias("prior_losses"), F.when(k % 23 == 7, 1.5).when(k % 29 == 1, None).otherwise(0.5).alias("prior_rate"),
+    )
+    return quality.snapshot_checks(rows, bouts)
+
+
+@query(
+    _RATES + """, k AS (SELECT bout_id, a_prior_bouts AS x, diff_prior_win_rate AS y, CAST(right(bout_id, 4) AS BIGINT) AS k FROM paired)
+SELECT count(*) FILTER (k % 13 <> 4 AND k % 11 <> 6) AS rows, count(*) FILTER (k % 13 = 4 OR k % 11 = 6) - count(*) FILTER (k % 13 = 4 AND k % 11 = 6) AS unmatched,
+  count(*) FILTER (k % 13 <> 4 AND k % 11 <> 6 AND k % 3 = 1) AS a_prior_bouts_differs, count(*) FILTER (k % 13 <> 4 AND k % 11 <> 6 AND k % 5 = 2 AND y IS NOT NULL) AS diff_prior_win_rate_differs FROM k"""
+)
+def g19_planted_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A served table with rows missing on either side, changed counts, and values turned to null."""
+    rows, k = _paired(spark, sf_dir).select(BOUT, "a_prior_bouts", "diff_prior_win_rate"), F.right(BOUT, F.lit(4)).cast("long")
+    served = rows.where(k % 11 != 6).withColumns({"a_prior_bouts": F.col("a_prior_bouts") + (k % 3 == 1).cast("int"), "diff_prior_win_rate": F.when(k % 5 != 2, F.col("diff_prior_win_rate"))})
+    return quality.parity(rows.where(k % 13 != 4), served, [BOUT], ["a_prior_bouts", "diff_prior_win_rate"])
+
+
 # Publication and digests
 
 

@@ -76,15 +76,14 @@ WHERE x.l_suppkey <> y.l_suppkey
 #: First source: names as a source writes them; a few bouts of the history are missing, doubled or altered.
 SOURCE_ONE = """
 SELECT concat('row-', b.bout_id) AS record_id, b.fight_date AS event_date,
-  CASE WHEN v.venue % 2 = 0 THEN b.fighter_a_id ELSE b.fighter_b_id END AS red_id,
-  concat(CASE WHEN v.venue % 3 = 0 THEN upper(r.s_name) ELSE r.s_name END, CASE WHEN v.venue % 5 = 0 THEN '  ' ELSE '' END) AS red_name, u.s_name AS blue_name,
-  CASE WHEN b.is_no_contest THEN 'no contest' WHEN b.is_draw THEN 'draw' WHEN (v.venue % 2 = 0) = (b.winner_id = b.fighter_a_id) THEN 'Red' ELSE 'Blue' END AS outcome,
+  CASE WHEN b.venue_key % 2 = 0 THEN b.fighter_a_id ELSE b.fighter_b_id END AS red_id,
+  concat(CASE WHEN b.venue_key % 3 = 0 THEN upper(r.s_name) ELSE r.s_name END, CASE WHEN b.venue_key % 5 = 0 THEN '  ' ELSE '' END) AS red_name, u.s_name AS blue_name,
+  CASE WHEN b.is_no_contest THEN 'no contest' WHEN b.is_draw THEN 'draw' WHEN (b.venue_key % 2 = 0) = (b.winner_id = b.fighter_a_id) THEN 'Red' ELSE 'Blue' END AS outcome,
   b.finish_method AS method, b.time_format AS rounds, b.division AS division, b.finish_time AS clock, b.finish_round AS round_no
 FROM ({bouts}) b
-JOIN (SELECT bout_id, venue_key AS venue FROM ({bouts}) vv) v ON v.bout_id = b.bout_id
-JOIN {supplier} r ON r.s_suppkey = CAST(substr(CASE WHEN v.venue % 2 = 0 THEN b.fighter_a_id ELSE b.fighter_b_id END, 2) AS BIGINT)
-JOIN {supplier} u ON u.s_suppkey = CAST(substr(CASE WHEN v.venue % 2 = 0 THEN b.fighter_b_id ELSE b.fighter_a_id END, 2) AS BIGINT)
-WHERE v.venue % 7 <> 3
+JOIN {supplier} r ON r.s_suppkey = CAST(substr(CASE WHEN b.venue_key % 2 = 0 THEN b.fighter_a_id ELSE b.fighter_b_id END, 2) AS BIGINT)
+JOIN {supplier} u ON u.s_suppkey = CAST(substr(CASE WHEN b.venue_key % 2 = 0 THEN b.fighter_b_id ELSE b.fighter_a_id END, 2) AS BIGINT)
+WHERE b.venue_key % 7 <> 3
 """
 
 #: Second source: other corners, other spellings, some other outcomes and methods.
