@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringside.functions.windows import BOUT, DAY, OWNER
-from ringside.operators import adjusted, attribution, evaluate, history, pairwise, ratings, requests
+from ringside.operators import adjusted, attribution, evaluate, history, many, pairwise, ratings, requests
 from ringside.operators.performance import SPANS
 from ringside.plans.shared import shared_folder, shelve
 from ringside.queries import _ADJ, _RATES, _SNAPSHOTS, _adjusted, _paired, _ratings_sql, ORACLE_SQL, query, rounded
@@ -234,3 +234,12 @@ def q12_model_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     ece = evaluate.calibration_error(known, ["model_id"]).withColumnRenamed("ece", "calibration_error")
     last = known.groupBy("model_id").agg(F.max(DAY).alias("last_date"))
     return rounded(card.join(ece, "model_id").join(last, "model_id").withColumn("feature_count", F.lit(len(_NAMES))))
+
+
+@query()
+def m03_m06_m09_many_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three packs, four strengths and three folds trained together, five objectives, and which candidates none beats."""
+    rows = shelve(many.blocks(pairwise.model_ready(_paired(spark, sf_dir), ["prior_bouts", "prior_win_rate"])))
+    packs = {"all": _NAMES, "differences": [n for n in _NAMES if n.startswith("diff")], "rates": [n for n in _NAMES if n.endswith("win_rate")]}
+    candidates = [many.Candidate(f"{n}-{c}", tuple(p), c) for n, p in packs.items() for c in (0.001, 0.1, 1.0, 10.0)]
+    return rounded(many.pareto_front(many.fold_scores(rows, many.trained(rows, candidates, 3))))

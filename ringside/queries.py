@@ -1132,7 +1132,16 @@ def q06_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc(DAY)).limit(12).select(F.col(DAY).alias("event_date"), "bouts", "divisions")
 
 
-@query()
+@query(
+    _SPLIT
+    + """, u AS (SELECT p AS x, avg(a_won) AS y, count(*) AS w FROM split WHERE split = 'validation' GROUP BY p),
+n AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS cw, sum(w * y) OVER (ORDER BY x) AS cy FROM u),
+jk AS (SELECT j.i AS j, k.i AS k, (k.cy - j.cy + j.w * j.y) / (k.cw - j.cw + j.w) AS a FROM n j JOIN n k ON k.i >= j.i),
+m AS (SELECT j, k AS i, min(a) OVER (PARTITION BY j ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS a FROM jk),
+fit AS (SELECT n.x, max(m.a) AS y FROM m JOIN n USING (i) GROUP BY n.x), test AS (SELECT bout_id, p FROM split WHERE split = 'test'),
+met AS (SELECT t.bout_id, t.p, f.x AS lx, f.y AS ly, g.x AS hx, g.y AS hy FROM test t ASOF LEFT JOIN fit f ON t.p >= f.x ASOF LEFT JOIN fit g ON t.p <= g.x)
+SELECT bout_id, round(p, 6) AS p, round(CASE WHEN lx IS NULL THEN hy WHEN hx IS NULL THEN ly WHEN hx = lx THEN ly ELSE ly + (p - lx) * (hy - ly) / (hx - lx) END, 6) AS p_calibrated FROM met"""
+)
 def m07_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ringside.operators import models
 
