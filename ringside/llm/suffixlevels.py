@@ -176,10 +176,11 @@ def settled(pieces: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame
     """Windows (row, lo, hi) that are known to repeat, and the entries that have to be looked at more closely.
 
     Those are all entries of a stem that has several, one at least of which stands alone: the rest are its witnesses.
+    The open stems are written first: then the join with them is one of plain tables, and Spark can split a hot stem.
     """
     sure = pieces.join(entries.where("n > 1").select("stem", "run"), ["stem", "run"]).select("row", "lo", "hi")
     open_stems = entries.groupBy("stem").agg(F.count("*").alias("k"), F.count_if(F.col("n") == 1).alias("alone")).where("k > 1 AND alone > 0")
-    return sure, entries.join(open_stems.select("stem"), "stem", "left_semi")
+    return sure, entries.join(shelve(open_stems.select("stem")), "stem", "left_semi")
 
 
 def by_row(windows: DataFrame, *columns: str) -> DataFrame:
