@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ringside.plans.shared import discard as discard
+from ringside.plans.shared import shared_folder as shared_folder
+from ringside.plans.shared import shelve as shelve
 from ringside.session import ship
 
-#: Rows of an Arrow batch that goes to a Python worker: bounds its memory where texts are long.
-BATCH_ROWS = 500
+#: Rows and bytes of an Arrow batch that goes to a Python worker: they bound its memory where texts are long.
+BATCH_ROWS, BATCH_BYTES = 500, 1 << 26
 #: Characters of text that a worker takes apart at once.
 SLICE_CHARS = 1 << 20
 #: Characters of a text that a sample for estimates holds at most.
@@ -25,37 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Batches of few rows, for workers that can import this package."""
+    """Batches of few rows and bytes, for workers that can import this package; a longer text is a batch of its own."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the cluster names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ringside-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def shelve(df: DataFrame, *by: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives the loss of any executor; `by`: in folders by these columns."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.partitionBy(*by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete what shelve() wrote, once nothing reads it any more."""
-    for df in frames:
-        jvm = df.sparkSession.sparkContext._jvm
-        conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
-        folder = f"/{shared_folder(df.sparkSession).rstrip('/').rpartition('/')[2]}/"
-        for above, _, below in {f.rpartition(folder) for f in df.inputFiles()}:
-            if above:
-                path = jvm.org.apache.hadoop.fs.Path(f"{above}{folder}{below.partition('/')[0]}")
-                path.getFileSystem(conf).delete(path, True)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def sample_texts(docs: DataFrame, rows: int) -> list[str]:
