@@ -40,6 +40,8 @@ TABLE_SHARE, NUMBER_BITS, K = 1 << 20, 20, 5
 ADDED = 0.1
 #: Tokens whose counts a worker adds up before it hands them on.
 HELD_TOKENS = 1 << 22
+#: Occurrences of rare words that a worker looks at together.
+HELD_ROWS = 1 << 16
 RARE = 1 << 63
 #: The hash of the token that ends a text.
 END = RARE - 2
@@ -180,6 +182,50 @@ def frequent_pairs(texts: DataFrame, places, hot, words: DataFrame, start: int)
     return sums_of(met, [of_text, of_context], [of_text, unseen, entry(~own, HOT, F.col("key"), n=n)], ~own | ~train)
 
 
+def sums_by(group: np.ndarray, other: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """For each row, the sum of n over the rows that share group and other with it."""
+    order = np.lexsort((other, group))
+    g, o = group[order], other[order]
+    new = np.append(True, (g[1:] != g[:-1]) | (o[1:] != o[:-1]))
+    sums = np.add.reduceat(n[order], np.flatnonzero(new))
+    out = np.empty_like(n)
+    out[order] = sums[np.cumsum(new) - 1]
+    return out
+
+
+def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Occurrences of rare words in the order of their keys, with what all those of a key say.
+
+    r: training occurrences with the same token behind; c: of the word; q: with the same token before; frees: any of its
+    pairs that is seen gives weight up; missed: any held-out pair of it is new. A word's rows are few, by what rare means.
+    """
+
+    def told(rows: pa.Table) -> pa.RecordBatch:
+        key, before, n = (rows.column(c).to_numpy() for c in ("key", "before", "n"))
+        after = rows.column("after").fill_null(NONE).to_numpy()
+        group = np.cumsum(np.append(0, key[1:] != key[:-1]))
+        learnt, follows = np.maximum(n, 0).astype(np.int64), after != NONE
+        r, q = sums_by(group, after, learnt), sums_by(group, before, learnt)
+        in_group = lambda x: np.bincount(group, x)[group]
+        frees, missed = in_group(follows & (n > 0) & (r <= K)) > 0, in_group(follows & (n < 0) & (r == 0)) > 0
+        more = [r, in_group(learnt).astype(np.int64), q, frees, missed]
+        columns = [rows.column(c).combine_chunks() for c in rows.column_names]
+        return pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in more], [*rows.column_names, "r", "c", "q", "frees", "missed"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= HELD_ROWS:
+            rows = pa.Table.from_batches(held)
+            key = rows.column("key").to_numpy()
+            whole = int(key.searchsorted(key[-1]))  # the last key may go on
+            if whole:
+                yield told(rows.slice(0, whole))
+            held = rows.slice(whole).to_batches()
+    if held:
+        yield told(pa.Table.from_batches(held))
+
+
 def rare_words(texts: DataFrame, places, words: DataFrame, start: int, whole: float) -> DataFrame:
     """Sums over the occurrences of rare words, the tokens after them, and before them where these are frequent."""
 
@@ -203,16 +249,11 @@ def rare_words(texts: DataFrame, places, words: DataFrame, start: int, whole: fl
             )
 
     n = F.col("n")
-    learnt = F.when(n > 0, n)
-    count = lambda *by: F.coalesce(F.sum(learnt).over(Window.partitionBy(*by)), F.lit(0))
     met = texts.mapInArrow(run, "key long, row long, before int, after long, n int")
-    met = met.withColumn("r", count("key", "after"))
+    met = met.repartition("key").sortWithinPartitions("key").mapInArrow(with_counts, "key long, row long, before int, after long, n int, r long, c long, q long, frees boolean, missed boolean")
     follows = F.col("after").isNotNull()
     unseen = follows & (n < 0) & (F.col("r") == 0)
-    anywhere = lambda holds: F.coalesce(F.max(holds).over(Window.partitionBy("key")), F.lit(False))
-    met = met.withColumns({"c": count("key"), "frees": anywhere(follows & (n > 0) & (F.col("r") <= K)), "missed": anywhere(unseen)})
     met = met.withColumn("asked", F.col("missed") & (F.col("c") > 0))
-    met = met.withColumn("q", count("key", "before"))
     met = met.join(F.broadcast(words.select(F.col("word").alias("after"), F.col("p").alias("p_after"), F.col("log_p").alias("log_after"))), "after", "left")
     key, row, before, r, c, q, m = (*map(F.col, ("key", "row", "before", "r", "c", "q")), F.abs("n"))
     held, log_after = (n < 0).cast("int"), F.col("log_after")
