@@ -40,13 +40,13 @@ def _vector_columns() -> dict[str, str]:
     for span, (days, k) in SPANS.items():
         inside = f"back <= {k}" if k else f"age <= {days}" if days else "true"
         out |= {f"{span}_{m}_mean": f"round(avg({m}) FILTER ({inside}), 6)" for m in _SEEN}
-    out["rating"] = "round(coalesce(max(rating_after) FILTER (back = 1), 1500), 6)"
+    out["rating"] = "round(coalesce(max(rating_after) FILTER (back = 1), 1500), 4)"
     out["rated_bouts"] = "count(*) FILTER (outcome <> 'no_contest')"
-    out["peak"] = "round(greatest(1500, coalesce(max(rating_after) FILTER (outcome <> 'no_contest'), 1500)), 6)"
-    out["change_last_3"] = "round(max(rating_after) FILTER (back = 1) - max(rating_after) FILTER (rated_back = 3 AND outcome <> 'no_contest'), 6)"
-    out["opponents_mean"] = "round(avg(opponent_rating) FILTER (outcome <> 'no_contest'), 6)"
+    out["peak"] = "round(greatest(1500, coalesce(max(rating_after) FILTER (outcome <> 'no_contest'), 1500)), 4)"
+    out["change_last_3"] = "round(max(rating_after) FILTER (back = 1) - max(rating_after) FILTER (rated_back = 3 AND outcome <> 'no_contest'), 4)"
+    out["opponents_mean"] = "round(avg(opponent_rating) FILTER (outcome <> 'no_contest'), 4)"
     for m in _ADJUSTED:
-        out |= {f"adjusted_{m}_count": f"count(adjusted_{m})", f"adjusted_{m}_mean": f"round(avg(adjusted_{m}), 6)", f"adjusted_{m}_last_3": f"round(avg(adjusted_{m}) FILTER (valid_{m} <= 3), 6)"}
+        out |= {f"adjusted_{m}_count": f"count(adjusted_{m})", f"adjusted_{m}_mean": f"round(avg(adjusted_{m}), 4)", f"adjusted_{m}_last_3": f"round(avg(adjusted_{m}) FILTER (valid_{m} <= 3), 4)"}
     return out
 
 
@@ -77,7 +77,9 @@ _LATER = "SELECT bout_id AS request_id, fighter_a_id, fighter_b_id, fight_date +
 def w27_m11_as_of_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records, windows, ratings and adjusted observations of both competitors of every request, in one pass."""
     found = requests.vectors(_asked(spark, sf_dir), _rows(spark, sf_dir), _SEEN, _ADJUSTED)
-    return rounded(found.select("request_id", OWNER, *_vector_columns()))
+    coarse = [c for c in _vector_columns() if c in ("rating", "peak", "change_last_3", "opponents_mean") or c.startswith("adjusted_") and not c.endswith("_count")]
+    found = found.select("request_id", OWNER, *_vector_columns())
+    return rounded(found.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in coarse}))
 
 
 #: A served model: weights of oriented features, what fills gaps, and the margins at which it speaks.
@@ -134,13 +136,13 @@ def q08_m10_m11_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STRENGTH = ("rating_before", "rated_bouts", "peak", "opponents_mean", "significant_strikes_landed_mean")
-_exact = lambda sql: sql.replace("round(", "(").replace(", 6)", ")")
+_exact = lambda sql: sql.replace("round(", "(").replace(", 4)", ")").replace(", 5)", ")")
 
 
 @query(
     f"WITH st AS ({_exact(ORACLE_SQL['w20_w21_strength'])}), sn AS ({_exact(_SNAPSHOTS)}), f AS (SELECT st.*, sn.significant_strikes_landed_mean FROM st LEFT JOIN sn USING (bout_id, fighter_id)), b AS ({proxy.duck(proxy.BOUTS)})"
     + " SELECT b.bout_id, "
-    + ", ".join(f"round(CAST(x.{f} AS DOUBLE), 6) AS a_{f}, round(CAST(y.{f} AS DOUBLE), 6) AS b_{f}, round(CAST(x.{f} AS DOUBLE) - y.{f}, 6) AS diff_{f}" for f in _STRENGTH)
+    + ", ".join(f"round(CAST(x.{f} AS DOUBLE), 4) AS a_{f}, round(CAST(y.{f} AS DOUBLE), 4) AS b_{f}, round(CAST(x.{f} AS DOUBLE) - y.{f}, 4) AS diff_{f}" for f in _STRENGTH)
     + ", round(1 / (1 + power(10, (y.rating_before - x.rating_before) / 400)), 6) AS elo_expected_a FROM b JOIN f x ON x.bout_id = b.bout_id AND x.fighter_id = b.fighter_a_id JOIN f y ON y.bout_id = b.bout_id AND y.fighter_id = b.fighter_b_id WHERE NOT is_draw AND NOT is_no_contest"
 )
 def j11_f29_oriented_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,7 +151,7 @@ def j11_f29_oriented_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = ratings.strength(bouts, ratings.overall(bouts)).join(adjusted.snapshots(_adjusted(spark, sf_dir)), [BOUT, OWNER], "left")
     rows = pairwise.pairs(bouts.where("NOT is_draw AND NOT is_no_contest"), own, list(_STRENGTH), missing=False)
     expected = ratings.expected(F.col("a_rating_before"), F.col("b_rating_before")).alias("elo_expected_a")
-    values = [F.col(n).cast("double").alias(n) for n in pairwise.oriented(list(_STRENGTH))]
+    values = [(F.round(F.col(n).cast("double"), 4) + F.lit(0.0)).alias(n) for n in pairwise.oriented(list(_STRENGTH))]
     return rounded(rows.select(BOUT, *values, expected))
 
 

@@ -294,17 +294,18 @@ rated AS (SELECT s.bout_id, s.fighter_id, s.division, x.rating AS rating_before,
     )
 
 
-_RATED_COLUMNS = "bout_id, fighter_id, round(rating_before, 6) AS rating_before, round(rating_after, 6) AS rating_after, round(opponent_rating, 6) AS opponent_rating"
+#: Four digits: a recurrence over thousands of dates adds up in another order elsewhere.
+_RATED_COLUMNS = "bout_id, fighter_id, round(rating_before, 4) AS rating_before, round(rating_after, 4) AS rating_after, round(opponent_rating, 4) AS opponent_rating"
 
 
 @query(_ratings_sql() + f" SELECT {_RATED_COLUMNS} FROM rated")
 def w18_overall_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ratings.overall(proxy.bouts(spark, sf_dir)))
+    return rounded(ratings.overall(proxy.bouts(spark, sf_dir)), 4)
 
 
 @query(_ratings_sql("division", "division IS NOT NULL") + f" SELECT {_RATED_COLUMNS}, division FROM rated")
 def w19_division_rating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(ratings.by_division(proxy.bouts(spark, sf_dir)))
+    return rounded(ratings.by_division(proxy.bouts(spark, sf_dir)), 4)
 
 
 @query(
@@ -322,15 +323,15 @@ def w19_division_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM rated JOIN bouts b USING (bout_id) WHERE NOT is_no_contest),
 back AS (SELECT t.bout_id, t.fighter_id, p.rating_after, p.opponent_rating, CASE WHEN p.outcome = 'win' THEN p.opponent_rating END AS beaten, row_number() OVER (PARTITION BY t.bout_id, t.fighter_id ORDER BY p.fight_date DESC, p.bout_id DESC) AS back
   FROM o t JOIN o p ON p.fighter_id = t.fighter_id AND p.fight_date < t.fight_date)
-SELECT o.bout_id, o.fighter_id, fight_date, opponent_id, outcome, round(max(rating_before), 6) AS rating_before, round(max(o.rating_after), 6) AS rating_after, round(max(o.opponent_rating), 6) AS opponent_rating,
-  count(b.back) AS rated_bouts, round(greatest(1500, coalesce(max(b.rating_after), 1500)), 6) AS peak, round(max(rating_before) - max(b.rating_after) FILTER (back = 3), 6) AS change_last_3,
-  round(avg(b.opponent_rating), 6) AS opponents_mean, round(avg(b.opponent_rating) FILTER (back <= 3), 6) AS opponents_last_3, round(avg(b.opponent_rating) FILTER (back <= 5), 6) AS opponents_last_5,
-  round(avg(beaten), 6) AS beaten_mean, round(max(beaten), 6) AS beaten_best
+SELECT o.bout_id, o.fighter_id, fight_date, opponent_id, outcome, round(max(rating_before), 4) AS rating_before, round(max(o.rating_after), 4) AS rating_after, round(max(o.opponent_rating), 4) AS opponent_rating,
+  count(b.back) AS rated_bouts, round(greatest(1500, coalesce(max(b.rating_after), 1500)), 4) AS peak, round(max(rating_before) - max(b.rating_after) FILTER (back = 3), 4) AS change_last_3,
+  round(avg(b.opponent_rating), 4) AS opponents_mean, round(avg(b.opponent_rating) FILTER (back <= 3), 4) AS opponents_last_3, round(avg(b.opponent_rating) FILTER (back <= 5), 4) AS opponents_last_5,
+  round(avg(beaten), 4) AS beaten_mean, round(max(beaten), 4) AS beaten_best
 FROM o LEFT JOIN back b ON b.bout_id = o.bout_id AND b.fighter_id = o.fighter_id GROUP BY o.bout_id, o.fighter_id, fight_date, opponent_id, outcome"""
 )
 def w20_w21_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     bouts = proxy.bouts(spark, sf_dir)
-    return rounded(ratings.strength(bouts, ratings.overall(bouts)))
+    return rounded(ratings.strength(bouts, ratings.overall(bouts)), 4)
 
 
 def _adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -358,7 +359,7 @@ def w22_j09_adjusted_observations(spark: SparkSession, sf_dir: str) -> DataFrame
 def _snapshot_sql(m: str) -> str:
     return f""", ab_{m} AS (SELECT t.bout_id, t.fighter_id, p.adjusted_{m} AS v, row_number() OVER (PARTITION BY t.bout_id, t.fighter_id ORDER BY p.fight_date DESC, p.bout_id DESC) AS back
   FROM adj t JOIN adj p ON p.fighter_id = t.fighter_id AND p.fight_date < t.fight_date WHERE p.adjusted_{m} IS NOT NULL),
-s_{m} AS (SELECT bout_id, fighter_id, count(*) AS {m}_count, round(avg(v), 6) AS {m}_mean, round(avg(v) FILTER (back <= 3), 6) AS {m}_last_3, round(avg(v) FILTER (back <= 5), 6) AS {m}_last_5 FROM ab_{m} GROUP BY bout_id, fighter_id)"""
+s_{m} AS (SELECT bout_id, fighter_id, count(*) AS {m}_count, round(avg(v), 5) AS {m}_mean, round(avg(v) FILTER (back <= 3), 5) AS {m}_last_3, round(avg(v) FILTER (back <= 5), 5) AS {m}_last_5 FROM ab_{m} GROUP BY bout_id, fighter_id)"""
 
 
 _SNAPSHOTS = (
@@ -373,7 +374,7 @@ _SNAPSHOTS = (
 
 @query(_SNAPSHOTS)
 def w23_adjusted_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(adjusted.snapshots(_adjusted(spark, sf_dir)))
+    return rounded(adjusted.snapshots(_adjusted(spark, sf_dir)), 5)
 
 
 _RATES = (
