@@ -195,3 +195,14 @@ def conflict_counters(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs with each conflict, all pairs, and those in which the older rule and the list of conflicts disagree."""
     rows = source_conflicts(left, right).withColumn("x", F.explode(F.concat(F.split("conflicts", ","), F.array(F.lit("pairs")), F.when(F.col("legacy_conflict"), F.array(F.lit("legacy"))).otherwise(F.array()), F.when(F.col("legacy_conflict") != (F.col("conflicts") != ""), F.array(F.lit("rules disagree"))).otherwise(F.array()))))
     return rows.where("x <> ''").groupBy(F.col("x").alias("name")).agg(F.count("*").alias("n"))
+
+
+def outcome_categories(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs whose outcomes differ, and what kind of difference a person has to settle."""
+    rows = matched(left, right).where("matching = 'both'").where(field_status("outcome") == "differs")
+    values, methods = F.array("l.winner", "r.winner"), F.array(F.lower("l.method"), F.lower("r.method"))
+    kind = (
+        F.when(F.exists(values, lambda v: v.startswith("uninterpreted:")), "outcome.source_parsing").when(F.array_contains(values, "no_contest"), "outcome.no_contest_vs_winner")
+        .when(F.array_contains(values, "draw"), "outcome.draw_vs_winner").when(F.array_contains(methods, "overturned"), "outcome.overturned_result").otherwise("outcome.winner_disagreement")
+    )
+    return rows.select(F.col("l.record_id").alias("left_id"), F.col("r.record_id").alias("right_id"), kind.alias("category"))

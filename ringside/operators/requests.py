@@ -167,3 +167,10 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
     from ringside.plans.publish import read_text
 
     return Bundle.of_text(read_text(spark, f"{path}/bundle.json"), json.loads(read_text(spark, f"{path}/manifest.json"))["bundle.json"])
+
+
+def limitations(requests: DataFrame, cutoff: str, stale_days: int = 365) -> DataFrame:
+    """requests with the days from the training cutoff to the date asked for, and a warning where these are too many."""
+    days = F.date_diff(ASKED, F.lit(cutoff).cast("date")).cast("long")
+    warning = F.lit(f"The history ends on {cutoff}; this date is more than {stale_days} days later, so the sources may be stale.")
+    return requests.withColumn("days_after_cutoff", days).withColumn("limitation", F.when(F.col("days_after_cutoff") > stale_days, warning))

@@ -110,3 +110,59 @@ def format_items(rows: DataFrame, four: DataFrame, bout: str, key: str) -> DataF
     action = F.when(F.col("state") == "confirmed", F.concat(F.lit("confirmed by "), F.col("evidence"))).otherwise(F.lit("review scheduled rounds"))
     rounds = four.select(F.lit("bout_format.four_rounds").alias("category"), F.col("record_id").alias("subject"), action.alias("action"), F.lit(1).cast("long").alias("rows"), F.lit(1).cast("long").alias("bouts"))
     return special.unionByName(rounds).withColumn("review_id", short_id("BOUT-", "category", "subject"))
+
+
+def _text(value: Column) -> Column:
+    """Trimmed text; null for an empty one."""
+    return F.nullif(F.trim(value), F.lit(""))
+
+
+#: Rules of the coercions below.
+REQUIRED, BAD_DATE, BAD_ROUNDS, BAD_TITLE = "CAN-001.required_source_field", "CAN-001.invalid_fight_date", "CAN-001.invalid_scheduled_rounds", "CAN-001.invalid_title_bout"
+
+
+def coerced(rows: DataFrame, required: tuple[str, ...], date: str, rounds: str, title: str, labels: tuple[str, ...]) -> DataFrame:
+    """rows with typed fields, the rules they break in order, and the labels that were observed, as they were written.
+
+    An ISO date, a whole number above zero, true or false in any case; required fields may not be empty. A field that
+    breaks a rule is null.
+    """
+    value = {n: _text(F.col(n)) for n in {*required, date, rounds, title, *labels}}
+    iso = F.when(value[date].rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), value[date].try_cast("date"))
+    whole = F.when(value[rounds].rlike("^[0-9]+$"), value[rounds].try_cast("int"))
+    flag = F.when(F.lower(value[title]) == "true", True).when(F.lower(value[title]) == "false", False)
+    rules = [F.when(value[n].isNull(), F.lit(f"{REQUIRED}:{n}")) for n in required]
+    rules += [F.when(value[date].isNotNull() & iso.isNull(), F.lit(BAD_DATE)), F.when(F.coalesce(whole < 1, F.lit(True)), F.lit(BAD_ROUNDS)), F.when(value[title].isNotNull() & flag.isNull(), F.lit(BAD_TITLE))]
+    seen = F.array_compact(F.array(*(F.when(value[n].isNotNull(), F.concat(F.lit(f"{n}="), value[n])) for n in labels)))
+    return rows.withColumns({"fight_date_value": iso, "rounds_value": F.when(whole > 0, whole), "title_value": flag, "issues": F.array_compact(F.array(*rules)), "labels": seen})
+
+
+def authority_scopes(authorities: DataFrame, primary: str, supplemental: str, first_source: str) -> DataFrame:
+    """What each decision on taxonomy is about, and whether it's in force.
+
+    authorities: category, ledger, kind, record_type, decision, source_values ('source: value', further ones behind ' || '),
+    proposed. A null policy has no value; an unknown category has no field.
+    """
+    category, one = F.col("category"), F.split_part("source_values", F.lit(" || "), F.lit(1))
+    source = F.split_part(one, F.lit(": "), F.lit(1))
+    policy = category == "taxonomy.missing_stance_policy"
+    by_source = lambda here, there: F.when(source == first_source, here).otherwise(there)
+    field = (
+        F.when(policy, "stance").when(category.contains("country_whitespace"), "country").when(category.contains("division"), by_source("weight_class", "bout_type"))
+        .when(category.contains("stance"), "stance").when(category.contains("finish"), by_source("finish", "method"))
+    )
+    is_taxonomy = category.startswith("taxonomy.") & ((F.col("ledger") == primary) | F.coalesce(F.col("kind") == "taxonomy", F.lit(False)))
+    active = F.when(F.col("ledger") == supplemental, F.col("record_type") == "supplemental_authority").otherwise(F.col("decision").isin("approve_corrected_mapping", "preserve_null"))
+    raw = F.when(~policy, F.substring(one, F.length(source) + 3, F.length(one)))
+    return authorities.withColumns({
+        "source_name": F.when(policy, first_source).otherwise(source), "field_name": field, "raw_value": raw,
+        "canonical_value": F.when(~policy, F.regexp_replace("proposed", "^review exact taxonomy mapping to: ", "")), "is_taxonomy": is_taxonomy, "is_active": F.coalesce(active, F.lit(False)),
+    })
+
+
+def composition(items: DataFrame, expected: dict[str, int]) -> DataFrame:
+    """Each category's items against how many a package has to have, either way round."""
+    wanted = items.sparkSession.createDataFrame(sorted(expected.items()), "category string, expected long")
+    counts = items.groupBy("category").agg(F.count("*").alias("actual"))
+    met = counts.join(F.broadcast(wanted), "category", "full_outer").fillna(0, ["expected", "actual"])
+    return met.withColumn("agrees", F.col("expected") == F.col("actual"))

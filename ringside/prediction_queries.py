@@ -245,3 +245,14 @@ def m03_m06_m09_many_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     packs = {"all": _NAMES, "differences": [n for n in _NAMES if n.startswith("diff")], "rates": [n for n in _NAMES if n.endswith("win_rate")]}
     candidates = [many.Candidate(f"{n}-{c}", tuple(p), c) for n, p in packs.items() for c in (0.001, 0.1, 1.0, 10.0)]
     return rounded(many.pareto_front(many.fold_scores(rows, many.trained(rows, candidates, 3))))
+
+
+_CUTOFF = "1997-06-30"
+
+
+@query(
+    f"WITH bouts AS ({proxy.duck(proxy.BOUTS)}), req AS ({_LATER}), d AS (SELECT request_id, CAST(date_diff('day', DATE '{_CUTOFF}', request_date) AS BIGINT) AS days_after_cutoff FROM req) SELECT request_id, days_after_cutoff, CASE WHEN days_after_cutoff > 365 THEN 'The history ends on {_CUTOFF}; this date is more than 365 days later, so the sources may be stale.' END AS limitation FROM d"
+)
+def x37_stale_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which requests lie so long after the training cutoff that a prediction has to say so."""
+    return requests.limitations(_asked(spark, sf_dir), _CUTOFF).select("request_id", "days_after_cutoff", "limitation")

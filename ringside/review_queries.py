@@ -119,6 +119,76 @@ def x01_conflict_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.conflict_counters(*_sources(spark, sf_dir))
 
 
+@query(
+    f"WITH one AS ({_keyed_sql(_S1)}), two AS ({_keyed_sql(_S2)}) SELECT l.record_id AS left_id, r.record_id AS right_id, CASE WHEN starts_with(l.winner, 'uninterpreted:') OR starts_with(r.winner, 'uninterpreted:') THEN 'outcome.source_parsing' WHEN 'no_contest' IN (l.winner, r.winner) THEN 'outcome.no_contest_vs_winner'"
+    + " WHEN 'draw' IN (l.winner, r.winner) THEN 'outcome.draw_vs_winner' WHEN 'overturned' IN (lower(l.method), lower(r.method)) THEN 'outcome.overturned_result' ELSE 'outcome.winner_disagreement' END AS category FROM one l JOIN two r USING (match_key) WHERE l.same = 1 AND r.same = 1 AND l.winner <> r.winner"
+)
+def x10_outcome_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.outcome_categories(*_sources(spark, sf_dir))
+
+
+# Coercions, scopes, packages
+
+_DATES = ("2020-02-29", " 2021-03-01 ", "2021-02-30", "01/02/2020", "", None, "2020-1-1")
+_NUMBERS = ("3", "5", "0", " 4 ", "x", None)
+_FLAGS = ("True", "FALSE", "maybe", None, " true ")
+_RAW = f"SELECT c_custkey, {_sql_list(_DATES)}[1 + c_custkey % 7] AS date_text, {_sql_list(_NUMBERS)}[1 + c_custkey % 6] AS rounds_text, {_sql_list(_FLAGS)}[1 + c_custkey % 5] AS title_text, {_sql_list(_LABELS)}[1 + c_custkey % 16] AS division, {_sql_list(_STANCES)}[1 + c_custkey % 5] AS stance FROM customer"
+
+
+@query(
+    f"""WITH r AS ({_RAW}), v AS (SELECT c_custkey, nullif(trim(date_text), '') AS d, nullif(trim(rounds_text), '') AS n, nullif(trim(title_text), '') AS t, nullif(trim(division), '') AS dv, nullif(trim(stance), '') AS st FROM r),
+c AS (SELECT *, CASE WHEN regexp_matches(d, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN TRY_CAST(d AS DATE) END AS iso, CASE WHEN regexp_matches(n, '^[0-9]+$') THEN TRY_CAST(n AS INTEGER) END AS whole, CASE lower(t) WHEN 'true' THEN true WHEN 'false' THEN false END AS flag FROM v)
+SELECT c_custkey, iso AS fight_date_value, CASE WHEN whole > 0 THEN whole END AS rounds_value, flag AS title_value, concat_ws(';', CASE WHEN d IS NULL THEN '{taxonomy.REQUIRED}:date_text' END, CASE WHEN dv IS NULL THEN '{taxonomy.REQUIRED}:division' END,
+  CASE WHEN d IS NOT NULL AND iso IS NULL THEN '{taxonomy.BAD_DATE}' END, CASE WHEN coalesce(whole < 1, true) THEN '{taxonomy.BAD_ROUNDS}' END, CASE WHEN t IS NOT NULL AND flag IS NULL THEN '{taxonomy.BAD_TITLE}' END) AS issues,
+  concat_ws(';', 'division=' || dv, 'stance=' || st) AS labels FROM c"""
+)
+def x20_field_coercions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed fields of raw records, the rules that they break, and the labels observed."""
+    k = F.col("c_custkey")
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    rows = proxy.read(spark, sf_dir, "customer").select(k, pick(_DATES).alias("date_text"), pick(_NUMBERS).alias("rounds_text"), pick(_FLAGS).alias("title_text"), pick(_LABELS).alias("division"), pick(_STANCES).alias("stance"))
+    found = taxonomy.coerced(rows, ("date_text", "division"), "date_text", "rounds_text", "title_text", ("division", "stance"))
+    return found.select("c_custkey", "fight_date_value", "rounds_value", "title_value", F.array_join("issues", ";").alias("issues"), F.array_join("labels", ";").alias("labels"))
+
+
+_CATEGORIES = ("taxonomy.country_whitespace", "taxonomy.division_exact_normalization", "taxonomy.missing_stance_policy", "taxonomy.finish_method_exact_mapping", "identity.alias_candidate", "taxonomy.stance_whitespace")
+_VALUES_GIVEN = ("one: Brazil : North", "two: Catch Weight Bout", "one:  || two: ", "two: U-DEC", "one: Ann")
+_DECIDED = ("approve_corrected_mapping", "preserve_null", "reject", "defer")
+_GIVEN = f"""SELECT c_custkey, {_sql_list(_CATEGORIES)}[1 + c_custkey % 6] AS category, CASE c_custkey % 4 WHEN 0 THEN 'packet' WHEN 1 THEN 'supplement' ELSE 'legacy' END AS ledger, CASE WHEN c_custkey % 5 = 0 THEN 'taxonomy' END AS kind,
+  CASE WHEN c_custkey % 8 = 1 THEN 'supplemental_authority' ELSE 'decision' END AS record_type, {_sql_list(_DECIDED)}[1 + (c_custkey // 3) % 4] AS decision, {_sql_list(_VALUES_GIVEN)}[1 + c_custkey % 5] AS source_values, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE 'review exact taxonomy mapping to: ' || c_name END AS proposed FROM customer"""
+
+
+@query(
+    f"""WITH a AS ({_GIVEN}), o AS (SELECT *, split_part(source_values, ' || ', 1) AS one, category = 'taxonomy.missing_stance_policy' AS policy FROM a), s AS (SELECT *, split_part(one, ': ', 1) AS src FROM o)
+SELECT c_custkey, CASE WHEN policy THEN 'one' ELSE src END AS source_name, CASE WHEN policy THEN 'stance' WHEN contains(category, 'country_whitespace') THEN 'country' WHEN contains(category, 'division') THEN CASE WHEN src = 'one' THEN 'weight_class' ELSE 'bout_type' END WHEN contains(category, 'stance') THEN 'stance' WHEN contains(category, 'finish') THEN CASE WHEN src = 'one' THEN 'finish' ELSE 'method' END END AS field_name,
+  CASE WHEN NOT policy THEN substr(one, length(src) + 3) END AS raw_value, CASE WHEN NOT policy THEN regexp_replace(proposed, '^review exact taxonomy mapping to: ', '') END AS canonical_value,
+  starts_with(category, 'taxonomy.') AND (ledger = 'packet' OR coalesce(kind = 'taxonomy', false)) AS is_taxonomy, CASE WHEN ledger = 'supplement' THEN record_type = 'supplemental_authority' ELSE decision IN ('approve_corrected_mapping', 'preserve_null') END AS is_active FROM s"""
+)
+def x04_authority_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source, field and value that each decision is about, and whether it's in force."""
+    k = F.col("c_custkey")
+    pick = lambda values, at=k: F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
+    rows = proxy.read(spark, sf_dir, "customer").select(
+        k, pick(_CATEGORIES).alias("category"), F.when(k % 4 == 0, "packet").when(k % 4 == 1, "supplement").otherwise("legacy").alias("ledger"), F.when(k % 5 == 0, "taxonomy").alias("kind"),
+        F.when(k % 8 == 1, "supplemental_authority").otherwise("decision").alias("record_type"), pick(_DECIDED, F.floor(k / 3)).alias("decision"), pick(_VALUES_GIVEN).alias("source_values"),
+        F.when(k % 3 == 0, F.col("c_name")).otherwise(F.concat(F.lit("review exact taxonomy mapping to: "), "c_name")).alias("proposed"),
+    )
+    return taxonomy.authority_scopes(rows, "packet", "supplement", "one").select("c_custkey", "source_name", "field_name", "raw_value", "canonical_value", "is_taxonomy", "is_active")
+
+
+#: How many items of each category a package has to have: what the smallest tables give for one, and none for others.
+PACKAGE = {"bout_format.special_format": 1, "bout_format.unresolved_cross_source_match": 2, "bout_format.four_rounds": 0}
+
+
+@query(
+    f"WITH i AS ({ORACLE_SQL['x12_format_items']}), n AS (SELECT category, count(*) AS actual FROM i GROUP BY category), e AS (SELECT * FROM (VALUES {', '.join(f'({c!r}, {n})' for c, n in PACKAGE.items())}) v(category, expected))"
+    + " SELECT category, CAST(coalesce(expected, 0) AS BIGINT) AS expected, coalesce(actual, 0) AS actual, coalesce(expected, 0) = coalesce(actual, 0) AS agrees FROM n FULL OUTER JOIN e USING (category)"
+)
+def g10_package_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package of format items against what it has to hold."""
+    return taxonomy.composition(x12_format_items(spark, sf_dir), PACKAGE).select("category", "expected", "actual", "agrees")
+
+
 # Identities
 
 _FIRST, _AGAIN, _SPLIT, _LATE = 0, 1, 3_000_000_000, 4_000_000_000
