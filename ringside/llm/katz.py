@@ -41,7 +41,7 @@ ADDED = 0.1
 #: Tokens whose counts a worker adds up before it hands them on.
 HELD_TOKENS = 1 << 22
 #: Occurrences of rare words that a worker looks at together.
-HELD_ROWS = 1 << 16
+HELD_ROWS = 1 << 18
 RARE = 1 << 63
 #: The hash of the token that ends a text.
 END = RARE - 2
@@ -193,37 +193,73 @@ def sums_by(group: np.ndarray, other: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def with_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Occurrences of rare words in the order of their keys, with what all those of a key say.
+SUMS = "kind int, id long, other long, " + ", ".join(f"{c} long" for c in CLASSES) + ", x double, y double, n long"
+MET = "key long, row long, before int, after long, m int, r long, c long, q long, frees boolean, asked boolean"
+
+
+def grouped(kind: int, ids: np.ndarray, other: int | None, values: list[np.ndarray], x: np.ndarray, y: np.ndarray, n: np.ndarray) -> pa.Table:
+    """Rows of sums of one kind by id: how many of `values` are in each class, and x, y, n."""
+    names, place = np.unique(ids, return_inverse=True)
+    total = lambda w: np.bincount(place, w, len(names))
+    classes = [sum(total(v == k) for v in values).astype(np.int64) for k in range(1, K + 2)]
+    columns = [pa.array(np.full(len(names), kind), pa.int32()), pa.array(names.astype(np.int64)), pa.array([other] * len(names), pa.int64()), *map(pa.array, classes), pa.array(total(x)), pa.array(total(y)), pa.array(total(n).astype(np.int64))]
+    return pa.Table.from_arrays(columns, ["kind", "id", "other", *CLASSES, "x", "y", "n"])
+
+
+def rare_sums(whole: float):
+    """Occurrences of rare words in the order of their keys -> sums over what training alone says, and the other rows as they are.
 
     r: training occurrences with the same token behind; c: of the word; q: with the same token before; frees: any of its
-    pairs that is seen gives weight up; missed: any held-out pair of it is new. A word's rows are few, by what rare means.
+    pairs that is seen gives weight up; asked: a held-out pair of it is new. Rows of words that are asked for, and held-out
+    rows, go on with these; all others are summed here. A word's rows are few, by what rare means.
     """
 
-    def told(rows: pa.Table) -> pa.RecordBatch:
-        key, before, n = (rows.column(c).to_numpy() for c in ("key", "before", "n"))
+    def told(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, row, before, n = (rows.column(c).to_numpy() for c in ("key", "row", "before", "n"))
         after = rows.column("after").fill_null(NONE).to_numpy()
         group = np.cumsum(np.append(0, key[1:] != key[:-1]))
         learnt, follows = np.maximum(n, 0).astype(np.int64), after != NONE
         r, q = sums_by(group, after, learnt), sums_by(group, before, learnt)
         in_group = lambda x: np.bincount(group, x)[group]
-        frees, missed = in_group(follows & (n > 0) & (r <= K)) > 0, in_group(follows & (n < 0) & (r == 0)) > 0
-        more = [r, in_group(learnt).astype(np.int64), q, frees, missed]
-        columns = [rows.column(c).combine_chunks() for c in rows.column_names]
-        return pa.RecordBatch.from_arrays(columns + [pa.array(x) for x in more], [*rows.column_names, "r", "c", "q", "frees", "missed"])
+        c = in_group(learnt).astype(np.int64)
+        frees = in_group(follows & (n > 0) & (r <= K)) > 0
+        asked = (in_group(follows & (n < 0) & (r == 0)) > 0) & (c > 0)
+        here = (n > 0) & ~asked
+        large = lambda v: np.where(v > K + 1, np.log10(np.maximum(v, 1)), 0.0)
+        f, u = follows[here], before[here] >= 0
+        pairs = [np.where(f, r[here], 0), np.where(u, q[here], 0)]
+        given = np.where(f, large(r[here]) - np.log10(np.where(frees[here], c[here], c[here] + 1)), 0.0) + np.where(u, large(q[here]), 0.0)
+        p = (c[here] + ADDED) / whole
+        sums = [
+            grouped(TEXT, row[here], 0, pairs, given, np.log10(p), np.ones(len(p))),
+            grouped(CONTEXT, before[here][u], None, [q[here][u]], np.zeros(u.sum()), (p / np.maximum(q[here], 1))[u], np.zeros(u.sum())),
+        ]
+        rest = np.flatnonzero(~here)
+        columns = {"key": key, "row": row, "before": before, "m": n, "r": r, "c": c, "q": q, "frees": frees, "asked": asked}
+        left = pa.table({k: pa.array(v[rest]) for k, v in columns.items()} | {"after": pa.array(after[rest], mask=after[rest] == NONE)})
+        yield from pa.concat_tables([*sums, left], promote_options="default").select(COLUMNS).cast(SCHEMA).combine_chunks().to_batches()
 
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(map(len, held)) >= HELD_ROWS:
-            rows = pa.Table.from_batches(held)
-            key = rows.column("key").to_numpy()
-            whole = int(key.searchsorted(key[-1]))  # the last key may go on
-            if whole:
-                yield told(rows.slice(0, whole))
-            held = rows.slice(whole).to_batches()
-    if held:
-        yield told(pa.Table.from_batches(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= HELD_ROWS:
+                rows = pa.Table.from_batches(held)
+                key = rows.column("key").to_numpy()
+                done = int(key.searchsorted(key[-1]))  # the last key may go on
+                if done:
+                    yield from told(rows.slice(0, done))
+                held, n = rows.slice(done).to_batches(), len(rows) - done
+        if n:
+            yield from told(pa.Table.from_batches(held))
+
+    return run
+
+
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+SCHEMA = pa.schema([(x.split()[0], _TYPES[x.split()[1]]) for x in f"{SUMS}, {MET}".split(", ")])
+COLUMNS = SCHEMA.names
 
 
 def rare_words(texts: DataFrame, places, words: DataFrame, start: int, whole: float) -> DataFrame:
@@ -248,14 +284,13 @@ def rare_words(texts: DataFrame, places, words: DataFrame, start: int, whole: fl
                 ["key", "row", "before", "after", "n"],
             )
 
-    n = F.col("n")
-    met = texts.mapInArrow(run, "key long, row long, before int, after long, n int")
-    met = met.repartition("key").sortWithinPartitions("key").mapInArrow(with_counts, "key long, row long, before int, after long, n int, r long, c long, q long, frees boolean, missed boolean")
+    dealt = texts.mapInArrow(run, "key long, row long, before int, after long, n int").repartition("key").sortWithinPartitions("key")
+    met = dealt.mapInArrow(rare_sums(whole), f"{SUMS}, {MET}")
+    n = F.col("m")
     follows = F.col("after").isNotNull()
     unseen = follows & (n < 0) & (F.col("r") == 0)
-    met = met.withColumn("asked", F.col("missed") & (F.col("c") > 0))
     met = met.join(F.broadcast(words.select(F.col("word").alias("after"), F.col("p").alias("p_after"), F.col("log_p").alias("log_after"))), "after", "left")
-    key, row, before, r, c, q, m = (*map(F.col, ("key", "row", "before", "r", "c", "q")), F.abs("n"))
+    key, row, before, r, c, q, m = (*map(F.col, ("key", "row", "before", "r", "c", "q")), F.abs("m"))
     held, log_after = (n < 0).cast("int"), F.col("log_after")
     rare_after = F.when(F.col("after") < 0, -1 - F.col("after"))
     log_p, part = F.log10((c + ADDED) / whole), m / F.greatest(r, F.lit(1))
@@ -265,13 +300,14 @@ def rare_words(texts: DataFrame, places, words: DataFrame, start: int, whole: fl
     pairs = [F.when(follows, r).otherwise(0), F.when(before >= 0, q).otherwise(0)]
     of_text = entry(F.lit(True), TEXT, row, held, m, pairs, x=given, y=m * log_p, n=F.when(c > 0, m).otherwise(0))
     of_context = entry((before >= 0) & (n > 0), CONTEXT, before, None, m, [q], y=m / F.greatest(q, F.lit(1)) * (c + ADDED) / whole)
-    return sums_of(met, [of_text, of_context], [
+    there = F.struct("kind", "id", "other", *CLASSES, "x", "y", "n")
+    return sums_of(met, [there], [
         of_text, of_context,
         entry((before >= 0) & (q == 0), UNSEEN, row, before, y=m * log_p, n=m),
         entry(unseen & (c > 0), UNSEEN_RARE, row, key, n=m),
         entry(unseen & (F.col("after") < 0), RARE_WORD, row, rare_after, n=m),
         entry(F.col("asked") & follows & (n > 0), FOLLOWING, key, rare_after, m, [r], x=part * F.coalesce("p_after", F.lit(0.0)), y=F.when(F.col("after") < 0, part).otherwise(0.0), n=m),
-    ], (n < 0) | F.col("asked"))
+    ], F.col("kind").isNull())
 
 
 def found_in(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
