@@ -40,6 +40,7 @@ TABLE_SHARE, NUMBER_BITS, K = 1 << 20, 20, 5
 ADDED = 0.1
 #: Tokens whose counts a worker adds up before it hands them on.
 HELD_TOKENS = 1 << 22
+METHOD_LIMIT = "spark.sql.codegen.hugeMethodLimit"
 #: Occurrences of rare words that a worker looks at together.
 HELD_ROWS = 1 << 18
 RARE = 1 << 63
@@ -146,7 +147,13 @@ def entry(when: Column, kind: int, id_: Column, other=None, m=None, counts=(), x
 def sums_of(df: DataFrame, usual: list[Column], seldom: list[Column], when_seldom: Column) -> DataFrame:
     """kind, id, other and the sums over the entries of all rows that aren't null, written to the shared folder."""
     rows = df.select(F.inline(F.when(when_seldom, F.array(*seldom)).otherwise(F.array(*usual)))).where(F.col("kind").isNotNull())
-    return shelve(rows.groupBy("kind", "id", "other").agg(*(F.sum(c).alias(c) for c in (*CLASSES, "x", "y", "n"))))
+    conf = df.sparkSession.conf
+    before = conf.get(METHOD_LIMIT)
+    conf.set(METHOD_LIMIT, "8000")  # longer methods than this the JVM doesn't compile, so these wide expressions go in parts
+    try:
+        return shelve(rows.groupBy("kind", "id", "other").agg(*(F.sum(c).alias(c) for c in (*CLASSES, "x", "y", "n"))))
+    finally:
+        conf.set(METHOD_LIMIT, before)
 
 
 def log_of_large(r: Column, m: Column) -> Column:
