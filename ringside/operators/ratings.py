@@ -1,17 +1,18 @@
 """Elo ratings, and what windows make of them.
 
 A rating depends on all bouts before it, so no window can give it. Bouts of one date are rated together from the
-ratings at its start. Time is cut into slices of whole dates. Within a slice competitors that no bout links cannot touch
-each other, so its connected components are rated in parallel, each by the dates of its own bouts; the table of ratings
-is carried from slice to slice. A slice has as many bouts as a quarter of the competitors, where components stay small,
-and LEAST_SLICE at least, which bounds what a task can get where a few competitors meet all the time.
+ratings at its start. Time is cut into slices of whole dates, of LEAST_SLICE bouts or so each; the table of ratings is
+carried from slice to slice, so that rounds are few and grow with the bouts. Within a slice competitors that no bout
+links cannot touch each other, so its connected components are rated in parallel. A component's bouts stream through
+a task in the order of their dates: it holds the ratings of the component's members and the bouts of one date.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +22,10 @@ from ringside.operators.history import sides
 from ringside.plans.shared import discard, shelve
 
 START, STEP, SCALE = 1500.0, 24.0, 400.0
-#: Bouts of a slice at least.
-LEAST_SLICE = 50_000
+#: Bouts of a slice, to whole dates: what one task gets at most where all competitors are linked.
+LEAST_SLICE = 2_000_000
+#: Rows of a batch that a task sends on.
+_BATCH = 8192
 
 
 def expected(own: Column, other: Column) -> Column:
@@ -39,47 +42,84 @@ def slices_of_dates(bouts: DataFrame, most: int) -> DataFrame:
     return days.select(DAY, F.floor(before / F.lit(most)).cast("long").alias("slice"))
 
 
-def _fold(games: pd.DataFrame, ratings: pd.DataFrame) -> pd.DataFrame:
-    """A component's bouts of a slice, and its members' ratings before -> two rows a bout."""
-    rating, out = dict(zip(ratings.player, ratings.rating, strict=True)), []
-    games = games.sort_values([DAY, BOUT])
-    for _, day in games.groupby(DAY, sort=False):
+_FOLDED = pa.schema([(BOUT, pa.string()), (DAY, pa.date32()), ("a", pa.string()), ("b", pa.string()), *((f"{x}_{when}", pa.float64()) for x in "ab" for when in ("before", "after"))])
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by part, date and bout -> a row a bout, and one without a bout for each member's last rating.
+
+    A part begins with its members' ratings, which have no date.
+    """
+    rating: dict[str, float] = {}
+    games: list[tuple] = []
+    out: list[tuple] = []
+    now = day = None
+
+    def rate() -> None:
         change: dict[str, float] = {}
-        for a, b, points, rated in zip(day.a, day.b, day.points, day.rated, strict=True):
+        for _, a, b, points, rated in games:
             if rated:
                 gain = STEP * (points - 1 / (1 + 10 ** ((rating[b] - rating[a]) / SCALE)))
                 change[a], change[b] = change.get(a, 0.0) + gain, change.get(b, 0.0) - gain
-        after = {p: rating[p] + change.get(p, 0.0) for p in {*day.a, *day.b}}
-        for bout, date, a, b in zip(day[BOUT], day[DAY], day.a, day.b, strict=True):
-            out += [(bout, date, p, rating[p], after[p], rating[o]) for p, o in ((a, b), (b, a))]
-        rating.update(after)
-    return pd.DataFrame(out, columns=[BOUT, DAY, "player", "rating_before", "rating_after", "opponent_rating"])
+        for bout, a, b, _, _ in games:
+            x, y = rating[a], rating[b]
+            out.append((bout, day, a, b, x, x + change.get(a, 0.0), y, y + change.get(b, 0.0)))
+        for player, gained in change.items():
+            rating[player] += gained
+        games.clear()
+
+    def sent(all_of_it: bool) -> Iterator[pa.RecordBatch]:
+        while len(out) >= _BATCH or (all_of_it and out):
+            some = out[:_BATCH]
+            del out[:_BATCH]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _FOLDED, strict=True)], schema=_FOLDED)
+
+    def closed() -> None:
+        rate()
+        out.extend((None, None, player, None, None, value, None, None) for player, value in rating.items())
+        rating.clear()
+
+    for batch in batches:
+        columns = (batch.column(n).to_pylist() for n in ("part", DAY, BOUT, "a", "b", "points", "rated"))
+        for part, date, bout, a, b, points, rated in zip(*columns, strict=True):
+            if part != now:
+                closed()
+                now, day = part, None
+            if date is None:
+                rating[a] = points
+                continue
+            if date != day:
+                rate()
+                day = date
+            games.append((bout, a, b, points, rated))
+        yield from sent(False)
+    closed()
+    yield from sent(True)
 
 
 def _rated(games: DataFrame, least_slice: int) -> DataFrame:
     """games: bout, date, players a and b (any ids), points of a, rated -> two rows a bout with ratings before and after."""
     games = shelve(games)
-    players = games.select(F.explode(F.array("a", "b")).alias("player")).agg(F.count_distinct("player")).first()[0]
-    sliced = shelve(games.join(F.broadcast(slices_of_dates(games, max(least_slice, players // 4))), DAY))
-    discard(games)
+    sliced = games.join(F.broadcast(slices_of_dates(games, least_slice)), DAY)
     members = components(sliced.select("slice", "a", "b"))
     parted = shelve(sliced.join(members.withColumnRenamed("node", "a"), ["slice", "a"]), "slice")
+    discard(games)
     spark, done, ratings = games.sparkSession, [], None
-    schema = f"{BOUT} string, {DAY} date, player string, rating_before double, rating_after double, opponent_rating double"
-    for k in sorted(r.slice for r in sliced.select("slice").distinct().collect()):
-        own = members.where(F.col("slice") == k).select("part", F.col("node").alias("player"))
-        old = own.withColumn("rating", F.lit(START))
-        if ratings is not None:
-            old = own.join(ratings, "player", "left").withColumn("rating", F.coalesce("rating", F.lit(START)))
-        meets = parted.where(F.col("slice") == k).drop("slice")
-        done.append(shelve(meets.groupBy("part").cogroup(old.groupBy("part")).applyInPandas(_fold, schema)))
-        latest = done[-1].groupBy("player").agg(F.max_by("rating_after", DAY).alias("rating"))
-        new = shelve(latest if ratings is None else latest.unionByName(ratings.join(latest, "player", "left_anti")))
+    schema = f"{BOUT} string, {DAY} date, a string, b string, a_before double, a_after double, b_before double, b_after double"
+    for k in sorted(r.slice for r in members.select("slice").distinct().collect()):
+        own = members.where(F.col("slice") == k).select("part", F.col("node").alias("a"))
+        old = own.withColumn("points", F.lit(START)) if ratings is None else own.join(ratings, "a", "left").select("part", "a", F.coalesce("rating", F.lit(START)).alias("points"))
+        rows = parted.where(F.col("slice") == k).drop("slice").unionByName(old, allowMissingColumns=True)
+        done.append(shelve(rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first(DAY), BOUT).mapInArrow(_fold, schema)))
+        latest = done[-1].where(F.col(BOUT).isNull()).select("a", F.col("a_after").alias("rating"))
+        new = shelve(latest if ratings is None else latest.unionByName(ratings.join(latest, "a", "left_anti")))
         if ratings is not None:
             discard(ratings)
         ratings = new
-    empty = spark.createDataFrame([], schema)
-    return reduce(DataFrame.unionByName, done, empty)
+    discard(parted, members)
+    folded = reduce(DataFrame.unionByName, done, spark.createDataFrame([], schema)).where(F.col(BOUT).isNotNull())
+    side = lambda own, other: F.struct(F.col(own).alias("player"), F.col(f"{own}_before").alias("rating_before"), F.col(f"{own}_after").alias("rating_after"), F.col(f"{other}_before").alias("opponent_rating"))
+    return folded.select(BOUT, DAY, F.explode(F.array(side("a", "b"), side("b", "a"))).alias("x")).select(BOUT, DAY, "x.*")
 
 
 def _games(bouts: DataFrame, *keep: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Ratings by slices and components against one serial fold."""
 
+import datetime
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,3 +64,23 @@ def test_components_by_slice(spark):
     chain = [(0, f"n{i:03}", f"n{i + 1:03}") for i in range(0, 40)] + [(1, "n000", "n001"), (1, "n003", "n002"), (2, "n005", "n005")]
     found = {(r.slice, r.node): r.part for r in ratings.components(spark.createDataFrame(chain, "slice long, a string, b string")).collect()}
     assert {p for (s, _), p in found.items() if s == 0} == {"n000"} and found[1, "n003"] == "n002" and found[1, "n001"] == "n000" and found[2, "n005"] == "n005"
+
+
+def test_a_fold_streams_parts_in_any_batches():
+    rows = [("p", None, None, x, None, 1500.0, None) for x in "abc"]
+    rows += [("p", datetime.date(2020, 1, d), f"g{d}{i}", "abc"[i], "abc"[i - 2], (d + i) % 3 / 2, i != d % 3) for d in range(1, 20) for i in range(2)]
+    rows += [("q", None, None, x, None, 1510.0, None) for x in "ad"] + [("q", datetime.date(2020, 1, 1), "h", "a", "d", 1.0, True)]
+    names, kinds = ("part", "fight_date", "bout_id", "a", "b", "points", "rated"), ("string", "date32", "string", "string", "string", "double", "bool")
+    table = pa.table({n: pa.array(c, k) for n, k, c in zip(names, kinds, zip(*rows, strict=True), strict=True)})
+    told = [pa.Table.from_batches(ratings._fold(iter(table.to_batches(max_chunksize=size)))).to_pylist() for size in (1, 7, 1000)]
+    assert told[0] == told[1] == told[2]
+    bouts = [r for r in told[0] if r["bout_id"]]
+    last = {r["a"]: r["a_after"] for r in told[0][: len(bouts) + 2] if r["bout_id"] is None}
+    assert len(bouts) == 39 and len(told[0]) == 39 + 5 and sum(last.values()) == pytest.approx(4500) and len(last) == 3
+    assert (bouts[-1]["bout_id"], bouts[-1]["a_before"], bouts[-1]["a_after"], bouts[-1]["b_after"]) == ("h", 1510.0, 1522.0, 1498.0)
+
+
+def test_rounds_are_few(spark):
+    """Eight million bouts were 160 rounds."""
+    bouts = spark.range(2400).select(F.date_add(F.lit("2019-01-01").cast("date"), F.col("id").cast("int")).alias("fight_date"), F.explode(F.sequence(F.lit(1), F.lit(3340))))
+    assert ratings.slices_of_dates(bouts, ratings.LEAST_SLICE).agg(F.count_distinct("slice")).first()[0] <= 5
