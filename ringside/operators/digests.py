@@ -19,24 +19,27 @@ def text_digest(columns: list[str]) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("~")) for t in texts)), 256)
 
 
-def merkle_levels(rows: DataFrame, keys: list[str], fanout: int = FANOUT) -> DataFrame:
+def merkle_levels(rows: DataFrame, keys: list[str], fanout: int = FANOUT, height: int | None = None) -> DataFrame:
     """level, node, n (children) and sha256 of every node of the tree over rows in the order of keys.
 
     Rows are put in order by ranges and numbered over all of them, so nodes hold the same rows at any partitioning; ties
     of the keys are ordered by the rows' own digests. A leaf is the SHA-256 of its rows' digests, an inner node that of
     its children's; the last level has one node, the root. A node gathers `fanout` digests, however many rows there are.
-    An empty table has no node.
+    `height`: levels at most; the root of the last of them gathers all digests of the level below, which for two levels
+    are 64 bytes for each `fanout` rows. An empty table has no node.
     """
     told = rows.select(*(F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)), text_digest(rows.columns).alias("sha256"))
     order = [F.asc_nulls_first(f"key_{i}") for i in range(len(keys))] + [F.asc("sha256")]
     at = numbered(told, order).select("number", "sha256")
     levels: list[DataFrame] = []
     while True:
+        last = height is not None and len(levels) == height - 1
+        parent = F.lit(0) if last else F.floor(F.col("number") / fanout)
         group = F.array_sort(F.collect_list(F.struct("number", "sha256")))
-        node = at.groupBy(F.floor(F.col("number") / fanout).cast("long").alias("node")).agg(F.count("*").alias("n"), group.alias("x"))
+        node = at.groupBy(parent.cast("long").alias("node")).agg(F.count("*").alias("n"), group.alias("x"))
         node = shelve(node.select("node", "n", F.sha2(F.array_join(F.transform("x", lambda r: r["sha256"]), ""), 256).alias("sha256")))
         levels.append(node.withColumn("level", F.lit(len(levels))))
-        if node.count() <= 1:
+        if last or node.count() <= 1:
             return reduce(DataFrame.unionByName, levels).select("level", "node", "n", "sha256")
         at = node.select(F.col("node").alias("number"), "sha256")
 

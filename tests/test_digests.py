@@ -32,3 +32,13 @@ def test_tree(spark):
     different = digests.merkle_differences(digests.merkle_levels(make(rows), ["a"], 8), digests.merkle_levels(make(changed), ["a"], 8)).collect()
     assert [(r.node, r.n_one, r.n_other) for r in different] == [(150 // 8, 8, 8)]
     assert tree(make([])) == [] and len(tree(make(rows[:3]))) == 1
+
+
+def test_two_levels_at_any_size(spark):
+    rows = [(i, f"x{i % 7}") for i in range(300)]
+    leaves = [r for r in plain(rows, 8) if r[0] == 0]
+    root = (1, 0, len(leaves), hashlib.sha256("".join(r[3] for r in leaves).encode()).hexdigest())
+    make = lambda r: spark.createDataFrame(r, "a int, b string")
+    assert sorted(map(tuple, digests.merkle_levels(make(rows), ["a"], 8, height=2).collect())) == [*leaves, root]
+    assert [(r.level, r.n) for r in digests.merkle_levels(make(rows[:8]), ["a"], 8, height=2).collect()] == [(0, 8)]
+    assert digests.merkle_levels(make([]), ["a"], 8, height=2).collect() == []
