@@ -1,8 +1,9 @@
 """Predictions for pairs that have no bout yet: what is known of both before a date, for many requests in one pass.
 
-A request names two competitors and a date. Their earlier bouts join it once, numbered from the last one back; a single
-aggregate then gives records, windows of performance, ratings and adjusted observations as they stood on that date. No
-request sees another, and the work grows with the bouts that the competitors asked for have had.
+A request names two competitors and a date. Windows give each competitor's standing after every date that they have bouts
+on: records, performance, ratings and adjusted observations. Requests join the standings in one order of dates and take
+the last one before theirs; what is counted by days is the difference of two standings. No request sees another, no bout
+is repeated for a request, and the work grows with bouts and requests.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import json
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +27,8 @@ from ringside.operators.ratings import START
 from ringside.sources.proxy import METRICS
 
 REQUEST, ASKED = "request_id", "request_date"
+#: Spans of days over which bouts are counted.
+ACTIVE = (180, 365, 730)
 
 
 def history_rows(bouts: DataFrame, performance: DataFrame, rated: DataFrame, observed: DataFrame) -> DataFrame:
@@ -38,6 +42,41 @@ def history_rows(bouts: DataFrame, performance: DataFrame, rated: DataFrame, obs
     return long
 
 
+def standings(rows: DataFrame, metrics: tuple[str, ...], adjusted: tuple[str, ...]) -> DataFrame:
+    """What is known of each competitor after each date with bouts of theirs; counts are never null. One shuffle and one sort."""
+    order = Window.partitionBy(OWNER).orderBy(DAY, BOUT)
+    so_far, last = order.rowsBetween(Window.unboundedPreceding, 0), lambda k: order.rowsBetween(1 - k, 0)
+    is_ = lambda *names: F.col("outcome").isin(*names)
+    rated = ~is_("no_contest")
+    n = F.count("*").over(so_far)
+    rows = rows.withColumns({"seq": n, "category": finish_category(F.col("finish_method")), "_rated": F.when(rated, F.col("rating_after"))})
+    back = lambda value, k: F.expr(f"lag({value}, {k}) IGNORE NULLS OVER (PARTITION BY {OWNER} ORDER BY {DAY}, {BOUT})")
+    out: dict[str, Column] = {"prior_bouts": n, "prior_decisive": F.count_if(is_("win", "loss")).over(so_far), "rated_bouts": F.count_if(rated).over(so_far)}
+    out |= {f"prior_{p}": F.count_if(is_(o)).over(so_far) for o, p in zip(OUTCOMES, ("wins", "losses", "draws", "no_contests"), strict=True)}
+    out |= {f"recent_5_{o}": F.count_if(is_(o)).over(last(5)) for o in OUTCOMES}
+    out |= {s: F.col("seq") - F.coalesce(F.max(F.when(~is_(*kept), F.col("seq"))).over(so_far), F.lit(0)) for s, kept in STREAKS.items()}
+    out |= {f"prior_{k}_wins": F.count_if(is_("win") & (F.col("category") == k)).over(so_far) for k in ("ko_tko", "submission", "decision", "other")}
+    for span, (days, k) in SPANS.items():
+        if not days:
+            frame = last(k) if k else so_far
+            out |= {c: x for m in metrics for c, x in ((f"{span}_{m}_observed", F.count(m).over(frame)), (f"{span}_{m}_sum", F.sum(m).over(frame)))}
+    out |= {"rating": F.col("rating_after"), "peak": F.greatest(F.lit(START), F.coalesce(F.max("_rated").over(so_far), F.lit(START)))}
+    out |= {"third_last": F.when(rated, back("_rated", 2)).otherwise(back("_rated", 3)), "opponents_mean": F.avg(F.when(rated, F.col("opponent_rating"))).over(so_far)}
+    for m in adjusted:
+        value = F.col(f"adjusted_{m}")
+        out |= {f"adjusted_{m}_count": F.count(value).over(so_far), f"adjusted_{m}_mean": F.avg(value).over(so_far)}
+        out |= {f"_{m}_{k}": back(f"adjusted_{m}", k) for k in range(1, 6)}
+    known = rows.withColumns(out | {"_next": F.lead(DAY).over(order)}).where(F.col("_next").isNull() | (F.col("_next") > F.col(DAY)))
+
+    def latest(m: str, k: int) -> Column:
+        own = F.col(f"adjusted_{m}")
+        values = [own, *(F.col(f"_{m}_{i}") for i in range(1, k))], [F.col(f"_{m}_{i}") for i in range(1, k + 1)]
+        total = lambda vs: reduce(Column.__add__, (F.coalesce(v, F.lit(0.0)) for v in vs)) / F.nullif(reduce(Column.__add__, (v.isNotNull().cast("int") for v in vs)), F.lit(0))
+        return F.when(own.isNotNull(), total(values[0])).otherwise(total(values[1]))
+
+    return known.select(OWNER, DAY, *(c for c in out if not c.startswith("_")), *(latest(m, k).alias(f"adjusted_{m}_last_{k}") for m in adjusted for k in (3, 5)))
+
+
 def vectors(requests: DataFrame, rows: DataFrame, metrics: tuple[str, ...] = METRICS, adjusted: tuple[str, ...] = ADJUSTED) -> DataFrame:
     """request_id and competitor with everything known before the request's date; two rows a request.
 
@@ -45,34 +84,21 @@ def vectors(requests: DataFrame, rows: DataFrame, metrics: tuple[str, ...] = MET
     bout has counts of zero, the starting rating, and null where nothing was observed.
     """
     asked = requests.select(REQUEST, ASKED, F.explode(F.array_distinct(F.array("fighter_a_id", "fighter_b_id"))).alias(OWNER))
-    past = asked.join(rows, OWNER).where(F.col(DAY) < F.col(ASKED))
-    # the order of bouts on one date is by id, as in every window
-    late = Window.partitionBy(REQUEST, OWNER).orderBy(F.desc(DAY), F.desc(BOUT)).rowsBetween(Window.unboundedPreceding, 0)
-    counted = {"back": F.count("*"), "rated_back": F.count_if(F.col("outcome") != "no_contest")} | {f"valid_{m}": F.count(f"adjusted_{m}") for m in adjusted}
-    past = past.withColumns({n: c.over(late) for n, c in counted.items()}).withColumns({"age": F.date_diff(ASKED, DAY), "category": finish_category(F.col("finish_method"))})
-    is_ = lambda *names: F.col("outcome").isin(*names)
-    rated = ~is_("no_contest")
-    out: dict[str, Column] = {"prior_bouts": F.count("*")}
-    out |= {f"prior_{p}": F.count_if(is_(o)) for o, p in zip(OUTCOMES, ("wins", "losses", "draws", "no_contests"), strict=True)}
-    out |= {"days_since_last": F.min("age").cast("long"), "prior_decisive": F.count_if(is_("win", "loss"))}
-    out |= {f"bouts_last_{n}d": F.count_if(F.col("age") <= n) for n in (180, 365, 730)}
-    out |= {f"recent_5_{o}": F.count_if(is_(o) & (F.col("back") <= 5)) for o in OUTCOMES}
-    out |= {n: F.coalesce(F.min(F.when(~is_(*kept), F.col("back"))) - 1, F.count("*")) for n, kept in STREAKS.items()}
-    out |= {f"prior_{k}_wins": F.count_if(is_("win") & (F.col("category") == k)) for k in ("ko_tko", "submission", "decision", "other")}
-    for span, (days, k) in SPANS.items():
-        inside = F.col("back") <= k if k else F.col("age") <= days if days else F.lit(True)
-        for m in metrics:
-            value = F.when(inside, F.col(m))
-            out |= {f"{span}_{m}_observed": F.count(value), f"{span}_{m}_sum": F.sum(value)}
-    latest = F.max_by("rating_after", F.struct(DAY, BOUT))
-    out |= {"rating": F.coalesce(latest, F.lit(START)), "rated_bouts": F.count_if(rated), "peak": F.greatest(F.lit(START), F.coalesce(F.max(F.when(rated, F.col("rating_after"))), F.lit(START)))}
-    out |= {"third_last": F.max(F.when(rated & (F.col("rated_back") == 3), F.col("rating_after"))), "opponents_mean": F.avg(F.when(rated, F.col("opponent_rating")))}
-    for m in adjusted:
-        value, place = F.col(f"adjusted_{m}"), F.col(f"valid_{m}")
-        out |= {f"adjusted_{m}_count": F.count(value), f"adjusted_{m}_mean": F.avg(value)} | {f"adjusted_{m}_last_{k}": F.avg(F.when(place <= k, value)) for k in (3, 5)}
-    found = past.groupBy(REQUEST, OWNER).agg(*(c.alias(n) for n, c in out.items()))
-    counts = [n for n, t in found.dtypes if t == "bigint" and n not in (REQUEST, "days_since_last") and not n.endswith("_sum")]
-    full = asked.select(REQUEST, OWNER).join(found, [REQUEST, OWNER], "left").fillna(0, counts).fillna(START, ["rating", "peak"])
+    after = standings(rows.join(asked.select(OWNER).distinct(), OWNER, "left_semi"), metrics, adjusted)
+    counts = [n for n, t in after.dtypes if t == "bigint"]
+    state = F.struct(*(c for c in after.columns if c != OWNER))
+    both = after.select(OWNER, F.unix_date(DAY).alias("at"), state.alias("state")).unionByName(asked.select(OWNER, F.unix_date(ASKED).alias("at"), REQUEST), allowMissingColumns=True)
+    until = lambda days: F.last("state", ignorenulls=True).over(Window.partitionBy(OWNER).orderBy("at").rangeBetween(Window.unboundedPreceding, -days - 1))
+    spans = {n for n, _ in SPANS.values() if n} if metrics else set()
+    met = both.withColumns({"state": until(0)} | {f"until_{n}": until(n) for n in sorted({*ACTIVE, *spans})}).where(F.col(REQUEST).isNotNull())
+    within = lambda name, n: F.coalesce(f"state.{name}", F.lit(0)) - F.coalesce(f"until_{n}.{name}", F.lit(0))
+    full = met.select(
+        REQUEST, OWNER, *(F.coalesce(f"state.{n}", F.lit(0).cast("long")).alias(n) if n in counts else F.col(f"state.{n}") for n in after.columns if n not in (OWNER, DAY)),
+        (F.col("at") - F.unix_date(F.col(f"state.{DAY}"))).cast("long").alias("days_since_last"), *(within("prior_bouts", n).alias(f"bouts_last_{n}d") for n in ACTIVE),
+        *(c for span, (n, _) in SPANS.items() if n for m in metrics for c in (
+            within(f"career_{m}_observed", n).alias(f"{span}_{m}_observed"), F.when(within(f"career_{m}_observed", n) > 0, within(f"career_{m}_sum", n)).alias(f"{span}_{m}_sum"),
+        )),
+    ).fillna(START, ["rating", "peak"]).withColumns({f"career_{m}_sum": F.when(F.col(f"career_{m}_observed") > 0, F.col(f"career_{m}_sum")) for m in metrics})
     wins = F.col("prior_wins")
     return full.withColumns({
         "prior_win_rate": share(wins, F.col("prior_decisive")), "prior_loss_rate": share(F.col("prior_losses"), F.col("prior_decisive")), "is_debut": F.col("prior_bouts") == 0,

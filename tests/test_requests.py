@@ -71,3 +71,19 @@ def test_routes_and_bundle(spark, past, tmp_path):
     assert {k: 1 - r.p for k, r in turned.items()} == pytest.approx(expected, abs=1e-9)
     assert all(r.speaks_always and not r.speaks_never for r in exact.values())
     assert all(exact[k].predicted_id == turned[k].predicted_id for k in exact)
+
+
+def test_no_bout_is_repeated_for_a_request(spark):
+    """Many requests for one competitor of many bouts: rows are those of bouts and requests, not their product."""
+    n = 3000
+    day = lambda c: F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % c).cast("int"))
+    rows = spark.range(n).select(
+        F.format_string("b%05d", "id").alias("bout_id"), day(1000).alias("fight_date"), F.lit("x").alias("fighter_id"), F.lit("y").alias("opponent_id"), F.lit("win").alias("outcome"), F.lit("KO").alias("finish_method"),
+        F.lit(1500.0).alias("rating_after"), F.lit(1500.0).alias("opponent_rating"),
+    )
+    asked = spark.range(n).select(F.col("id").alias("request_id"), F.lit("x").alias("fighter_a_id"), F.lit("z").alias("fighter_b_id"), day(1200).alias("request_date"))
+    found = requests.vectors(asked, rows, (), ())
+    assert not [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line and "LeftSemi" not in line]
+    expected = {i: (3 * min(i % 1200, 1000), 3 * (min(i % 1200, 1000) - min(max(i % 1200 - 180, 0), 1000))) for i in range(n)}
+    assert {r.request_id: (r.prior_bouts, r.bouts_last_180d) for r in found.where("fighter_id = 'x'").collect()} == expected
+    assert found.where("fighter_id = 'z' AND prior_bouts = 0 AND rating = 1500").count() == n
