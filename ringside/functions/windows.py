@@ -14,6 +14,11 @@ def prior(days: int | None = None, owner: str = OWNER) -> WindowSpec:
     return Window.partitionBy(owner).orderBy(F.unix_date(DAY)).rangeBetween(start, -1)
 
 
+def until(days: int, owner: str = OWNER) -> WindowSpec:
+    """All dates more than so many days earlier: what prior() holds and prior(days) doesn't."""
+    return Window.partitionBy(owner).orderBy(F.unix_date(DAY)).rangeBetween(Window.unboundedPreceding, -days - 1)
+
+
 def in_order(owner: str = OWNER) -> WindowSpec:
     return Window.partitionBy(owner).orderBy(DAY, BOUT)
 

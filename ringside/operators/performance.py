@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringside.functions.parsing import completed_seconds
-from ringside.functions.windows import BOUT, OWNER, last_prior, prior, share, with_columns
+from ringside.functions.windows import BOUT, OWNER, last_prior, prior, share, until, with_columns
 from ringside.sources.proxy import METRICS
 
 #: Window -> its days, or the number of bouts that it holds.
@@ -27,13 +27,23 @@ def over(value: Column, span: str) -> Column:
 
 
 def window_stats(rows: DataFrame, metrics: tuple[str, ...] = METRICS, spans: tuple[str, ...] = tuple(SPANS)) -> DataFrame:
-    """observed, missing, sum (null if nothing was observed) and mean of each metric in each window."""
+    """observed, missing, sum (null if nothing was observed) and mean of each metric in each window.
+
+    Over days, counts and sums of whole numbers are those of the career less those of the dates before the window: both
+    frames only grow, where a sliding one is read again for each row.
+    """
+    whole = {n for n, t in rows.dtypes if t in ("int", "bigint")}
     columns = {}
     for span in spans:
+        days = SPANS[span][0]
         for m in metrics:
-            columns[f"{span}_{m}_observed"] = over(F.count(m), span)
-            columns[f"{span}_{m}_missing"] = over(F.count_if(F.col(m).isNull()), span)
-            columns[f"{span}_{m}_sum"] = over(F.sum(m), span)
+            stats = {"observed": F.count(m), "missing": F.count_if(F.col(m).isNull()), "sum": F.sum(m)}
+            if days and m in whole:
+                zero = F.lit(0).cast("long")
+                inside = {x: F.coalesce(c.over(prior()), zero) - F.coalesce(c.over(until(days)), zero) for x, c in stats.items()}
+                columns |= {f"{span}_{m}_{x}": F.when(inside["observed"] > 0, c) if x == "sum" else c for x, c in inside.items()}
+            else:
+                columns |= {f"{span}_{m}_{x}": over(c, span) for x, c in stats.items()}
     rows = with_columns(rows, **columns)
     return rows.withColumns({f"{s}_{m}_mean": share(F.col(f"{s}_{m}_sum"), F.col(f"{s}_{m}_observed")) for s in spans for m in metrics})
 

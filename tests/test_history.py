@@ -154,3 +154,19 @@ def test_as_of_equals_history(spark):
 def test_empty(spark):
     assert history.prefight_history(spark.createDataFrame([], SCHEMA)).count() == 0
     assert ratings.overall(spark.createDataFrame([], SCHEMA)).agg(F.count("*")).first()[0] == 0
+
+
+def test_windows_of_days_grow_and_do_not_slide(spark, data):
+    """A frame of days that slides is read again for each row."""
+    from ringside.operators import performance
+    from ringside.sources import proxy
+
+    days = tuple(s for s, (n, _) in performance.SPANS.items() if n)
+    rows = proxy.performance(spark, data)
+    found = performance.window_stats(rows, ("knockdowns", "control_seconds"), days)
+    assert "rangeframe, -365" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    doubles = rows.withColumns({m: F.col(m).cast("double") for m in ("knockdowns", "control_seconds")})
+    slid = performance.window_stats(doubles, ("knockdowns", "control_seconds"), days)
+    assert "rangeframe, -365" in slid._jdf.queryExecution().optimizedPlan().toString().lower()
+    told = lambda df: sorted((r.bout_id, r.fighter_id, *(r[c] for c in found.columns if c.startswith("days_"))) for r in df.collect())
+    assert told(found) == told(slid)
