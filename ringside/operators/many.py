@@ -50,7 +50,8 @@ class Fitted:
 
 
 def blocks(rows: DataFrame, shares: tuple[float, ...] = (0.55, 0.70, 0.85, 1.0)) -> DataFrame:
-    """rows with block: 0 up to the first boundary of whole dates, then 1, 2, ...; fold k trains on blocks below k."""
+    """rows, written once, with block: 0 up to the first boundary of whole dates, then 1, 2, ...; fold k trains on blocks below k."""
+    rows = shelve(rows)
     ends = boundaries(rows, list(shares[:-1]))
     return rows.withColumn("block", sum(((F.col(DAY) > F.lit(e)).cast("int") for e in ends), F.lit(0)))
 

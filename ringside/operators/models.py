@@ -57,8 +57,10 @@ def symmetric_model(rows: DataFrame, names: list[str]) -> PipelineModel:
 def symmetric_predictions(model: PipelineModel, rows: DataFrame, names: list[str], key: list[str]) -> DataFrame:
     """Forward, swapped and symmetric probability of each row."""
     forward = predicted(model, rows, oriented(names), "p_forward")
-    back = predicted(model, swapped(rows), oriented(names), "p_swap").select(*key, "p_swap")
-    return forward.join(back, key).withColumn("p", symmetric(F.col("p_forward"), F.col("p_swap")))
+    own = forward.withColumn("_own", F.struct("*")).drop("p_forward")  # the row as it is goes beside its swap: one pass, no join
+    back = predicted(model, swapped(own), oriented(names), "p_swap")
+    columns = [*key, *(c for c in forward.columns if c not in key)]
+    return back.select(*(F.col(f"_own.{c}").alias(c) for c in columns), "p_swap").withColumn("p", symmetric(F.col("p_forward"), F.col("p_swap")))
 
 
 def platt(rows: DataFrame, p: str, label: str = "a_won") -> PipelineModel:

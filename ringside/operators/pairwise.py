@@ -23,10 +23,15 @@ def pairs(bouts: DataFrame, snapshots: DataFrame, features: list[str], missing:
 
     One join and one aggregate on the bout, which share a partitioning: snapshots are made once, not once a side.
     """
-    of = lambda side, f: F.max(F.when(F.col(OWNER) == F.col(f"fighter_{side}_id"), F.col(f))).alias(f"{side}_{f}")
-    met = bouts.join(snapshots.select(BOUT, OWNER, *features), BOUT)
-    both = F.array_contains(F.collect_set(OWNER), F.first("fighter_a_id")) & F.array_contains(F.collect_set(OWNER), F.first("fighter_b_id"))
-    joined = met.groupBy(*bouts.columns).agg(*(of(side, f) for f in features for side in "ab"), both.alias("_both")).where("_both").drop("_both")
+    return sides_met(bouts.join(snapshots.select(BOUT, OWNER, *features), BOUT), bouts.columns, features, missing)
+
+
+def sides_met(met: DataFrame, columns: list[str], features: list[str], missing: bool = True) -> DataFrame:
+    """The same from rows of either side that bear their bout's columns, so that no join brings these back."""
+    is_side = lambda side: F.col(OWNER) == F.col(f"fighter_{side}_id")
+    of = lambda side, f: F.max(F.when(is_side(side), F.col(f))).alias(f"{side}_{f}")
+    both = F.max(is_side("a")) & F.max(is_side("b"))
+    joined = met.groupBy(*columns).agg(*(of(side, f) for f in features for side in "ab"), both.alias("_both")).where("_both").drop("_both")
     joined = joined.withColumns({f"diff_{f}": signed_difference(F.col(f"a_{f}"), F.col(f"b_{f}")) for f in features})
     if missing:
         joined = joined.withColumns({f"{n}_missing": F.col(n).isNull() for n in oriented(features)})
