@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 OWNER, DAY, BOUT = "fighter_id", "fight_date", "bout_id"
@@ -19,8 +19,20 @@ def until(days: int, owner: str = OWNER) -> WindowSpec:
     return Window.partitionBy(owner).orderBy(F.unix_date(DAY)).rangeBetween(Window.unboundedPreceding, -days - 1)
 
 
+def ordered(rows: DataFrame, owner: str = OWNER) -> DataFrame:
+    """rows by owner, date and bout: the one shuffle and the one sort that all windows of this module make do with.
+
+    All of them name the date as ranges need it, as a number, so that Spark sees that it's the same order.
+    """
+    return rows.repartition(owner).sortWithinPartitions(owner, F.unix_date(DAY), BOUT)
+
+
 def in_order(owner: str = OWNER) -> WindowSpec:
-    return Window.partitionBy(owner).orderBy(DAY, BOUT)
+    return Window.partitionBy(owner).orderBy(F.unix_date(DAY), BOUT)
+
+
+def same_day(owner: str = OWNER) -> WindowSpec:
+    return Window.partitionBy(owner, F.unix_date(DAY)).orderBy(BOUT)
 
 
 def last_prior(value: Column, k: int, owner: str = OWNER) -> Column:
@@ -30,8 +42,7 @@ def last_prior(value: Column, k: int, owner: str = OWNER) -> Column:
     share one partitioning and one order, so it's a single sort, and no list is ever gathered.
     """
     before = in_order(owner).rowsBetween(-k, -1)
-    same_day = Window.partitionBy(owner, DAY).orderBy(BOUT)
-    return _First(value.over(before), same_day)  # type: ignore[return-value]
+    return _First(value.over(before), same_day(owner))  # type: ignore[return-value]
 
 
 class _First:

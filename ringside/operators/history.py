@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringside.functions.windows import BOUT, DAY, OWNER, in_order, last_prior, prior, share, with_columns
+from ringside.functions.windows import BOUT, DAY, OWNER, in_order, last_prior, ordered, prior, share, with_columns
 
 OUTCOMES = ("win", "loss", "draw", "no_contest")
 
@@ -100,8 +100,8 @@ def evidence(long: DataFrame) -> DataFrame:
 
 
 def prefight_history(bouts: DataFrame) -> DataFrame:
-    """Everything above, two rows a bout; one shuffle, by competitor."""
-    long = sides(bouts, "finish_method")
+    """Everything above, two rows a bout; one shuffle and one sort, by competitor."""
+    long = ordered(sides(bouts, "finish_method"))
     return evidence(finishes(streaks(recent(activity(record(long)))))).drop("winner_id", "is_no_contest", "is_draw", "finish_method")
 
 
