@@ -95,7 +95,7 @@ def replayed(events: DataFrame) -> DataFrame:
     """
     links = events.where("kind = 'merge' AND from_id <> into_id").select(F.lit(0).alias("slice"), F.col("from_id").alias("a"), F.col("into_id").alias("b"))
     parts = components(links).select(F.col("node").alias("from_id"), "part")
-    placed = events.join(parts, "from_id", "left").withColumn("part", F.coalesce("part", "from_id"))
+    placed = events.join(parts.hint("merge"), "from_id", "left").withColumn("part", F.coalesce("part", "from_id"))
     schema = "event_id long, kind string, from_id long, into_id long, state string, active boolean"
     fold = lambda own: _replayed(own[["event_id", "kind", "from_id", "into_id"]])
     # without nulls ids stay whole numbers
@@ -109,7 +109,7 @@ def present_identities(ids: DataFrame, events: DataFrame) -> DataFrame:
     ids: a column id. An id that nothing merges stands for itself.
     """
     ends = followed(events.where("active").select(F.col("from_id").alias("node"), F.col("into_id").alias("to")))
-    return ids.join(ends.withColumnsRenamed({"node": "id", "end": "present_id"}), "id", "left").withColumn("present_id", F.coalesce("present_id", "id"))
+    return ids.join(ends.withColumnsRenamed({"node": "id", "end": "present_id"}).hint("merge"), "id", "left").withColumn("present_id", F.coalesce("present_id", "id"))
 
 
 def evidence_as_of(evidence: DataFrame, versions: DataFrame) -> DataFrame:
