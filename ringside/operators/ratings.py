@@ -1,29 +1,37 @@
 """Elo ratings, and what windows make of them.
 
 A rating depends on all bouts before it, so no window can give it. Bouts of one date are rated together from the
-ratings at its start. Time is cut into slices of whole dates, of LEAST_SLICE bouts or so each; the table of ratings is
-carried from slice to slice, so that rounds are few and grow with the bouts. Within a slice competitors that no bout
-links cannot touch each other, so its connected components are rated in parallel. A component's bouts stream through
-a task in the order of their dates: it holds the ratings of the component's members and the bouts of one date.
+ratings at its start, as arrays. Time is cut into slices of whole dates, of LEAST_SLICE bouts at most, which are dealt to
+tasks three times, whatever their number:
+
+* each slice is packed: numbers for its competitors, and 16 bytes a bout;
+* the packed dates go through one task in order (by division: one for each), which holds a rating for each competitor and
+  one date, and tells what the competitors of a slice are rated at where they first appear in it;
+* with these, slices are rated in parallel, now with their rows.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringside.functions.windows import BOUT, DAY, OWNER, last_prior, prior, with_columns
-from ringside.operators.graph import components
+from ringside.operators.graph import components  # noqa: F401
 from ringside.operators.history import sides
 from ringside.plans.shared import discard, shelve
 
 START, STEP, SCALE = 1500.0, 24.0, 400.0
-#: Bouts of a slice, to whole dates: what one task gets at most where all competitors are linked.
+#: Bouts of a slice at most, to whole dates: what a task gets.
 LEAST_SLICE = 2_000_000
+#: Slices of a table that has fewer bouts than so many whole ones.
+_SLICES = 32
 #: Rows of a batch that a task sends on.
 _BATCH = 8192
 
@@ -42,89 +50,191 @@ def slices_of_dates(bouts: DataFrame, most: int) -> DataFrame:
     return days.select(DAY, F.floor(before / F.lit(most)).cast("long").alias("slice"))
 
 
-_FOLDED = pa.schema([(BOUT, pa.string()), (DAY, pa.date32()), ("a", pa.string()), ("b", pa.string()), *((f"{x}_{when}", pa.float64()) for x in "ab" for when in ("before", "after"))])
+class _Ratings:
+    """Ratings by place; a name has its place from where it is first met, and START until it is rated or set."""
+
+    def __init__(self) -> None:
+        self.place: defaultdict[str, int] = defaultdict()
+        self.place.default_factory = self.place.__len__
+        self.rating, self._change = np.empty(0), np.empty(0)
+
+    def places(self, names: pa.Array) -> np.ndarray:
+        place = self.place
+        found = np.fromiter(map(place.__getitem__, names.to_numpy(zero_copy_only=False)), np.int64, len(names))
+        if len(place) > len(self.rating):
+            more = len(place) + len(self.rating) + 1024
+            self.rating = np.concatenate([self.rating, np.full(more, START)])
+            self._change = np.zeros(len(self.rating))
+        return found
+
+    def rate(self, a: np.ndarray, b: np.ndarray, points: np.ndarray, rated: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """A date's bouts, in order -> a before and after, b before and after."""
+        x, y = self.rating[a], self.rating[b]
+        gain = STEP * (points - 1 / (1 + 10 ** ((y - x) / SCALE)))
+        if rated is not None:
+            gain = np.where(rated, gain, 0.0)
+        np.add.at(self._change, np.stack([a, b], 1).ravel(), np.stack([gain, -gain], 1).ravel())
+        after = x + self._change[a], y + self._change[b]
+        self.rating[a], self.rating[b] = after
+        self._change[a] = self._change[b] = 0.0
+        return x, after[0], y, after[1]
+
+
+def _dates(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, object, pa.Table]]:
+    """(part, date, rows) of rows by part and date, each date whole, however the batches are cut."""
+    key, held = None, []
+    for batch in batches:
+        part, day = batch.column("part"), batch.column(DAY)
+        if not batch.num_rows:
+            continue
+        same = pc.and_(pc.equal(part[1:], part[:-1]), pc.equal(pc.fill_null(day.cast("int32"), -(2**31))[1:], pc.fill_null(day.cast("int32"), -(2**31))[:-1]))
+        cuts = [0, *(np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:], strict=False):
+            own = part[i].as_py(), day[i].as_py()
+            if held and own != key:
+                yield *key, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            key = own
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield *key, pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(rows: pa.Table, name: str) -> pa.Array:
+    return rows[name].combine_chunks() if rows[name].num_chunks != 1 else rows[name].chunk(0)
+
+
+def _batched(tables: Iterator[pa.Table], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Tables of any sizes -> batches of _BATCH rows at most."""
+    held: list[pa.Table] = []
+    for table in tables:
+        held.append(table)
+        if sum(t.num_rows for t in held) >= _BATCH:
+            yield from pa.concat_tables(held).combine_chunks().to_batches(max_chunksize=_BATCH)
+            held = []
+    yield from pa.concat_tables([schema.empty_table(), *held]).combine_chunks().to_batches(max_chunksize=_BATCH)
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by part, date and bout -> a row a bout, and one without a bout for each member's last rating.
+_TOLD = pa.schema([("part", pa.string()), (BOUT, pa.string()), (DAY, pa.date32()), ("a", pa.string()), ("b", pa.string()), ("points", pa.float64()), ("rated", pa.bool_()), *((f"{x}_{when}", pa.float64()) for x in "ab" for when in ("before", "after"))])
+_TOLD_SQL = f"part string, {BOUT} string, {DAY} date, a string, b string, points double, rated boolean, a_before double, a_after double, b_before double, b_after double"
+
+
+def _fold(batches: Iterator[pa.RecordBatch], with_last: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows by part, date and bout -> a row a bout and, if asked for, one without a bout for each member's last rating.
 
     A part begins with its members' ratings, which have no date.
     """
-    rating: dict[str, float] = {}
-    games: list[tuple] = []
-    out: list[tuple] = []
-    now = day = None
-
-    def rate() -> None:
-        change: dict[str, float] = {}
-        for _, a, b, points, rated in games:
-            if rated:
-                gain = STEP * (points - 1 / (1 + 10 ** ((rating[b] - rating[a]) / SCALE)))
-                change[a], change[b] = change.get(a, 0.0) + gain, change.get(b, 0.0) - gain
-        for bout, a, b, _, _ in games:
-            x, y = rating[a], rating[b]
-            out.append((bout, day, a, b, x, x + change.get(a, 0.0), y, y + change.get(b, 0.0)))
-        for player, gained in change.items():
-            rating[player] += gained
-        games.clear()
-
-    def sent(all_of_it: bool) -> Iterator[pa.RecordBatch]:
-        while len(out) >= _BATCH or (all_of_it and out):
-            some = out[:_BATCH]
-            del out[:_BATCH]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), _FOLDED, strict=True)], schema=_FOLDED)
-
-    def closed() -> None:
-        rate()
-        out.extend((None, None, player, None, None, value, None, None) for player, value in rating.items())
-        rating.clear()
 
-    for batch in batches:
-        columns = (batch.column(n).to_pylist() for n in ("part", DAY, BOUT, "a", "b", "points", "rated"))
-        for part, date, bout, a, b, points, rated in zip(*columns, strict=True):
+    def told() -> Iterator[pa.Table]:
+        now, ratings = None, _Ratings()
+
+        def last() -> pa.Table:
+            n = len(ratings.place)
+            own = {"part": pa.array([now] * n, pa.string()), "a": pa.array(list(ratings.place), pa.string()), "a_after": pa.array(ratings.rating[:n])}
+            return pa.table([own.get(f.name, pa.nulls(n, f.type)) for f in _TOLD], schema=_TOLD)
+
+        for part, date, rows in _dates(batches):
             if part != now:
-                closed()
-                now, day = part, None
+                if with_last and now is not None:
+                    yield last()
+                now, ratings = part, _Ratings()
+            a, points = ratings.places(_column(rows, "a")), _column(rows, "points").to_numpy(zero_copy_only=False)
             if date is None:
-                rating[a] = points
+                ratings.rating[a] = points
                 continue
-            if date != day:
-                rate()
-                day = date
-            games.append((bout, a, b, points, rated))
-        yield from sent(False)
-    closed()
-    yield from sent(True)
+            found = ratings.rate(a, ratings.places(_column(rows, "b")), points, _column(rows, "rated").to_numpy(zero_copy_only=False))
+            yield pa.table([*(rows[f.name].cast(f.type) for f in list(_TOLD)[:-4]), *map(pa.array, found)], schema=_TOLD)
+        if with_last and now is not None:
+            yield last()
+
+    yield from _batched(told(), _TOLD)
+
+
+_PACKED = pa.schema([("part", pa.string()), ("slice", pa.int64()), ("chain", pa.string()), (DAY, pa.date32()), ("names", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("points", pa.binary())])
+_STARTS = pa.schema([("part", pa.string()), ("names", pa.binary()), ("ratings", pa.binary())])
+_MEMBERS = pa.schema([("part", pa.string()), ("a", pa.string()), ("points", pa.float64())])
+
+
+def _stream(names: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([names], names=["name"])
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _names(stream: bytes) -> pa.Array:
+    return pa.ipc.open_stream(stream).read_next_batch().column(0)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by part, date and bout -> a row a date: names that the part meets first, and rated bouts as numbers in the part and points."""
+    now, members = None, _Ratings()
+    for part, date, rows in _dates(batches):
+        if part != now:
+            now, members = part, _Ratings()
+        known, a, b = len(members.place), _column(rows, "a"), _column(rows, "b")
+        own, other = members.places(a), members.places(b)
+        at, first = np.unique(np.concatenate([own, other]), return_index=True)
+        names = pa.concat_arrays([a, b]).take(pa.array(first[at >= known]))
+        rated = _column(rows, "rated").to_numpy(zero_copy_only=False)
+        points = _column(rows, "points").to_numpy(zero_copy_only=False)[rated]
+        row = part, rows["slice"][0].as_py(), rows["chain"][0].as_py(), date, _stream(names), own[rated].astype("<i4").tobytes(), other[rated].astype("<i4").tobytes(), points.astype("<f8").tobytes()
+        yield pa.RecordBatch.from_pylist([dict(zip(_PACKED.names, row, strict=True))], schema=_PACKED)
+
+
+def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed dates by chain and date -> the ratings at which a part's members come into it."""
+    chain, part, ratings, local, n = None, None, _Ratings(), np.empty(1024, np.int64), 0
+    for batch in batches:
+        for row in range(batch.num_rows):
+            own = {c: batch.column(c)[row].as_py() for c in _PACKED.names}
+            if own["chain"] != chain:
+                chain, ratings = own["chain"], _Ratings()
+            if own["part"] != part:
+                part, n = own["part"], 0
+            at = ratings.places(_names(own["names"]))
+            if n + len(at) > len(local):
+                local = np.concatenate([local[:n], np.empty(n + len(at) + 1024, np.int64)])
+            local[n : n + len(at)] = at
+            n += len(at)
+            if len(at):
+                yield pa.RecordBatch.from_pylist([{"part": part, "names": own["names"], "ratings": ratings.rating[at].astype("<f8").tobytes()}], schema=_STARTS)
+            ratings.rate(*(local[np.frombuffer(own[x], "<i4")] for x in "ab"), np.frombuffer(own["points"], "<f8"))
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, names, ratings in zip(*(batch.column(c) for c in _STARTS.names), strict=True):
+            found = _names(names.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([part.as_py()] * len(found), pa.string()), found, pa.array(np.frombuffer(ratings.as_py(), "<f8"))], schema=_MEMBERS)
 
 
 def _rated(games: DataFrame, least_slice: int) -> DataFrame:
-    """games: bout, date, players a and b (any ids), points of a, rated -> two rows a bout with ratings before and after."""
+    """games: bout, date, players a and b, points of a, rated, chain -> a row a bout with the ratings of both before and after."""
     games = shelve(games)
-    sliced = games.join(F.broadcast(slices_of_dates(games, least_slice)), DAY)
-    members = components(sliced.select("slice", "a", "b"))
-    parted = shelve(sliced.join(members.withColumnRenamed("node", "a"), ["slice", "a"]), "slice")
-    discard(games)
-    spark, done, ratings = games.sparkSession, [], None
-    schema = f"{BOUT} string, {DAY} date, a string, b string, a_before double, a_after double, b_before double, b_after double"
-    for k in sorted(r.slice for r in members.select("slice").distinct().collect()):
-        own = members.where(F.col("slice") == k).select("part", F.col("node").alias("a"))
-        old = own.withColumn("points", F.lit(START)) if ratings is None else own.join(ratings, "a", "left").select("part", "a", F.coalesce("rating", F.lit(START)).alias("points"))
-        rows = parted.where(F.col("slice") == k).drop("slice").unionByName(old, allowMissingColumns=True)
-        done.append(shelve(rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first(DAY), BOUT).mapInArrow(_fold, schema)))
-        latest = done[-1].where(F.col(BOUT).isNull()).select("a", F.col("a_after").alias("rating"))
-        new = shelve(latest if ratings is None else latest.unionByName(ratings.join(latest, "a", "left_anti")))
-        if ratings is not None:
-            discard(ratings)
-        ratings = new
-    discard(parted, members)
-    folded = reduce(DataFrame.unionByName, done, spark.createDataFrame([], schema)).where(F.col(BOUT).isNotNull())
-    side = lambda own, other: F.struct(F.col(own).alias("player"), F.col(f"{own}_before").alias("rating_before"), F.col(f"{own}_after").alias("rating_after"), F.col(f"{other}_before").alias("opponent_rating"))
-    return folded.select(BOUT, DAY, F.explode(F.array(side("a", "b"), side("b", "a"))).alias("x")).select(BOUT, DAY, "x.*")
-
-
-def _games(bouts: DataFrame, *keep: str) -> DataFrame:
+    most = max(min(least_slice, -(-games.count() // _SLICES)), 1)
+    sliced = games.join(F.broadcast(slices_of_dates(games, most)), DAY).withColumn("part", F.concat(F.lpad(F.col("slice").cast("string"), 10, "0"), "chain"))
+    dealt = lambda rows: rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first(DAY), BOUT)
+    packed = shelve(dealt(sliced).mapInArrow(_packed, f"part string, slice long, chain string, {DAY} date, names binary, a binary, b binary, points binary"))
+    starts = shelve(packed.repartition("chain").sortWithinPartitions("chain", "slice", DAY).mapInArrow(_carried, "part string, names binary, ratings binary"))
+    discard(packed)
+    rows = sliced.drop("slice", "chain").unionByName(starts.mapInArrow(_members, "part string, a string, points double"), allowMissingColumns=True)
+    return dealt(rows).mapInArrow(partial(_fold, with_last=False), _TOLD_SQL).withColumn("chain", F.expr("substring(part, 11)")).drop("part")
+
+
+def _sided(folded: DataFrame) -> DataFrame:
+    """Two rows a bout, with the opponent, the outcome and both ratings."""
+    points = {"a": F.col("points"), "b": 1 - F.col("points")}
+    said = lambda own: F.when(~F.col("rated"), "no_contest").when(points[own] == 0.5, "draw").when(points[own] == 1, "win").otherwise("loss")
+    side = lambda own, other: F.struct(F.col(own).alias(OWNER), F.col(other).alias("opponent_id"), said(own).alias("outcome"), F.col(f"{own}_before").alias("rating_before"), F.col(f"{own}_after").alias("rating_after"), F.col(f"{other}_before").alias("opponent_rating"))
+    return folded.select(BOUT, DAY, "chain", F.explode(F.array(side("a", "b"), side("b", "a"))).alias("x")).select(BOUT, DAY, "chain", "x.*")
+
+
+def _games(bouts: DataFrame, chain: Column) -> DataFrame:
+    """chain: what has ratings of its own, a string."""
     points = F.when(F.col("is_draw"), 0.5).when(F.col("winner_id") == F.col("fighter_a_id"), 1.0).otherwise(0.0)
-    return bouts.select(BOUT, DAY, F.col("fighter_a_id").alias("a"), F.col("fighter_b_id").alias("b"), points.alias("points"), (~F.col("is_no_contest")).alias("rated"), *keep)
+    return bouts.select(BOUT, DAY, F.col("fighter_a_id").alias("a"), F.col("fighter_b_id").alias("b"), points.alias("points"), (~F.col("is_no_contest")).alias("rated"), chain.alias("chain"))
 
 
 _RATINGS = ("rating_before", "rating_after", "opponent_rating")
@@ -132,16 +242,13 @@ _RATINGS = ("rating_before", "rating_after", "opponent_rating")
 
 def overall(bouts: DataFrame, least_slice: int = LEAST_SLICE) -> DataFrame:
     """Ratings over all bouts, before and after the date of each; no contests rate nothing."""
-    return _rated(_games(bouts), least_slice).select(BOUT, F.col("player").alias(OWNER), *_RATINGS)
+    return _sided(_rated(_games(bouts, F.lit("")), least_slice)).select(BOUT, OWNER, *_RATINGS)
 
 
 def by_division(bouts: DataFrame, division: str = "division", least_slice: int = LEAST_SLICE) -> DataFrame:
-    """The same within each division: a competitor is another player in each; bouts of an unknown division have none."""
-    known = _games(bouts, division).where(F.col(division).isNotNull())
-    own = {x: F.concat(F.col(division), F.lit("\x1f"), F.col(x)) for x in ("a", "b")}
-    rated = _rated(known.withColumns(own).drop(division), least_slice)
-    who = F.split("player", "\x1f")
-    return rated.select(BOUT, F.element_at(who, -1).alias(OWNER), *_RATINGS, F.array_join(F.slice(who, 1, F.size(who) - 1), "\x1f").alias(division))
+    """The same within each division; bouts of an unknown division have none."""
+    known = _games(bouts, F.col(division)).where("chain IS NOT NULL")
+    return _sided(_rated(known, least_slice)).select(BOUT, OWNER, *_RATINGS, F.col("chain").alias(division))
 
 
 def strength(bouts: DataFrame, rated: DataFrame) -> DataFrame:

@@ -84,3 +84,35 @@ def test_rounds_are_few(spark):
     """Eight million bouts were 160 rounds."""
     bouts = spark.range(2400).select(F.date_add(F.lit("2019-01-01").cast("date"), F.col("id").cast("int")).alias("fight_date"), F.explode(F.sequence(F.lit(1), F.lit(3340))))
     assert ratings.slices_of_dates(bouts, ratings.LEAST_SLICE).agg(F.count_distinct("slice")).first()[0] <= 5
+
+
+def test_slices_take_no_rounds(spark, some):
+    """Each slice was a few jobs, after rounds over a graph of competitors."""
+    tracker, counts = spark.sparkContext.statusTracker(), []
+    for least in (7, 10_000):
+        spark.sparkContext.setJobGroup(f"slices of {least}", "")
+        assert ratings.overall(some, least).count() == 2 * some.count()
+        counts.append(len(tracker.getJobIdsForGroup(f"slices of {least}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert max(counts) <= 20
+
+
+def test_packed_slices_tell_what_their_members_come_with():
+    """Ratings by dates of two chains, cut into slices and batches, are those of a fold over each whole chain."""
+    rows = [("2020-01-%02d" % d, f"g{d:02}{i}", "abcd"[(d + i) % 4], "abcd"[(d + 2 * i + 1) % 4], (d + i) % 3 / 2, (d + i) % 5 != 0) for d in range(1, 25) for i in range(2)]
+    day = pa.array([datetime.date.fromisoformat(r[0]) for r in rows])
+    table = pa.table([day, *(pa.array(c) for c in list(zip(*rows, strict=True))[1:])], names=["fight_date", "bout_id", "a", "b", "points", "rated"])
+    slices = [(d.day - 1) // 7 for d in day.to_pylist()]
+    both = []
+    for chain in "xy":
+        own = table.append_column("slice", pa.array(slices, "int64")).append_column("chain", pa.array([chain] * len(rows))).append_column("part", pa.array([f"{s}{chain}" for s in slices]))
+        both += list(ratings._packed(iter(own.to_batches(max_chunksize=3))))
+    starts = pa.Table.from_batches(ratings._members(ratings._carried(iter(both)))).to_pylist()
+    whole = table.append_column("part", pa.array(["w"] * len(rows)))
+    told = [r for b in ratings._fold(iter(whole.to_batches(max_chunksize=5)), with_last=False) for r in b.to_pylist()]
+    expected = {}
+    for r, s in zip(told, slices, strict=True):
+        for x in "ab":
+            expected.setdefault((s, r[x]), r[f"{x}_before"])
+    for chain in "xy":
+        assert {(int(r["part"][0]), r["a"]): r["points"] for r in starts if r["part"][1] == chain} == expected
