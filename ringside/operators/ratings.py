@@ -22,9 +22,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringside.functions.windows import BOUT, DAY, OWNER, last_prior, prior, with_columns
+from ringside.functions.windows import BOUT, DAY, OWNER, last_prior, ordered, prior, with_columns
 from ringside.operators.graph import components  # noqa: F401
-from ringside.operators.history import sides
+from ringside.operators.history import checked_winner, sides
 from ringside.plans.shared import discard, shelve
 
 START, STEP, SCALE = 1500.0, 24.0, 400.0
@@ -32,6 +32,8 @@ START, STEP, SCALE = 1500.0, 24.0, 400.0
 LEAST_SLICE = 2_000_000
 #: Slices of a table that has fewer bouts than so many whole ones.
 _SLICES = 32
+#: A part is named by its slice's number in so many digits, and its chain.
+_SLICE = 10
 #: Rows of a batch that a task sends on.
 _BATCH = 8192
 
@@ -150,7 +152,7 @@ def _fold(batches: Iterator[pa.RecordBatch], with_last: bool = True) -> Iterator
     yield from _batched(told(), _TOLD)
 
 
-_PACKED = pa.schema([("part", pa.string()), ("slice", pa.int64()), ("chain", pa.string()), (DAY, pa.date32()), ("names", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("points", pa.binary())])
+_PACKED = pa.schema([("part", pa.string()), (DAY, pa.date32()), ("names", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("points", pa.binary())])
 _STARTS = pa.schema([("part", pa.string()), ("names", pa.binary()), ("ratings", pa.binary())])
 _MEMBERS = pa.schema([("part", pa.string()), ("a", pa.string()), ("points", pa.float64())])
 
@@ -168,7 +170,7 @@ def _names(stream: bytes) -> pa.Array:
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by part, date and bout -> a row a date: names that the part meets first, and rated bouts as numbers in the part and points."""
+    """Rows by part, date and bout -> a row a date: names that the part meets first, and bouts with points as numbers in the part and points."""
     now, members = None, _Ratings()
     for part, date, rows in _dates(batches):
         if part != now:
@@ -177,9 +179,9 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, other = members.places(a), members.places(b)
         at, first = np.unique(np.concatenate([own, other]), return_index=True)
         names = pa.concat_arrays([a, b]).take(pa.array(first[at >= known]))
-        rated = _column(rows, "rated").to_numpy(zero_copy_only=False)
-        points = _column(rows, "points").to_numpy(zero_copy_only=False)[rated]
-        row = part, rows["slice"][0].as_py(), rows["chain"][0].as_py(), date, _stream(names), own[rated].astype("<i4").tobytes(), other[rated].astype("<i4").tobytes(), points.astype("<f8").tobytes()
+        points = _column(rows, "points").to_numpy(zero_copy_only=False)
+        rated = ~np.isnan(points)
+        row = part, date, _stream(names), own[rated].astype("<i4").tobytes(), other[rated].astype("<i4").tobytes(), points[rated].astype("<f8").tobytes()
         yield pa.RecordBatch.from_pylist([dict(zip(_PACKED.names, row, strict=True))], schema=_PACKED)
 
 
@@ -189,10 +191,10 @@ def _carried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in range(batch.num_rows):
             own = {c: batch.column(c)[row].as_py() for c in _PACKED.names}
-            if own["chain"] != chain:
-                chain, ratings = own["chain"], _Ratings()
             if own["part"] != part:
                 part, n = own["part"], 0
+            if part[_SLICE:] != chain:
+                chain, ratings = part[_SLICE:], _Ratings()
             at = ratings.places(_names(own["names"]))
             if n + len(at) > len(local):
                 local = np.concatenate([local[:n], np.empty(n + len(at) + 1024, np.int64)])
@@ -214,13 +216,16 @@ def _rated(games: DataFrame, least_slice: int) -> DataFrame:
     """games: bout, date, players a and b, points of a, rated, chain -> a row a bout with the ratings of both before and after."""
     games = shelve(games)
     most = max(min(least_slice, -(-games.count() // _SLICES)), 1)
-    sliced = games.join(F.broadcast(slices_of_dates(games, most)), DAY).withColumn("part", F.concat(F.lpad(F.col("slice").cast("string"), 10, "0"), "chain"))
+    part = F.concat(F.lpad(F.col("slice").cast("string"), _SLICE, "0"), "chain").alias("part")
+    sliced = games.join(F.broadcast(slices_of_dates(games, most)), DAY).select(part, BOUT, DAY, "a", "b", "points", "rated")
     dealt = lambda rows: rows.repartition("part").sortWithinPartitions("part", F.asc_nulls_first(DAY), BOUT)
-    packed = shelve(dealt(sliced).mapInArrow(_packed, f"part string, slice long, chain string, {DAY} date, names binary, a binary, b binary, points binary"))
-    starts = shelve(packed.repartition("chain").sortWithinPartitions("chain", "slice", DAY).mapInArrow(_carried, "part string, names binary, ratings binary"))
+    known = F.when(F.col("rated"), F.col("points")).alias("points")
+    packed = shelve(dealt(sliced).select("part", DAY, "a", "b", known).mapInArrow(_packed, f"part string, {DAY} date, names binary, a binary, b binary, points binary"))
+    chain = F.expr(f"substring(part, {_SLICE + 1})")
+    starts = shelve(packed.repartition(chain).sortWithinPartitions(chain, "part", DAY).mapInArrow(_carried, "part string, names binary, ratings binary"))
     discard(packed)
-    rows = sliced.drop("slice", "chain").unionByName(starts.mapInArrow(_members, "part string, a string, points double"), allowMissingColumns=True)
-    return dealt(rows).mapInArrow(partial(_fold, with_last=False), _TOLD_SQL).withColumn("chain", F.expr("substring(part, 11)")).drop("part")
+    rows = sliced.unionByName(starts.mapInArrow(_members, "part string, a string, points double"), allowMissingColumns=True)
+    return dealt(rows).mapInArrow(partial(_fold, with_last=False), _TOLD_SQL).withColumn("chain", chain).drop("part")
 
 
 def _sided(folded: DataFrame) -> DataFrame:
@@ -251,9 +256,22 @@ def by_division(bouts: DataFrame, division: str = "division", least_slice: int =
     return _sided(_rated(known, least_slice)).select(BOUT, OWNER, *_RATINGS, F.col("chain").alias(division))
 
 
+def sided(bouts: DataFrame, least_slice: int = LEAST_SLICE) -> DataFrame:
+    """overall() with date, opponent and outcome, as the fold passes them on; a bout without an outcome fails, as in sides()."""
+    return _sided(_rated(_games(bouts.withColumn("winner_id", checked_winner()), F.lit("")), least_slice)).drop("chain")
+
+
 def strength(bouts: DataFrame, rated: DataFrame) -> DataFrame:
-    """From the ratings: counts, the peak, the change over three rated bouts, and the ratings of the opponents met."""
-    long = sides(bouts).join(rated, [BOUT, OWNER]).where("outcome <> 'no_contest'")
+    """strengths() of a history and ratings made elsewhere."""
+    return strengths(sides(bouts).join(rated, [BOUT, OWNER]).drop("winner_id", "is_no_contest", "is_draw"))
+
+
+def strengths(long: DataFrame) -> DataFrame:
+    """From the ratings: counts, the peak, the change over three rated bouts, and the ratings of the opponents met.
+
+    long: sided(). One shuffle and one sort, by competitor.
+    """
+    long = ordered(long.where("outcome <> 'no_contest'"))
     beaten = F.when(F.col("outcome") == "win", F.col("opponent_rating"))
     long = with_columns(
         long,
@@ -266,7 +284,7 @@ def strength(bouts: DataFrame, rated: DataFrame) -> DataFrame:
         beaten_mean=F.avg(beaten).over(prior()),
         beaten_best=F.max(beaten).over(prior()),
     )
-    return long.withColumn("change_last_3", F.when(F.col("rated_bouts") >= 3, F.col("rating_before") - F.col("third_last"))).drop("third_last", "winner_id", "is_no_contest", "is_draw")
+    return long.withColumn("change_last_3", F.when(F.col("rated_bouts") >= 3, F.col("rating_before") - F.col("third_last"))).drop("third_last")
 
 
 def division_debuts(bouts: DataFrame) -> DataFrame:

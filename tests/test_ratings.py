@@ -103,9 +103,10 @@ def test_packed_slices_tell_what_their_members_come_with():
     day = pa.array([datetime.date.fromisoformat(r[0]) for r in rows])
     table = pa.table([day, *(pa.array(c) for c in list(zip(*rows, strict=True))[1:])], names=["fight_date", "bout_id", "a", "b", "points", "rated"])
     slices = [(d.day - 1) // 7 for d in day.to_pylist()]
+    rated = pa.table({**{c: table[c] for c in ("fight_date", "a", "b")}, "points": pa.array([p if r else None for *_, p, r in rows])})
     both = []
     for chain in "xy":
-        own = table.append_column("slice", pa.array(slices, "int64")).append_column("chain", pa.array([chain] * len(rows))).append_column("part", pa.array([f"{s}{chain}" for s in slices]))
+        own = rated.append_column("part", pa.array([f"{s:010}{chain}" for s in slices]))
         both += list(ratings._packed(iter(own.to_batches(max_chunksize=3))))
     starts = pa.Table.from_batches(ratings._members(ratings._carried(iter(both)))).to_pylist()
     whole = table.append_column("part", pa.array(["w"] * len(rows)))
@@ -115,4 +116,20 @@ def test_packed_slices_tell_what_their_members_come_with():
         for x in "ab":
             expected.setdefault((s, r[x]), r[f"{x}_before"])
     for chain in "xy":
-        assert {(int(r["part"][0]), r["a"]): r["points"] for r in starts if r["part"][1] == chain} == expected
+        assert {(int(r["part"][:10]), r["a"]): r["points"] for r in starts if r["part"].endswith(chain)} == expected
+
+
+def test_strength_takes_no_join(spark, some):
+    """What a bout's sides and outcomes are comes with the ratings; all windows share one sort."""
+    found = ratings.strengths(ratings.sided(some))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and sum("Sort [fighter_id#" in line for line in plan.splitlines()) == 1
+    expected = ratings.strength(some, ratings.overall(some))
+    names = sorted(expected.columns)
+    assert sorted(map(str, found.select(names).collect())) == sorted(map(str, expected.select(names).collect()))
+
+
+def test_a_winner_of_another_bout_fails(some):
+    other = some.limit(1).withColumns({"winner_id": F.lit("nobody"), "is_draw": F.lit(False), "is_no_contest": F.lit(False)})
+    with pytest.raises(Exception, match="no outcome for bout"):
+        ratings.sided(other).collect()
