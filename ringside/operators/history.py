@@ -17,6 +17,14 @@ def sides(bouts: DataFrame, *keep: str) -> DataFrame:
     return long.withColumn("outcome", outcome())
 
 
+def met(meetings: DataFrame, metrics: tuple[str, ...], *keep: str) -> DataFrame:
+    """sides() of meetings (a bout with what both did as structs p and q), with the metrics and the opponent's as opp_<metric>: no join."""
+    turned = lambda own, other: F.struct(F.col(own).alias("own"), F.col(other).alias("opp"))
+    long = meetings.select(BOUT, DAY, "winner_id", "is_no_contest", "is_draw", *keep, F.explode(F.array(turned("p", "q"), turned("q", "p"))).alias("s"))
+    said = [F.col(f"s.own.{OWNER}"), F.col(f"s.opp.{OWNER}").alias("opponent_id"), *(F.col(f"s.own.{m}") for m in metrics), *(F.col(f"s.opp.{m}").alias(f"opp_{m}") for m in metrics)]
+    return long.select("*", *said).withColumn("outcome", outcome()).drop("s", "winner_id", "is_no_contest", "is_draw")
+
+
 def outcome() -> Column:
     """no_contest before draw before win before loss; a row that is none of these fails."""
     return (

@@ -261,6 +261,28 @@ def sided(bouts: DataFrame, least_slice: int = LEAST_SLICE) -> DataFrame:
     return _sided(_rated(_games(bouts.withColumn("winner_id", checked_winner()), F.lit("")), least_slice)).drop("chain")
 
 
+def by_bout(bouts: DataFrame, least_slice: int = LEAST_SLICE) -> DataFrame:
+    """A row a bout: the ratings of fighter_a_id (a_before, a_after) and of fighter_b_id."""
+    return _rated(_games(bouts, F.lit("")), least_slice).select(BOUT, *(f"{x}_{when}" for x in "ab" for when in ("before", "after")))
+
+
+def of_sides(long: DataFrame) -> DataFrame:
+    """rating_before, rating_after and opponent_rating in place of by_bout()'s columns, which rows of either side bear; and of fighter_a_id."""
+    own = lambda a, b: F.when(F.col(OWNER) == F.col("fighter_a_id"), F.col(a)).otherwise(F.col(b))
+    said = {"rating_before": own("a_before", "b_before"), "rating_after": own("a_after", "b_after"), "opponent_rating": own("b_before", "a_before")}
+    return long.withColumns(said).drop("a_before", "a_after", "b_before", "b_after")
+
+
+def so_far() -> dict[str, Column]:
+    """Rated bouts, the peak and the mean of the opponents' ratings before each date; rows without a contest count for none."""
+    met = lambda c: F.when(F.col("outcome") != "no_contest", F.col(c))
+    return {
+        "rated_bouts": F.count(met("outcome")).over(prior()),
+        "peak": F.greatest(F.lit(START), F.coalesce(F.max(met("rating_after")).over(prior()), F.lit(START))),
+        "opponents_mean": F.avg(met("opponent_rating")).over(prior()),
+    }
+
+
 def strength(bouts: DataFrame, rated: DataFrame) -> DataFrame:
     """strengths() of a history and ratings made elsewhere."""
     return strengths(sides(bouts).join(rated, [BOUT, OWNER]).drop("winner_id", "is_no_contest", "is_draw"))
@@ -275,10 +297,8 @@ def strengths(long: DataFrame) -> DataFrame:
     beaten = F.when(F.col("outcome") == "win", F.col("opponent_rating"))
     long = with_columns(
         long,
-        rated_bouts=F.count("*").over(prior()),
-        peak=F.greatest(F.lit(START), F.coalesce(F.max("rating_after").over(prior()), F.lit(START))),
+        **so_far(),
         third_last=last_prior(F.first("rating_after"), 3),
-        opponents_mean=F.avg("opponent_rating").over(prior()),
         opponents_last_3=last_prior(F.avg("opponent_rating"), 3),
         opponents_last_5=last_prior(F.avg("opponent_rating"), 5),
         beaten_mean=F.avg(beaten).over(prior()),
