@@ -24,6 +24,7 @@ from ringside.operators.history import OUTCOMES, STREAKS, finish_category, sides
 from ringside.operators.pairwise import oriented, pairs, swapped
 from ringside.operators.performance import SPANS
 from ringside.operators.ratings import START
+from ringside.plans.shared import shelve
 from ringside.sources.proxy import METRICS
 
 REQUEST, ASKED = "request_id", "request_date"
@@ -87,10 +88,12 @@ def vectors(requests: DataFrame, rows: DataFrame, metrics: tuple[str, ...] = MET
     after = standings(rows.join(asked.select(OWNER).distinct(), OWNER, "left_semi"), metrics, adjusted)
     counts = [n for n, t in after.dtypes if t == "bigint"]
     state = F.struct(*(c for c in after.columns if c != OWNER))
-    both = after.select(OWNER, F.unix_date(DAY).alias("at"), state.alias("state")).unionByName(asked.select(OWNER, F.unix_date(ASKED).alias("at"), REQUEST), allowMissingColumns=True)
-    until = lambda days: F.last("state", ignorenulls=True).over(Window.partitionBy(OWNER).orderBy("at").rangeBetween(Window.unboundedPreceding, -days - 1))
+    # what is counted by days takes a few of the columns
+    summed = F.struct("prior_bouts", *(f"career_{m}_{x}" for m in metrics for x in ("observed", "sum")))
+    both = after.select(OWNER, F.unix_date(DAY).alias("at"), state.alias("state"), summed.alias("summed")).unionByName(asked.select(OWNER, F.unix_date(ASKED).alias("at"), REQUEST), allowMissingColumns=True)
+    until = lambda days, what="summed": F.last(what, ignorenulls=True).over(Window.partitionBy(OWNER).orderBy("at").rangeBetween(Window.unboundedPreceding, -days - 1))
     spans = {n for n, _ in SPANS.values() if n} if metrics else set()
-    met = both.withColumns({"state": until(0)} | {f"until_{n}": until(n) for n in sorted({*ACTIVE, *spans})}).where(F.col(REQUEST).isNotNull())
+    met = both.withColumns({"state": until(0, "state")} | {f"until_{n}": until(n) for n in sorted({*ACTIVE, *spans})}).where(F.col(REQUEST).isNotNull())
     within = lambda name, n: F.coalesce(f"state.{name}", F.lit(0)) - F.coalesce(f"until_{n}.{name}", F.lit(0))
     full = met.select(
         REQUEST, OWNER, *(F.coalesce(f"state.{n}", F.lit(0).cast("long")).alias(n) if n in counts else F.col(f"state.{n}") for n in after.columns if n not in (OWNER, DAY)),
@@ -118,7 +121,8 @@ def answered(requests: DataFrame, stored: DataFrame, rows: DataFrame, features:
     kept = stored.select(DAY, "fighter_a_id", "fighter_b_id", BOUT, *names)
     both = kept.withColumn("route", F.lit("exact")).unionByName(swapped(kept).withColumn("route", F.lit("reversed")))
     first = both.groupBy(F.col(DAY).alias(ASKED), "fighter_a_id", "fighter_b_id").agg(F.min_by(F.struct("route", *names), F.struct("route", BOUT)).alias("x"))
-    met = requests.join(first, [ASKED, "fighter_a_id", "fighter_b_id"], "left").select(*requests.columns, "x.*")
+    # written once: what is asked for again is read by several branches
+    met = shelve(requests.join(first, [ASKED, "fighter_a_id", "fighter_b_id"], "left").select(*requests.columns, "x.*"))
     there = met.where("route IS NOT NULL")
     asked = met.where("route IS NULL").select(requests.columns)
     known = vectors(asked, rows, **what).withColumnRenamed(REQUEST, BOUT)
